@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.boxes import Box, iou
+from ..session import beside
 
 CORNERS = ["x1", "y1", "x2", "y2"]
 
@@ -136,7 +137,7 @@ def overlap_counts(df: DataFrame, group: list[str], heavy: float = 0.4, duplicat
     solid = (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))
     same = distinct.filter(solid).agg(F.sum(n * (n - 1) / 2).cast("bigint").alias("same"))
     zero = F.lit(0).cast("bigint")
-    return between.join(F.broadcast(same)).select(
+    return beside(between, same).select(
         (F.coalesce("dup", zero) + F.coalesce("same", zero)).alias("duplicate_pairs"),
         F.coalesce("over", zero).alias("overlap_pairs"),
     )

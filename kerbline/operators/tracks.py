@@ -165,19 +165,45 @@ def change_sample(
         frame,
         value,
         lambda last, now: F.abs(now - last) / F.greatest(last, F.lit(1e-9)) >= step,
-        bucket,
+        F.floor(F.col(frame) / bucket),
     )
 
 
 def interval_sample(
-    frames: DataFrame, keys: list[str], frame: str, time: str, interval: float, bucket: int = 4096
+    frames: DataFrame, keys: list[str], frame: str, time: str, interval: float, per_bucket: int = 64
 ) -> DataFrame:
-    """Keep the first frame at or after the last kept time plus ``interval``."""
-    return _sampled(frames, keys, frame, time, lambda last, now: now >= last + interval, bucket)
+    """Keep the first frame at or after the last kept time plus ``interval`` seconds.
 
+    Buckets are ``per_bucket`` intervals long; only the frames of a bucket's first
+    interval can be the first one kept in it.
+    """
+    return _sampled(
+        frames,
+        keys,
+        frame,
+        time,
+        lambda last, now: now + 1e-6 >= last + interval,
+        F.floor(F.col(time) / (interval * per_bucket)),
+        horizon=interval,
+    )
+
+
+def fixed_step_sample(frames: DataFrame, frame: str, fps: Column, interval: float) -> DataFrame:
+    """Every ``max(1, round(fps * interval))``-th frame, from frame 0."""
+    step = F.greatest(F.lit(1), F.bround(fps * interval)).cast("bigint")
+    return frames.filter(F.col(frame) % step == 0)
 
-def _sampled(dets: DataFrame, keys: list[str], frame: str, value: str, differs, bucket: int) -> DataFrame:
-    """Sampling against the last kept value, over buckets of the frame number.
+
+def _sampled(
+    dets: DataFrame,
+    keys: list[str],
+    frame: str,
+    value: str,
+    differs,
+    bucket: Column,
+    horizon: float | None = None,
+) -> DataFrame:
+    """Sampling against the last kept value, over buckets of the order.
 
     What a bucket does depends only on the value it is entered with, and through
     it only on which row is kept first. That row is always a new maximum or a new
@@ -189,7 +215,7 @@ def _sampled(dets: DataFrame, keys: list[str], frame: str, value: str, differs,
     rest = [c for c in dets.columns if c not in [*keys, frame]]
     row = F.struct(F.col(frame).alias("f"), F.col(value).cast(number).alias("v"), F.struct(*rest).alias("d"))
     grouped = (
-        dets.withColumn(slot, F.floor(F.col(frame) / bucket))
+        dets.withColumn(slot, bucket.cast("bigint"))
         .groupBy(*keys, slot)
         .agg(F.sort_array(F.collect_list(row)).alias("__rows"))
     )
@@ -199,6 +225,10 @@ def _sampled(dets: DataFrame, keys: list[str], frame: str, value: str, differs,
             rows, start, lambda last, r: F.when(differs(last, r["v"]), r["v"]).otherwise(last)
         )
 
+    def is_record(s: Column, v: Column) -> Column:
+        fresh = s["lo"].isNull() | (v < s["lo"]) | (v > s["hi"])
+        return fresh if horizon is None else fresh & F.coalesce(s["hi"] < s["lo"] + horizon, F.lit(True))
+
     records = F.aggregate(
         "__rows",
         F.struct(
@@ -212,7 +242,7 @@ def _sampled(dets: DataFrame, keys: list[str], frame: str, value: str, differs,
             F.greatest(s["hi"], r["v"]).alias("hi"),
             (s["i"] + 1).alias("i"),
             F.when(
-                s["lo"].isNull() | (r["v"] < s["lo"]) | (r["v"] > s["hi"]),
+                is_record(s, r["v"]),
                 F.array_append(s["out"], F.struct(r["v"].alias("v"), s["i"].alias("i"))),
             )
             .otherwise(s["out"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
@@ -44,8 +45,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, limit: int = 100_000) -> DataFrame:
-    """Hint a broadcast only after counting: more than ``limit`` rows stay a shuffle join."""
-    from pyspark.sql import functions as F
-
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def beside(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Every row of ``df`` with the columns of a one-row table, as a scalar subquery."""
+    names = one_row.columns
+    row = one_row.select(F.struct(*names)).scalar()
+    wide = df.withColumn("__row", row)
+    return wide.select(*df.columns, *[F.col(f"__row.{n}").alias(n) for n in names])
