@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.taxonomy import DISPOSITIONS
-from ..session import beside, checkpointed
+from ..session import beside, checkpointed, values
 from .build import numbered_globally
 from .overlap import overlapping
 
@@ -275,7 +275,7 @@ def disagreements(pairs: DataFrame, item: str = "item") -> DataFrame:
 def key_composition(key: DataFrame, dimension: DataFrame, warn_share: float = 0.20) -> DataFrame:
     """Items per class with empty classes shown, the too-small share, and whether it is too high."""
     names = dimension.select(F.col("fine").alias("label")).unionByName(
-        dimension.sparkSession.createDataFrame([("too_small",)], "label string")
+        values(dimension.sparkSession, [("too_small",)], "label string")
     )
     counts = key.groupBy("label").agg(F.count("*").alias("n"))
     total = counts.agg(

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.keys import shuffle_key
-from ..session import beside
+from ..session import beside, values
 from .build import numbered_globally
 
 SPLITS = ("train", "val", "test")
@@ -173,7 +173,7 @@ def manifest_faults(manifest: DataFrame, groups: DataFrame, group: str, splits:
         F.lit("unassigned").alias("fault"), F.col(group).cast("string").alias("what")
     )
     used = manifest.join(groups.select(group), group, "left_semi").select("split").distinct()
-    wanted = manifest.sparkSession.createDataFrame([(s,) for s in splits], "split string")
+    wanted = values(manifest.sparkSession, [(s,) for s in splits], "split string")
     empty = wanted.join(used, "split", "left_anti").select(
         F.lit("empty_split").alias("fault"), F.col("split").alias("what")
     )

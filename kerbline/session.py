@@ -51,3 +51,22 @@ def beside(df: DataFrame, one_row: DataFrame) -> DataFrame:
     row = one_row.select(F.struct(*names)).scalar()
     wide = df.withColumn("__row", row)
     return wide.select(*df.columns, *[F.col(f"__row.{n}").alias(n) for n in names])
+
+
+def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small fixed table as a literal relation, whose size the planner knows."""
+
+    def text(value) -> str:
+        if value is None:
+            return "NULL"
+        if isinstance(value, bool):
+            return str(value).lower()
+        if isinstance(value, str):
+            return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return repr(value)
+
+    fields = [f.strip().split(" ", 1) for f in schema.split(",")]
+    body = ", ".join("(" + ", ".join(map(text, row)) + ")" for row in rows)
+    names = ", ".join(name for name, _ in fields)
+    casts = ", ".join(f"CAST({name} AS {kind}) AS {name}" for name, kind in fields)
+    return spark.sql(f"SELECT {casts} FROM VALUES {body} AS t({names})")

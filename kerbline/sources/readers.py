@@ -130,6 +130,11 @@ def read_labels_of(spark: SparkSession, images: DataFrame, label_path: str) -> t
 def read_coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(images, annotations, categories)``; boxes as ``x, y, w, h`` in pixels, attributes as a map."""
     doc = spark.read.schema(COCO).json(path, multiLine=True).withColumn("source", F.col("_metadata.file_path"))
+    return coco_tables(doc)
+
+
+def coco_tables(doc: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three tables of parsed documents that also carry ``source``."""
     images = doc.select("source", F.inline("images")).withColumnRenamed("id", "image_id")
     notes = doc.select("source", F.inline("annotations")).select(
         "source", F.col("id").alias("annotation_id"), "image_id", "category_id",
@@ -141,7 +146,11 @@ def read_coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Dat
 
 def read_tracks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """``(tracks, members)``: one row per track, and one per detection of a track."""
-    tracks = spark.read.schema(TRACKS).json(path, multiLine=True)
+    return track_tables(spark.read.schema(TRACKS).json(path, multiLine=True))
+
+
+def track_tables(tracks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Parsed track documents as ``(tracks, members)``."""
     members = tracks.select(
         "clip", F.col("track_id").alias("track"), "crop_id", "labelable", F.explode("members").alias("m")
     ).select(
