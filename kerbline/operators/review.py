@@ -185,7 +185,7 @@ def patch_labels(boxes: DataFrame, patches: DataFrame, tol: float = 2e-3) -> Dat
         "new_cls",
         "patch_no",
         F.explode(cells(F.col("x"))).alias("cx"),
-    ).select("*", F.explode(cells(F.col("y"))).alias("cy"))
+    ).select("*", F.explode(cells(F.col("py"))).alias("cy"))
     columns = boxes.columns
     keyed = boxes.withColumns({"cx": F.floor(F.col("xc") / cell), "cy": F.floor(F.col("yc") / cell)})
     spots = keyed.select("stem", "cx", "cy", "xc", "yc").distinct()

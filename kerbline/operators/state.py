@@ -105,7 +105,7 @@ def probes(messages: DataFrame, stream: str, ts: str, every: float) -> DataFrame
 
 
 def _age(ts: str, at: str) -> Column:
-    return (F.unix_micros(ts) - F.unix_micros(at)) / 1e6
+    return (F.unix_micros(F.col(ts)) - F.unix_micros(F.col(at))) / 1e6
 
 
 def _column(df: DataFrame, name: str, default) -> Column:

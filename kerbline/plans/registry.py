@@ -33,10 +33,10 @@ def load_all() -> tuple[dict[str, Query], dict[str, str]]:
         box_queries,
         #build_queries,
         #event_queries,
-        #review_queries,
+        review_queries,
         #score_queries,
         #source_queries,
-        #track_queries,
+        track_queries,
     )
 
     return QUERIES, ORACLES

@@ -17,6 +17,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def timed_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Events with ``ts`` as an instant (the session runs in UTC)."""
+    return table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def _double(text: str):
     return F.expr(f"CAST({text} AS DOUBLE)")
 
@@ -69,9 +74,20 @@ def track_detections(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def track_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Detections as a tracker leaves them: tracks cut in pieces, some signs tracked twice."""
+    cut = track_detections(spark, folder).withColumn(
+        "track", (F.col("track") + 5 * F.floor(F.col("frame") / 8)).cast("int")
+    )
+    twice = cut.filter("clip % 3 = 0 AND track % 5 < 3").withColumns(
+        {"track": F.col("track") + 100, "x1": F.col("x1") + 2, "x2": F.col("x2") + 2}
+    )
+    return cut.unionByName(twice)
+
+
 def ticks(spark: SparkSession, folder: str) -> DataFrame:
     """Every event is a tick of its user's stream, numbered in time."""
-    events = table(spark, folder, "events").select("user_id", "ts", "event_id", "event_type", "value")
+    events = timed_events(spark, folder).select("user_id", "ts", "event_id", "event_type", "value")
     placed = numbered(events, ["user_id"], ["ts", "event_id"], day_bucket("ts"), "tick")
     return placed.select(
         F.col("user_id").alias("stream_id"), "ts", "event_id", "tick", F.col("event_type").alias("name"), "value",
@@ -108,7 +124,7 @@ def messages(spark: SparkSession, folder: str) -> DataFrame:
         )
         .otherwise(F.format_string('{"sped": %s, "speed": -1}', value))
     )
-    return table(spark, folder, "events").select(
+    return timed_events(spark, folder).select(
         F.col("user_id").alias("stream_id"), "ts", F.col("event_id").alias("msg_id"), text.alias("json")
     )
 
@@ -161,6 +177,10 @@ SQL = {
         greatest(x2 - x1, y2 - y1) AS size, cls, conf FROM det""",
     "tone": """SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY clip, track, frame
         ORDER BY size DESC, x1, y1, x2, y2, cls, conf) AS rn FROM tdet) WHERE rn = 1""",
+    "pieces": """SELECT clip, CAST(track + 5 * floor(frame / 8) AS INT) AS track, frame, x1, y1, x2, y2, size, cls, conf FROM tdet UNION ALL
+        SELECT clip, CAST(track + 5 * floor(frame / 8) AS INT) + 100, frame, x1 + 2, y1, x2 + 2, y2, size, cls, conf FROM tdet WHERE clip % 3 = 0 AND track % 5 < 3""",
+    "pone": """SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY clip, track, frame
+        ORDER BY size DESC, x1, y1, x2, y2, cls, conf) AS rn FROM pieces) WHERE rn = 1""",
     "ticks": """SELECT user_id AS stream_id, ts, event_id,
         CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS tick,
         event_type AS name, value, CASE WHEN event_type = 'error' THEN NULL ELSE (value - 50) / 50 END AS off FROM events""",
@@ -175,7 +195,7 @@ SQL = {
     "kinds": """SELECT * FROM (VALUES ('click', 'engage', 'view'), ('view', 'engage', 'view'), ('error', 'rest', 'signup'),
         ('purchase', 'rest', 'signup'), ('signup', 'rest', 'signup')) AS t(fine, parent, catch_all)""",
 }
-NEEDS = {"norm": ["det"], "geo": ["det", "norm"], "tdet": ["det"], "tone": ["det", "tdet"], "hashes": ["base"]}
+NEEDS = {"norm": ["det"], "geo": ["det", "norm"], "tdet": ["det"], "tone": ["det", "tdet"], "pieces": ["det", "tdet"], "pone": ["det", "tdet", "pieces"], "hashes": ["base"]}
 
 
 def sql(views: str, body: str) -> str:
