@@ -23,8 +23,7 @@ def numbered_globally(df: DataFrame, order: list[str], name: str, parts: int = 6
     quantiles, or, for text, by its first letters; the ranges are counted and rows
     are numbered inside their range.
     """
-    part = _range_of(df, order[0], parts)
-    marked = df.withColumn("__part", part)
+    marked = _in_ranges(df, order[0], parts)
     counts = marked.groupBy("__part").agg(F.count("*").alias("__n"))
     # One row per range: at most a few thousand, whatever the table holds.
     prior = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
@@ -37,13 +36,14 @@ def numbered_globally(df: DataFrame, order: list[str], name: str, parts: int = 6
     )
 
 
-def _range_of(df: DataFrame, column: str, parts: int) -> Column:
+def _in_ranges(df: DataFrame, column: str, parts: int) -> DataFrame:
     kind = df.schema[column].dataType.typeName()
     if kind in ("integer", "long", "short", "byte", "double", "float"):
-        shares = [i / parts for i in range(1, parts)]
-        cuts = df.agg(F.percentile_approx(column, F.array(*map(F.lit, shares)), F.lit(1000))).scalar()
-        return F.coalesce(F.size(F.filter(cuts, lambda c: F.col(column) > c)), F.lit(-1))
-    return F.coalesce(F.substring(F.col(column).cast("string"), 1, 3), F.lit(""))
+        shares = F.array(*(F.lit(i / parts) for i in range(1, parts)))
+        cuts = df.agg(F.percentile_approx(column, shares, F.lit(1000)).alias("__cuts"))
+        below = F.size(F.filter("__cuts", lambda c: F.col(column) > c))
+        return beside(df, cuts).withColumn("__part", F.coalesce(below, F.lit(-1))).drop("__cuts")
+    return df.withColumn("__part", F.coalesce(F.substring(F.col(column).cast("string"), 1, 3), F.lit("")))
 
 
 def box_numbers(boxes: DataFrame, frame: str, order: list[str], name: str = "box_no", crowded: int = 100_000) -> DataFrame:
@@ -351,6 +351,16 @@ def dataset_card(stats: DataFrame, histogram: DataFrame, dropped: DataFrame, fac
     return wide.select(F.to_json(F.struct(*wide.columns)).alias("card"))
 
 
+def export_faults(boxes: DataFrame, n_classes: int) -> DataFrame:
+    """Boxes of a finished export that break its rules, with the first ``problem`` of each."""
+    cls = F.col("cls")
+    inside = F.lit(True)
+    for c in ("xc", "yc", "w", "h"):
+        inside = inside & F.col(c).between(0, 1)
+    problem = F.when(~cls.between(0, n_classes - 1), F.lit("class_range")).when(~inside, F.lit("coordinates"))
+    return boxes.withColumn("problem", problem).filter(F.col("problem").isNotNull())
+
+
 def export_manifest(picks: DataFrame, index: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Picked frames with where they came from, and counts per video.
 

@@ -31,11 +31,11 @@ def load_all() -> tuple[dict[str, Query], dict[str, str]]:
     from . import (  # noqa: F401
         audit_queries,
         box_queries,
-        #build_queries,
-        #event_queries,
+        build_queries,
+        event_queries,
         review_queries,
-        #score_queries,
-        #source_queries,
+        score_queries,
+        source_queries,
         track_queries,
     )
 

@@ -46,11 +46,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def beside(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Every row of ``df`` with the columns of a one-row table, as a scalar subquery."""
+    """Every row of ``df`` with the columns of a one-row table, as a scalar subquery.
+
+    The row is read twice per column, which keeps the optimizer from moving the
+    subquery into a higher-order function, where it is not allowed.
+    """
     names = one_row.columns
-    row = one_row.select(F.struct(*names)).scalar()
-    wide = df.withColumn("__row", row)
-    return wide.select(*df.columns, *[F.col(f"__row.{n}").alias(n) for n in names])
+    row = F.col("__row")
+    wide = df.withColumn("__row", one_row.select(F.struct(*names)).scalar())
+    return wide.select(*df.columns, *[F.when(row.isNotNull(), row[n]).alias(n) for n in names])
 
 
 def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

@@ -76,9 +76,14 @@ def image_files(spark: SparkSession, root: str) -> DataFrame:
         .load(root)
         .select("path", "length")
     )
+    return only_images(files)
+
+
+def only_images(files: DataFrame) -> DataFrame:
+    """Image files of a list with ``path``, with their ``dir`` and ``stem``; litter goes."""
     return files.filter(
         F.lower("path").rlike(r"\.(" + "|".join(IMAGE_SUFFIXES) + r")$") & ~is_litter(F.col("path"))
-    ).select("path", F.regexp_replace("path", "/[^/]*$", "").alias("dir"), stem_of(F.col("path")).alias("stem"), "length")
+    ).withColumns({"dir": F.regexp_replace("path", "/[^/]*$", ""), "stem": stem_of(F.col("path"))})
 
 
 def rank_annotation_dirs(annotation_dirs: DataFrame, images: DataFrame) -> DataFrame:
