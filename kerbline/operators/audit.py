@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import beside
-from .ordered import scan, tick_bucket, with_next
+from .ordered import scan, tick_bucket
+from .quantiles import quantiles
 
 
 def orphans(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -88,6 +89,7 @@ def boxes_per_frame(frames: DataFrame, boxes: DataFrame, key: str) -> DataFrame:
     n = F.col("n")
     return every.agg(
         F.avg("n").alias("mean"),
+        # Few distinct values: one per number of boxes a frame can hold.
         F.percentile("n", F.lit(0.5)).alias("median"),
         F.max("n").alias("most"),
         F.count_if(n == 0).alias("zero"),
@@ -103,21 +105,18 @@ PROBABILITIES = {"min": 0.0, "p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.7
 def quantile_profile(df: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
     """One row per column with its quantiles, interpolated linearly.
 
-    Exact by default: partial counts per distinct value are merged. For columns
-    with a great many distinct values ``approximate`` uses a sketch instead.
+    Exact by default; ``approximate`` takes the nearest values of a sketch instead.
     """
-    probs = F.array(*(F.lit(p) for p in PROBABILITIES.values()))
+    entries = F.array(
+        *(F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in columns)
+    )
+    long = df.select(F.explode(entries).alias("e")).select("e.measure", "e.value")
+    probs = list(PROBABILITIES.values())
     if approximate:
-        agg = [F.percentile_approx(c, probs).alias(c) for c in columns]
+        found = long.groupBy("measure").agg(F.percentile_approx("value", F.array(*map(F.lit, probs))).alias("q"))
     else:
-        agg = [F.percentile(F.col(c), probs).alias(c) for c in columns]
-    row = df.agg(*agg)
-    entry = F.explode(
-        F.array(*(F.struct(F.lit(c).alias("measure"), F.col(c).alias("q")) for c in columns))
-    ).alias("e")
-    return row.select(entry).select(
-        "e.measure", *[F.get(F.col("e.q"), F.lit(i)).alias(n) for i, n in enumerate(PROBABILITIES)]
-    )
+        found = quantiles(long, ["measure"], "value", probs)
+    return found.select("measure", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(PROBABILITIES)])
 
 
 def size_buckets(df: DataFrame, scaled: str = "side_scaled", native: str = "side_px") -> DataFrame:
@@ -140,16 +139,21 @@ def class_table(df: DataFrame, classes: DataFrame, key: str, cls: str = "cls") -
     Classes without a box show as zero, undeclared ones with name ``?``.
     Distinct frames are counted after one grouping by class and frame.
     """
-    side = F.col("side_px")
-    quantiles = F.percentile(side, F.array(F.lit(0.5), F.lit(0.05), F.lit(0.95)))
-    stats = df.groupBy(cls).agg(
-        F.count("*").alias("boxes"),
-        quantiles.alias("q"),
-        F.percentile("side_scaled", F.lit(0.5)).alias("median_scaled"),
+    frames = df.groupBy(cls, key).agg(F.count("*").alias("n")).groupBy(cls).agg(
+        F.sum("n").alias("boxes"), F.count("*").alias("frames")
+    )
+    total = df.agg(F.count("*").alias("total"))
+    sides = F.array(
+        F.struct(F.lit(0).alias("m"), F.col("side_px").alias("value")),
+        F.struct(F.lit(1).alias("m"), F.col("side_scaled").alias("value")),
+    )
+    long = df.select(cls, F.explode(sides).alias("e")).select(cls, "e.m", "e.value")
+    found = quantiles(long, [cls, "m"], "value", [0.5, 0.05, 0.95])
+    q = found.groupBy(cls).agg(
+        F.first(F.when(F.col("m") == 0, F.col("q")), ignorenulls=True).alias("q"),
+        F.first(F.when(F.col("m") == 1, F.get("q", F.lit(0))), ignorenulls=True).alias("median_scaled"),
     )
-    frames = df.groupBy(cls, key).agg(F.lit(1).alias("one")).groupBy(cls).agg(F.count("*").alias("frames"))
-    total = stats.agg(F.sum("boxes").alias("total"))
-    joined = beside(classes.join(stats.join(frames, cls), cls, "full_outer"), total)
+    joined = beside(classes.join(frames.join(q, cls), cls, "full_outer"), total)
     zero = F.lit(0).cast("bigint")
     return joined.select(
         cls,
@@ -205,11 +209,10 @@ def empty_near_labelled(
     frames: DataFrame, clip: str, frame: str, has_box: Column, reach: int = 450
 ) -> DataFrame:
     """Empty frames with the distance to the nearest labelled frame of the clip, and if within reach."""
-    at = F.when(has_box, F.col(frame))
+    at = F.when(F.col("__has"), F.col(frame))
     bucket = tick_bucket(frame)
     marked = frames.withColumn("__has", has_box)
-    back = scan(marked, [clip], [frame], bucket, {"__before": ("latest", at)})
-    both = with_next(back, [clip], frame, bucket, "__after", F.when(F.col("__has"), F.col(frame)))
+    both = scan(marked, [clip], [frame], bucket, {"__before": ("latest", at), "__after": ("following", at)})
     gap = F.least(F.col(frame) - F.col("__before"), F.col("__after") - F.col(frame))
     return both.filter(~F.col("__has")).select(
         *[c for c in frames.columns], gap.alias("gap"), F.coalesce(gap <= reach, F.lit(False)).alias("near")
@@ -221,9 +224,14 @@ def frame_gaps(frames: DataFrame, clip: str, frame: str) -> DataFrame:
     stepped = scan(
         frames.select(clip, frame), [clip], [frame], tick_bucket(frame), {"before": ("previous", F.col(frame))}
     )
-    gap = F.col(frame) - F.col("before")
-    return stepped.filter(F.col("before").isNotNull()).agg(
-        F.percentile(gap, F.lit(0.5)).alias("median"), F.min(gap).alias("least"), F.max(gap).alias("most")
+    gaps = stepped.filter(F.col("before").isNotNull()).select((F.col(frame) - F.col("before")).alias("gap"))
+    counts = gaps.groupBy("gap").agg(F.count("*").alias("n"))
+    q = quantiles(counts, [], "gap", [0.0, 0.5, 1.0], weight="n")
+    kind = gaps.schema["gap"].dataType
+    return q.select(
+        F.get("q", F.lit(1)).alias("median"),
+        F.get("q", F.lit(0)).cast(kind).alias("least"),
+        F.get("q", F.lit(2)).cast(kind).alias("most"),
     )
 
 

@@ -8,26 +8,18 @@ where an operator says so. Streams are cut into buckets of ticks (see
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.taxonomy import publishable
 from ..functions.text import gated_reading
+from ..session import checkpointed
 from .audit import widest_per_frame
-from .ordered import numbered, scan, tick_bucket
+from .ordered import scan, tick_bucket, with_halo
 
 BUCKET = 4096
 
 
-def _sessions(df: DataFrame, keys: list[str], tick: str, gap: int, bucket: int) -> DataFrame:
-    """Add ``__start``: true where more than ``gap`` ticks without a row lie before a row."""
-    stepped = scan(df, keys, [tick], tick_bucket(tick, bucket), {
-        "__prev": ("previous", F.col(tick)),
-        "__n": ("total", F.lit(1).cast("bigint")),
-    })
-    start = F.col("__prev").isNull() | (F.col(tick) - F.col("__prev") > gap + 1)
-    return stepped.withColumn("__start", start).drop("__prev")
-
-
 def confirm_events(
     df: DataFrame,
     stream: str,
@@ -40,14 +32,20 @@ def confirm_events(
     """``(stream, tick, name)`` where a class has been seen ``confirm`` times in its session.
 
     A class counts once a tick. It fires once, and again only after it has been
-    absent for more than ``gap`` ticks.
+    absent for more than ``gap`` ticks. A row is the ``confirm``-th of its session
+    when as many rows chain up behind it and no more, so a look back of
+    ``confirm`` gaps is enough.
     """
-    seen = df.select(stream, tick, name).distinct()
-    marked = _sessions(seen, [stream, name], tick, gap, bucket)
-    placed = scan(marked, [stream, name], [tick], tick_bucket(tick, bucket), {
-        "__from": ("highest", F.when(F.col("__start"), F.col("__n"))),
-    })
-    return placed.filter(F.col("__n") - F.col("__from") + 1 == confirm).select(stream, tick, name)
+    reach = confirm * (gap + 1)
+    seen = with_halo(df.select(stream, tick, name).distinct(), tick, bucket, reach)
+    w = W.partitionBy(stream, name, "__bucket").orderBy(tick)
+    chained = F.lit(True)
+    for back in range(1, confirm):
+        step = F.lag(tick, back - 1).over(w) - F.lag(tick, back).over(w)
+        chained = chained & F.coalesce(step <= gap + 1, F.lit(False))
+    opening = F.lag(tick, confirm - 1).over(w) - F.lag(tick, confirm).over(w)
+    fires = chained & F.coalesce(opening > gap + 1, F.lit(True))
+    return seen.withColumn("__fires", fires).filter("__own AND __fires").select(stream, tick, name)
 
 
 def vote(
@@ -62,16 +60,26 @@ def vote(
     """``(stream, tick, value)`` where the first value of a session reaches ``min_votes``.
 
     One reading a tick; a null one counts as none. A session ends after more than
-    ``gap`` ticks without a reading, and gives at most one value.
+    ``gap`` ticks without a reading, and gives at most one value. Of each value only
+    the first ``min_votes`` readings of a session and bucket are carried on.
     """
-    read = df.filter(F.col(value).isNotNull()).select(stream, tick, value)
-    marked = _sessions(read, [stream], tick, gap, bucket).drop("__n")
+    read = with_halo(
+        df.filter(F.col(value).isNotNull()).select(stream, tick, value), tick, bucket, gap + 1
+    )
+    near = F.lag(tick).over(W.partitionBy(stream, "__bucket").orderBy(tick))
+    start = near.isNull() | (F.col(tick) - near > gap + 1)
+    marked = read.withColumn("__start", start).filter("__own").drop("__own", "__bucket")
     placed = scan(marked, [stream], [tick], tick_bucket(tick, bucket), {
         "__session": ("highest", F.when(F.col("__start"), F.col(tick))),
-    }).drop("__start")
-    counted = numbered(placed, [stream, "__session", value], [tick], tick_bucket(tick, bucket), "__votes")
+    })
+    part = placed.withColumn("__bucket", tick_bucket(tick, bucket))
+    few = part.withColumn(
+        "__k", F.row_number().over(W.partitionBy(stream, "__bucket", "__session", value).orderBy(tick))
+    ).filter(F.col("__k") <= min_votes)
+    votes = F.row_number().over(W.partitionBy(stream, "__session", value).orderBy(tick))
     return (
-        counted.filter(F.col("__votes") == min_votes)
+        few.withColumn("__votes", votes)
+        .filter(F.col("__votes") == min_votes)
         .groupBy(stream, "__session")
         .agg(F.min(tick).alias(tick), F.min_by(value, tick).alias(value))
         .select(stream, tick, value)
@@ -100,19 +108,18 @@ def hysteresis(
         stream, tick, offset, drift.alias("__drift"), (F.lit(1.0) if confidence is None else confidence).alias("__conf")
     )
     cut = tick_bucket(tick, bucket)
-    runs = scan(src, [stream], [tick], cut, {
-        "__safe_at": ("highest", F.when(~F.col("__drift"), F.col(tick))),
-        "__drift_at": ("highest", F.when(F.col("__drift"), F.col(tick))),
-        "__from": ("highest", -F.col(tick)),
-    })
-    before = -F.col("__from") - 1
-    over = F.col(tick) - F.coalesce("__safe_at", before)
-    under = F.col(tick) - F.coalesce("__drift_at", before)
+    runs = with_halo(src, tick, bucket, max(up, down))
+    w = W.partitionBy(stream, "__bucket").orderBy(tick)
+
+    def run_of(test: Column, length: int) -> Column:
+        last = w.rowsBetween(-(length - 1), 0)
+        return (F.count("*").over(last) == length) & F.bool_and(test).over(last)
+
+    over = run_of(F.col("__drift"), up)
+    under = run_of(~F.col("__drift"), down)
     side = F.when(F.col(offset) < 0, F.lit("left")).otherwise(F.lit("right"))
-    turn = F.when(F.col("__drift") & (over >= up), side).when(
-        ~F.col("__drift") & (under >= down), F.lit("none")
-    )
-    state = scan(runs.withColumn("__turn", turn), [stream], [tick], cut, {
+    turned = runs.withColumn("__turn", F.when(over, side).when(under, F.lit("none"))).filter("__own")
+    state = scan(turned.drop("__own", "__bucket"), [stream], [tick], cut, {
         "__state": ("latest", F.col("__turn")),
     })
     direction = F.coalesce("__state", F.lit("none"))
@@ -147,18 +154,30 @@ def one_per_tick(
     first_free = free.select(
         stream, tick, (F.col("__free") - F.when(F.col("blocked"), F.lit(0)).otherwise(F.lit(1)) + 1).alias("__rank")
     )
-    queued = numbered(
-        events.select(stream, tick, name).join(first_free, [stream, tick]),
-        [stream], [tick, name], cut, "__i",
+    queued = events.select(stream, tick, name).join(first_free, [stream, tick]).withColumn("__bucket", cut)
+    keys = [stream, "__bucket"]
+    here = W.partitionBy(*keys).orderBy(tick, name)
+    rows = queued.withColumn("__j", F.row_number().over(here).cast("bigint")).withColumn(
+        "__m", F.max(F.col("__rank") - F.col("__j")).over(here.rowsBetween(W.unboundedPreceding, 0))
     )
-    placed = scan(queued, [stream], [tick, name], cut, {
-        "__lag": ("highest", F.col("__rank") - F.col("__i")),
-    })
+    # A bucket is known to later ones by its number of events and its largest lead.
+    before = W.partitionBy(stream).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
+    ends = (
+        rows.groupBy(*keys)
+        .agg(F.count("*").alias("__c"), F.max("__m").alias("__lead"))
+        .withColumn("__i0", F.coalesce(F.sum("__c").over(before), F.lit(0)))
+        .withColumn("__lead", F.col("__lead") - F.col("__i0"))
+        .withColumn("__carry", F.max("__lead").over(before))
+        .select(*keys, "__i0", "__carry")
+    )
+    i = F.col("__i0") + F.col("__j")
+    lead = F.greatest("__carry", F.col("__m") - F.col("__i0"))
+    placed = rows.join(ends, keys).withColumn("__slot", i + lead)
     slots = free.filter(~F.col("blocked")).select(
         stream, F.col(tick).alias("__out"), F.col("__free").alias("__slot")
     )
     return (
-        placed.withColumn("__slot", F.col("__i") + F.col("__lag"))
+        placed.select(stream, tick, name, "__slot")
         .join(slots, [stream, "__slot"])
         .select(stream, F.col("__out").alias(tick), name, F.col(tick).alias("since"))
     )
@@ -183,14 +202,15 @@ def sign_stage(
     holds the queue of confirmed signs.
     """
     shown = detections.filter(publishable(F.col("name")))
-    confirmed = confirm_events(shown, stream, tick, "name", confirm, gap, bucket)
+    # Confirmed signs and settled votes are few beside the ticks: kept once, used often.
+    confirmed = checkpointed(confirm_events(shown, stream, tick, "name", confirm, gap, bucket))
     nearest = widest_per_frame(shown.filter(F.col("name") == number_class), [stream, tick])
     readings = nearest.select(
         stream,
         tick,
         gated_reading(F.col("reading"), F.col("conf"), F.col("x2") - F.col("x1"))["value"].alias("value"),
     )
-    settled = vote(readings, stream, tick, "value", min_votes, gap, bucket)
+    settled = checkpointed(vote(readings, stream, tick, "value", min_votes, gap, bucket))
     marked = ticks.select(stream, tick).join(
         settled.select(stream, tick, F.lit(True).alias("blocked")), [stream, tick], "left"
     ).withColumn("blocked", F.coalesce("blocked", F.lit(False)))

@@ -35,9 +35,10 @@ def scan(
     """Add one running column per step, up to and including each row.
 
     A step is ``(kind, value)``; kinds are ``previous`` (value of the row before),
-    ``total`` (running sum), ``highest`` (running maximum) and ``latest`` (last
-    value that is not null). ``order`` must be a total order inside a key and
-    ``bucket`` must not decrease along it.
+    ``total`` (running sum), ``highest`` (running maximum), ``latest`` (last value
+    that is not null) and ``following`` (first such value at or after the row).
+    ``order`` must be a total order inside a key and ``bucket`` must not decrease
+    along it.
     """
     slot = "__bucket"
     src = df.withColumn(slot, bucket)
@@ -48,6 +49,8 @@ def scan(
     upto = here.rowsBetween(W.unboundedPreceding, W.currentRow)
     before = W.partitionBy(*keys).orderBy(slot)
     earlier = before.rowsBetween(W.unboundedPreceding, -1)
+    onward = here.rowsBetween(W.currentRow, W.unboundedFollowing)
+    later = before.rowsBetween(1, W.unboundedFollowing)
     position = F.struct(*order)
 
     local, summary, carried, joined = {}, [], {}, {}
@@ -76,6 +79,11 @@ def scan(
             )
             carried[carry] = F.last(end, ignorenulls=True).over(earlier)
             joined[name] = F.coalesce(F.col(mine), F.col(carry))
+        elif kind == "following":
+            local[mine] = F.first(value, ignorenulls=True).over(onward)
+            summary.append(F.min_by(value, F.when(value.isNotNull(), position)).alias(end))
+            carried[carry] = F.first(end, ignorenulls=True).over(later)
+            joined[name] = F.coalesce(F.col(mine), F.col(carry))
         else:
             raise ValueError(f"unknown step {kind!r}")
 
@@ -93,25 +101,16 @@ def numbered(
     return scan(df, keys, order, bucket, {name: ("total", F.lit(1).cast("bigint"))})
 
 
-def with_next(
-    df: DataFrame, keys: list[str], order: str, bucket: Column, name: str, value: Column
-) -> DataFrame:
-    """The first value that is not null at or after each row, in two levels."""
-    slot = "__bucket"
-    src = df.withColumn(slot, bucket).withColumn("__v", value)
-    local_keys = [*keys, slot]
-    here = W.partitionBy(*local_keys).orderBy(order).rowsBetween(0, W.unboundedFollowing)
-    later = W.partitionBy(*keys).orderBy(slot).rowsBetween(1, W.unboundedFollowing)
-    rows = src.withColumn("__l", F.first("__v", ignorenulls=True).over(here))
-    ends = (
-        src.groupBy(*local_keys)
-        .agg(F.min_by(F.col("__v"), F.when(F.col("__v").isNotNull(), F.col(order))).alias("__s"))
-        .withColumn("__c", F.first("__s", ignorenulls=True).over(later))
-        .select(*local_keys, "__c")
-    )
-    return rows.join(ends, local_keys).select(
-        *[F.col(c) for c in df.columns], F.coalesce("__l", "__c").alias(name)
-    )
+def with_halo(df: DataFrame, tick: str, size: int, reach: int, name: str = "__bucket") -> DataFrame:
+    """Rows in buckets of ``size`` ticks, the last ``reach`` ticks of each also in the next.
+
+    What looks back at most ``reach`` ticks can then be computed inside a bucket.
+    ``__own`` is false for the rows that only lend their past.
+    """
+    at = F.col(tick)
+    own = F.floor(at / size)
+    reached = F.sequence(own, F.floor((at + reach) / size))
+    return df.withColumn(name, F.explode(reached)).withColumn("__own", F.col(name) == own)
 
 
 def fold_states(

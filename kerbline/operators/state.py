@@ -99,9 +99,8 @@ def probes(messages: DataFrame, stream: str, ts: str, every: float) -> DataFrame
     a, b = F.unix_micros("a"), F.unix_micros("b")
     low = F.greatest(F.ceil(begin / period), F.ceil(a / period))
     high = F.least(F.ceil((begin + 86_400_000_000) / period) - 1, F.floor(b / period))
-    return days.filter(low <= high).select(
-        stream, F.timestamp_micros(F.explode(F.sequence(low, high)) * period).alias(ts)
-    )
+    steps = days.filter(low <= high).select(stream, F.explode(F.sequence(low, high)).alias("k"))
+    return steps.select(stream, F.timestamp_micros(F.col("k") * period).alias(ts))
 
 
 def _age(ts: str, at: str) -> Column:

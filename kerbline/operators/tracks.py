@@ -12,6 +12,7 @@ from ..functions.boxes import box, centre
 from ..session import checkpointed
 from .components import with_component
 from .overlap import overlapping
+from .quantiles import quantiles
 
 BOX = ["x1", "y1", "x2", "y2"]
 BUCKET = 16
@@ -137,10 +138,16 @@ def class_flips_by_size(dets: DataFrame, tops: DataFrame, edges: tuple[float, ..
     for i, edge in reversed(list(enumerate(edges))):
         band = F.when(F.col("size") < edge, F.lit(i)).otherwise(band)
     joined = dets.join(tops.select("clip", "track", F.col("peak.cls").alias("peak_cls")), ["clip", "track"])
-    return joined.groupBy(band.alias("band")).agg(
-        F.count("*").alias("n"),
-        F.avg((F.col("cls") != F.col("peak_cls")).cast("double")).alias("share_other_class"),
-        F.percentile("conf", F.lit(0.5)).alias("median_conf"),
+    banded = joined.withColumn("band", band)
+    middle = quantiles(banded, ["band"], "conf", [0.5])
+    return (
+        banded.groupBy("band")
+        .agg(
+            F.count("*").alias("n"),
+            F.avg((F.col("cls") != F.col("peak_cls")).cast("double")).alias("share_other_class"),
+        )
+        .join(middle, "band")
+        .select("band", "n", "share_other_class", F.get("q", F.lit(0)).alias("median_conf"))
     )
 
 

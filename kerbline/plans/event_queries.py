@@ -114,10 +114,10 @@ def shed_frames(spark, folder):
 @query("smoothed_rate", "ticks", """
 WITH RECURSIVE s(stream_id, tick, value, smooth) AS (SELECT stream_id, tick, value, 0.1::DOUBLE * value FROM ticks WHERE tick = 1
  UNION ALL SELECT t.stream_id, t.tick, t.value, 0.9::DOUBLE * s.smooth + 0.1::DOUBLE * t.value FROM s JOIN ticks t ON t.stream_id = s.stream_id AND t.tick = s.tick + 1)
-SELECT stream_id, tick, round(smooth, 4) AS smooth FROM s""")
+SELECT stream_id, tick, round(smooth + 1e-7, 4) AS smooth FROM s""")
 def smoothed_rate(spark, folder):
     s = E.smoothed(V.ticks(spark, folder).select("stream_id", "tick", "value"), "stream_id", "tick", "value", bucket=16)
-    return s.select("stream_id", "tick", F.round("smooth", 4).alias("smooth"))
+    return s.select("stream_id", "tick", F.round(F.col("smooth") + 1e-7, 4).alias("smooth"))
 
 
 # Events of a user are hours apart, so staleness is given in hours here.
@@ -154,10 +154,10 @@ def last_known_state(spark, folder):
     return _state(spark, folder).select("stream_id", "msg_id", *[F.col(f"last_{c}").alias(c) for c in fields])
 
 
-@query("field_ages", "", f"""WITH {MSG} SELECT stream_id, msg_id, round(epoch(ts) - epoch(speed_at), 3) AS speed_age, round(epoch(ts) - epoch(sign_at), 3) AS sign_age, round(epoch(ts) - epoch(adas_at), 3) AS adas_age FROM f""")
+@query("field_ages", "", f"""WITH {MSG} SELECT stream_id, msg_id, epoch_us(ts) - epoch_us(speed_at) AS speed_age, epoch_us(ts) - epoch_us(sign_at) AS sign_age, epoch_us(ts) - epoch_us(adas_at) AS adas_age FROM f""")
 def field_ages(spark, folder):
     def age(at):
-        return F.round((F.unix_micros("ts") - F.unix_micros(at)) / 1e6, 3)
+        return F.unix_micros("ts") - F.unix_micros(at)
 
     return _state(spark, folder).select(
         "stream_id", "msg_id", age("speed_at").alias("speed_age"), age("sign_at").alias("sign_age"), age("adas_at").alias("adas_age")
