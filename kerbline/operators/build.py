@@ -39,7 +39,7 @@ def numbered_globally(df: DataFrame, order: list[str], name: str, parts: int = 6
 def _in_ranges(df: DataFrame, column: str, parts: int) -> DataFrame:
     kind = df.schema[column].dataType.typeName()
     if kind in ("integer", "long", "short", "byte", "double", "float"):
-        shares = F.array(*(F.lit(i / parts) for i in range(1, parts)))
+        shares = F.expr("array(" + ", ".join(f"{i / parts}D" for i in range(1, parts)) + ")")
         cuts = df.agg(F.percentile_approx(column, shares, F.lit(1000)).alias("__cuts"))
         below = F.size(F.filter("__cuts", lambda c: F.col(column) > c))
         return beside(df, cuts).withColumn("__part", F.coalesce(below, F.lit(-1))).drop("__cuts")

@@ -38,7 +38,7 @@ def _masks(radius: int) -> Column:
         for size in range(radius + 1)
         for bits in combinations(range(WIDTH), size)
     ]
-    return F.array(*(F.lit(word).cast("bigint") for word in words))
+    return F.expr("array(" + ", ".join(f"{word}L" for word in words) + ")")
 
 
 def _lowest_bits(word: Column, count: Column, most: int) -> Column:

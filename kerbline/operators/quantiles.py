@@ -27,7 +27,7 @@ def quantiles(
     src = src.filter(F.col(column).isNotNull()).withColumn("__v", F.col(column).cast("double"))
     n = F.count("*") if weight is None else F.sum(weight)
     counted = src.groupBy(*keys, "__v").agg(n.alias("__n"))
-    shares = F.array(*(F.lit(i / RANGES) for i in range(1, RANGES)))
+    shares = F.expr("array(" + ", ".join(f"{i / RANGES}D" for i in range(1, RANGES)) + ")")
     # One row of at most 256 cuts per group.
     cuts = src.groupBy(*keys).agg(
         F.array_distinct(F.percentile_approx("__v", shares, F.lit(2000))).alias("__cuts")
