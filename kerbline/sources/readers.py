@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import values
+
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "ppm")
 BOX_ARRAY = "array<struct<frame:int,xyxy:array<double>,cls:int,conf:double,size:double>>"
 TRACKS = (
@@ -68,6 +73,31 @@ def read_gt(spark: SparkSession, path: str, strict: bool = True) -> tuple[DataFr
     return boxes, bad
 
 
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """``(path, length)`` of all files under a folder, empty ones too (file scans skip those).
+
+    The folders right under the root are walked by tasks of their own.
+    """
+
+    def walk(recursive: bool):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            from pyarrow import fs
+
+            for batch in batches:
+                for folder in batch["path"]:
+                    system, inside = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+                    found = system.get_file_info(fs.FileSelector(inside, recursive=recursive))
+                    rows = [(i.path, i.type == fs.FileType.Directory, i.size or 0) for i in found]
+                    yield pd.DataFrame(rows, columns=["path", "is_dir", "length"])
+
+        return run
+
+    schema = "path string, is_dir boolean, length bigint"
+    top = values(spark, [(root,)], "path string").mapInPandas(walk(False), schema)
+    deep = top.filter("is_dir").select("path").repartition("path").mapInPandas(walk(True), schema)
+    return top.unionByName(deep).filter("NOT is_dir").select("path", "length")
+
+
 def image_files(spark: SparkSession, root: str) -> DataFrame:
     """``(path, dir, stem, length)`` of the images under a folder; contents are not read."""
     files = (
@@ -121,8 +151,8 @@ def read_labels_of(spark: SparkSession, images: DataFrame, label_path: str) -> t
     ``has_file`` in frames tells a background frame (an empty file) from a missing file.
     """
     files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt")
-        .load(label_path).select(stem_of(F.col("path")).alias("stem")).distinct().withColumn("has_file", F.lit(True))
+        list_files(spark, label_path).filter(F.lower("path").endswith(".txt"))
+        .select(stem_of(F.col("path")).alias("stem")).distinct().withColumn("has_file", F.lit(True))
     )
     lines = spark.read.option("recursiveFileLookup", "true").text(label_path, pathGlobFilter="*.txt").select(
         "value", stem_of(F.col("_metadata.file_path")).alias("stem")
