@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import label_line
 from ..functions.taxonomy import DISPOSITIONS, fold_thin
-from ..session import beside
+from ..session import beside, checkpointed
 
 BLOCKING = tuple(d for d in DISPOSITIONS if d != "not_a_sign")
 
@@ -120,16 +120,18 @@ def merge_sessions(
         .join(modal, "source")
         .select("source", F.lit(None).cast("bigint").alias("image_id"), "name", "m.width", "m.height")
     )
+    # Numbering reads its input more than once, so what was joined is kept first.
     every = numbered_globally(
-        listed.select("source", "image_id", "name", "width", "height").unionByName(extra),
+        checkpointed(listed.select("source", "image_id", "name", "width", "height").unionByName(extra)),
         ["source", "name"],
         "new_image_id",
     )
+    every = checkpointed(every)
     fresh = annotations.join(
         every.filter(F.col("image_id").isNotNull()).select("source", "image_id", "new_image_id"),
         ["source", "image_id"],
     )
-    fresh = numbered_globally(fresh, ["source", "annotation_id"], "new_annotation_id")
+    fresh = numbered_globally(checkpointed(fresh), ["source", "annotation_id"], "new_annotation_id")
     notes = (
         skipped.select("source", "name", F.lit("came from an earlier source").alias("note"))
         .unionByName(
@@ -258,8 +260,8 @@ def propagate(
     folded = fold_thin(named, dimension, min_signs).select("crop_id", "folded")
     sides = stratified_split(folded, "crop_id", "folded", val_fraction, seed)
     drawn = members.join(sides, "crop_id")
-    kept = change_sample(drawn, ["crop_id"], "frame", "size", step)
-    judged = kept.join(poison, ["clip", "frame"], "left")
+    kept = change_sample(checkpointed(drawn), ["crop_id"], "frame", "size", step)
+    judged = checkpointed(kept.join(poison, ["clip", "frame"], "left"))
     clash = (
         split_conflicts(judged.filter(F.col("reason").isNull()), ["clip", "frame"])
         .withColumn("clash", F.lit("split_conflict"))

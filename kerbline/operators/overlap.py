@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.boxes import Box, iou
-from ..session import beside
+from ..session import beside, checkpointed
 
 CORNERS = ["x1", "y1", "x2", "y2"]
 
@@ -123,7 +123,7 @@ def copies(df: DataFrame, group: list[str], extra: list[str] | None = None) -> D
 
 def overlap_counts(df: DataFrame, group: list[str], heavy: float = 0.4, duplicate: float = 0.9) -> DataFrame:
     """One row: pairs in a frame with IoU above ``duplicate`` and above ``heavy`` only."""
-    distinct = copies(df, group)
+    distinct = checkpointed(copies(df, group))
     ordered = F.struct(*(F.col(f"l_{c}") for c in CORNERS)) < F.struct(
         *(F.col(f"r_{c}") for c in CORNERS)
     )

@@ -8,7 +8,7 @@ from ..functions import taxonomy as X
 from ..operators import build as U
 from ..operators import splits as S
 from ..operators import tracks as T
-from ..session import values
+from ..session import beside, checkpointed, values
 from . import views as V
 from .registry import query
 
@@ -249,7 +249,7 @@ def _named_boxes(spark, folder):
         F.when(k % 41 == 0, F.lit("dont_know")).when(k % 43 == 0, F.lit("composite")).when(k % 47 == 0, F.lit("mystery"))
         .when(k % 5 == 0, F.lit("not_a_sign")).when(F.col("cls") == 0, F.lit("stop")).otherwise(F.lit("u_turn"))
     )
-    return numbered.withColumn("label", label)
+    return checkpointed(numbered.withColumn("label", label))  # the table a review leaves behind
 
 
 _NAMED = """nb AS (SELECT *, CASE WHEN k % 41 = 0 THEN 'dont_know' WHEN k % 43 = 0 THEN 'composite' WHEN k % 47 = 0 THEN 'mystery' WHEN k % 5 = 0 THEN 'not_a_sign' WHEN cls = 0 THEN 'stop' ELSE 'u_turn' END AS label
@@ -350,8 +350,6 @@ def carried_boxes(spark, folder):
     f = V.frames(spark, folder)
     taken, boxes, skipped = U.carry_boxes(f, f.filter("frame_key % 4 <> 0"), V.detections(spark, folder), "frame_key")
     n = boxes.agg(F.count("*").alias("n_boxes"))
-    from ..session import beside
-
     return beside(taken.agg(F.lit("taken").alias("what"), F.count("*").alias("n_frames")), n).unionByName(
         skipped.agg(F.lit("skipped").alias("what"), F.count("*").alias("n_frames"), F.lit(0).cast("bigint").alias("n_boxes"))
     )
@@ -369,7 +367,8 @@ def folded_classes(spark, folder):
 
 
 def _propagation(spark, folder):
-    one = T.one_per_frame(V.track_detections(spark, folder), ["clip", "track"])
+    # A tracker's output is a stored table; here it is kept once for the same reason.
+    one = checkpointed(T.one_per_frame(V.track_detections(spark, folder), ["clip", "track"]))
     crop = F.concat_ws("_t", F.col("clip").cast("string"), F.col("track").cast("string"))
     members = one.select(crop.alias("crop_id"), "clip", "track", "frame", "x1", "y1", "x2", "y2", "size")
     k = F.col("clip") * 5 + F.col("track")

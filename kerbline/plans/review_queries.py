@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import taxonomy as X
 from ..operators import review as R
 from ..operators.build import box_numbers
+from ..session import checkpointed
 from . import views as V
 from .registry import query
 
@@ -15,12 +16,14 @@ BOX = ["x1", "y1", "x2", "y2"]
 
 def _proposed(spark, folder):
     det = V.detections(spark, folder).select("frame_key", *BOX, "cls", "conf")
-    return box_numbers(det, "frame_key", [*BOX, "cls", "conf"]).withColumn("label", F.col("cls").cast("string"))
+    numbered = box_numbers(det, "frame_key", [*BOX, "cls", "conf"])
+    # Proposals and reviews are stored tables in this loop, so they are kept once.
+    return checkpointed(numbered.withColumn("label", F.col("cls").cast("string")))
 
 
-def _reviewed(spark, folder):
+def _reviewed(proposed):
     """What a human made of the proposals: some deleted, renamed or moved, some drawn anew."""
-    b = _proposed(spark, folder).withColumn("k", F.col("frame_key") * 7 + F.col("box_no") * 3)
+    b = proposed.withColumn("k", F.col("frame_key") * 7 + F.col("box_no") * 3)
     kept = b.filter("k % 10 <> 0").withColumns({
         "label": F.when(F.col("k") % 10 == 1, F.lit("9")).otherwise(F.col("label")),
         "x1": F.col("x1") + F.col("k") % 5, "x2": F.col("x2") + F.col("k") % 5,
@@ -48,8 +51,9 @@ matched AS (SELECT frame_key, l AS reviewed_no, pick.r AS proposed_no, pick.iou
 
 @query("greedy_match", "det", f"WITH RECURSIVE {_MATCH} SELECT frame_key, reviewed_no, proposed_no, round(iou, 6) AS iou FROM matched")
 def greedy_match(spark, folder):
-    left = _reviewed(spark, folder).withColumnRenamed("box_no", "reviewed_no")
-    right = _proposed(spark, folder).withColumnRenamed("box_no", "proposed_no")
+    proposed = _proposed(spark, folder)
+    left = _reviewed(proposed).withColumnRenamed("box_no", "reviewed_no")
+    right = proposed.withColumnRenamed("box_no", "proposed_no")
     pairs = R.greedy_match(left, right, ["frame_key"], "reviewed_no", "proposed_no", 0.5)
     return pairs.withColumn("iou", F.round("iou", 6))
 
@@ -61,21 +65,22 @@ o AS (SELECT CASE WHEN m.proposed_no IS NULL THEN 'added' WHEN p.label = r.label
 SELECT outcome, count(*) AS n FROM o GROUP BY 1""")
 def review_cost(spark, folder):
     seen = V.frames(spark, folder).filter("frame_key % 50 <> 0").select("frame_key")
-    return R.review_cost(R.review_outcomes(_reviewed(spark, folder), _proposed(spark, folder), seen, "frame_key"))
+    proposed = _proposed(spark, folder)
+    return R.review_cost(R.review_outcomes(_reviewed(proposed), proposed, seen, "frame_key"))
 
 
 @query("reviewed_track_labels")
 def reviewed_track_labels(spark, folder):
     from ..operators import tracks as T
 
-    one = T.one_per_frame(V.track_detections(spark, folder), ["clip", "track"])
+    one = checkpointed(T.one_per_frame(V.track_detections(spark, folder), ["clip", "track"]))
     tops = T.peaks(one)
     frame = (F.col("clip") * 25 + F.col("frame")).alias("frame_key")
     peaks = tops.select(
         "clip", F.col("track").alias("order"), F.col("peak.frame").alias("frame"), *[F.col(f"peak.{c}").alias(c) for c in BOX]
     ).select(frame, "order", *BOX, F.concat_ws("_t", F.col("clip").cast("string"), F.col("order").cast("string")).alias("crop_id"))
     context = R.context_boxes(one, tops).select(frame, F.col("track").alias("order"), *BOX)
-    boxes = _reviewed(spark, folder).join(peaks.select("frame_key").distinct(), "frame_key", "left_semi")
+    boxes = _reviewed(_proposed(spark, folder)).join(peaks.select("frame_key").distinct(), "frame_key", "left_semi")
     named, added = R.import_tracks(peaks, context, boxes, "frame_key")
     return named.groupBy("label").agg(F.count("*").alias("n")).unionByName(
         added.agg(F.lit("(added)").alias("label"), F.count("*").alias("n"))

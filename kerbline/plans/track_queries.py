@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import build as U
 from ..operators import review as R
 from ..operators import tracks as T
+from ..session import checkpointed
 from . import views as V
 from .registry import query
 
@@ -17,6 +18,11 @@ def _one(spark, folder):
     return T.one_per_frame(V.track_detections(spark, folder), ["clip", "track"])
 
 
+def _stored(spark, folder):
+    """The same, kept as the stored table that a tracker leaves."""
+    return checkpointed(_one(spark, folder))
+
+
 @query("one_per_frame", "tone", "SELECT clip, track, frame, x1, y1, x2, y2, size FROM tone")
 def one_per_frame(spark, folder):
     return _one(spark, folder).select("clip", "track", "frame", *BOX, "size")
@@ -34,7 +40,7 @@ h AS (SELECT a.clip, least(a.track, b.track) AS a, greatest(a.track, b.track) AS
    AND sqrt(power(a.q.x - b.p.x, 2) + power(a.q.y - b.p.y, 2)) < greatest(a.q.s, b.p.s))
 SELECT * FROM s UNION SELECT * FROM h""")
 def same_sign_pairs(spark, folder):
-    return T.same_sign_pairs(T.one_per_frame(V.track_pieces(spark, folder), ["clip", "track"]))
+    return T.same_sign_pairs(checkpointed(T.one_per_frame(V.track_pieces(spark, folder), ["clip", "track"])))
 
 
 @query("merged_tracks")
@@ -61,7 +67,7 @@ WITH p AS (SELECT clip, track, arg_max(cls, size) AS pc FROM (SELECT *, row_numb
 SELECT CASE WHEN size < 30 THEN 0 WHEN size < 60 THEN 1 WHEN size < 100 THEN 2 ELSE 3 END AS band, count(*) AS n,
  round(avg(CASE WHEN cls <> pc THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS share_other_class, round(quantile_cont(conf, 0.5), 6) AS median_conf FROM tone JOIN p USING (clip, track) GROUP BY 1""")
 def class_flips_by_size(spark, folder):
-    one = _one(spark, folder)
+    one = _stored(spark, folder)
     return T.class_flips_by_size(one, T.peaks(one)).select(
         "band", "n", F.round("share_other_class", 6).alias("share_other_class"), F.round("median_conf", 6).alias("median_conf")
     )
@@ -74,7 +80,7 @@ s(clip, track, rn, last, kept) AS (SELECT clip, track, rn, size, true FROM r WHE
  FROM s JOIN r ON r.clip = s.clip AND r.track = s.track AND r.rn = s.rn + 1)
 SELECT r.clip, r.track, r.frame, r.size FROM s JOIN r USING (clip, track, rn) WHERE kept""")
 def change_sample(spark, folder):
-    return T.change_sample(_one(spark, folder), ["clip", "track"], "frame", "size").select("clip", "track", "frame", "size")
+    return T.change_sample(_stored(spark, folder), ["clip", "track"], "frame", "size").select("clip", "track", "frame", "size")
 
 
 @query("interval_sample", "", """
@@ -114,7 +120,7 @@ _PEAKS = """p AS (SELECT clip, track, frame AS pf, size AS ps FROM (SELECT *, ro
 WITH {_PEAKS} SELECT t.clip, t.track, t.frame, t.size, (p.track IS NOT NULL) AS is_peak FROM tone t LEFT JOIN p ON p.clip = t.clip AND p.track = t.track AND p.pf = t.frame
 WHERE (t.clip, t.frame) IN (SELECT (clip, pf) FROM p)""")
 def boxes_on_peak_frames(spark, folder):
-    one = _one(spark, folder)
+    one = _stored(spark, folder)
     return R.boxes_on_peak_frames(one, T.peaks(one)).select("clip", "track", "frame", "size", "is_peak")
 
 
@@ -122,7 +128,7 @@ def boxes_on_peak_frames(spark, folder):
 WITH {_PEAKS} SELECT t.clip, t.track, t.frame FROM tone t WHERE (t.clip, t.frame) IN (SELECT (clip, pf) FROM p)
  AND (t.clip, t.track, t.frame) NOT IN (SELECT (clip, track, pf) FROM p)""")
 def context_boxes(spark, folder):
-    one = _one(spark, folder)
+    one = _stored(spark, folder)
     return R.context_boxes(one, T.peaks(one)).select("clip", "track", "frame")
 
 

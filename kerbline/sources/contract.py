@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import values
+
 # The closed message schema.
 NUMBERS = {
     "speed": (0, None), "odo": (0, None), "trip": (0, None), "oil_temp": (None, None),
@@ -22,8 +24,6 @@ MODULES = ("lane", "fcw", "signs")
 MODULE_STATES = ("on", "paused", "off")
 # End of fixed values.
 
-KEYS = (*NUMBERS, *BOOLEANS, *TEXTS, *ENUMS, "module_status", "feature_enable")
-
 MESSAGE = T.StructType(
     [T.StructField(k, T.DoubleType()) for k in NUMBERS]
     + [T.StructField(k, T.BooleanType()) for k in BOOLEANS]
@@ -37,8 +37,7 @@ MESSAGE = T.StructType(
 
 def is_object(json: Column) -> Column:
     """True for a readable JSON object; anything else is dropped by every reader."""
-    parsed = F.from_json(json, "map<string,string>", {"mode": "PERMISSIVE"})
-    return F.coalesce(json.rlike(r"^\s*\{") & parsed.isNotNull() & F.json_object_keys(json).isNotNull(), F.lit(False))
+    return F.json_object_keys(json).isNotNull()
 
 
 def parse_messages(df: DataFrame, json: str) -> DataFrame:
@@ -55,47 +54,58 @@ def flat_fields(message: str) -> list[Column]:
     return [*plain, *modules, sent, *enable]
 
 
+def _rules(spark: SparkSession) -> DataFrame:
+    """One row per key: its kind, range and allowed values. Nested keys have a dotted path."""
+    rows = [(k, "number", low, high, None) for k, (low, high) in NUMBERS.items()]
+    rows += [(k, "boolean", None, None, None) for k in BOOLEANS]
+    rows += [(k, "text", None, None, None) for k in TEXTS]
+    rows += [(k, "text", None, None, "|".join(allowed)) for k, allowed in ENUMS.items()]
+    rows += [(k, "object", None, None, None) for k in ("module_status", "feature_enable")]
+    rows += [(f"module_status.{m}", "text", None, None, "|".join(MODULE_STATES)) for m in MODULES]
+    rows += [(f"feature_enable.{m}", "boolean", None, None, None) for m in MODULES]
+    return values(spark, rows, "path string, kind string, low double, high double, allowed string")
+
+
 def violations(df: DataFrame, json: str, keep: list[str]) -> DataFrame:
-    """``(keep..., fault, key)`` rows: malformed, unknown_key, wrong_type, out_of_range, bad_value."""
-    body = F.from_json(json, "map<string,string>")
-    base = df.withColumn("__ok", is_object(F.col(json))).withColumn("__b", body).withColumn(
-        "__m", F.from_json(json, MESSAGE)
-    )
+    """``(keep..., fault, key)`` rows: malformed, unknown_key, wrong_type, out_of_range, bad_value.
 
-    def when(test: Column, fault: str, key: str) -> Column:
-        return F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(fault).alias("fault"), F.lit(key).alias("key")))
-
-    raw = lambda key: F.element_at("__b", key)
-    tests = []
-    for key, (low, high) in NUMBERS.items():
-        number = F.expr(f"try_cast(element_at(__b, '{key}') AS DOUBLE)")
-        tests.append(when(raw(key).isNotNull() & number.isNull(), "wrong_type", key))
-        beyond = F.lit(False)
-        if low is not None:
-            beyond = beyond | (number < low)
-        if high is not None:
-            beyond = beyond | (number > high)
-        tests.append(when(beyond, "out_of_range", key))
-    tests += [when(raw(k).isNotNull() & ~raw(k).isin("true", "false"), "wrong_type", k) for k in BOOLEANS]
-    tests += [when(~raw(k).isin(*allowed), "bad_value", k) for k, allowed in ENUMS.items()]
-    inner = F.from_json(raw("module_status"), "map<string,string>")
-    tests.append(
-        when(
-            F.exists(F.map_values(inner), lambda v: ~v.isin(*MODULE_STATES)), "bad_value", "module_status"
-        )
-    )
-    for key in ("module_status", "feature_enable"):
-        names = F.json_object_keys(raw(key))
-        tests.append(when(raw(key).isNotNull() & names.isNull(), "wrong_type", key))
-        tests.append(
-            when(F.size(F.array_except(names, F.array(*map(F.lit, MODULES)))) > 0, "unknown_key", key)
-        )
-    unknown = F.transform(
-        F.array_except(F.json_object_keys(F.col(json)), F.array(*map(F.lit, KEYS))),
-        lambda k: F.struct(F.lit("unknown_key").alias("fault"), k.alias("key")),
+    Each message is parsed once into key and value rows, which meet the rules by
+    key. Faults of a nested key are told under its outer key.
+    """
+    text = "map<string,string>"
+    read = df.select(*keep, is_object(F.col(json)).alias("__ok"), F.from_json(json, text).alias("__b"))
+    # A message that cannot be read goes on as one entry under a path of its own.
+    broken = F.create_map(F.lit(""), F.lit("malformed"))
+    outer = read.select(*keep, F.explode(F.when(F.col("__ok"), F.col("__b")).otherwise(broken)).alias("key", "value"))
+    nested = F.when(F.col("key").isin("module_status", "feature_enable"), F.from_json("value", text))
+    entries = outer.select(
+        *keep, "key",
+        F.explode(
+            F.concat(
+                F.array(F.struct(F.col("key").alias("path"), "value")),
+                F.coalesce(
+                    F.transform(
+                        F.map_entries(nested),
+                        lambda e: F.struct(F.concat("key", F.lit("."), e["key"]).alias("path"), e["value"].alias("value")),
+                    ),
+                    F.array().cast("array<struct<path:string,value:string>>"),
+                ),
+            )
+        ).alias("e"),
+    ).select(*keep, "key", "e.path", "e.value")
+    ruled = entries.join(F.broadcast(_rules(df.sparkSession)), "path", "left")
+    number = F.expr("try_cast(value AS DOUBLE)")
+    wrong = (
+        ((F.col("kind") == "number") & number.isNull())
+        | ((F.col("kind") == "boolean") & ~F.col("value").isin("true", "false"))
+        | ((F.col("kind") == "object") & F.json_object_keys("value").isNull())
     )
-    malformed = F.array(F.struct(F.lit("malformed").alias("fault"), F.lit("").alias("key")))
-    found = F.when(~F.col("__ok"), malformed).otherwise(
-        F.concat(F.coalesce(unknown, F.array().cast("array<struct<fault:string,key:string>>")), F.array_compact(F.array(*tests)))
+    fault = (
+        F.when(F.col("path") == "", F.lit("malformed"))
+        .when(F.col("kind").isNull(), F.lit("unknown_key"))
+        .when(F.col("value").isNull(), F.lit(None))
+        .when(wrong, F.lit("wrong_type"))
+        .when((number < F.col("low")) | (number > F.col("high")), F.lit("out_of_range"))
+        .when(~F.array_contains(F.split("allowed", r"\|"), F.col("value")), F.lit("bad_value"))
     )
-    return base.select(*keep, F.explode(found).alias("v")).select(*keep, "v.fault", "v.key")
+    return ruled.select(*keep, fault.alias("fault"), "key").filter(F.col("fault").isNotNull())
