@@ -16,17 +16,19 @@ BLOCKING = tuple(d for d in DISPOSITIONS if d != "not_a_sign")
 # ---- numbering --------------------------------------------------------------------
 
 
-def numbered_globally(df: DataFrame, order: list[str], name: str, parts: int = 64) -> DataFrame:
+def numbered_globally(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """Row number from 1 over the whole table, in a total order, without one big window.
 
-    Rows are cut into ranges of the first order column at its approximate
-    quantiles, or, for text, by its first letters; the ranges are counted and rows
-    are numbered inside their range.
+    Rows are cut into ranges of the whole order, so equal leading values do not
+    crowd one task; the ranges are counted and rows are numbered inside theirs.
+    The ranges come from a sample, so they are kept once, and both steps read them.
     """
-    marked = _in_ranges(df, order[0], parts)
-    counts = marked.groupBy("__part").agg(F.count("*").alias("__n"))
-    # One row per range: at most a few thousand, whatever the table holds.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
+    marked = checkpointed(ranged)
+    # One row per range, as many as there are shuffle partitions.
     prior = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    counts = marked.groupBy("__part").agg(F.count("*").alias("__n"))
     starts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(prior), F.lit(0))).drop("__n")
     inside = W.partitionBy("__part").orderBy(*order)
     return (
@@ -36,17 +38,7 @@ def numbered_globally(df: DataFrame, order: list[str], name: str, parts: int = 6
     )
 
 
-def _in_ranges(df: DataFrame, column: str, parts: int) -> DataFrame:
-    kind = df.schema[column].dataType.typeName()
-    if kind in ("integer", "long", "short", "byte", "double", "float"):
-        shares = F.expr("array(" + ", ".join(f"{i / parts}D" for i in range(1, parts)) + ")")
-        cuts = df.agg(F.percentile_approx(column, shares, F.lit(1000)).alias("__cuts"))
-        below = F.size(F.filter("__cuts", lambda c: F.col(column) > c))
-        return beside(df, cuts).withColumn("__part", F.coalesce(below, F.lit(-1))).drop("__cuts")
-    return df.withColumn("__part", F.coalesce(F.substring(F.col(column).cast("string"), 1, 3), F.lit("")))
-
-
-def box_numbers(boxes: DataFrame, frame: str, order: list[str], name: str = "box_no", crowded: int = 100_000) -> DataFrame:
+def box_numbers(boxes: DataFrame, frame: str, order: list[str], name: str = "box_no") -> DataFrame:
     """Index from 0 of each box in its frame, in the order of the box columns.
 
     Boxes are first cut into bands of the first order column, so a frame with very
@@ -54,7 +46,7 @@ def box_numbers(boxes: DataFrame, frame: str, order: list[str], name: str = "box
     """
     from .ordered import scan
 
-    band = F.floor(F.col(order[0]) / 64)
+    band = F.floor(F.col(order[0]) / 8)
     numbered = scan(boxes, [frame], order, band, {"__n": ("total", F.lit(1).cast("bigint"))})
     return numbered.withColumn(name, F.col("__n") - 1).drop("__n")
 
@@ -90,8 +82,7 @@ def spaced_pick(df: DataFrame, group: list[str], order: list[str], bucket: Colum
         wanted = (last == 0) | (
             (nearest <= n - 1) & (F.floor(nearest * last / (n - 1)) == place)
         )
-    keys = F.broadcast(size) if not group else size
-    return ranked.join(keys, group).filter(wanted | (F.col("__size") <= n)).select(df.columns)
+    return ranked.join(size, group).filter(wanted | (F.col("__size") <= n)).select(df.columns)
 
 
 # ---- sources to one dataset ---------------------------------------------------------
@@ -120,18 +111,16 @@ def merge_sessions(
         .join(modal, "source")
         .select("source", F.lit(None).cast("bigint").alias("image_id"), "name", "m.width", "m.height")
     )
-    # Numbering reads its input more than once, so what was joined is kept first.
     every = numbered_globally(
-        checkpointed(listed.select("source", "image_id", "name", "width", "height").unionByName(extra)),
+        listed.select("source", "image_id", "name", "width", "height").unionByName(extra),
         ["source", "name"],
         "new_image_id",
     )
-    every = checkpointed(every)
     fresh = annotations.join(
         every.filter(F.col("image_id").isNotNull()).select("source", "image_id", "new_image_id"),
         ["source", "image_id"],
     )
-    fresh = numbered_globally(checkpointed(fresh), ["source", "annotation_id"], "new_annotation_id")
+    fresh = numbered_globally(fresh, ["source", "annotation_id"], "new_annotation_id")
     notes = (
         skipped.select("source", "name", F.lit("came from an earlier source").alias("note"))
         .unionByName(

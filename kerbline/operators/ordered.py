@@ -21,8 +21,9 @@ def tick_bucket(tick: str = "tick", size: int = TICKS_PER_BUCKET) -> Column:
     return F.floor(F.col(tick) / size)
 
 
-def day_bucket(ts: str = "ts") -> Column:
-    return F.to_date(F.col(ts))
+def time_bucket(ts: str = "ts", seconds: int = 3600) -> Column:
+    """Bucket of a timestamp. Choose ``seconds`` so that a stream has a few thousand rows in one."""
+    return F.floor(F.unix_micros(F.col(ts)) / (seconds * 1_000_000))
 
 
 def scan(

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import beside
+
 RANGES = 256
 
 
@@ -22,9 +24,8 @@ def quantiles(
 
     With ``weight``, rows are values with a count and each value comes once a group.
     """
-    keys = group or ["__all"]
-    src = df if group else df.withColumn("__all", F.lit(1))
-    src = src.filter(F.col(column).isNotNull()).withColumn("__v", F.col(column).cast("double"))
+    keys = group
+    src = df.filter(F.col(column).isNotNull()).withColumn("__v", F.col(column).cast("double"))
     n = F.count("*") if weight is None else F.sum(weight)
     counted = src.groupBy(*keys, "__v").agg(n.alias("__n"))
     shares = F.expr("array(" + ", ".join(f"{i / RANGES}D" for i in range(1, RANGES)) + ")")
@@ -32,7 +33,7 @@ def quantiles(
     cuts = src.groupBy(*keys).agg(
         F.array_distinct(F.percentile_approx("__v", shares, F.lit(2000))).alias("__cuts")
     )
-    ranged = counted.join(cuts, keys).withColumn(
+    ranged = (counted.join(cuts, keys) if keys else beside(counted, cuts)).withColumn(
         "__range", F.size(F.filter("__cuts", lambda c: F.col("__v") > c))
     ).drop("__cuts")
     sizes = ranged.groupBy(*keys, "__range").agg(F.sum("__n").alias("__size"))
@@ -59,7 +60,6 @@ def quantiles(
     high = F.max(F.when(F.col("__at") == F.ceil("__rank"), F.col("__v")))
     share = F.first("__rank") - F.floor(F.first("__rank"))
     each = value.groupBy(*keys, "i").agg((low + (high - low) * share).alias("q"))
-    done = each.groupBy(*keys).agg(
+    return each.groupBy(*keys).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("i", "q"))), lambda x: x["q"]).alias("q")
     )
-    return done if group else done.drop("__all")

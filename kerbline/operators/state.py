@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import day_bucket, fold_states, scan
+from .ordered import fold_states, scan, time_bucket
 
 SPEED_STALE = 3.0
 ADAS_STALE = 3.0
@@ -61,7 +61,7 @@ def fold_state(
     for f in _present(messages, ADAS_FIELDS):
         alive = alive | F.col(f).isNotNull()
     steps["adas_at"] = ("latest", F.when(alive, seconds))
-    return scan(messages, [stream], order, day_bucket(ts) if bucket is None else bucket, steps)
+    return scan(messages, [stream], order, time_bucket(ts) if bucket is None else bucket, steps)
 
 
 def feature_gates(
@@ -77,7 +77,7 @@ def feature_gates(
         control.withColumn("__kind", F.lit(0)), allowMissingColumns=True
     )
     full = [ts, "__kind", *[o for o in order if o != ts]]
-    done = scan(rows, [stream], full, day_bucket(ts), {
+    done = scan(rows, [stream], full, time_bucket(ts), {
         f"{f}_on": ("latest", F.col(f)) for f in features
     })
     return done.filter(F.col("__kind") == 1).select(
@@ -174,7 +174,9 @@ def acknowledged(
     """What is shown when presses hide alerts: ``(stream, order, active, press, hidden, reason, level)``.
 
     A press hides the caution or info shown at that moment until it clears;
-    warnings and system alerts stay. ``press`` is a boolean column of the rows.
+    warnings and system alerts stay. ``press`` is a boolean column of the rows. The
+    rows of a stream and bucket are folded together: a minute is a good bucket for
+    messages at 100 a second.
     """
     def step(hidden: Column, row: Column) -> Column:
         still = F.when(F.array_contains(row["active"], hidden), hidden).otherwise(F.lit(""))

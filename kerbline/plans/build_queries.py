@@ -316,7 +316,7 @@ def review_task(spark, folder):
     from ..operators.review import label_or_fallback
 
     n = V.normalised(spark, folder).withColumns({
-        "crop_id": box_crop_id(F.col("frame_key"), F.monotonically_increasing_id()), "coarse": F.lit("Warning"),
+        "crop_id": box_crop_id(F.col("frame_key"), F.monotonically_increasing_id()), "coarse": F.element_at(F.array(*map(F.lit, X.COARSE)), F.col("cls") + 1),
     })
     boxes = n.select("frame_key", "crop_id", "coarse", "track_no", "xc", "yc", "w", "h")
     # The prediction is a rule of the box, so proposals need no stored ids to join on.

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import events as E
 from ..operators import state as S
-from ..operators.ordered import day_bucket
+from ..operators.ordered import time_bucket
 from ..sources.contract import parse_messages
 from . import views as V
 from .registry import query
@@ -145,7 +145,7 @@ def _messages(spark, folder):
 
 
 def _state(spark, folder):
-    return S.fold_state(_messages(spark, folder), "stream_id", "ts", ORDER)
+    return S.fold_state(_messages(spark, folder), "stream_id", "ts", ORDER, time_bucket("ts", 86_400))
 
 
 @query("last_known_state", "", f"WITH {MSG} SELECT stream_id, msg_id, sp AS speed, li AS speed_limit, sg AS sign_seen, ms AS module_signs, lw AS lane_warning, ld AS lane_direction FROM f")
@@ -241,7 +241,7 @@ h(stream_id, rn, msg_id, hidden, shown) AS (
 SELECT stream_id, msg_id, hidden, shown AS reason FROM h WHERE rn > 0""")
 def acknowledged_alerts(spark, folder):
     a = S.alerts(_state(spark, folder), "ts", **SPANS).withColumn("press", F.col("msg_id") % 4 == 0)
-    done = S.acknowledged(a.select("stream_id", "ts", "msg_id", "active", "press"), "stream_id", ORDER, day_bucket("ts"))
+    done = S.acknowledged(a.select("stream_id", "ts", "msg_id", "active", "press"), "stream_id", ORDER, time_bucket("ts", 86_400))
     return done.select("stream_id", "msg_id", "hidden", "reason")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import difference_hash
-from ..operators.ordered import day_bucket, numbered
+from ..operators.ordered import numbered, time_bucket
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -88,7 +88,7 @@ def track_pieces(spark: SparkSession, folder: str) -> DataFrame:
 def ticks(spark: SparkSession, folder: str) -> DataFrame:
     """Every event is a tick of its user's stream, numbered in time."""
     events = timed_events(spark, folder).select("user_id", "ts", "event_id", "event_type", "value")
-    placed = numbered(events, ["user_id"], ["ts", "event_id"], day_bucket("ts"), "tick")
+    placed = numbered(events, ["user_id"], ["ts", "event_id"], time_bucket("ts", 86_400), "tick")
     return placed.select(
         F.col("user_id").alias("stream_id"), "ts", "event_id", "tick", F.col("event_type").alias("name"), "value",
         F.when(F.col("event_type") != "error", (F.col("value") - 50) / 50).alias("off"),
