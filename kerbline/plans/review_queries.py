@@ -32,15 +32,16 @@ def _reviewed(proposed):
     return kept.unionByName(drawn).select("frame_key", "box_no", *BOX, "label").filter("frame_key % 50 <> 0")
 
 
-_MATCH = """
+_REVIEW = """
 prop AS (SELECT frame_key, row_number() OVER (PARTITION BY frame_key ORDER BY x1, y1, x2, y2, cls, conf) - 1 AS box_no, x1, y1, x2, y2, CAST(cls AS VARCHAR) AS label FROM det),
 k AS (SELECT *, frame_key * 7 + box_no * 3 AS k FROM prop),
 rev AS (SELECT frame_key, box_no, x1 + k % 5 AS x1, y1, x2 + k % 5 AS x2, y2, CASE WHEN k % 10 = 1 THEN '9' ELSE label END AS label FROM k WHERE k % 10 <> 0 AND frame_key % 50 <> 0
-  UNION ALL SELECT frame_key, box_no + 1000, x1 + 70, y1, x2 + 70, y2, label FROM k WHERE k % 23 = 0 AND frame_key % 50 <> 0),
+  UNION ALL SELECT frame_key, box_no + 1000, x1 + 70, y1, x2 + 70, y2, label FROM k WHERE k % 23 = 0 AND frame_key % 50 <> 0)"""
+_MATCH = f"""{_REVIEW},
 ov AS (SELECT a.frame_key, a.box_no AS l, b.box_no AS r,
   greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS i,
   (a.x2 - a.x1) * (a.y2 - a.y1) AS sa, (b.x2 - b.x1) * (b.y2 - b.y1) AS sb FROM rev a JOIN prop b USING (frame_key)),
-cand AS (SELECT frame_key, l, list({'r': r, 'iou': i / (sa + sb - i)} ORDER BY i / (sa + sb - i) DESC, r) AS c FROM ov WHERE i / (sa + sb - i) >= 0.5::DOUBLE GROUP BY 1, 2),
+cand AS (SELECT frame_key, l, list({{'r': r, 'iou': i / (sa + sb - i)}} ORDER BY i / (sa + sb - i) DESC, r) AS c FROM ov WHERE i / (sa + sb - i) >= 0.5::DOUBLE GROUP BY 1, 2),
 seqd AS (SELECT *, row_number() OVER (PARTITION BY frame_key ORDER BY l) AS n FROM cand),
 go(frame_key, n, used, l, pick) AS (
   SELECT frame_key, n, [c[1].r], l, c[1] FROM seqd WHERE n = 1
@@ -69,7 +70,28 @@ def review_cost(spark, folder):
     return R.review_cost(R.review_outcomes(_reviewed(proposed), proposed, seen, "frame_key"))
 
 
-@query("reviewed_track_labels")
+_TRACK_MATCH = f"""{_REVIEW},
+pk AS (SELECT clip, track, frame, x1, y1, x2, y2 FROM (SELECT *, row_number() OVER (PARTITION BY clip, track ORDER BY size DESC, frame, x1, y1, x2, y2) AS rn,
+  count(*) OVER (PARTITION BY clip, track) AS n FROM tone) WHERE rn = 1 AND n >= 3),
+ask AS (SELECT clip * 25 + frame AS frame_key, 0 AS turn, track AS ord, x1, y1, x2, y2 FROM pk
+  UNION ALL SELECT clip * 25 + frame, 1, track, x1, y1, x2, y2 FROM tone WHERE (clip, frame) IN (SELECT (clip, frame) FROM pk) AND (clip, track, frame) NOT IN (SELECT (clip, track, frame) FROM pk)),
+bx AS (SELECT * FROM rev WHERE frame_key IN (SELECT clip * 25 + frame FROM pk)),
+ov AS (SELECT a.frame_key, a.turn, a.ord, b.box_no AS r,
+  greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS i,
+  (a.x2 - a.x1) * (a.y2 - a.y1) AS sa, (b.x2 - b.x1) * (b.y2 - b.y1) AS sb FROM ask a JOIN bx b USING (frame_key)),
+cand AS (SELECT frame_key, turn, ord, list(r ORDER BY i / (sa + sb - i) DESC, r) AS c FROM ov WHERE i / (sa + sb - i) >= 0.3::DOUBLE GROUP BY 1, 2, 3),
+seqd AS (SELECT *, row_number() OVER (PARTITION BY frame_key ORDER BY turn, ord) AS n FROM cand),
+go(frame_key, n, used, turn, ord, pick) AS (
+  SELECT frame_key, n, [c[1]], turn, ord, c[1] FROM seqd WHERE n = 1
+  UNION ALL SELECT s.frame_key, s.n, list_append(g.used, [x FOR x IN s.c IF NOT list_contains(g.used, x)][1]), s.turn, s.ord, [x FOR x IN s.c IF NOT list_contains(g.used, x)][1]
+  FROM go g JOIN seqd s ON s.frame_key = g.frame_key AND s.n = g.n + 1),
+m AS (SELECT * FROM go WHERE pick IS NOT NULL)"""
+
+
+@query("reviewed_track_labels", "det tone", f"""WITH RECURSIVE {_TRACK_MATCH}
+SELECT label, count(*) AS n FROM (SELECT coalesce(b.label, 'not_a_sign') AS label FROM pk
+  LEFT JOIN m ON m.frame_key = pk.clip * 25 + pk.frame AND m.turn = 0 AND m.ord = pk.track LEFT JOIN bx b ON b.frame_key = m.frame_key AND b.box_no = m.pick) GROUP BY 1
+UNION ALL SELECT '(added)', count(*) FROM bx WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.frame_key = bx.frame_key AND m.pick = bx.box_no)""")
 def reviewed_track_labels(spark, folder):
     from ..operators import tracks as T
 
