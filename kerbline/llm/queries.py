@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import suffix_dedup, tree_dedup
 
@@ -16,11 +17,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(table(spark, folder, "documents"), length=200).drop("kept")
+    rows = suffix_dedup.remove_repeats(table(spark, folder, "documents"), length=200)
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return tree_dedup.remove_passages(table(spark, folder, "documents"), length=50).drop("kept")
+    rows = tree_dedup.remove_passages(table(spark, folder, "documents"), length=50)
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 QUERIES: dict[str, Query] = {

@@ -177,7 +177,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 64, memory: i
     """Remove every byte covered by a string of ``length`` bytes that also starts anywhere else.
 
     Strings are judged on the input, all occurrences go, and they never cross documents.
-    Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and kept (binary), one row
+    Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (binary: what is left), one row
     for each input row. Null and empty texts have no bytes; a row repeated in full is two occurrences.
     """
     kind = Kind("byte", length, min(gram, length), 256)
@@ -194,11 +194,9 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 64, memory: i
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         for batch in unpacked(batches):
             texts = texts_of(batch.column("text"))
-            out: dict[str, list] = {"n_removed": [], "n_spans": [], "kept_sha256": [], "kept": []}
+            out: dict[str, list] = {"n_removed": [], "n_spans": [], "kept": []}
             for i, spans in enumerate(batch.column("spans")):
                 body = texts.data[texts.starts[i] : texts.starts[i + 1]]
                 removed = spanned = 0
@@ -211,11 +209,10 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 64, memory: i
                     edge[to] -= 1
                     body = body[np.cumsum(edge[:-1]) == 0]
                     removed, spanned = int((to - at).sum()), len(at)
-                kept = body.tobytes()
-                for name, value in zip(out, (removed, spanned, hashlib.sha256(kept).hexdigest(), kept), strict=True):
+                for name, value in zip(out, (removed, spanned, body.tobytes()), strict=True):
                     out[name].append(value)
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_bytes": np.diff(texts.starts), **out})
 
     return packed.join(spans, "rid", "left").select("doc_id", "text", "spans").mapInArrow(
-        cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+        cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
     )

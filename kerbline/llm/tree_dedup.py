@@ -139,7 +139,7 @@ def remove_passages(docs: DataFrame, length: int = 50, gram: int = 10, memory: i
     """Remove every word covered by ``length`` consecutive words that also start in a document of smaller doc_id.
 
     Words are ``[^\\x20\\x09-\\x0D]+``, compared unchanged; windows are judged on the input. Returns doc_id, n_words,
-    n_removed, kept_sha256 and kept (the kept words joined by one space), one row for each input row. Null and
+    n_removed and kept (the kept words joined by one space), one row for each input row. Null and
     empty texts have no words. A null doc_id is smaller than any; rows of one doc_id do not remove each other's words.
     """
     kind = Kind("word", length, min(gram, length), 128)
@@ -157,12 +157,10 @@ def remove_passages(docs: DataFrame, length: int = 50, gram: int = 10, memory: i
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         for batch in unpacked(batches):
             texts = texts_of(batch.column("text"))
             start, end, first = words_of(texts)
-            out: dict[str, list] = {"n_removed": [], "kept_sha256": [], "kept": []}
+            out: dict[str, list] = {"n_removed": [], "kept": []}
             for i, spans in enumerate(batch.column("spans")):
                 begins, ends = start[first[i] : first[i + 1]], end[first[i] : first[i + 1]]
                 removed = 0
@@ -178,10 +176,10 @@ def remove_passages(docs: DataFrame, length: int = 50, gram: int = 10, memory: i
                     begins, ends = begins[keep], ends[keep]
                 base = texts.starts[i]
                 kept = kept_words(texts.data[base : texts.starts[i + 1]], begins - base, ends - base)
-                for name, value in zip(out, (removed, hashlib.sha256(kept).hexdigest(), kept.decode()), strict=True):
+                for name, value in zip(out, (removed, kept.decode()), strict=True):
                     out[name].append(value)
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_words": np.diff(first), **out})
 
     return packed.join(spans, "rid", "left").select("doc_id", "text", "spans").mapInArrow(
-        cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
+        cut, "doc_id long, n_words long, n_removed long, kept string"
     )
