@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import suffix_dedup, tree_dedup
+from . import bin_slack, bpe_automaton, near_dedup, suffix_dedup, tree_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,9 +26,35 @@ def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def tokenizer(name: str) -> str:
+    """Where the given tokenizer files lie."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    rows = bpe_automaton.encode_and_decode(table(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"))
+    ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return rows.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return bin_slack.pack(table(spark, folder, "documents"), tokenizer("word_bpe_49k.json"), capacity=4096)
+
+
+def minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, folder, "documents"), words=5, percent=85)
+
+
 QUERIES: dict[str, Query] = {
     "op2_suffix_array_dedup": suffix_array_dedup,
     "op4_substring_dedup": substring_dedup,
+    "op5_bpe_round_trip": bpe_round_trip,
+    "op6_best_fit_packing": best_fit_packing,
+    "op10_minhash_near_dedup": minhash_near_dedup,
 }
 
 #: The words of each text with their numbers, for the SQL of the word operators.
