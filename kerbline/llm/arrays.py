@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 
 def worker_store() -> dict:
@@ -77,7 +77,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     store = worker_store()
     have = store.get("powers")
     if have is None or len(have[1]) < n:
-        size = max(n, PIECE_BYTES + (1 << 20))
+        size = max(n, PIECE_BYTES + (1 << 18))
         base = 0x9E3779B97F4A7C15
         ahead = np.full(size, base, U64)
         back = np.full(size, pow(base, -1, 1 << 64), U64)

@@ -173,7 +173,7 @@ def _mark(kind: Kind, most: int):
     return work
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 64, memory: int = 8 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 64, memory: int = 2 << 20) -> DataFrame:
     """Remove every byte covered by a string of ``length`` bytes that also starts anywhere else.
 
     Strings are judged on the input, all occurrences go, and they never cross documents.
