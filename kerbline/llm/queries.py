@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bin_slack, bpe_automaton, near_dedup, suffix_dedup, tree_dedup
+from . import bin_slack, bpe_automaton, near_dedup, rules, suffix_dedup, toxicity, tree_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,11 +49,22 @@ def minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, folder, "documents"), words=5, percent=85)
 
 
+def toxic_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    rows = rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES: dict[str, Query] = {
     "op2_suffix_array_dedup": suffix_array_dedup,
     "op4_substring_dedup": substring_dedup,
     "op5_bpe_round_trip": bpe_round_trip,
     "op6_best_fit_packing": best_fit_packing,
+    "op7_toxicity": toxic_scores,
+    "op8_quality_rules": quality_rules,
     "op10_minhash_near_dedup": minhash_near_dedup,
 }
 
