@@ -135,7 +135,7 @@ def kept_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> bytes:
     return body[:-1].tobytes()
 
 
-def remove_passages(docs: DataFrame, length: int = 50, gram: int = 10, memory: int = 8 << 20) -> DataFrame:
+def remove_passages(docs: DataFrame, length: int = 50, gram: int = 10, memory: int = 4 << 20) -> DataFrame:
     """Remove every word covered by ``length`` consecutive words that also start in a document of smaller doc_id.
 
     Words are ``[^\\x20\\x09-\\x0D]+``, compared unchanged; windows are judged on the input. Returns doc_id, n_words,
