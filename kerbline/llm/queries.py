@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bin_slack, bpe_automaton, near_dedup, rules, suffix_dedup, toxicity, tree_dedup
+from . import bin_slack, bpe_automaton, kneser_ney, near_dedup, rules, suffix_dedup, toxicity, tree_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,7 +58,12 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return kneser_ney.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_quality_classifier": quality_classifier,
     "op2_suffix_array_dedup": suffix_array_dedup,
     "op4_substring_dedup": substring_dedup,
     "op5_bpe_round_trip": bpe_round_trip,
