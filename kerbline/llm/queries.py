@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bin_slack, bpe_automaton, kneser_ney, near_dedup, rules, suffix_dedup, toxicity, tree_dedup
+from . import bin_slack, bpe_automaton, histogram_sort, kneser_ney, near_dedup, rules, suffix_dedup, syncmers, toxicity, tree_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,14 +62,25 @@ def quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return kneser_ney.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return histogram_sort.shard(table(spark, folder, "documents"), shards=8)
+
+
+def document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    rows = syncmers.fingerprints(table(spark, folder, "documents"))
+    return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_classifier": quality_classifier,
     "op2_suffix_array_dedup": suffix_array_dedup,
+    "op3_sharding": sharding,
     "op4_substring_dedup": substring_dedup,
     "op5_bpe_round_trip": bpe_round_trip,
     "op6_best_fit_packing": best_fit_packing,
     "op7_toxicity": toxic_scores,
     "op8_quality_rules": quality_rules,
+    "op9_document_fingerprints": document_fingerprints,
     "op10_minhash_near_dedup": minhash_near_dedup,
 }
 
