@@ -18,7 +18,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
@@ -196,8 +196,13 @@ def block_texts(table: pa.Table) -> tuple[pa.Table, list[str], np.ndarray]:
     return docs, texts, np.where(trusted, np.where(fold, 2, 1), 0)
 
 
+def rid() -> Column:
+    """What a document's verdict follows from, as one number."""
+    return F.xxhash64("doc_id", "lang", "text").alias("rid")
+
+
 def scores(docs: DataFrame, labels: DataFrame, block_bytes: int = 32 << 20) -> DataFrame:
-    """doc_id, lang, n_chars, perplexity (of a character; null for a text without any) and trusted (0, 1 or 2)."""
+    """rid, doc_id, lang, n_chars, perplexity (of a character; null for a text without any) and trusted (0, 1 or 2)."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))
     shards, salts = max(16, 2 * blocks), math.ceil(blocks / 256)
@@ -208,11 +213,12 @@ def scores(docs: DataFrame, labels: DataFrame, block_bytes: int = 32 << 20) -> D
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             texts = [squeeze(x.as_buffer()) if x.is_valid else None for x in batch.column("text").cast(pa.large_binary())]
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "lang": batch.column("lang"), "text": pa.array(texts, pa.binary())})
+            columns = {c: batch.column(c) for c in ("rid", "doc_id", "lang")}
+            yield pa.record_batch({**columns, "text": pa.array(texts, pa.binary())})
 
-    packed = docs.select("doc_id", "lang", "text").mapInArrow(squeezed, "doc_id long, lang string, text binary").withColumn("label", F.lit(False))
+    packed = docs.select(rid(), "doc_id", "lang", "text").mapInArrow(squeezed, "rid long, doc_id long, lang string, text binary").withColumn("label", F.lit(False))
     good = labels.select("doc_id", "quality").dropna().groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1")
-    flags = good.select("doc_id", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("binary").alias("text"), F.lit(True).alias("label"))
+    flags = good.select(F.lit(None).cast("long").alias("rid"), "doc_id", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("binary").alias("text"), F.lit(True).alias("label"))
     where = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block")
     rows = packed.unionByName(flags).select("*", where)
 
@@ -272,6 +278,7 @@ def scores(docs: DataFrame, labels: DataFrame, block_bytes: int = 32 << 20) -> D
         perplexity = np.exp(-total / np.maximum(n, 1))
         return pa.table(
             {
+                "rid": docs.column("rid"),
                 "doc_id": docs.column("doc_id"),
                 "lang": docs.column("lang"),
                 "n_chars": n,
@@ -281,12 +288,12 @@ def scores(docs: DataFrame, labels: DataFrame, block_bytes: int = 32 << 20) -> D
         )
 
     return rows.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(
-        add, "doc_id long, lang string, n_chars long, perplexity double, trusted int"
+        add, "rid long, doc_id long, lang string, n_chars long, perplexity double, trusted int"
     )
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, margin: float = 0.1) -> DataFrame:
-    """doc_id, lang, n_chars, perplexity, threshold and kept, one row for each input row.
+    """rid, doc_id, lang, n_chars, perplexity, threshold and kept, one row for each input row.
 
     Nine in ten trusted documents (quality 1) train the model; by the others the thresholds are set: of each language
     the ``quantile`` of their perplexities and ``margin`` more. A language without such documents has the threshold of
@@ -303,5 +310,11 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, margin
         scored.withColumn("language", F.coalesce("lang", F.lit("")))
         .join(by_language, "language", "left")
         .withColumn("threshold", F.coalesce("own", rest))
-        .select("doc_id", "lang", "n_chars", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("kept"))
+        .select("rid", "doc_id", "lang", "n_chars", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("kept"))
     )
+
+
+def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that ``classify`` keeps, with all their columns."""
+    kept = classify(docs, labels).filter("kept").select(F.col("rid").alias("__rid")).distinct()
+    return docs.withColumn("__rid", rid()).join(kept, "__rid", "left_semi").drop("__rid")

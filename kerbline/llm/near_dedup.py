@@ -125,13 +125,8 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, bands: int = 24, rows: int = 4, slack: float = 0.25) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept, one row for each input row.
-
-    A-Z count as lower case; words are ``[^\\x20\\x09-\\x0D]+``. A document's set are its different runs of ``words``
-    words, or all its words as one run where they are fewer. Documents with 100 * intersection >= percent * union are
-    linked; component_id is the smallest doc_id a document reaches, kept says whether that is its own. Null and empty
-    texts have no set and no link. A null doc_id takes no part in the choice of the smallest.
+def linked(docs: DataFrame, words: int, percent: int, bands: int = 24, rows: int = 4, slack: float = 0.25) -> tuple[DataFrame, DataFrame]:
+    """The sketches of all documents, and for each class the first row (doc_id and rid) of its group.
 
     A pair at the limit misses every band with probability (1 - 0.85**rows)**bands, 2e-8 by default; ``slack`` is how
     far below the limit an estimate may lie and still be confirmed on the full sets (six standard deviations).
@@ -141,13 +136,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, bands: i
     classes = checkpointed(
         rows_.filter("n_shingles > 0")
         .groupBy("cls")
-        .agg(F.min("doc_id").alias("first_doc"), F.min("rid").alias("rid"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    )
-    members = classes.select(F.explode("bands").alias("band"), F.col("cls"))
-    crowds = members.groupBy("band").agg(
-        F.count("*").alias("size"), F.min("cls").alias("one"), F.max_by("cls", F.xxhash64("cls")).alias("other")
-    ).filter("size > 1")
-    met = checkpointed(members.join(crowds.select("band", "one", "other"), "band"))
+        .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("least"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    ).withColumns({"first_doc": F.col("least.doc_id"), "rid": F.col("least.rid")})
+    every = classes.select(F.explode("bands").alias("band"), F.col("cls"))
+    met = every.groupBy("band").count().filter("count > 1").select("band")
+    carriers = classes.join(every.join(met, "band").select("cls").distinct(), "cls").select("rid", "cls")
     facts = classes.select("cls", "n", "sig")
 
     def plausible(pairs: DataFrame) -> DataFrame:
@@ -169,10 +162,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, bands: i
             lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(sets.view(np.int64)))
             yield pa.record_batch({"cls": batch.column("cls"), "items": lists})
 
-    carriers = classes.join(met.select("cls").distinct(), "cls", "left_semi").select("rid", "cls")
     sets = checkpointed(
         pack(docs).join(carriers, "rid").select("cls", "text").dropDuplicates(["cls"]).mapInArrow(items, "cls long, items array<long>")
     )
+    crowds = every.groupBy("band").agg(
+        F.count("*").alias("size"), F.min("cls").alias("one"), F.max_by("cls", F.xxhash64("cls")).alias("other")
+    ).filter("size > 1")
+    met = checkpointed(every.join(crowds.select("band", "one", "other"), "band"))
     stars = met.select(F.explode(F.array("one", "other")).alias("w"), "cls").filter("w != cls")
     ordered = stars.select(F.least("w", "cls").alias("u"), F.greatest("w", "cls").alias("v"))
     edges = checkpointed(similar_pairs(plausible(ordered), sets, percent))
@@ -185,12 +181,30 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, bands: i
     across = left.join(right, "band").filter("u < v AND part_u != part_v").select("u", "v")
     more = similar_pairs(plausible(across), sets, percent)
     whole = components(checkpointed(edges.unionByName(more))).withColumnsRenamed({"node": "cls", "component": "part"})
-    named = classes.join(whole, "cls", "left").select("cls", "first_doc", F.coalesce("part", "cls").alias("part"))
-    lowest = named.groupBy("part").agg(F.min("first_doc").alias("component_id"))
-    ids = named.join(lowest, "part").select("cls", "component_id")
-    return rows_.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("cls")).alias("cls")).join(ids, "cls", "left").select(
-        "doc_id",
-        "n_shingles",
-        F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"),
-    )
+    named = classes.join(whole, "cls", "left").select("cls", "least", F.coalesce("part", "cls").alias("part"))
+    lowest = named.groupBy("part").agg(F.min("least").alias("least"))
+    return rows_, named.join(lowest.withColumnRenamed("least", "first"), "part").select("cls", "first")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept, one row for each input row.
+
+    A-Z count as lower case; words are ``[^\\x20\\x09-\\x0D]+``. A document's set are its different runs of ``words``
+    words, or all its words as one run where they are fewer. Documents with 100 * intersection >= percent * union are
+    linked; component_id is the smallest doc_id a document reaches, kept says whether that is its own. Null and empty
+    texts have no set and no link. A null doc_id is smallest only where there is no other.
+    """
+    rows, groups = linked(docs, words, percent)
+    named = rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("cls")).alias("cls")).join(groups, "cls", "left")
+    component = F.coalesce("first.doc_id", "doc_id")
+    return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 85) -> DataFrame:
+    """One document of each group, that of the smallest doc_id, with all its columns; texts without words all stay."""
+    rows, groups = linked(docs, words, percent)
+    stay = groups.select(F.col("first.rid").alias("__rid")).distinct()
+    some = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    marked = docs.withColumn("__rid", F.xxhash64("doc_id", "text"))
+    chosen = marked.filter(some).join(stay, "__rid", "left_semi").dropDuplicates(["__rid"])
+    return chosen.unionByName(marked.filter(~some)).drop("__rid")

@@ -59,7 +59,7 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
-    return kneser_ney.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return kneser_ney.classify(table(spark, folder, "documents"), table(spark, folder, "labels")).drop("rid")
 
 
 def sharding(spark: SparkSession, folder: str) -> DataFrame:

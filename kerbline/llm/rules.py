@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import checkpointed
 from .arrays import Rolling, Texts, pieces, rows_of, texts_of, words_of
@@ -100,7 +101,7 @@ def statistics(docs: DataFrame) -> DataFrame:
             yield pa.record_batch({"doc_id": batch.column("doc_id"), **{c: counts[c].astype(np.int64) for c in COUNTS}})
 
     rows = docs.select("doc_id", "text").mapInArrow(work, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
-    return rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    return rows.withColumn("base_failed", base_failed())
 
 
 #: What conditions are about: shares of the counts, each a pair of counts.
@@ -116,9 +117,15 @@ SHARES = {
 }
 
 
-def share(name: str) -> Column:
+def share(name: str, at: str = "") -> Column:
+    """A share as a column; ``at`` is what the names of the counts begin with."""
     top, below = SHARES[name]
-    return F.col(top) / F.greatest(F.col(below), F.lit(1))
+    return F.col(at + top) / F.greatest(F.col(at + below), F.lit(1))
+
+
+def base_failed(at: str = "") -> Column:
+    """Fewer than fifty words, or more than half of them in repeated windows."""
+    return (F.col(at + "n_words") < 50) | (100 * F.col(at + "n_repeat_words") > 50 * F.col(at + "n_words"))
 
 
 class Condition(NamedTuple):
@@ -129,8 +136,8 @@ class Condition(NamedTuple):
     def holds(self, x: dict[str, np.ndarray]) -> np.ndarray:
         return x[self.share] > self.limit if self.above else x[self.share] < self.limit
 
-    def column(self) -> Column:
-        return share(self.share) > self.limit if self.above else share(self.share) < self.limit
+    def column(self, at: str = "") -> Column:
+        return share(self.share, at) > self.limit if self.above else share(self.share, at) < self.limit
 
 
 Rule = tuple[Condition, ...]
@@ -198,25 +205,19 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.97, su
     return rules
 
 
-def verdict(rules: list[Rule]) -> Column:
+def verdict(rules: list[Rule], at: str = "") -> Column:
     """True for rows that no rule rejects, as one ordered conditional."""
     out: Column | None = None
     for rule in rules:
-        holds = rule[0].column()
+        holds = rule[0].column(at)
         for condition in rule[1:]:
-            holds &= condition.column()
+            holds &= condition.column(at)
         out = F.when(holds, False) if out is None else out.when(holds, False)
     return F.lit(True) if out is None else out.otherwise(True)
 
 
-def judge(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> DataFrame:
-    """statistics of every document with kept: false if base_failed, else what the learned rules say.
-
-    The rules see at most ``sample`` labelled rows that pass the base (those of the smallest hash of doc_id, a bounded
-    sample for fitting only); quality 0 is bad. Rows without a label, or with a null one, teach nothing; without any bad
-    label there are no rules and the base alone decides.
-    """
-    rows = checkpointed(statistics(docs))
+def fit(rows: DataFrame, labels: DataFrame, sample: int) -> list[Rule]:
+    """Rules from at most ``sample`` labelled rows of ``statistics`` that pass the base, those of the smallest hash of doc_id."""
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).dropna().groupBy("doc_id").agg(F.min("quality").alias("quality"))
     taught = (
         rows.filter("NOT base_failed")
@@ -226,5 +227,30 @@ def judge(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> DataFrame
         .select(*[share(n).alias(n) for n in SHARES], (F.col("quality") == 0).alias("bad"))
         .toPandas()
     )
-    rules = learn({n: taught[n].to_numpy(float) for n in SHARES}, taught["bad"].to_numpy(bool)) if len(taught) else []
-    return rows.withColumn("kept", ~F.col("base_failed") & verdict(rules))
+    return learn({n: taught[n].to_numpy(float) for n in SHARES}, taught["bad"].to_numpy(bool)) if len(taught) else []
+
+
+def judge(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> DataFrame:
+    """statistics of every document with kept: false if base_failed, else what the learned rules say.
+
+    The rules see a bounded sample of labelled rows, for fitting only; quality 0 is bad. Rows without a label, or with a
+    null one, teach nothing; without any bad label there are no rules and the base alone decides.
+    """
+    rows = checkpointed(statistics(docs))
+    return rows.withColumn("kept", ~F.col("base_failed") & verdict(fit(rows, labels, sample)))
+
+
+def keep(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> DataFrame:
+    """The documents that ``judge`` keeps, with all their columns. The texts are counted where they lie."""
+    rules = fit(statistics(docs), labels, sample)
+    name = "__counts"
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            counts = counts_of(texts_of(batch.column("text")))
+            own = pa.StructArray.from_arrays([pa.array(counts[c].astype(np.int64)) for c in COUNTS], list(COUNTS))
+            yield pa.RecordBatch.from_arrays([*batch.columns, own], [*batch.schema.names, name])
+
+    counted = docs.mapInArrow(work, schema)
+    return counted.filter(~base_failed(f"{name}.") & verdict(rules, f"{name}.")).drop(name)

@@ -138,8 +138,8 @@ def kept_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> bytes:
 def remove_passages(docs: DataFrame, length: int = 50, gram: int = 10, memory: int = 4 << 20) -> DataFrame:
     """Remove every word covered by ``length`` consecutive words that also start in a document of smaller doc_id.
 
-    Words are ``[^\\x20\\x09-\\x0D]+``, compared unchanged; windows are judged on the input. Returns doc_id, n_words,
-    n_removed and kept (the kept words joined by one space), one row for each input row. Null and
+    Words are ``[^\\x20\\x09-\\x0D]+``, compared unchanged; windows are judged on the input. Returns rid (of doc_id
+    and text), doc_id, n_words, n_removed and kept (the kept words joined by one space), one row for each input row. Null and
     empty texts have no words. A null doc_id is smaller than any; rows of one doc_id do not remove each other's words.
     """
     kind = Kind("word", length, min(gram, length), 128)
@@ -178,8 +178,18 @@ def remove_passages(docs: DataFrame, length: int = 50, gram: int = 10, memory: i
                 kept = kept_words(texts.data[base : texts.starts[i + 1]], begins - base, ends - base)
                 for name, value in zip(out, (removed, kept.decode()), strict=True):
                     out[name].append(value)
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_words": np.diff(first), **out})
+            yield pa.record_batch({"rid": batch.column("rid"), "doc_id": batch.column("doc_id"), "n_words": np.diff(first), **out})
 
-    return packed.join(spans, "rid", "left").select("doc_id", "text", "spans").mapInArrow(
-        cut, "doc_id long, n_words long, n_removed long, kept string"
+    return packed.join(spans, "rid", "left").select("rid", "doc_id", "text", "spans").mapInArrow(
+        cut, "rid long, doc_id long, n_words long, n_removed long, kept string"
     )
+
+
+def without_passages(docs: DataFrame) -> DataFrame:
+    """The documents with the words left by ``remove_passages`` as their text; a text that loses nothing stays as it is."""
+    cut = remove_passages(docs).filter("n_removed > 0").select(F.col("rid").alias("__rid"), F.col("kept").alias("__kept")).dropDuplicates(["__rid"])
+    text = F.coalesce("__kept", "text")
+    joined_ = docs.withColumn("__rid", F.xxhash64("doc_id", "text")).join(cut, "__rid", "left").withColumn("text", text)
+    if "n_chars" in docs.columns:
+        joined_ = joined_.withColumn("n_chars", F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
+    return joined_.select(*docs.columns)
