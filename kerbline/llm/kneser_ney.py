@@ -26,6 +26,8 @@ from .arrays import U64, mix, rows_of
 
 ORDER, BITS = 5, 10
 SYMBOLS = 1 << BITS
+#: Blocks whose questions a shard answers in one task.
+BLOCKS_OF_SALT = 256
 MASKS = [(1 << (BITS * k)) - 1 for k in range(ORDER + 1)]
 
 
@@ -205,7 +207,7 @@ def scores(docs: DataFrame, labels: DataFrame, block_bytes: int = 32 << 20) -> D
     """rid, doc_id, lang, n_chars, perplexity (of a character; null for a text without any) and trusted (0, 1 or 2)."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))
-    shards, salts = max(16, 2 * blocks), math.ceil(blocks / 256)
+    shards, salts = max(16, 2 * blocks), math.ceil(blocks / BLOCKS_OF_SALT)
 
     def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
