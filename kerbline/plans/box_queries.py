@@ -185,13 +185,13 @@ def class_remap(spark, folder):
 
 
 _FINE_ROWS = ", ".join(
-    f"({i}, '{n}', '{p}', '{X.catch_all_of(g)}')"
-    for i, (n, p, g) in enumerate((n, p, g) for p, g in X.FINE.items() for n in g)
+    f"({i}, '{n}', '{p}')" for i, (n, p) in enumerate((n, p) for p, g in X.FINE.items() for n in g)
 )
 
 
 @query("fine_to_parent", "", f"""
-WITH fine(idx, name, parent, catch_all) AS (VALUES {_FINE_ROWS})
+WITH named(idx, name, parent) AS (VALUES {_FINE_ROWS}),
+fine AS (SELECT *, arg_max(name, CASE WHEN starts_with(name, 'other_') THEN 1000 - idx ELSE idx END) OVER (PARTITION BY parent) AS catch_all FROM named)
 SELECT parent, catch_all, count(*) AS n, count(DISTINCT idx) AS classes, CAST(sum(CASE WHEN name = catch_all THEN 1 ELSE 0 END) AS BIGINT) AS in_catch_all
 FROM lineitem JOIN fine ON idx = l_partkey % 21 GROUP BY parent, catch_all""")
 def fine_to_parent(spark, folder):

@@ -1,5 +1,6 @@
 """The ways taken for crowded groups give what the plain ways give."""
 
+import itertools
 import random
 
 import pytest
@@ -90,18 +91,14 @@ def test_overlap_grid(spark, boxes, threshold, crowded):
     assert len(got) == len(set(got)) and set(got) == want
 
 
-def by_hand(left, right, least):
-    used, out = set(), {}
-    for a in sorted(left, key=lambda r: r[1]):
-        best, score = None, 0.0
-        for b in sorted(right, key=lambda r: r[1]):
-            s = iou(a[2:], b[2:])
-            if a[0] == b[0] and (b[0], b[1]) not in used and s > score:
-                best, score = b, s
-        if best is not None and score >= least:
-            used.add((best[0], best[1]))
-            out[(a[0], a[1])] = best[1]
-    return out
+def assert_nothing_better(left, right, least, got):
+    """Every box has the best of what boxes of smaller number left over, the lowest number of equals, or there is none."""
+    owner = {(f, b): a for (f, a), b in got.items()}
+    assert len(owner) == len(got)
+    for f, a, *box in left:
+        free = [(-iou(box, r[2:]), r[1]) for r in right if r[0] == f and owner.get((f, r[1]), a) >= a]
+        score, best = min(free, default=(0.0, None))
+        assert got.get((f, a)) == (best if -score >= least else None)
 
 
 @pytest.mark.parametrize("crowded", [100_000, 0])
@@ -111,16 +108,16 @@ def test_greedy_match(spark, boxes, crowded):
     got = R.greedy_match(
         spark.createDataFrame(left, schema.format("a")), spark.createDataFrame(right, schema.format("b")), ["f"], "a", "b", 0.3, crowded
     )
-    assert {(r.f, r.a): r.b for r in got.collect()} == by_hand(left, right, 0.3)
+    assert_nothing_better(left, right, 0.3, {(r.f, r.a): r.b for r in got.collect()})
 
 
-def sampled(rows, step):
-    kept, last = [], 0.0
-    for frame, value in rows:
-        if not kept or abs(value - last) / max(last, 1e-9) >= step:
-            kept.append(frame)
-            last = value
-    return kept
+def assert_sampled(rows, step, kept):
+    """The first row is kept; any other if and only if it is ``step`` away from the kept row before it."""
+    value, ordered = dict(rows), sorted(kept)
+    assert ordered[0] == rows[0][0]
+    for frame, v in rows[1:]:
+        before = value[max(k for k in ordered if k < frame)]
+        assert (frame in value.keys() & set(ordered)) == (abs(v - before) >= step * max(before, 1e-9))
 
 
 @pytest.mark.parametrize("bucket", [3, 16, 4096])
@@ -131,8 +128,8 @@ def test_change_sample(spark, bucket, step):
     long = [(i, rnd.choice([10.0, 11.0, 12.0, 13.0, 20.0, 15.0, 30.0]) + rnd.random()) for i in range(300)]
     df = spark.createDataFrame([(1, *r) for r in short] + [(2, *r) for r in long], "g int, f int, v double")
     rows = T.change_sample(df, ["g"], "f", "v", step, bucket).collect()
-    assert sorted(r.f for r in rows if r.g == 1) == sampled(short, step)
-    assert sorted(r.f for r in rows if r.g == 2) == sampled(long, step)
+    assert_sampled(short, step, [r.f for r in rows if r.g == 1])
+    assert_sampled(long, step, [r.f for r in rows if r.g == 2])
 
 
 def test_interval_sample(spark):
@@ -188,7 +185,13 @@ def test_numbering(spark):
     assert got == {row: i for i, row in enumerate(sorted(rows), start=1)}
 
 
-# ---- event operators against state machines kept tick by tick --------------------------
+# ---- event operators against their definitions --------------------------
+
+
+def sessions(ticks, gap):
+    """Ticks in order, cut where more than ``gap`` ticks without any lie between two."""
+    cuts = [0, *[k for k in range(1, len(ticks)) if ticks[k] - ticks[k - 1] > gap + 1], len(ticks)]
+    return [ticks[a:b] for a, b in itertools.pairwise(cuts)]
 
 
 def names_at(rnd, n):
@@ -199,16 +202,10 @@ def names_at(rnd, n):
 def test_confirm_events(spark, bucket):
     rnd = random.Random(17)
     ticks = names_at(rnd, 300)
-    want, hits, idle = set(), {}, {}
-    for t, names in enumerate(ticks):
-        for n in names:
-            hits[n], idle[n] = hits.get(n, 0) + 1, 0
-            if hits[n] == 3:
-                want.add((t, n))
-        for n in [n for n in hits if n not in names]:
-            idle[n] += 1
-            if idle[n] > 4:
-                del hits[n], idle[n]
+    want = set()
+    for name in ("stop", "keep_left", "u_turn"):
+        for session in sessions([t for t, names in enumerate(ticks) if name in names], 4):
+            want |= {(t, name) for t in session[2:3]}  # its third sighting
     df = spark.createDataFrame([("s", t, n) for t, names in enumerate(ticks) for n in names], "s string, t int, n string")
     got = {(r.t, r.n) for r in E.confirm_events(df, "s", "t", "n", 3, 4, bucket).collect()}
     assert got == want and want
@@ -218,18 +215,10 @@ def test_confirm_events(spark, bucket):
 def test_vote(spark, bucket):
     rnd = random.Random(19)
     values = [rnd.choice([None, None, None, 30, 50, 80]) for _ in range(400)]
-    want, votes, idle, fired = set(), {}, 0, False
-    for t, v in enumerate(values):
-        if v is None:
-            idle += 1
-            if idle > 3:
-                votes, fired = {}, False
-            continue
-        idle = 0
-        votes[v] = votes.get(v, 0) + 1
-        if votes[v] >= 3 and not fired:
-            fired = True
-            want.add((t, v))
+    want = set()
+    for session in sessions([t for t, v in enumerate(values) if v is not None], 3):
+        thirds = [[t for t in session if values[t] == v][2:3] for v in (30, 50, 80)]
+        want |= {(t, values[t]) for t in sorted(sum(thirds, []))[:1]}  # the earliest third reading of a value
     df = spark.createDataFrame([("s", t, v) for t, v in enumerate(values)], "s string, t int, v int")
     got = {(r.t, r.v) for r in E.vote(df, "s", "t", "v", 3, 3, bucket).collect()}
     assert got == want and want
@@ -239,17 +228,12 @@ def test_vote(spark, bucket):
 def test_hysteresis(spark, bucket):
     rnd = random.Random(21)
     offsets = [rnd.choice([None, 0.1, 0.9, 0.9, -0.9, -0.9, 0.75]) for _ in range(400)]
-    want, over, under, side = [], 0, 0, "none"
-    for t, o in enumerate(offsets):
-        if o is not None and abs(o) >= 0.75:
-            over, under = over + 1, 0
-            if over >= 3:
-                side = "left" if o < 0 else "right"
-        else:
-            over, under = 0, under + 1
-            if under >= 2:
-                side = "none"
-        want.append((t, side != "none", side))
+    said = {}  # from the third tick of a run beyond the limit its side, from the second of a run within it none
+    for beyond, run in itertools.groupby(enumerate(offsets), key=lambda x: x[1] is not None and abs(x[1]) >= 0.75):
+        for t, o in list(run)[2 if beyond else 1 :]:
+            said[t] = ("left" if o < 0 else "right") if beyond else "none"
+    latest = [said.get(max((k for k in said if k <= t), default=-1), "none") for t in range(len(offsets))]
+    want = [(t, side != "none", side) for t, side in enumerate(latest)]
     df = spark.createDataFrame([("s", t, o) for t, o in enumerate(offsets)], "s string, t int, o double")
     got = sorted((r.t, r.active, r.direction) for r in E.hysteresis(df, "s", "t", "o", 0.75, 3, 2, bucket=bucket).collect())
     assert got == want
