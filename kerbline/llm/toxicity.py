@@ -22,10 +22,10 @@ from .arrays import Rolling, lowered, pieces, texts_of
 class Settings(NamedTuple):
     sizes: tuple[int, ...] = (4, 5, 6, 7)  #: bytes of the n-grams
     bits: int = 20  #: of the hash buckets
-    features: int = 6_000  #: buckets that take part
+    features: int = 4_000  #: buckets that take part
     least: int = 5  #: texts that must have a bucket's n-gram
     sample: int = 20_000  #: labelled texts that are read
-    fitted: int = 6_000  #: of these, texts of the last fit
+    fitted: int = 4_000  #: of these, texts of the last fit
 
 
 class Model(NamedTuple):
@@ -47,42 +47,41 @@ def buckets_of(data: np.ndarray, starts: np.ndarray, settings: Settings) -> list
     return [np.concatenate([g[a : max(a, b - k + 1)] for g, k in zip(grams, settings.sizes, strict=True)]) for a, b in zip(first, first[1:], strict=False)]
 
 
-def counts(taught: DataFrame, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """How many clean and how many toxic texts have each bucket; the last place counts the texts."""
+def counts(taught: DataFrame, settings: Settings) -> np.ndarray:
+    """Rows of bucket, clean and toxic texts that have it; the last bucket counts the texts. Rare buckets are left out."""
     size = 1 << settings.bits
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = np.zeros((2, size + 1), np.int64)
+        have = np.zeros((2, size + 1), np.int32)
         for batch in pieces(batches):
             toxic = batch.column("toxic").to_numpy()
             for own, label in zip(buckets_of(*texts_of(batch.column("text")), settings), toxic, strict=True):
                 have[label, np.unique(own)] += 1
                 have[label, size] += 1
         at = np.flatnonzero(have.sum(axis=0))
-        yield pa.record_batch({"bucket": at, "clean": have[0, at], "toxic": have[1, at]})
+        yield pa.record_batch({"bucket": at.astype(np.int32), "clean": have[0, at], "toxic": have[1, at]})
 
-    total = np.zeros((2, size + 1), np.int64)
-    rows = taught.select("text", "toxic").mapInArrow(work, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean"), F.sum("toxic"))
-    # Buckets with few texts cannot become features.
-    found = rows.filter(F.expr("`sum(clean)` + `sum(toxic)`") >= settings.least).toPandas().to_numpy()
-    total[0, found[:, 0]], total[1, found[:, 0]] = found[:, 1], found[:, 2]
-    return total[0], total[1]
+    rows = taught.select("text", "toxic").mapInArrow(work, "bucket int, clean int, toxic int").groupBy("bucket")
+    summed = rows.agg(F.sum("clean").cast("int").alias("clean"), F.sum("toxic").cast("int").alias("toxic"))
+    found = summed.filter((F.col("clean") + F.col("toxic") >= settings.least) | (F.col("bucket") == size)).toArrow()
+    return np.stack([found.column(c).to_numpy() for c in ("bucket", "clean", "toxic")])
 
 
 def fit(taught: DataFrame, settings: Settings) -> Model:
     """A model from rows of text, toxic (0 or 1) and place (the first are fitted). Without both classes the score is the share of toxic rows."""
-    clean, toxic = counts(taught, settings)
-    n_clean, n_toxic = int(clean[-1]), int(toxic[-1])
+    bucket, clean, toxic = counts(taught, settings)
+    texts = bucket == 1 << settings.bits
+    n_clean, n_toxic = int(clean[texts].sum()), int(toxic[texts].sum())
     weights = np.zeros(1 << settings.bits, np.float32)
     if not n_clean or not n_toxic:
-        share = (n_toxic + 0.5) / (n_clean + n_toxic + 1)
-        return Model(weights, float(np.log(share / (1 - share))))
-    p, q = (toxic[:-1] + 1) / (n_toxic + 2), (clean[:-1] + 1) / (n_clean + 2)
-    ratio = np.log(p / q)
-    enough = np.flatnonzero(toxic[:-1] + clean[:-1] >= settings.least)
-    common = (toxic[enough] + clean[enough] + 1) / (n_toxic + n_clean + 2)
-    telling = (p[enough] - q[enough]) ** 2 / (common * (1 - common))  # in order of chi-squared
-    chosen = enough[np.argsort(-telling, kind="stable")[: settings.features]]
+        part = (n_toxic + 0.5) / (n_clean + n_toxic + 1)
+        return Model(weights, float(np.log(part / (1 - part))))
+    bucket, clean, toxic = bucket[~texts], clean[~texts], toxic[~texts]
+    p, q = (toxic + 1) / (n_toxic + 2), (clean + 1) / (n_clean + 2)
+    common = (toxic + clean + 1) / (n_toxic + n_clean + 2)
+    telling = (p - q) ** 2 / (common * (1 - common))  # in order of chi-squared
+    best = np.lexsort((bucket, -telling))[: settings.features]
+    chosen, ratio = bucket[best], np.log(p[best] / q[best])
     slot = np.full(1 << settings.bits, -1, np.int32)
     slot[chosen] = np.arange(len(chosen))
     shared = taught.sparkSession.sparkContext.broadcast(slot)
@@ -92,18 +91,20 @@ def fit(taught: DataFrame, settings: Settings) -> Model:
             own = [np.unique(s[s >= 0]) for s in (shared.value[b] for b in buckets_of(*texts_of(batch.column("text")), settings))]
             yield pa.record_batch({"toxic": batch.column("toxic"), "have": pa.array(own, pa.list_(pa.int32()))})
 
-    rows = taught.filter(F.col("place") <= settings.fitted).select("text", "toxic").mapInArrow(work, "toxic int, have array<int>").toPandas()
-    have = [np.asarray(x, np.int64) for x in rows["have"]]
-    beta, bias = regression(have, rows["toxic"].to_numpy(float), ratio[chosen])
-    weights[chosen] = (beta * ratio[chosen]).astype(np.float32)
+    rows = taught.filter(F.col("place") <= settings.fitted).select("text", "toxic").mapInArrow(work, "toxic int, have array<int>").toArrow().combine_chunks()
+    lists = rows.column("have").combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.int32()))
+    beta, bias = regression(lists.value_lengths().to_numpy(), lists.flatten().to_numpy(), rows.column("toxic").to_numpy().astype(float), ratio)
+    weights[chosen] = (beta * ratio).astype(np.float32)
     return Model(weights, bias)
 
 
-def regression(have: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, ridge: float = 0.5, rounds: int = 12, inner: int = 20) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression on present features times their ratios: Newton steps, solved by conjugate gradients."""
-    size = np.array([len(x) for x in have])
-    column = np.concatenate([*have, np.zeros(0, np.int64)])
-    row = np.repeat(np.arange(len(have)), size)
+def regression(size: np.ndarray, column: np.ndarray, y: np.ndarray, ratio: np.ndarray, ridge: float = 0.5, rounds: int = 12, inner: int = 20) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression on present features times their ratios: Newton steps, solved by conjugate gradients.
+
+    Row i has ``size[i]`` features, named one after the other in ``column``.
+    """
+    row = np.repeat(np.arange(len(size)), size)
+    column = column.astype(np.int64)
     value = ratio[column]
     n, m = len(y), len(ratio)
     pull = np.append(np.full(m, ridge), 1e-3)  # the last place is the bias
