@@ -286,10 +286,17 @@ def top_k(df: DataFrame, order: list[Column], k: int) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
-def mixed_label_order(label: str, size: str) -> list[Column]:
-    """Numeric labels first and by number, then the others by name; the clearest first inside each."""
+#: Columns that ``with_mixed_order`` adds; ascending, they give its order.
+MIXED_ORDER = ["__named", "__number", "__name", "__smaller"]
+
+
+def with_mixed_order(df: DataFrame, label: str, size: str) -> DataFrame:
+    """Numeric labels first and by number, then the others by name; the clearest first inside each.
+
+    Adds the columns of ``MIXED_ORDER``, by which all rows can be ordered or numbered.
+    """
     number = F.expr(f"try_cast(`{label}` AS DOUBLE)")
-    return [number.isNull(), number.asc_nulls_last(), F.col(label), F.col(size).desc()]
+    return df.withColumns({"__named": number.isNull(), "__number": number, "__name": F.col(label), "__smaller": -F.col(size)})
 
 
 def widest_per_frame(boxes: DataFrame, keys: list[str]) -> DataFrame:

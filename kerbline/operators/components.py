@@ -3,8 +3,9 @@
 Each round points every node at the smallest node it can see, first over its
 larger neighbours and then over its smaller ones (Kiveris et al. 2014). Rounds
 grow with the logarithm of the graph. Smallest neighbours are found by a grouped
-minimum, which combines before the shuffle, so a node with very many edges never
-gathers them in one task.
+minimum, which combines before the shuffle; the minimum then goes back to the
+edges of its node in as many copies as the node's edges have parts, so a node
+with very many edges never gathers them in one task.
 """
 
 from __future__ import annotations
@@ -14,16 +15,27 @@ from pyspark.sql import functions as F
 
 from ..session import checkpointed
 
+#: Edges of a node that go to one part; a node has at most PARTS parts.
+PART_EDGES, PARTS = 100_000, 1024
 
-def _smallest(neighbours: DataFrame) -> DataFrame:
-    return neighbours.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+
+def _with_smallest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(u, v, m)``: each edge with the smallest node that ``u`` sees, itself included; and ``(u, m)`` alone."""
+    least = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+    parts = F.least(F.lit(PARTS), F.floor(F.col("n") / PART_EDGES) + 1).cast("int")
+    crowded = least.filter(F.col("n") >= PART_EDGES).select("u", parts.alias("parts"))
+    salted = edges.join(crowded, "u", "left").withColumn(
+        "salt", F.coalesce(F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"), F.lit(0))
+    )
+    copies = least.withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return salted.join(copies.select("u", "salt", "m"), ["u", "salt"]).select("u", "v", "m"), least.select("u", "m")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    seen, _ = _with_smallest(both)
     return (
-        both.join(_smallest(both), "u")
-        .filter(F.col("v") > F.col("u"))
+        seen.filter(F.col("v") > F.col("u"))
         .select(F.col("v").alias("u"), F.col("m").alias("v"))
         .filter(F.col("u") != F.col("v"))
         .distinct()
@@ -32,17 +44,16 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = _smallest(down)
+    seen, least = _with_smallest(down)
     return (
-        down.join(least, "u")
-        .select(F.col("v").alias("u"), F.col("m").alias("v"))
+        seen.select(F.col("v").alias("u"), F.col("m").alias("v"))
         .unionByName(least.select("u", F.col("m").alias("v")))
         .filter(F.col("u") != F.col("v"))
         .distinct()
     )
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` of edges ``(u, v)``; the component is its smallest node.
 
     Nodes without an edge do not appear. Each round is cut by a checkpoint in
@@ -54,7 +65,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .distinct()
     )
     before = None
-    for _ in range(max_rounds):
+    while True:  # every round that changes the edges brings some node nearer its root
         now = checkpointed(_small_star(_large_star(now)))
         state = tuple(
             now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -62,8 +73,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if state == before:
             break
         before = state
-    else:
-        raise RuntimeError(f"components not stable after {max_rounds} rounds")
     roots = now.select(F.col("v").alias("node")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         roots.select("node", F.col("node").alias("component"))

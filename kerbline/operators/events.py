@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.taxonomy import publishable
 from ..functions.text import gated_reading
-from ..session import checkpointed
+from ..session import checkpointed, match
 from .audit import widest_per_frame
 from .ordered import scan, tick_bucket, with_halo
 
@@ -154,7 +154,7 @@ def one_per_tick(
     first_free = free.select(
         stream, tick, (F.col("__free") - F.when(F.col("blocked"), F.lit(0)).otherwise(F.lit(1)) + 1).alias("__rank")
     )
-    queued = events.select(stream, tick, name).join(first_free, [stream, tick]).withColumn("__bucket", cut)
+    queued = match(events.select(stream, tick, name), first_free, [stream, tick]).withColumn("__bucket", cut)
     keys = [stream, "__bucket"]
     here = W.partitionBy(*keys).orderBy(tick, name)
     rows = queued.withColumn("__j", F.row_number().over(here).cast("bigint")).withColumn(
@@ -172,13 +172,12 @@ def one_per_tick(
     )
     i = F.col("__i0") + F.col("__j")
     lead = F.greatest("__carry", F.col("__m") - F.col("__i0"))
-    placed = rows.join(ends, keys).withColumn("__slot", i + lead)
+    placed = match(rows, ends, keys).withColumn("__slot", i + lead)
     slots = free.filter(~F.col("blocked")).select(
         stream, F.col(tick).alias("__out"), F.col("__free").alias("__slot")
     )
     return (
-        placed.select(stream, tick, name, "__slot")
-        .join(slots, [stream, "__slot"])
+        match(placed.select(stream, tick, name, "__slot"), slots, [stream, "__slot"])
         .select(stream, F.col("__out").alias(tick), name, F.col(tick).alias("since"))
     )
 
@@ -211,8 +210,8 @@ def sign_stage(
         gated_reading(F.col("reading"), F.col("conf"), F.col("x2") - F.col("x1"))["value"].alias("value"),
     )
     settled = checkpointed(vote(readings, stream, tick, "value", min_votes, gap, bucket))
-    marked = ticks.select(stream, tick).join(
-        settled.select(stream, tick, F.lit(True).alias("blocked")), [stream, tick], "left"
+    marked = match(
+        ticks.select(stream, tick), settled.select(stream, tick, F.lit(True).alias("blocked")), [stream, tick], "left"
     ).withColumn("blocked", F.coalesce("blocked", F.lit(False)))
     queue = one_per_tick(confirmed, marked, stream, tick, "name", bucket)
     return queue.select(
@@ -282,7 +281,7 @@ def smoothed(
         lambda a: a["out"],
     )
     return (
-        grouped.join(entry, [stream, slot])
+        match(grouped, entry, [stream, slot])
         .select(stream, F.explode(F.arrays_zip(F.col("__r").alias("r"), replay.alias("s"))).alias("z"))
         .select(stream, F.col("z.r.t").alias(tick), F.col("z.r.v").alias(value), F.col("z.s").alias(name))
     )

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import match
+
 TICKS_PER_BUCKET = 4096
 
 
@@ -90,7 +92,7 @@ def scan(
 
     rows = src.withColumns(local)
     ends = src.groupBy(*local_keys).agg(*summary).withColumns(carried).select(*local_keys, *carried)
-    return rows.join(ends, local_keys).select(
+    return match(rows, ends, local_keys).select(
         *[F.col(c) for c in df.columns], *[c.alias(n) for n, c in joined.items()]
     )
 
@@ -179,7 +181,7 @@ def fold_states(
         ),
         lambda acc: acc["out"],
     )
-    done = grouped.join(entered, [*keys, slot]).select(
+    done = match(grouped, entered, [*keys, slot]).select(
         *keys, F.explode(F.arrays_zip(F.col("__rows").alias("row"), replay.alias("state"))).alias("z")
     )
     return done.select(

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.keys import shuffle_key
-from ..session import beside, values
+from ..session import beside, match, values
 from .build import numbered_globally
 
 SPLITS = ("train", "val", "test")
@@ -36,7 +36,7 @@ def _first_of_each(df: DataFrame, groups: list[str], order: list[str], wanted: s
     prior = W.partitionBy(*groups).orderBy("__head").rowsBetween(W.unboundedPreceding, -1)
     starts = parts.withColumn("__before", F.coalesce(F.sum("__n").over(prior), F.lit(0))).drop("__n")
     inside = W.partitionBy(*groups, "__head").orderBy(*order)
-    ranked = df.withColumn("__head", head).join(starts, [*groups, "__head"]).withColumn(
+    ranked = match(df.withColumn("__head", head), starts, [*groups, "__head"]).withColumn(
         "__rank", F.col("__before") + F.row_number().over(inside)
     )
     return ranked.withColumn("__first", F.col("__rank") <= F.col(wanted)).drop("__head", "__before")
@@ -62,7 +62,7 @@ def stratified_split(df: DataFrame, key: str, cls: str, fraction: float = 0.2, s
     """``(key, cls, split)``: in each class ``round(n * fraction)`` keys to val."""
     rows = df.select(key, cls).distinct().withColumn("__key", shuffle_key(seed, F.col(key)))
     want = rows.groupBy(cls).agg(F.bround(F.count("*") * fraction).alias("__want"))
-    ranked = _first_of_each(rows.join(want, cls), [cls], ["__key", key], "__want")
+    ranked = _first_of_each(match(rows, want, [cls]), [cls], ["__key", key], "__want")
     return ranked.select(
         key, cls, F.when(F.col("__first"), F.lit("val")).otherwise(F.lit("train")).alias("split")
     )

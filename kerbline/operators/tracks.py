@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.boxes import box, centre
-from ..session import checkpointed
+from ..session import checkpointed, match
 from .components import with_component
 from .overlap import overlapping
 from .quantiles import quantiles
@@ -87,14 +87,14 @@ def same_sign_pairs(dets: DataFrame) -> DataFrame:
     return _shared(dets).unionByName(_handed_over(dets)).distinct()
 
 
-def merge_tracks(dets: DataFrame, max_rounds: int = 10) -> DataFrame:
+def merge_tracks(dets: DataFrame) -> DataFrame:
     """Relabel detections so that each sign has one track, until nothing changes.
 
     The track with the largest view survives (ties: the smallest id) and keeps the
     largest detection of each frame. All clips go through a round together.
     """
     now = checkpointed(one_per_frame(dets, ["clip", "track"]))
-    for _ in range(max_rounds):
+    while True:  # a round with pairs leaves fewer tracks, so the rounds end
         pairs = checkpointed(same_sign_pairs(now))
         if pairs.isEmpty():
             return now
@@ -110,7 +110,6 @@ def merge_tracks(dets: DataFrame, max_rounds: int = 10) -> DataFrame:
         rename = named.join(survivor, "component").select("clip", "track", "survivor")
         relabelled = now.join(rename, ["clip", "track"]).drop("track").withColumnRenamed("survivor", "track")
         now = checkpointed(one_per_frame(relabelled.select(now.columns), ["clip", "track"]))
-    return now
 
 
 def peaks(dets: DataFrame, min_dets: int = 3, min_side: float = 60.0) -> DataFrame:
@@ -308,7 +307,7 @@ def _sampled(
         ).otherwise(s),
         lambda s: s["out"],
     )
-    done = grouped.join(entered, [*keys, slot]).withColumn("__kept", kept)
+    done = match(grouped, entered, [*keys, slot]).withColumn("__kept", kept)
     return (
         done.select(
             *keys, F.explode(F.filter("__rows", lambda r: F.array_contains("__kept", r["f"]))).alias("r")

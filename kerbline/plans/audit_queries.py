@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes as B
 from ..operators import audit as A
+from ..operators import build as U
 from ..operators import dedup as D
 from ..operators.overlap import overlap_counts
 from ..session import values
@@ -38,13 +39,13 @@ def class_table(spark, folder):
 
 
 @query("orphans", "", """
-SELECT l_orderkey AS frame_key, 'right' AS missing_in FROM (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_linenumber <= 2)
- WHERE l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber >= 6)
-UNION ALL SELECT l_orderkey, 'left' FROM (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_linenumber >= 6)
- WHERE l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber <= 2)""")
+SELECT l_orderkey AS frame_key, 'right' AS missing_in FROM (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_linenumber % 2 = 1)
+ WHERE l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber % 2 = 0)
+UNION ALL SELECT l_orderkey, 'left' FROM (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_linenumber % 2 = 0)
+ WHERE l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber % 2 = 1)""")
 def orphans(spark, folder):
     li = V.table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("frame_key"), "l_linenumber")
-    return A.orphans(li.filter("l_linenumber <= 2"), li.filter("l_linenumber >= 6"), "frame_key")
+    return A.orphans(li.filter("l_linenumber % 2 = 1"), li.filter("l_linenumber % 2 = 0"), "frame_key")
 
 
 @query("format_agreement", "norm", """
@@ -140,20 +141,20 @@ def attribute_counts(spark, folder):
 
 @query("labelled_per_clip", "frames det", """
 SELECT clip_no, count(*) FILTER (has) AS labelled, count(*) FILTER (NOT has) AS empty, count(*) FILTER (has) = 0 AS nothing
-FROM (SELECT *, frame_key IN (SELECT frame_key FROM det WHERE conf > 0.8::DOUBLE) AS has FROM frames) GROUP BY clip_no""")
+FROM (SELECT *, frame_key IN (SELECT frame_key FROM det) AS has FROM frames) GROUP BY clip_no""")
 def labelled_per_clip(spark, folder):
     return A.labelled_per_clip(
-        V.frames(spark, folder), V.detections(spark, folder).filter("conf > 0.8"), "frame_key", "clip_no"
+        V.frames(spark, folder), V.detections(spark, folder), "frame_key", "clip_no"
     )
 
 
 @query("empty_near_labelled", "frames det", """
-WITH m AS (SELECT clip_no, frame_no, frame_key IN (SELECT frame_key FROM det WHERE conf > 0.8::DOUBLE) AS has FROM frames),
+WITH m AS (SELECT clip_no, frame_no, frame_key IN (SELECT frame_key FROM det) AS has FROM frames),
 g AS (SELECT *, frame_no - last_value(CASE WHEN has THEN frame_no END IGNORE NULLS) OVER (PARTITION BY clip_no ORDER BY frame_no ROWS UNBOUNDED PRECEDING) AS b,
  first_value(CASE WHEN has THEN frame_no END IGNORE NULLS) OVER (PARTITION BY clip_no ORDER BY frame_no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - frame_no AS a FROM m)
 SELECT clip_no, frame_no, least(a, b) AS gap, coalesce(least(a, b) <= 2, false) AS near FROM g WHERE NOT has""")
 def empty_near_labelled(spark, folder):
-    marked = A.with_boxes(V.frames(spark, folder), V.detections(spark, folder).filter("conf > 0.8"), "frame_key")
+    marked = A.with_boxes(V.frames(spark, folder), V.detections(spark, folder), "frame_key")
     near = A.empty_near_labelled(
         marked.select("clip_no", "frame_no", "has_box"), "clip_no", "frame_no", F.col("has_box"), 2
     )
@@ -244,16 +245,12 @@ def largest_clips(spark, folder):
 
 @query("mixed_label_order", "", """
 SELECT p_partkey, label, px, row_number() OVER (ORDER BY TRY_CAST(label AS DOUBLE) IS NULL, TRY_CAST(label AS DOUBLE), label, px DESC, p_partkey) AS place
-FROM (SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'x' WHEN p_size % 7 = 0 THEN '?' ELSE CAST(p_size AS VARCHAR) END AS label, p_retailprice AS px FROM part)
-ORDER BY place LIMIT 50""")
+FROM (SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'x' WHEN p_size % 7 = 0 THEN '?' ELSE CAST(p_size AS VARCHAR) END AS label, p_retailprice AS px FROM part)""")
 def mixed_label_order(spark, folder):
     label = F.when(F.col("p_size") % 5 == 0, "x").when(F.col("p_size") % 7 == 0, "?").otherwise(F.col("p_size").cast("string"))
     rows = V.table(spark, folder, "part").select("p_partkey", label.alias("label"), F.col("p_retailprice").alias("px"))
-    top = A.top_k(rows, [*A.mixed_label_order("label", "px"), F.col("p_partkey")], 50)
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.orderBy(*A.mixed_label_order("label", "px"), "p_partkey"))
-    return top.withColumn("place", place.cast("bigint"))
+    keyed = A.with_mixed_order(rows, "label", "px")
+    return U.numbered_globally(keyed, [*A.MIXED_ORDER, "p_partkey"], "place").drop(*A.MIXED_ORDER)
 
 
 @query("widest_per_frame", "det", """

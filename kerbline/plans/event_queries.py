@@ -246,10 +246,10 @@ def acknowledged_alerts(spark, folder):
 
 
 @query("control_inputs", "", """
-SELECT user_id AS stream_id, event_id AS msg_id, 'press' AS input FROM events WHERE event_type = 'view' AND event_id % 2 = 0""")
+SELECT user_id AS stream_id, event_id AS msg_id, 'press' AS input FROM events WHERE event_id % 2 = 0""")
 def control_inputs(spark, folder):
     text = F.when(F.col("event_id") % 2 == 0, F.lit('{"speed": 1, "input": "press"}')).otherwise(F.lit('{"speed": 1}'))
-    m = V.timed_events(spark, folder).filter("event_type = 'view'").select(
+    m = V.timed_events(spark, folder).select(
         F.col("user_id").alias("stream_id"), "ts", F.col("event_id").alias("msg_id"), text.alias("json")
     )
     parsed = parse_messages(m, "json")

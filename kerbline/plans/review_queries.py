@@ -235,18 +235,18 @@ def batch_guard(spark, folder):
 
 
 @query("human_before_model", "ann", """
-SELECT item, CASE WHEN item % 3 = 0 THEN a ELSE pred END AS label, CASE WHEN item % 3 = 0 THEN 'human' ELSE 'model' END AS "by" FROM ann WHERE item % 3 = 0 OR item % 2 = 0""")
+SELECT item, CASE WHEN item % 3 = 0 THEN a ELSE pred END AS label, CASE WHEN item % 3 = 0 THEN 'human' ELSE 'model' END AS "by" FROM ann""")
 def human_before_model(spark, folder):
     ann = V.annotations(spark, folder)
     human = ann.filter("item % 3 = 0").select("item", F.col("a").alias("label"))
-    model = ann.filter("item % 2 = 0").select("item", F.col("pred").alias("label"))
+    model = ann.select("item", F.col("pred").alias("label"))
     return R.ingest(human, model)[0]
 
 
 @query("held_labels", "ann", """
-SELECT count(*) FILTER (item % 2 = 0 AND item % 3 <> 0) AS n_taken, count(*) FILTER (item % 6 = 0) AS n_held FROM ann""")
+SELECT count(*) FILTER (item % 3 <> 0) AS n_taken, count(*) FILTER (item % 3 = 0) AS n_held FROM ann""")
 def held_labels(spark, folder):
     ann = V.annotations(spark, folder)
     human = ann.filter("item % 3 = 0").select("item", F.col("a").alias("label"))
-    model = ann.filter("item % 2 = 0").select("item", F.col("pred").alias("label"))
+    model = ann.select("item", F.col("pred").alias("label"))
     return R.ingest(human, model)[1]

@@ -45,6 +45,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def match(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal ``keys`` where null equals null, so that rows with a null key stay."""
+    other = right.select(*[F.col(k).alias(f"__match_{k}") if k in keys else F.col(k) for k in right.columns])
+    same = [left[k].eqNullSafe(other[f"__match_{k}"]) for k in keys]
+    return left.join(other, same, how).drop(*[f"__match_{k}" for k in keys])
+
+
 def beside(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Every row of ``df`` with the columns of a one-row table, as a scalar subquery.
 
