@@ -72,10 +72,10 @@ def shuffle_key(seed: int, *parts: Column) -> Column:
 def difference_hash(values: Column) -> Column:
     """Bits "next value is larger than this one" of a numeric array, as a bigint.
 
-    The first comparison becomes the lowest bit; up to 64 comparisons fit.
+    The first comparison becomes the lowest bit; up to 64 comparisons fit, more are an error.
     """
     count = F.size(values) - 1
-    return F.aggregate(
+    bits = F.aggregate(
         F.zip_with(
             F.slice(values, F.lit(1), count),
             F.slice(values, F.lit(2), count),
@@ -88,6 +88,7 @@ def difference_hash(values: Column) -> Column:
         ),
         lambda state: state["bits"],
     )
+    return F.when(count <= 64, bits).otherwise(F.when(count > 64, F.raise_error(F.lit("more than 65 values in a difference hash")).cast("bigint")))
 
 
 def grid_difference_hash(rows: Column) -> Column:

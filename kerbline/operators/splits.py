@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,6 +26,24 @@ def directory_split(path: Column, anchor: str) -> Column:
     return F.nullif(F.regexp_extract(path, rf"(?i)(?:^|/){anchor}/([^/]+)/[^/]+", 1), F.lit(""))
 
 
+def _ranked(df: DataFrame, groups: list[str], order: list[str], most: int) -> DataFrame:
+    """Add ``__rank``, a row's number from 1 in its group in an md5 order.
+
+    ``order[0]`` is md5 text. Rows are counted per leading hex digits, and ranked inside those: as many digits
+    as leave a few thousand rows of a group of ``most`` rows together.
+    """
+    digits = min(8, max(0, math.ceil(math.log(max(1, most) / 4096, 16))))
+    head = F.substring(F.col(order[0]), 1, digits)
+    inside = W.partitionBy(*groups, "__head").orderBy(*order)
+    rows = df.withColumn("__head", head).withColumn("__rank", F.row_number().over(inside))
+    if not digits:
+        return rows.drop("__head")
+    parts = df.groupBy(*groups, head.alias("__head")).agg(F.count("*").alias("__n"))
+    prior = W.partitionBy(*groups).orderBy("__head").rowsBetween(W.unboundedPreceding, -1)
+    starts = parts.withColumn("__before", F.coalesce(F.sum("__n").over(prior), F.lit(0))).drop("__n")
+    return match(rows, starts, [*groups, "__head"]).withColumn("__rank", F.col("__before") + F.col("__rank")).drop("__head", "__before")
+
+
 def _first_of_each(df: DataFrame, groups: list[str], order: list[str], wanted: str) -> DataFrame:
     """Rows among the first ``wanted`` (a column, per group) of their group in an md5 order.
 
@@ -77,65 +97,43 @@ def nested_subsets(order: DataFrame, percents: tuple[int, ...] = (25, 50, 75), p
 
 
 def balanced_group_split(
-    counts: DataFrame,
-    group: str,
-    trials: int = 40_000,
-    seed: int = 0,
-    target: dict[str, float] | None = None,
-    max_groups: int = 10_000,
+    counts: DataFrame, group: str, trials: int = 40_000, seed: int = 0, target: dict[str, float] | None = None
 ) -> DataFrame:
     """``(group, split)`` of the random trial whose class shares come nearest the target.
 
     ``counts`` is ``(group, cls, n)`` with every group, ``cls`` null for one without
     boxes; those are dealt round-robin. Every trial orders the groups by an md5 of
-    seed, trial and group, so trials are independent rows and only per-trial sums
-    are shuffled. Work is ``groups x trials``; a table of more than ``max_groups``
-    groups is refused rather than tried for days.
+    seed, trial and group, so trials are independent rows: groups times trials of
+    them, spread over tasks by trial and leading md5 digits, and only sums of a
+    trial and class move on. The rows of the best trial alone are kept.
     """
     target = target or TARGET
     boxes = counts.filter(F.col("cls").isNotNull() & (F.col("n") > 0))
-    every = counts.select(group).distinct()
-    per_group = boxes.groupBy(group).agg(F.collect_list(F.struct("cls", "n")).alias("c"))
-    size = per_group.limit(max_groups + 1).count()
-    if size > max_groups:
-        raise ValueError(f"more than {max_groups} groups: split by group_split instead")
+    filled = boxes.select(group).distinct()
+    size = filled.count()
     n_val = max(1, round(size * target["val"]))
     n_test = max(1, round(size * target["test"]))
-    trial = counts.sparkSession.range(trials).select(F.col("id").alias("trial"))
-    # Bounded: at most max_groups rows of a few class counts, checked above.
-    table = per_group.agg(
-        F.sort_array(F.collect_list(F.struct(F.col(group).alias("g"), "c"))).alias("table")
-    )
 
-    def deal(some: DataFrame) -> DataFrame:
-        order = F.transform(
-            "table",
-            lambda x: F.struct(
-                shuffle_key(seed, F.col("trial"), x["g"]).alias("k"), x["g"].alias("g"), x["c"].alias("c")
-            ),
-        )
-        return beside(some, table).select("trial", F.posexplode(F.array_sort(order)).alias("at", "x")).select(
-            "trial",
-            F.col("x.g").alias(group),
-            F.col("x.c").alias("c"),
-            F.when(F.col("at") < n_val, F.lit("val"))
-            .when(F.col("at") < n_val + n_test, F.lit("test"))
-            .otherwise(F.lit("train"))
-            .alias("split"),
-        )
+    def deal(numbers: Column) -> DataFrame:
+        """Groups with their split in each of the trials of an array."""
+        rows = filled.withColumn("trial", F.explode(numbers))
+        ordered = _ranked(rows.withColumn("__key", shuffle_key(seed, F.col("trial"), F.col(group))), ["trial"], ["__key", group], size)
+        side = F.when(F.col("__rank") <= n_val, F.lit("val")).when(F.col("__rank") <= n_val + n_test, F.lit("test")).otherwise(F.lit("train"))
+        return ordered.select("trial", group, side.alias("split"))
 
     totals = boxes.groupBy("cls").agg(F.sum("n").alias("total"))
     sums = (
-        deal(trial).select("trial", "split", F.inline("c"))
+        deal(F.sequence(F.lit(0), F.lit(trials - 1)))
+        .join(boxes, group)
         .groupBy("trial", "cls")
         .agg(*[F.sum(F.when(F.col("split") == s, F.col("n")).otherwise(0)).alias(s) for s in target])
         .join(totals, "cls")
     )
     off = sum((F.abs(F.col(s) / F.col("total") - F.lit(share)) for s, share in target.items()), F.lit(0.0))
     error = sums.groupBy("trial").agg(F.round(F.sum(off), 9).alias("error"))
-    best = error.agg(F.min_by("trial", F.struct("error", "trial")).alias("trial"))
-    chosen = deal(trial.filter(F.col("trial") == best.scalar())).select(group, "split")
-    empty = numbered_globally(every.join(per_group, group, "left_anti"), [group], "__no")
+    best = error.agg(F.min_by("trial", F.struct("error", "trial"))).first()[0]
+    chosen = deal(F.array(F.lit(best or 0))).select(group, "split")
+    empty = numbered_globally(match(counts.select(group).distinct(), filled, [group], "left_anti"), [group], "__no")
     names = F.array(*map(F.lit, SPLITS))
     return chosen.unionByName(
         empty.select(group, F.get(names, ((F.col("__no") - 1) % len(SPLITS)).cast("int")).alias("split"))

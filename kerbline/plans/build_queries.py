@@ -20,11 +20,12 @@ def _classes(spark):
 
 
 def _clip_counts(spark, folder):
-    """``(clip, cls, n)``, every clip present; clips of every ninth number are taken as empty."""
-    boxes = V.detections(spark, folder).filter("clip_no % 9 <> 0").groupBy(F.col("clip_no").alias("clip"), "cls").agg(
+    """``(clip, cls, n)``, every clip present; the parts stand for clips without any box."""
+    boxes = V.detections(spark, folder).groupBy(F.col("clip_no").alias("clip"), "cls").agg(
         F.count("*").alias("n")
     )
     clips = V.frames(spark, folder).select(F.col("clip_no").alias("clip")).distinct()
+    clips = clips.union(V.table(spark, folder, "part").select(F.col("p_partkey") + 1_000_000_000))
     return clips.join(boxes, "clip", "left")
 
 
@@ -86,15 +87,28 @@ def subset_tallies(spark, folder):
     return U.subset_tally(frames, V.detections(spark, folder), ["percent"], "frame_key", "clip_no", [0, 1, 2])
 
 
-@query("balanced_group_split")
+# The SQL of the search; every trial orders all clips with boxes anew.
+_BALANCED = """counts AS (SELECT clip_no AS clip, cls, count(*) AS n FROM det GROUP BY 1, 2),
+g AS (SELECT DISTINCT clip FROM counts), size AS (SELECT count(*) AS n, greatest(1, round_even(count(*) * 0.2::DOUBLE, 0)) AS n_val, greatest(1, round_even(count(*) * 0.1::DOUBLE, 0)) AS n_test FROM g),
+r AS (SELECT trial, clip, row_number() OVER (PARTITION BY trial ORDER BY md5('11|' || trial || '|' || clip), clip) AS rn FROM g, (SELECT unnest(range(40000)) AS trial)),
+s AS (SELECT trial, clip, CASE WHEN rn <= n_val THEN 'val' WHEN rn <= n_val + n_test THEN 'test' ELSE 'train' END AS split FROM r, size),
+total AS (SELECT cls, sum(n) AS total FROM counts GROUP BY 1),
+sums AS (SELECT trial, cls, sum(n) FILTER (split = 'train') AS train, sum(n) FILTER (split = 'val') AS val, sum(n) FILTER (split = 'test') AS test FROM s JOIN counts USING (clip) GROUP BY 1, 2),
+off AS (SELECT trial, round(sum(abs(coalesce(train, 0)::DOUBLE / total - 0.7::DOUBLE) + abs(coalesce(val, 0)::DOUBLE / total - 0.2::DOUBLE) + abs(coalesce(test, 0)::DOUBLE / total - 0.1::DOUBLE)), 9) AS error FROM sums JOIN total USING (cls) GROUP BY 1),
+best AS (SELECT trial, error FROM off ORDER BY error, trial LIMIT 1)"""
+
+
+@query("balanced_group_split", "det", f"""
+WITH {_BALANCED} SELECT clip, split FROM s JOIN best USING (trial) UNION ALL
+SELECT p_partkey + 1000000000, ['train', 'val', 'test'][(row_number() OVER (ORDER BY p_partkey) - 1) % 3 + 1] FROM part""")
 def balanced_group_split(spark, folder):
-    return S.balanced_group_split(_clip_counts(spark, folder), "clip", trials=200, seed=11)
+    return S.balanced_group_split(_clip_counts(spark, folder), "clip", seed=11)
 
 
-@query("balanced_split_error")
+@query("balanced_split_error", "det", f"WITH {_BALANCED} SELECT round(error, 6) AS error FROM best")
 def balanced_split_error(spark, folder):
     counts = _clip_counts(spark, folder)
-    return S.split_error(counts, S.balanced_group_split(counts, "clip", trials=200, seed=11), "clip").withColumn(
+    return S.split_error(counts, S.balanced_group_split(counts, "clip", seed=11), "clip").withColumn(
         "error", F.round("error", 6)
     )
 
@@ -311,13 +325,10 @@ def label_texts(spark, folder):
 @query("review_task", "frames norm", """
 SELECT f.frame_key, coalesce(n, 0) AS n_boxes, coalesce(n_named, 0) AS n_named FROM frames f LEFT JOIN (SELECT frame_key, count(*) AS n, count(*) FILTER (track_no < 3) AS n_named FROM norm GROUP BY 1) x USING (frame_key)""")
 def review_task(spark, folder):
-    from ..functions.keys import box_crop_id
     from ..operators.review import label_or_fallback
 
-    n = V.normalised(spark, folder).withColumns({
-        "crop_id": box_crop_id(F.col("frame_key"), F.monotonically_increasing_id()), "coarse": F.element_at(F.array(*map(F.lit, X.COARSE)), F.col("cls") + 1),
-    })
-    boxes = n.select("frame_key", "crop_id", "coarse", "track_no", "xc", "yc", "w", "h")
+    n = V.normalised(spark, folder).withColumn("coarse", F.element_at(F.array(*map(F.lit, X.COARSE)), F.col("cls") + 1))
+    boxes = n.select("frame_key", "coarse", "track_no", "xc", "yc", "w", "h")
     # The prediction is a rule of the box, so proposals need no stored ids to join on.
     dimension = X.taxonomy(spark)
     named = boxes.withColumn("pred", F.when(F.col("track_no") < 3, F.lit("left_curve")).otherwise(F.lit("banana")))

@@ -63,11 +63,15 @@ def read_gt(spark: SparkSession, path: str, strict: bool = True) -> tuple[DataFr
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
     boxes, bad = split_gt_lines(lines)
     if strict:
+        number = r"\s*[+-]?[0-9]{1,10}\s*"
         checked = lines.filter(F.trim("value") != "").withColumn(
             "value",
-            F.when(
-                F.size(F.split(F.trim("value"), ";")) == 6, F.col("value")
-            ).otherwise(F.raise_error(F.concat(F.col("file"), F.lit(": not 6 fields: "), F.col("value"))).cast("string")),
+            F.when(F.size(F.split("value", ";")) != 6, F.raise_error(F.concat(F.col("file"), F.lit(": not 6 fields: "), F.col("value"))).cast("string"))
+            .when(
+                ~F.col("value").rlike(rf"^[^;]*(;{number}){{5}}$"),
+                F.raise_error(F.concat(F.col("file"), F.lit(": not five whole numbers: "), F.col("value"))).cast("string"),
+            )
+            .otherwise(F.col("value")),
         )
         boxes, _ = split_gt_lines(checked)
     return boxes, bad

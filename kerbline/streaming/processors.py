@@ -8,7 +8,7 @@ watermark are dropped and counted.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -115,7 +115,11 @@ class SignStage(_InOrder):
     order = ("tick",)
 
     def __init__(self, confirm: int = 3, min_votes: int = 3, gap: int = 12, number_class: str = "speed_limit",
-                 min_width: float = 32, min_confidence: float = 0.60) -> None:
+                 min_width: float = 32, min_confidence: float = 0.60,
+                 settle: Callable[[dict[int, int]], int | None] | None = None) -> None:
+        """``settle`` may replace the vote: it gets the readings of a session with their numbers and says which one
+        they settle on, or None while they do not. By default the one that is read ``min_votes`` times."""
+        self.settle = settle or (lambda votes: next((v for v, n in votes.items() if n >= min_votes), None))
         self.confirm, self.min_votes, self.gap = confirm, min_votes, gap
         self.number_class, self.min_width, self.min_confidence = number_class, min_width, min_confidence
 
@@ -149,8 +153,8 @@ class SignStage(_InOrder):
                     votes, settled = {}, False
                 last_read = tick
                 votes[value] = votes.get(value, 0) + 1
-                if votes[value] >= self.min_votes and not settled:
-                    number, settled = value, True
+                number = None if settled else self.settle(votes)
+                settled = settled or number is not None
             said = self.number_class if number is not None else queue.pop(0) if queue else None
             out.append((str(self.key), tick, said, number, late))
             # Sightings too old to be continued need no state.

@@ -138,8 +138,9 @@ def test_balanced_split(spark):
     split = L.balanced_group_split(counts, "clip", 64, 3)
     sizes = {r["split"]: r["count"] for r in split.groupBy("split").count().collect()}
     assert sum(sizes.values()) == 22 and sizes["val"] == 5 and sizes["test"] == 2
-    with pytest.raises(ValueError, match="more than 5 groups"):
-        L.balanced_group_split(counts, "clip", 4, 3, max_groups=5)
+    ranked = L._ranked(spark.range(300).select("id", F.md5(F.col("id").cast("string")).alias("k"), F.lit(1).alias("g")), ["g"], ["k", "id"], 10**6)
+    keys = [r.k for r in ranked.orderBy("__rank").collect()]
+    assert keys == sorted(keys) and len(keys) == 300
 
 
 def test_review_chain(spark):

@@ -18,6 +18,11 @@ def test_gt_reader(spark, tmp_path):
     path.write_text("00000.ppm;10;10;30\n")
     with pytest.raises(Exception, match="not 6 fields"):
         readers.read_gt(spark, str(path))[0].collect()
+    path.write_text("00000.ppm;10;10;30;30;1\n00001.ppm;10;ten;30;30;1\n")
+    with pytest.raises(Exception, match="not five whole numbers"):
+        readers.read_gt(spark, str(path))[0].collect()
+    boxes, bad = readers.read_gt(spark, str(path), strict=False)
+    assert boxes.count() == 1 and [r.reason for r in bad.collect()] == ["parse"]
 
 
 def test_empty_label_files_survive(spark, tmp_path):
