@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import label_line
 from ..functions.taxonomy import DISPOSITIONS, fold_thin
-from ..session import beside, checkpointed
+from ..session import beside, checkpointed, match
 
 BLOCKING = tuple(d for d in DISPOSITIONS if d != "not_a_sign")
 
@@ -263,21 +263,30 @@ def propagate(
 
 
 def propagation_report(placed: DataFrame) -> DataFrame:
-    """Per class: signs, val signs, boxes kept, boxes lost by reason, and whether val has none."""
+    """Per class: raw detections, signs, val signs, boxes kept and their number a sign, boxes lost by reason, frames with a
+    kept box in train and in val, and whether val has no sign."""
     def lost(reason: str) -> Column:
         return F.count_if(F.col("fate") == reason).alias(reason)
 
     per_sign = placed.groupBy("folded", "crop_id", "split").agg(
+        F.count("*").alias("detections"),
         F.count_if(F.col("fate") == "kept").alias("boxes"),
         lost("unboxed_sign"), lost("unnamed_sign"), lost("split_conflict"),
     )
-    total = [F.sum(c).alias(c) for c in ("boxes", "unboxed_sign", "unnamed_sign", "split_conflict")]
-    return per_sign.groupBy("folded").agg(
+    total = [F.sum(c).alias(c) for c in ("detections", "boxes", "unboxed_sign", "unnamed_sign", "split_conflict")]
+    frames = placed.filter("fate = 'kept'").groupBy("folded", "split", "clip", "frame").agg(F.lit(1).alias("one"))
+    per_split = frames.groupBy("folded").agg(
+        F.count_if(F.col("split") == "train").alias("train_frames"), F.count_if(F.col("split") == "val").alias("val_frames")
+    )
+    report = per_sign.groupBy("folded").agg(
         F.count("*").alias("signs"),
         F.count_if(F.col("split") == "val").alias("val_signs"),
         *total,
         (F.count_if(F.col("split") == "val") == 0).alias("no_val"),
     )
+    return match(report, per_split, ["folded"], "left").na.fill(0, ["train_frames", "val_frames"]).withColumn(
+        "boxes_per_sign", F.round(F.col("boxes") / F.col("signs"), 6)
+    )
 
 
 # ---- output -------------------------------------------------------------------------

@@ -141,6 +141,21 @@ def review_cost(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("outcome").agg(F.count("*").alias("n"))
 
 
+def exported_classes(lines: DataFrame) -> DataFrame:
+    """``(archive, cls, label)`` of the ``obj.names`` of exports, from ``(archive, member, line_no, value)``.
+
+    The order of the names in an export gives its class numbers, whatever order the task was made with.
+    """
+    names = lines.filter(F.element_at(F.split("member", "/"), -1) == "obj.names")
+    return names.filter(F.trim("value") != "").select("archive", F.col("line_no").cast("int").alias("cls"), F.trim("value").alias("label"))
+
+
+def name_boxes(boxes: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Boxes ``(archive, cls, ...)`` with the label their own export gives the class, and those whose class it lacks."""
+    named = boxes.join(classes, ["archive", "cls"], "left")
+    return named.filter(F.col("label").isNotNull()), named.filter(F.col("label").isNull()).drop("label")
+
+
 def import_tracks(
     peaks: DataFrame, context: DataFrame, boxes: DataFrame, frame: str, min_iou: float = 0.3
 ) -> tuple[DataFrame, DataFrame]:

@@ -430,7 +430,9 @@ def propagated_labels(spark, folder):
 
 @query("propagation_report", "tone", f"""WITH RECURSIVE {_PROPAGATED}
 SELECT folded, count(DISTINCT crop_id) AS signs, count(DISTINCT crop_id) FILTER (split = 'val') AS val_signs, count(*) FILTER (fate = 'kept') AS boxes, count(*) FILTER (fate = 'unboxed_sign') AS unboxed_sign,
- count(*) FILTER (fate = 'unnamed_sign') AS unnamed_sign, count(*) FILTER (fate = 'split_conflict') AS split_conflict, count(*) FILTER (split = 'val') = 0 AS no_val FROM placed GROUP BY folded""")
+ count(*) FILTER (fate = 'unnamed_sign') AS unnamed_sign, count(*) FILTER (fate = 'split_conflict') AS split_conflict, count(*) FILTER (split = 'val') = 0 AS no_val,
+ count(*) AS detections, count(DISTINCT (clip, frame)) FILTER (fate = 'kept' AND split = 'train') AS train_frames, count(DISTINCT (clip, frame)) FILTER (fate = 'kept' AND split = 'val') AS val_frames,
+ round(count(*) FILTER (fate = 'kept') / count(DISTINCT crop_id)::DOUBLE, 6) AS boxes_per_sign FROM placed GROUP BY folded""")
 def propagation_report(spark, folder):
     members, labels, poison = _propagation(spark, folder)
     return U.propagation_report(U.propagate(members, labels, poison, X.taxonomy(spark), seed=1))

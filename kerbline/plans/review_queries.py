@@ -250,3 +250,17 @@ def held_labels(spark, folder):
     human = ann.filter("item % 3 = 0").select("item", F.col("a").alias("label"))
     model = ann.select("item", F.col("pred").alias("label"))
     return R.ingest(human, model)[1]
+
+
+@query("exported_class_order", "", """
+WITH names AS (SELECT n_regionkey AS archive, n_name AS label, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name DESC) - 1 AS cls FROM nation)
+SELECT label, count(*) AS n FROM customer JOIN names ON archive = c_nationkey % 5 AND cls = c_custkey % 7 GROUP BY label
+UNION ALL SELECT 'unknown', count(*) FROM customer WHERE c_custkey % 7 >= (SELECT count(*) FROM nation WHERE n_regionkey = c_nationkey % 5)""")
+def exported_class_order(spark, folder):
+    nation = V.table(spark, folder, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list("n_name"), False).alias("names"))
+    lines = nation.select(F.col("n_regionkey").alias("archive"), F.lit("export/obj.names").alias("member"), F.posexplode("names").alias("line_no", "value"))
+    customers = V.table(spark, folder, "customer")
+    boxes = customers.select((F.col("c_nationkey") % 5).alias("archive"), (F.col("c_custkey") % 7).cast("int").alias("cls"))
+    named, unknown = R.name_boxes(boxes, R.exported_classes(lines))
+    rest = unknown.agg(F.count("*").alias("n")).select(F.lit("unknown").alias("label"), "n")
+    return named.groupBy("label").agg(F.count("*").alias("n")).unionByName(rest)
