@@ -3,7 +3,9 @@
 Each is keyed by ``stream_id`` and works in event time: rows wait in state until
 the watermark has passed them and are then applied in order, so any cut into
 micro-batches gives the rows of the batch form. Rows that come later than the
-watermark are dropped and counted.
+watermark are dropped by Spark before a processor sees them; ``LateRows``, added
+to the session's listeners, counts them for each query. The ``late`` of an output
+row counts what came in time but behind rows already given out.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.taxonomy import NEVER_PUBLISHED
@@ -41,6 +44,26 @@ def _keep(state, rows: list[tuple]) -> None:
         state.clear()
 
 
+class LateRows(StreamingQueryListener):
+    """Rows of each streaming query that came behind its watermark: ``counts`` by the query's id."""
+
+    def __init__(self) -> None:
+        self.counts: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        self.counts.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        dropped = sum(o.numRowsDroppedByWatermark for o in event.progress.stateOperators)
+        self.counts[str(event.progress.id)] = self.counts.get(str(event.progress.id), 0) + dropped
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        """Nothing was read, so nothing was late."""
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        """The counts stay."""
+
+
 class _InOrder(StatefulProcessor):
     """Holds rows until the watermark passes them; subclasses apply them in order."""
 

@@ -58,3 +58,25 @@ def test_alerts(spark, folder):
     got = {(r.stream_id, r.msg_id, r.reason, r.level) for r in out.filter("msg_id is not null").collect()}
     assert got == {(str(r.stream_id), r.msg_id, r.reason, r.level) for r in Q.alerts(spark, FOLDER).collect()}
     assert out.filter("msg_id is null AND reason = 'adas_offline'").count() > 0  # going stale is told without a message
+
+
+def test_rows_behind_the_watermark_are_counted(spark, folder):
+    path, times = folder / "late", ["10:00:00", "10:10:00", "10:20:00", "10:00:01", "10:30:00"]
+    for i, time in enumerate(times):
+        row = [("s", i, 0.9)]
+        frame = spark.createDataFrame(row, "stream_id string, tick bigint, off double").withColumn("ts", F.to_timestamp(F.lit(f"2026-01-01 {time}")))
+        frame.coalesce(1).write.mode("append").parquet(str(path))
+        for file in os.listdir(path):
+            if file.startswith("part") and os.path.getmtime(path / file) > 1_750_000_000:
+                os.utime(path / file, (1_700_000_000 + i * 10,) * 2)
+    late = P.LateRows()
+    spark.streams.addListener(late)
+    stream = spark.readStream.schema("stream_id string, tick bigint, off double, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(path))
+    query = (
+        P.hysteresis_stream(stream, delay="1 second").writeStream.format("memory").queryName("late_rows")
+        .option("checkpointLocation", str(folder / "late_checkpoint")).trigger(availableNow=True).outputMode("append").start()
+    )
+    assert query.awaitTermination(240)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    spark.streams.removeListener(late)
+    assert late.counts[str(query.id)] == 1
