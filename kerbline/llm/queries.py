@@ -97,8 +97,23 @@ firsts AS (SELECT h, min(doc_id) AS low FROM windows GROUP BY h),
 covered AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM windows JOIN firsts USING (h) WHERE low < doc_id),
 gone AS (SELECT doc_id, list(j) AS js FROM covered GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(js), 0)::BIGINT AS n_removed,
-  sha256(array_to_string(CASE WHEN js IS NULL THEN w ELSE list_filter(w, (x, k) -> NOT list_contains(js, k)) END, ' ')) AS kept_sha256
+  sha256(array_to_string(CASE WHEN js IS NULL THEN w ELSE list_filter(w, lambda x, k: NOT list_contains(js, k)) END, ' ')) AS kept_sha256
 FROM words LEFT JOIN gone USING (doc_id)""",
+    "op10_minhash_near_dedup": r"""WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS i FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT u, v FROM pairs JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v WHERE 100 * i >= 85 * (x.n + y.n - i)),
+edges AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reached(doc, low) AS (SELECT doc_id, doc_id FROM documents UNION SELECT v, low FROM reached JOIN edges ON u = doc),
+parts AS (SELECT doc, min(low) AS component_id FROM reached GROUP BY doc)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents JOIN parts ON doc = doc_id LEFT JOIN sizes USING (doc_id)""",
 }
 
 
