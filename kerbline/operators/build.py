@@ -20,21 +20,23 @@ def numbered_globally(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """Row number from 1 over the whole table, in a total order, without one big window.
 
     Rows are cut into ranges of the whole order, so equal leading values do not
-    crowd one task; the ranges are counted and rows are numbered inside theirs.
-    The ranges come from a sample, so they are kept once, and both steps read them.
+    crowd one task, and put in order inside them. The ranges come from a sample, so
+    they are kept once; Spark's row ids tell a row's range and its place there, and
+    only the ranges' counts are added up.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
-    marked = checkpointed(ranged)
+    ordered = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    marked = checkpointed(ordered.withColumn("__id", F.monotonically_increasing_id()))
+    part, place = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
     # One row per range, as many as there are shuffle partitions.
     prior = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
-    counts = marked.groupBy("__part").agg(F.count("*").alias("__n"))
+    counts = marked.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
     starts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(prior), F.lit(0))).drop("__n")
-    inside = W.partitionBy("__part").orderBy(*order)
     return (
-        marked.join(starts, "__part")
-        .withColumn(name, (F.col("__before") + F.row_number().over(inside)).cast("bigint"))
-        .drop("__part", "__before")
+        marked.withColumn("__part", part)
+        .join(F.broadcast(starts), "__part")
+        .withColumn(name, (F.col("__before") + place + 1).cast("bigint"))
+        .drop("__part", "__before", "__id")
     )
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,14 +23,13 @@ def greedy_match(
     left_key: str,
     right_key: str,
     min_iou: float,
-    crowded: int = 512,
 ) -> DataFrame:
     """One-to-one pairs ``(group, left_key, right_key, iou)``.
 
     In the order of ``left_key``, each left box takes the unused right box of the
     highest IoU (ties: the smallest ``right_key``) if that is at least ``min_iou``.
-    Only pairs above the threshold take part. A frame with few such pairs is folded
-    in order; a crowded one is settled in rounds, see ``_settle``.
+    Only pairs above the threshold take part. The pairs of a frame pass once, in
+    order, through one task that keeps the right boxes already used and no more.
     """
     keys = [f"l_{left_key}", f"r_{right_key}"]
     pairs = overlapping(
@@ -37,59 +39,27 @@ def greedy_match(
         min_iou,
         inclusive=True,
     ).select(*group, F.col(keys[0]).alias("l"), F.col(keys[1]).alias("r"), "iou")
-    pairs = checkpointed(pairs)
-    full = pairs.groupBy(*group).count().filter(F.col("count") > crowded).select(*group)
-    matched = _fold(pairs.join(full, group, "left_anti"), group)
-    dense = pairs.join(full, group, "left_semi")
-    if not dense.isEmpty():
-        matched = matched.unionByName(_settle(dense, group))
+    ordered = pairs.repartition(*group).sortWithinPartitions(*group, "l", F.desc("iou"), "r")
+    marked = ordered.withColumns({"__g": F.xxhash64(*group), "__l": F.xxhash64("l"), "__r": F.xxhash64("r")})
+    matched = marked.mapInArrow(_first_free, marked.schema)
     return matched.select(*group, F.col("l").alias(left_key), F.col("r").alias(right_key), "iou")
 
 
-def _fold(pairs: DataFrame, group: list[str]) -> DataFrame:
-    types = {f.name: f.dataType.simpleString() for f in pairs.schema}
-    out_type = f"array<struct<l:{types['l']},r:{types['r']},iou:double>>"
-    ordered = F.sort_array(F.collect_list(F.struct("l", (-F.col("iou")).alias("far"), "r")))
-
-    def take(taken: Column, pair: Column) -> Column:
-        free = ~F.exists(taken, lambda t: (t["l"] == pair["l"]) | (t["r"] == pair["r"]))
-        return F.when(
-            free,
-            F.array_append(
-                taken,
-                F.struct(pair["l"].alias("l"), pair["r"].alias("r"), (-pair["far"]).alias("iou")),
-            ),
-        ).otherwise(taken)
-
-    return (
-        pairs.groupBy(*group)
-        .agg(ordered.alias("p"))
-        .select(*group, F.inline(F.aggregate("p", F.array().cast(out_type), take)))
-    )
-
-
-def _settle(pairs: DataFrame, group: list[str]) -> DataFrame:
-    """The same matching in rounds, for frames too full to fold.
-
-    A pair is final when the right box is the left's best one still free and no
-    earlier left box could still want it. All such pairs are taken at once and
-    both boxes leave; the first left box of a frame always has such a pair, so
-    every round makes progress.
-    """
-    done = None
-    while not pairs.isEmpty():
-        best = pairs.groupBy(*group, "l").agg(
-            F.max_by(F.struct("r", "iou"), F.struct("iou", (-F.col("r")).alias("r"))).alias("b")
-        ).select(*group, "l", F.col("b.r").alias("r"), F.col("b.iou").alias("iou"))
-        earliest = pairs.groupBy(*group, "r").agg(F.min("l").alias("l"))
-        final = checkpointed(best.join(earliest, [*group, "l", "r"]))
-        done = final if done is None else done.unionByName(final)
-        pairs = checkpointed(
-            pairs.join(final.select(*group, "l"), [*group, "l"], "left_anti").join(
-                final.select(*group, "r"), [*group, "r"], "left_anti"
-            )
-        )
-    return done
+def _first_free(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of ordered pairs, each left box's first one whose right box no earlier left box of its frame has taken."""
+    frame = settled = None
+    used: set[int] = set()
+    for batch in batches:
+        keep = []
+        for g, left, right in zip(*(batch.column(c).to_pylist() for c in ("__g", "__l", "__r")), strict=True):
+            if g != frame:
+                frame, settled, used = g, None, set()
+            free = left != settled and right not in used
+            if free:
+                settled = left
+                used.add(right)
+            keep.append(free)
+        yield batch.filter(pa.array(keep, pa.bool_()))
 
 
 def review_outcomes(

@@ -101,16 +101,24 @@ def assert_nothing_better(left, right, least, got):
         assert got.get((f, a)) == (best if -score >= least else None)
 
 
-@pytest.mark.parametrize("crowded", [100_000, 0])
-def test_greedy_match(spark, boxes, crowded):
+def test_greedy_match(spark, boxes):
     left, right = boxes[::2], boxes[1::2]
     schema = "f int, {} int, x1 double, y1 double, x2 double, y2 double"
     got = R.greedy_match(
-        spark.createDataFrame(left, schema.format("a")), spark.createDataFrame(right, schema.format("b")), ["f"], "a", "b", 0.3, crowded
+        spark.createDataFrame(left, schema.format("a")), spark.createDataFrame(right, schema.format("b")), ["f"], "a", "b", 0.3
     )
     assert_nothing_better(left, right, 0.3, {(r.f, r.a): r.b for r in got.collect()})
 
 
+def test_greedy_match_of_a_long_chain(spark):
+    """Every left box overlaps two right ones and would take its neighbour's: the pairs pass once all the same."""
+    n = 10_000
+    place = spark.range(n).select(F.lit(0).alias("f"), F.col("id"), (F.col("id") * 10.0).alias("x"))
+    box = lambda shift, name: place.select("f", F.col("id").alias(name), (F.col("x") + shift).alias("x1"), F.lit(0.0).alias("y1"), (F.col("x") + shift + 10).alias("x2"), F.lit(10.0).alias("y2"))
+    got = R.greedy_match(box(0.0, "a"), box(-5.0, "b"), ["f"], "a", "b", 0.3).select("a", "b").collect()
+    assert sorted((r.a, r.b) for r in got) == [(i, i) for i in range(n)]
+
+
 def assert_sampled(rows, step, kept):
     """The first row is kept; any other if and only if it is ``step`` away from the kept row before it."""
     value, ordered = dict(rows), sorted(kept)
