@@ -197,18 +197,18 @@ def stale_at_probes(spark, folder):
     )
 
 
-GATES = """ctl AS (SELECT user_id AS stream_id, ts, event_id, CASE WHEN event_type = 'error' THEN value > 40 END AS c_lane, CASE WHEN event_type = 'view' THEN value > 20 END AS c_signs FROM events WHERE event_type IN ('error', 'view')),
+GATES = """ctl AS (SELECT user_id AS stream_id, ts, event_id, CASE WHEN event_type IN ('error', 'click') THEN value > 40 END AS c_lane, CASE WHEN event_type IN ('view', 'purchase', 'signup') THEN value > 20 END AS c_signs FROM events),
 gt AS (SELECT *, coalesce(last_value(c_lane IGNORE NULLS) OVER w, true) AS lon, coalesce(last_value(c_signs IGNORE NULLS) OVER w, true) AS son FROM
  (SELECT stream_id, ts, msg_id, 1 AS k, sp, li, lw, ld, speed_at, sign_at, adas_at, NULL AS c_lane, NULL AS c_signs FROM f UNION ALL SELECT stream_id, ts, event_id, 0, NULL, NULL, NULL, NULL, NULL, NULL, NULL, c_lane, c_signs FROM ctl)
  WINDOW w AS (PARTITION BY stream_id ORDER BY ts, k, msg_id ROWS UNBOUNDED PRECEDING))"""
 
 
 def _gated(spark, folder):
-    e = V.timed_events(spark, folder).filter("event_type IN ('error', 'view')")
+    e = V.timed_events(spark, folder)
     control = e.select(
         F.col("user_id").alias("stream_id"), "ts", F.col("event_id").alias("msg_id"),
-        F.when(F.col("event_type") == "error", F.col("value") > 40).alias("lane"),
-        F.when(F.col("event_type") == "view", F.col("value") > 20).alias("signs"), F.lit(None).cast("boolean").alias("fcw"),
+        F.when(F.col("event_type").isin("error", "click"), F.col("value") > 40).alias("lane"),
+        F.when(F.col("event_type").isin("view", "purchase", "signup"), F.col("value") > 20).alias("signs"), F.lit(None).cast("boolean").alias("fcw"),
     )
     return S.feature_gates(_state(spark, folder), control, "stream_id", "ts", ORDER)
 
