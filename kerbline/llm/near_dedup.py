@@ -3,7 +3,8 @@
 Documents with equal shingle sets are one class from the start. Classes meet when all minima of a
 band agree. Of every minimum only its low bits are kept for the signature; a signature is a few
 longs, and the similarity of two is their number of equal lanes, corrected for lanes that agree by
-chance. What passes is confirmed on the whole sets. In a band with many members each class is first
+chance. What passes is confirmed on the whole sets. A class whose own shingles, those of no other
+candidate, are too many to leave room for a similar one takes no part. In a band with many members each class is first
 compared with two of them, which joins what belongs together in a linear number of pairs; only
 classes that are still in different components are then compared with each other, so no link is
 lost and no group is spelled out pair by pair.
@@ -165,10 +166,21 @@ def linked(docs: DataFrame, words: int, percent: int, bands: int = 24, rows: int
     sets = checkpointed(
         pack(docs).join(carriers, "rid").select("cls", "text").dropDuplicates(["cls"]).mapInArrow(items, "cls long, items array<long>")
     )
-    crowds = every.groupBy("band").agg(
+    # Shingles that no other candidate has bound what a class can share with any: too many, and it has no link.
+    alone = (
+        sets.select("cls", F.explode("items").alias("item"))
+        .groupBy("item")
+        .agg(F.count("*").alias("holders"), F.min("cls").alias("cls"))
+        .filter("holders = 1")
+        .groupBy("cls")
+        .agg(F.count("*").alias("alone"))
+    )
+    live = facts.join(sets.select("cls"), "cls").join(alone, "cls", "left").filter(100 * (F.col("n") - F.coalesce("alone", F.lit(0))) >= percent * F.col("n"))
+    members = checkpointed(every.join(live.select("cls"), "cls"))
+    crowds = members.groupBy("band").agg(
         F.count("*").alias("size"), F.min("cls").alias("one"), F.max_by("cls", F.xxhash64("cls")).alias("other")
     ).filter("size > 1")
-    met = checkpointed(every.join(crowds.select("band", "one", "other"), "band"))
+    met = checkpointed(members.join(crowds.select("band", "one", "other"), "band"))
     stars = met.select(F.explode(F.array("one", "other")).alias("w"), "cls").filter("w != cls")
     ordered = stars.select(F.least("w", "cls").alias("u"), F.greatest("w", "cls").alias("v"))
     edges = checkpointed(similar_pairs(plausible(ordered), sets, percent))
