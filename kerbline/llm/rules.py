@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from ..session import checkpointed
 from .arrays import Rolling, Texts, pieces, rows_of, texts_of, words_of
+from .sampling import fitting_sample
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -217,13 +218,12 @@ def verdict(rules: list[Rule], at: str = "") -> Column:
 
 
 def fit(rows: DataFrame, labels: DataFrame, sample: int) -> list[Rule]:
-    """Rules from at most ``sample`` labelled rows of ``statistics`` that pass the base, those of the smallest hash of doc_id."""
+    """Rules from about ``sample`` labelled rows of ``statistics`` at most; rows that fail the base teach nothing."""
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).dropna().groupBy("doc_id").agg(F.min("quality").alias("quality"))
     taught = (
         rows.filter("NOT base_failed")
-        .join(known, "doc_id")
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(sample)
+        .join(F.broadcast(fitting_sample(known, sample)), "doc_id")
+        .orderBy("doc_id")
         .select(*[share(n).alias(n) for n in SHARES], (F.col("quality") == 0).alias("bad"))
         .toPandas()
     )

@@ -13,10 +13,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import Rolling, lowered, pieces, texts_of
+from .sampling import fitting_sample
 
 
 class Settings(NamedTuple):
@@ -68,7 +69,7 @@ def counts(taught: DataFrame, settings: Settings) -> np.ndarray:
 
 
 def fit(taught: DataFrame, settings: Settings) -> Model:
-    """A model from rows of text, toxic (0 or 1) and place (the first are fitted). Without both classes the score is the share of toxic rows."""
+    """A model from rows of text, toxic (0 or 1) and first (those are fitted). Without both classes the score is the share of toxic rows."""
     bucket, clean, toxic = counts(taught, settings)
     texts = bucket == 1 << settings.bits
     n_clean, n_toxic = int(clean[texts].sum()), int(toxic[texts].sum())
@@ -91,7 +92,7 @@ def fit(taught: DataFrame, settings: Settings) -> Model:
             own = [np.unique(s[s >= 0]) for s in (shared.value[b] for b in buckets_of(*texts_of(batch.column("text")), settings))]
             yield pa.record_batch({"toxic": batch.column("toxic"), "have": pa.array(own, pa.list_(pa.int32()))})
 
-    rows = taught.filter(F.col("place") <= settings.fitted).select("text", "toxic").mapInArrow(work, "toxic int, have array<int>").toArrow().combine_chunks()
+    rows = taught.filter("first").select("text", "toxic").mapInArrow(work, "toxic int, have array<int>").toArrow().combine_chunks()
     lists = rows.column("have").combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.int32()))
     beta, bias = regression(lists.value_lengths().to_numpy(), lists.flatten().to_numpy(), rows.column("toxic").to_numpy().astype(float), ratio)
     weights[chosen] = (beta * ratio).astype(np.float32)
@@ -169,15 +170,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()
     """doc_id, held_out, score and predicted, one row for each input row.
 
     Rows whose crc32(doc_id as text) leaves 0 when divided by 5 are held out: their labels are never read. Of the others
-    the model sees at most ``settings.sample`` for its counts and ``settings.fitted`` for its last fit, those of the
-    smallest hash of doc_id (a bounded sample for fitting only). Only the text is scored. Labels that are null teach nothing; a doc_id labelled twice counts as toxic if one label says so.
+    the model sees about ``settings.sample`` at most for its counts and ``settings.fitted`` for its last fit, by a hash of
+    doc_id (a bounded sample for fitting only). Only the text is scored. Labels that are null teach nothing; a doc_id labelled twice counts as toxic if one label says so.
     """
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropna().filter(~fold & F.col("toxic").isin(0, 1))
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.sample)
-    known = known.withColumn("place", F.row_number().over(Window.orderBy(F.xxhash64("doc_id"), "doc_id")))
-    # At most ``sample`` ids and numbers: small enough for every task, so the texts stay where they are.
-    taught = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    # About ``sample`` ids at most: small enough for every task, so the texts stay where they are.
+    taught = docs.select("doc_id", "text").join(F.broadcast(fitting_sample(known, settings.sample, settings.fitted)), "doc_id")
     model = fit(taught, settings)
     return score(docs, model, settings).select(
         "doc_id", fold.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
