@@ -12,7 +12,13 @@ from . import bin_slack, bpe_automaton, histogram_sort, kneser_ney, near_dedup,
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Rows of a batch that Spark hands to a Python worker. Texts are long: the default of 10,000 rows is tens of MB, held
+#: several times over by either side.
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
