@@ -129,8 +129,9 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def linked(docs: DataFrame, words: int, percent: int, bands: int = 24, rows: int = 4, slack: float = 0.25) -> tuple[DataFrame, DataFrame]:
     """The sketches of all documents, and for each class the first row (doc_id and rid) of its group.
 
-    A pair at the limit misses every band with probability (1 - 0.85**rows)**bands, 2e-8 by default; ``slack`` is how
-    far below the limit an estimate may lie and still be confirmed on the full sets (six standard deviations).
+    A pair at the limit misses every band with probability (1 - (percent / 100)**rows)**bands: 2e-8 at 85 and 3e-6 at
+    80 with 24 bands of 4. ``slack`` is how far below the limit an estimate may lie and still be confirmed on the full
+    sets (six standard deviations at 85, five at 80).
     """
     docs = docs.select("doc_id", "text")
     rows_ = checkpointed(sketches(docs, words, bands, rows))
@@ -212,7 +213,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85) -> DataF
     return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def keep_one(docs: DataFrame, words: int = 5, percent: int = 85) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group, that of the smallest doc_id, with all its columns; texts without words all stay."""
     rows, groups = linked(docs, words, percent)
     stay = groups.select(F.col("first.rid").alias("__rid")).distinct()

@@ -348,3 +348,20 @@ def test_digests_of_the_queries(spark):
         ids = tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_the_pipeline_joins_near_copies_from_80_percent_on(spark):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    words = [str(rng.randrange(10**6)) for _ in range(204)]
+
+    def edited(at, number):
+        return (number, " ".join("other" if k in at else w for k, w in enumerate(words)))
+
+    # 200 shingles, 5 less with each edit: 180 / 220 is 0.818, 175 / 225 is 0.778.
+    pair = [edited((), 1), edited((30, 60, 90, 120), 2)]
+    apart = [edited((), 1), edited((30, 60, 90, 120, 150), 2)]
+    stay = lambda rows: {r.doc_id for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert stay(pair) == {1} and stay(apart) == {1, 2}
+    assert all(r.kept for r in near_dedup.near_duplicates(spark.createDataFrame(pair, "doc_id long, text string")).collect())
