@@ -294,24 +294,28 @@ def scores(docs: DataFrame, labels: DataFrame, block_bytes: int = 32 << 20) -> D
     )
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, margin: float = 0.1) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.98, short: int = 100) -> DataFrame:
     """rid, doc_id, lang, n_chars, perplexity, threshold and kept, one row for each input row.
 
-    Nine in ten trusted documents (quality 1) train the model; by the others the thresholds are set: of each language
-    the ``quantile`` of their perplexities and ``margin`` more. A language without such documents has the threshold of
-    all. A document is kept up to its threshold. Null and empty texts have no perplexity and are not kept; without any
-    trusted document every other text is kept. Null languages are one language.
+    Nine in ten trusted documents (quality 1) train the model; by the others of ``short`` characters or more (all, if
+    none is as long) the thresholds are set: the median perplexity of a language times the ``quantile`` of how far all
+    of them, of any language, lie from the median of their own. One odd text moves neither, however few a language has.
+    A language without such documents has the median of all. A document is kept up to its threshold. Null and empty
+    texts have no perplexity and are not kept; without any trusted document every other text is kept. Null languages
+    are one language.
     """
-    scored = checkpointed(scores(docs, labels))
+    scored = checkpointed(scores(docs, labels)).withColumn("language", F.coalesce("lang", F.lit("")))
     held = scored.filter("trusted = 2 AND perplexity IS NOT NULL")
-    limit = (F.percentile_approx("perplexity", quantile, 10_000) * (1 + margin)).alias("own")
-    by_language = held.groupBy(F.coalesce("lang", F.lit("")).alias("language")).agg(limit)
-    overall = held.agg(limit).first()["own"]
-    rest = F.lit(float("inf") if overall is None else overall)
+    enough = held.filter(F.col("n_chars") >= short)
+    held = held if enough.isEmpty() else enough
+    middle = F.percentile_approx("perplexity", 0.5, 10_000).alias("middle")
+    by_language = held.groupBy("language").agg(middle)
+    overall = held.agg(middle).first()["middle"]
+    spread = held.join(by_language, "language").agg(F.percentile_approx(F.col("perplexity") / F.col("middle"), quantile, 10_000)).first()[0]
+    threshold = F.lit(float("inf")) if overall is None else F.coalesce("middle", F.lit(overall)) * spread
     return (
-        scored.withColumn("language", F.coalesce("lang", F.lit("")))
-        .join(by_language, "language", "left")
-        .withColumn("threshold", F.coalesce("own", rest))
+        scored.join(by_language, "language", "left")
+        .withColumn("threshold", threshold)
         .select("rid", "doc_id", "lang", "n_chars", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("kept"))
     )
 

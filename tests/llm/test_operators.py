@@ -365,3 +365,26 @@ def test_the_pipeline_joins_near_copies_from_80_percent_on(spark):
     stay = lambda rows: {r.doc_id for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
     assert stay(pair) == {1} and stay(apart) == {1, 2}
     assert all(r.kept for r in near_dedup.near_duplicates(spark.createDataFrame(pair, "doc_id long, text string")).collect())
+
+
+def test_classifier_errs_little_either_way(spark):
+    folder = "/root/testdata/sf0.1"
+    documents, marks = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    quality = {r.doc_id: r.quality for r in marks.collect()}
+    got = kneser_ney.classify(documents, marks).collect()
+    fold = lambda i: kneser_ney.mix(np.array([i], np.uint64))[0] % np.uint64(10) == 0
+    gone = [not r.kept for r in got if quality.get(r.doc_id) == 0]
+    lost = [not r.kept for r in got if quality.get(r.doc_id) == 1 and fold(r.doc_id)]
+    assert sum(gone) >= 0.95 * len(gone) and sum(lost) <= 0.04 * len(lost)
+
+
+def test_one_odd_trusted_text_sets_no_limit(spark):
+    rng = random.Random(13)
+    rows = [(i, " ".join(rng.choice(["lane", "sign", "road", "frame"]) for _ in range(60)), "en" if i % 9 else "de") for i in range(1200)]
+    held = [i for i, _, lang in rows if lang == "de" and kneser_ney.mix(np.array([i], np.uint64))[0] % np.uint64(10) == 0]
+    noise = lambda: "".join(chr(rng.randrange(33, 700)) for _ in range(300))
+    rows[held[0]] = (held[0], noise(), "de")
+    bad = [(5000 + i, noise(), "de") for i in range(20)]
+    good = spark.createDataFrame([(i, 1) for i, _, _ in rows], "doc_id long, quality int")
+    got = kneser_ney.classify(spark.createDataFrame(rows + bad, "doc_id long, text string, lang string"), good).collect()
+    assert 2 < len(held) < 50 and not any(r.kept for r in got if r.doc_id >= 5000)
