@@ -25,6 +25,8 @@ from ..session import checkpointed
 from .arrays import U64, Rolling, Texts, pieces, powers, rows_of, sliding_min, spread, texts_of, words_of
 
 
+#: Single windows of a batch.
+WINDOWS = 1 << 14
 #: Bits of a hash that hold a place.
 PLACE = U64((1 << 31) - 1)
 
@@ -111,18 +113,42 @@ def candidates(docs: DataFrame, kind: Kind, across: bool) -> DataFrame:
     return checkpointed(found.select(*columns).join(keys, "key"))
 
 
-def contents(packed: DataFrame, found: DataFrame, kind: Kind, crowded: int = 20_000) -> DataFrame:
-    """The tokens of each different candidate segment once: group, key, seg, off, copies, first_doc, tokens.
+def contents(packed: DataFrame, found: DataFrame, kind: Kind, crowded: int = 20_000) -> tuple[DataFrame, DataFrame | None]:
+    """The tokens of each different candidate segment once (group, key, seg, off, copies, first_doc, tokens), and the
+    repeated windows of crowded keys (key, seg, from, number, low), None if there is no such key.
 
-    Windows that are equal are in the same ``group``. That is the key, except for keys with more than ``crowded``
-    different segments: these are dealt out window by window, by a hash of the window's own tokens (``off``: the
-    window's number in its segment), so a key that very many documents share never meets in one task.
+    Windows that are equal are in the same ``group``, that of their key. Keys with more than ``crowded`` different
+    segments have no group: their windows are told apart by two 64-bit hashes of their tokens and combined before they
+    move, so neither a key nor a passage that very many documents share meets in one task.
     """
     first = F.min("doc_id") if "doc_id" in found.columns else F.lit(0).cast("long")
     different = found.groupBy("key", "seg").agg(F.count("*").alias("copies"), first.alias("first_doc"), F.min(F.struct("rid", "place", "n")).alias("at"))
-    keys = different.groupBy("key").count().filter(F.col("count") > crowded).select("key", F.lit(True).alias("split"))
-    wanted = different.join(keys, "key", "left").select("key", "seg", "copies", "first_doc", "at.*", F.coalesce("split", F.lit(False)).alias("split"))
-    lists = wanted.groupBy("rid").agg(F.collect_list(F.struct("key", "seg", "copies", "first_doc", "place", "n", "split")).alias("parts"))
+    many = found.groupBy("key").count().filter(F.col("count") > crowded).select("key")
+    segs = found.join(many, "key", "left_semi").select("key", "seg").distinct()
+    keys = checkpointed(segs.groupBy("key").count().filter(F.col("count") > crowded).select("key"))
+    if keys.isEmpty():
+        return stretches(packed, different, kind, False), None
+    rows = stretches(packed, different.join(keys, "key", "left_anti"), kind, False)
+    return rows, repeated(stretches(packed, different.join(keys, "key", "left_semi"), kind, True))
+
+
+def repeated(windows: DataFrame) -> DataFrame:
+    """Of single windows those that occur twice or more, as key, seg, from, number, low (the smallest first_doc)."""
+    same = ["key", "group", "check"]
+    # The tokens stay behind: the second hash is of all of them, by another function.
+    hashed = checkpointed(windows.select("key", "group", F.xxhash64("tokens").alias("check"), "seg", "off", "copies", "first_doc"))
+    # Cut by a checkpoint, so that AQE can split a crowded window in the join.
+    totals = checkpointed(hashed.groupBy(*same).agg(F.sum("copies").alias("total"), F.min("first_doc").alias("low")).filter("total > 1").drop("total"))
+    return hashed.join(totals, same).select("key", "seg", F.col("off").alias("from"), F.lit(1).alias("number"), "low")
+
+
+def stretches(packed: DataFrame, different: DataFrame, kind: Kind, split: bool) -> DataFrame:
+    """The tokens of different segments: group, key, seg, off, copies, first_doc, tokens.
+
+    ``split``: window by window (``off``: the window's number in its segment), with a hash of the window as its group.
+    """
+    wanted = different.select("key", "seg", "copies", "first_doc", "at.*")
+    lists = wanted.groupBy("rid").agg(F.collect_list(F.struct("key", "seg", "copies", "first_doc", "place", "n")).alias("parts"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in unpacked(batches):
@@ -131,22 +157,21 @@ def contents(packed: DataFrame, found: DataFrame, kind: Kind, crowded: int = 20_
             parts = lists.flatten()
             row = rows_of(lists.offsets.to_numpy() - lists.offsets[0].as_py())
             place, n = (parts.field(c).to_numpy().astype(np.int64) for c in ("place", "n"))
-            split = parts.field("split").to_numpy(zero_copy_only=False)
-            reps = np.where(split, n, 1)
-            part = np.repeat(np.arange(len(n)), reps)
-            off = spread(np.zeros(len(n), np.int64), reps)
-            start = first[row[part]] + place[part] + off
-            size = np.where(split[part], 1, n[part]) + kind.length - 1
-            group = parts.field("key").to_numpy().copy()[part]
-            if split.any():
-                at = np.flatnonzero(split[part])
-                hashes = values if values.dtype == U64 else powers(1)[0][values]
-                group[at] = Rolling(hashes).between(start[at], start[at] + kind.length).view(np.int64)
-            body = values[spread(start, size)].view(np.uint8)
-            ends = np.append(0, np.cumsum(size * values.itemsize)).astype(np.int64)
-            tokens = pa.Array.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(body))])
-            took = {c: parts.field(c).take(pa.array(part)) for c in ("key", "seg", "copies", "first_doc")}
-            yield pa.record_batch({"group": group, **took, "off": off.astype(np.int32), "tokens": tokens.cast(pa.binary())})
+            reps = n if split else np.ones(len(n), np.int64)
+            every = np.repeat(np.arange(len(n)), reps)
+            offs = spread(np.zeros(len(n), np.int64), reps)
+            rolling = Rolling(values if values.dtype == U64 else powers(1)[0][values]) if split else None
+            step = WINDOWS if split else max(1, len(every))
+            for begin in range(0, len(every), step):
+                part, off = every[begin : begin + step], offs[begin : begin + step]
+                start = first[row[part]] + place[part] + off
+                size = (np.ones(len(part), np.int64) if split else n[part]) + kind.length - 1
+                group = parts.field("key").to_numpy()[part] if rolling is None else rolling.between(start, start + kind.length).view(np.int64)
+                body = values[spread(start, size)].view(np.uint8)
+                ends = np.append(0, np.cumsum(size * values.itemsize)).astype(np.int64)
+                tokens = pa.Array.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(body))])
+                took = {c: parts.field(c).take(pa.array(part)) for c in ("key", "seg", "copies", "first_doc")}
+                yield pa.record_batch({"group": group, **took, "off": off.astype(np.int32), "tokens": tokens.cast(pa.binary())})
 
     return packed.join(lists, "rid").select("text", "parts").mapInArrow(work, "group long, key long, seg long, copies long, first_doc long, off int, tokens binary")
 

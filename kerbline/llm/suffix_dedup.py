@@ -184,7 +184,10 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 64, memory: i
     docs = docs.select("doc_id", "text")
     found = candidates(docs, kind, across=False)
     packed = pack(docs)
-    marks = by_group(contents(packed, found, kind)).mapInArrow(_mark(kind, memory), "key long, seg long, from int, number int")
+    rows, windows = contents(packed, found, kind)
+    marks = by_group(rows).mapInArrow(_mark(kind, memory), "key long, seg long, from int, number int")
+    if windows is not None:
+        marks = marks.unionByName(windows.drop("low"))
     spans = (
         found.join(marks, ["key", "seg"])
         .select("rid", (F.col("place") + F.col("from")).alias("at"), F.col("number"))

@@ -1,7 +1,7 @@
 """Removal of long repeated word passages by prefix-partitioned suffix trees.
 
 Spark brings together the stretches of text whose windows may repeat (``segments``): windows that are
-equal are always in one group, and a crowded group is split by its windows' own words. A task divides
+equal are always in one group; those of crowded groups are combined by their hashes instead. A task divides
 its suffixes by prefixes that are lengthened until each part is small enough, orders each part into a
 subtree (suffixes in order with the words that neighbours share), and reads the repeats off the nodes
 at the depth of a whole window: all leaves below such a node start with the same words.
@@ -146,7 +146,10 @@ def remove_passages(docs: DataFrame, length: int = 50, gram: int = 10, memory: i
     docs = docs.select("doc_id", "text")
     found = candidates(docs, kind, across=True)
     packed = pack(docs)
-    marks = by_group(contents(packed, found, kind)).mapInArrow(_mark(kind, memory), "key long, seg long, from int, number int, low long")
+    rows, windows = contents(packed, found, kind)
+    marks = by_group(rows).mapInArrow(_mark(kind, memory), "key long, seg long, from int, number int, low long")
+    if windows is not None:
+        marks = marks.unionByName(windows)
     spans = (
         found.join(marks, ["key", "seg"])
         .filter("low < doc_id")

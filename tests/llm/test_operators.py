@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from kerbline.llm import bin_slack, bpe_automaton, histogram_sort, kneser_ney, near_dedup, rules, suffix_dedup, syncmers, toxicity, tree_dedup
+from kerbline.llm import bin_slack, bpe_automaton, histogram_sort, kneser_ney, near_dedup, rules, segments, suffix_dedup, syncmers, toxicity, tree_dedup
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -388,3 +388,25 @@ def test_one_odd_trusted_text_sets_no_limit(spark):
     good = spark.createDataFrame([(i, 1) for i, _, _ in rows], "doc_id long, quality int")
     got = kneser_ney.classify(spark.createDataFrame(rows + bad, "doc_id long, text string, lang string"), good).collect()
     assert 2 < len(held) < 50 and not any(r.kept for r in got if r.doc_id >= 5000)
+
+
+@pytest.mark.parametrize("operator, unit, length, gram, run", [(suffix_dedup, "byte", 200, 64, 256), (tree_dedup, "word", 50, 10, 128)])
+def test_a_passage_between_many_neighbours_gathers_nowhere(spark, operator, unit, length, gram, run, monkeypatch):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 8)))
+    passage = " ".join(word() for _ in range(70))
+    table = spark.createDataFrame([(i, " ".join([*(word() for _ in range(60)), passage, *(word() for _ in range(60))])) for i in range(60)], "doc_id long, text string")
+    kind = segments.Kind(unit, length, gram, run)
+    found = segments.candidates(table, kind, across=unit == "word")
+    rows, windows = segments.contents(segments.pack(table), found, kind, crowded=20)
+    assert max([r["count"] for r in rows.groupBy("group").count().collect()], default=0) <= 20 and windows.count()
+    remove = operator.remove_repeats if unit == "byte" else operator.remove_passages
+    want = sorted(remove(table).drop("rid").collect())
+    monkeypatch.setattr(operator, "contents", lambda *a: segments.contents(*a, crowded=20))
+    assert sorted(remove(table).drop("rid").collect()) == want and sum(r.n_removed > 0 for r in want) >= 59
+
+
+def test_repeats_of_crowded_keys_by_windows(docs, monkeypatch):
+    want = collections.Counter(suffix_dedup.remove_repeats(docs).collect())
+    monkeypatch.setattr(suffix_dedup, "contents", lambda *a: segments.contents(*a, crowded=0))
+    assert collections.Counter(suffix_dedup.remove_repeats(docs).collect()) == want
