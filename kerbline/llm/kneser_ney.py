@@ -28,6 +28,10 @@ ORDER, BITS = 5, 10
 SYMBOLS = 1 << BITS
 #: Blocks whose questions a shard answers in one task.
 BLOCKS_OF_SALT = 256
+#: Counts of trusted texts that are added up in one step.
+COMBINED = 64
+#: Bytes that a row counts beside its text when blocks are measured.
+ROW_BYTES = 64
 MASKS = [(1 << (BITS * k)) - 1 for k in range(ORDER + 1)]
 
 
@@ -145,6 +149,21 @@ def facts_of(table: pa.Table) -> pa.Table:
     return pa.table({"kind": pa.array(kinds, pa.int32()), "key": pa.array(keys, pa.int64()), "number": pa.array(numbers, pa.int64())})
 
 
+def combined(table: pa.Table) -> pa.Table:
+    """Counts of several blocks as one row."""
+    codes, counts = merged(table)
+    shard, part = (table.column(c)[0].as_py() for c in ("shard", "part"))
+    return pa.table(
+        {
+            "shard": pa.array([shard], pa.int64()),
+            "salt": pa.array([-1], pa.int32()),
+            "block": pa.array([part], pa.int64()),
+            "codes": pa.array([codes.tobytes()], pa.binary()),
+            "counts": pa.array([counts.astype(np.int32).tobytes()], pa.binary()),
+        }
+    )
+
+
 def answer(table: pa.Table, common: pa.Table) -> pa.Table:
     """Log-probabilities of all n-grams that the blocks of a shard ask for."""
     every, counts = merged(table)
@@ -203,9 +222,27 @@ def rid() -> Column:
     return F.xxhash64("doc_id", "lang", "text").alias("rid")
 
 
+def placed(docs: DataFrame, ids: DataFrame, blocks: int, block_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """``docs`` and the rows ``ids`` (one a doc_id) with the block of each: all documents of an id meet it.
+
+    An id with more than a quarter of a block is dealt out row by row, and its row of ``ids`` goes to all its parts.
+    Documents without an id meet nothing and are dealt out over all blocks.
+    """
+    most = max(1, block_bytes // 4)
+    sizes = docs.groupBy("doc_id").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES).alias("bytes"))
+    # At most four of these a block.
+    heavy = F.broadcast(sizes.filter(F.col("doc_id").isNotNull() & (F.col("bytes") > most)).select("doc_id", F.ceil(F.col("bytes") / most).alias("fan")))
+    block = lambda part: F.pmod(F.xxhash64("doc_id", part), F.lit(blocks)).alias("block")
+    place = F.xxhash64(F.monotonically_increasing_id())
+    fan = F.when(F.col("doc_id").isNull(), F.lit(blocks).cast("long")).otherwise(F.coalesce("fan", F.lit(1).cast("long")))
+    rows = docs.withColumn("place", place).join(heavy, "doc_id", "left").select(*docs.columns, F.pmod("place", fan).alias("part"))
+    told = ids.join(heavy, "doc_id", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("fan", F.lit(1).cast("long")) - 1)))
+    return rows.select(*docs.columns, block(F.col("part"))), told.select(*ids.columns, block(F.col("part")))
+
+
 def scores(docs: DataFrame, labels: DataFrame, block_bytes: int = 32 << 20) -> DataFrame:
     """rid, doc_id, lang, n_chars, perplexity (of a character; null for a text without any) and trusted (0, 1 or 2)."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES)).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))
     shards, salts = max(16, 2 * blocks), math.ceil(blocks / BLOCKS_OF_SALT)
 
@@ -215,14 +252,14 @@ def scores(docs: DataFrame, labels: DataFrame, block_bytes: int = 32 << 20) -> D
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             texts = [squeeze(x.as_buffer()) if x.is_valid else None for x in batch.column("text").cast(pa.large_binary())]
-            columns = {c: batch.column(c) for c in ("rid", "doc_id", "lang")}
+            columns = {c: batch.column(c) for c in ("rid", "doc_id", "lang", "block")}
             yield pa.record_batch({**columns, "text": pa.array(texts, pa.binary())})
 
-    packed = docs.select(rid(), "doc_id", "lang", "text").mapInArrow(squeezed, "rid long, doc_id long, lang string, text binary").withColumn("label", F.lit(False))
     good = labels.select("doc_id", "quality").dropna().groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1")
-    flags = good.select(F.lit(None).cast("long").alias("rid"), "doc_id", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("binary").alias("text"), F.lit(True).alias("label"))
-    where = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block")
-    rows = packed.unionByName(flags).select("*", where)
+    dealt, told = placed(docs.select(rid(), "doc_id", "lang", "text"), good.select("doc_id"), blocks, block_bytes)
+    packed = dealt.mapInArrow(squeezed, "rid long, doc_id long, lang string, block long, text binary").withColumn("label", F.lit(False))
+    nothing = {n: F.lit(None).cast(kind) for n, kind in (("rid", "long"), ("lang", "string"), ("text", "binary"))}
+    rows = packed.unionByName(told.withColumns({**nothing, "label": F.lit(True)}))
 
     def ask(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
@@ -240,15 +277,24 @@ def scores(docs: DataFrame, labels: DataFrame, block_bytes: int = 32 << 20) -> D
         out: dict[str, list] = {"shard": [], "salt": [], "block": [], "codes": [], "counts": []}
         edges = np.flatnonzero(np.diff(shard[order])) + 1
         for own in np.split(order, edges) if len(order) else []:
-            for salt in range(salts):
-                here = own if salt == block % salts else own[counts[own] > 0]
-                values = (int(shard[own[0]]), salt, block if salt == block % salts else -1, codes[here].tobytes(), counts[here].tobytes())
-                for name, value in zip(out, values, strict=True):
+            taught = own[counts[own] > 0]
+            asks = (block % salts, codes[own].tobytes(), (counts[own] if salts == 1 else np.zeros(len(own), np.int32)).tobytes())
+            tells = (-1, codes[taught].tobytes(), counts[taught].tobytes())
+            for salt, some, n in [asks, tells] if salts > 1 and len(taught) else [asks]:
+                for name, value in zip(out, (int(shard[own[0]]), salt, block, some, n), strict=True):
                     out[name].append(value)
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
         return pa.table({n: pa.array(v, k) for (n, v), k in zip(out.items(), kinds, strict=True)})
 
-    asked = rows.groupBy("block").applyInArrow(ask, "shard long, salt int, block long, codes binary, counts binary")
+    schema = "shard long, salt int, block long, codes binary, counts binary"
+    asked = rows.groupBy("block").applyInArrow(ask, schema)
+    if salts > 1:  # the counts of trusted texts are added up before they go to every salt
+        known, left = asked.filter("salt = -1"), blocks
+        while left > 1:
+            known = known.withColumn("part", F.floor(F.col("block") / COMBINED)).groupBy("shard", "part").applyInArrow(combined, schema)
+            left = math.ceil(left / COMBINED)
+        known = known.withColumn("block", F.lit(-1).cast("long")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        asked = asked.filter("salt >= 0").unionByName(known)
     facts = asked.groupBy("shard", "salt").applyInArrow(facts_of, "kind int, key long, number long")
     facts = facts.groupBy("kind", "key").agg(F.sum("number").alias("number"))
     # At most SYMBOLS squared pairs and a few counts: one row, which every shard gets.
@@ -275,7 +321,10 @@ def scores(docs: DataFrame, labels: DataFrame, block_bytes: int = 32 << 20) -> D
             for at, some in runs(texts):
                 codes, first = grams(some)
                 which, different = pd.factorize(codes)
-                own = logs[np.searchsorted(known, different)]
+                at_known = np.minimum(np.searchsorted(known, different), len(known) - 1)
+                if (known[at_known] != different).any():
+                    raise ValueError("a block was dealt out anew between its questions and their answers")
+                own = logs[at_known]
                 total[at : at + len(some)] = np.bincount(rows_of(first), own[which], len(some))
         perplexity = np.exp(-total / np.maximum(n, 1))
         return pa.table(

@@ -410,3 +410,28 @@ def test_repeats_of_crowded_keys_by_windows(docs, monkeypatch):
     want = collections.Counter(suffix_dedup.remove_repeats(docs).collect())
     monkeypatch.setattr(suffix_dedup, "contents", lambda *a: segments.contents(*a, crowded=0))
     assert collections.Counter(suffix_dedup.remove_repeats(docs).collect()) == want
+
+
+def test_a_hot_id_fills_no_block(spark):
+    rows = [(i, f"text number {i} " * 20, "en") for i in range(200)] + [(7, "the hot text " * 30, "en")] * 300 + [(None, "no number here " * 30, "en")] * 300
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    good = spark.createDataFrame([(i,) for i in range(0, 200, 7)], "doc_id long")
+    dealt, told = kneser_ney.placed(table, good, 40, 8_000)
+    size = {r.block: r.size for r in dealt.groupBy("block").count().withColumnRenamed("count", "size").collect()}
+    assert sum(size.values()) == len(rows) and max(size.values()) < 60
+    at = collections.defaultdict(set)
+    for r in told.collect():
+        at[r.doc_id].add(r.block)
+    trusted = {r[0] for r in good.collect()}
+    assert all(r.block in at[r.doc_id] for r in dealt.filter("doc_id IS NOT NULL").collect() if r.doc_id in trusted)
+
+
+def test_hot_ids_have_the_same_scores_in_many_blocks(spark, monkeypatch):
+    rows = [(i, f"text number {i} of some " * 20, "en") for i in range(60)] + [(7, "the hot text " * 30, "en")] * 90 + [(None, "no number " * 30, "en")] * 90
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    good = spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, quality int")
+    found = lambda size: collections.Counter((r.doc_id, r.n_chars, r.trusted, round(r.perplexity, 3)) for r in kneser_ney.scores(table, good, block_bytes=size).collect())
+    one = found(32 << 20)
+    monkeypatch.setattr(kneser_ney, "BLOCKS_OF_SALT", 3)
+    monkeypatch.setattr(kneser_ney, "COMBINED", 4)
+    assert found(6_000) == one and sum(one.values()) == len(rows)
