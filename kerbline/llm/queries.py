@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bin_slack, bpe_automaton, histogram_sort, kneser_ney, near_dedup, rules, suffix_dedup, syncmers, toxicity, tree_dedup
+from . import align, bin_slack, bpe_automaton, chunked_bpe, histogram_sort, kneser_ney, near_dedup, prefix_trie, rules, suffix_dedup, syncmers, toxicity, tree_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,6 +77,29 @@ def document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def words_pattern() -> str:
+    """The pattern that cuts texts before the merges of the byte-level files."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
+def byte_bpe_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    rows = chunked_bpe.encode_and_decode(table(spark, folder, "documents"), tokenizer("byte_bpe_50k.tiktoken"), words_pattern())
+    n_tokens = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
+    return rows.select("doc_id", n_tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def conversation_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.shared_prefix_trie(table(spark, folder, "conversations"))
+
+
+def cross_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    files = tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model")
+    rows = align.alignment(table(spark, folder, "documents"), *files, words_pattern(), hashed=True)
+    return rows.withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_classifier": quality_classifier,
     "op2_suffix_array_dedup": suffix_array_dedup,
@@ -88,6 +111,9 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": quality_rules,
     "op9_document_fingerprints": document_fingerprints,
     "op10_minhash_near_dedup": minhash_near_dedup,
+    "op11_byte_bpe_chunks": byte_bpe_chunks,
+    "op12_conversation_prefix_trie": conversation_prefix_trie,
+    "op13_cross_tokenizer_alignment": cross_tokenizer_alignment,
 }
 
 #: The words of each text with their numbers, for the SQL of the word operators.
@@ -120,6 +146,43 @@ reached(doc, low) AS (SELECT doc_id, doc_id FROM documents UNION SELECT v, low F
 parts AS (SELECT doc, min(low) AS component_id FROM reached GROUP BY doc)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
 FROM documents JOIN parts ON doc = doc_id LEFT JOIN sizes USING (doc_id)""",
+    "op12_conversation_prefix_trie": r"""WITH turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS g, xor(list_reduce([4294967295::BIGINT] || list_transform(split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+    lambda s, b: list_reduce([xor(s, b)] || range(8), lambda y, i: xor(y >> 1, (y & 1) * 3988292384))), 4294967295::BIGINT) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns)
+),
+parts AS (
+  SELECT c.conv_id, 0 AS side, t.pos, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.g AND t.pos <= c.h
+  UNION ALL SELECT c.conv_id, 1, t.pos, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.pos > c.h
+),
+rebuilt AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY side, pos) AS d, role, text FROM parts),
+named AS (
+  SELECT conv_id, d, text, md5(string_agg(md5(role) || md5(text), '') OVER (PARTITION BY conv_id ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS p
+  FROM rebuilt
+),
+walks AS (
+  SELECT conv_id, d, p, lag(p, 1, '') OVER (PARTITION BY conv_id ORDER BY d) AS up, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM named
+  UNION ALL SELECT conv_id, 0, '', NULL, 0 FROM convs
+),
+lengths AS (SELECT conv_id, max(d) AS l FROM walks GROUP BY conv_id),
+nodes AS (
+  SELECT p, d, min(conv_id) AS conv_id, min(up) AS up, max(words) AS words, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CASE WHEN d = l THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends_sha256
+  FROM walks JOIN lengths USING (conv_id) GROUP BY p, d
+),
+kids AS (SELECT up, count(*) AS n FROM nodes WHERE up IS NOT NULL GROUP BY up),
+full_nodes AS (SELECT nodes.*, coalesce(n, 0) AS n_children FROM nodes LEFT JOIN kids ON kids.up = nodes.p),
+sums AS (
+  SELECT w.p, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * u.words) AS saved_tokens
+  FROM full_nodes u JOIN walks w ON w.conv_id = u.conv_id AND w.d <= u.d GROUP BY w.p
+)
+SELECT v.conv_id, v.d::BIGINT AS depth, q.conv_id AS parent_conv_id, v.n_convs::BIGINT AS n_convs, v.n_children::BIGINT AS n_children,
+  n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, v.ends_sha256
+FROM full_nodes v JOIN sums USING (p) LEFT JOIN nodes q ON q.p = v.up""",
 }
 
 
