@@ -15,7 +15,7 @@ from ..functions.taxonomy import publishable
 from ..functions.text import gated_reading
 from ..session import checkpointed, match
 from .audit import widest_per_frame
-from .ordered import scan, tick_bucket, with_halo
+from .ordered import NOWHERE, entries, restored, scan, solid, tick_bucket, with_halo
 
 BUCKET = 4096
 
@@ -241,47 +241,35 @@ def smoothed(
     """Exponential smoothing ``s = keep * s + (1 - keep) * value`` from 0, on every row.
 
     A bucket multiplies what enters it by ``keep`` to the number of its rows and adds
-    its own part, so buckets are chained by those two numbers alone.
+    its own part, so buckets are composed by those two numbers alone (``entries``).
     """
     slot = "__slot"
-    rows = df.withColumn(slot, tick_bucket(tick, bucket))
-    grouped = rows.groupBy(stream, slot).agg(
+    rows, keys = solid(df.withColumn(slot, F.coalesce(tick_bucket(tick, bucket).cast("bigint"), F.lit(NOWHERE))), [stream])
+    grouped = rows.groupBy(*keys, slot).agg(
         F.sort_array(F.collect_list(F.struct(F.col(tick).alias("t"), F.col(value).cast("double").alias("v")))).alias("__r")
     )
 
     def step(s: Column, v: Column) -> Column:
         return s * keep + v * (1 - keep)
 
-    own = F.aggregate("__r", F.lit(0.0), lambda s, r: step(s, r["v"]))
-    chained = (
-        grouped.select(stream, slot, own.alias("add"), F.pow(F.lit(keep), F.size("__r")).alias("mul"))
-        .groupBy(stream)
-        .agg(F.sort_array(F.collect_list(F.struct(slot, "add", "mul"))).alias("c"))
+    own = F.reduce("__r", F.lit(0.0), lambda s, r: step(s, r["v"]))
+    does = F.struct(F.pow(F.lit(keep), F.size("__r")).alias("mul"), own.alias("add"))
+    entry = entries(
+        grouped.select(*keys, slot, does.alias("__does")),
+        keys,
+        slot,
+        "__does",
+        lambda first, second: F.struct((first["mul"] * second["mul"]).alias("mul"), (first["add"] * second["mul"] + second["add"]).alias("add")),
+        lambda s, link: s * link["mul"] + link["add"],
+        F.lit(0.0),
     )
-    entry = chained.select(
-        stream,
-        F.explode(
-            F.aggregate(
-                "c",
-                F.struct(F.lit(0.0).alias("s"), F.array().cast("array<struct<slot:bigint,s:double>>").alias("out")),
-                lambda a, link: F.struct(
-                    (a["s"] * link["mul"] + link["add"]).alias("s"),
-                    F.array_append(a["out"], F.struct(link[slot].alias("slot"), a["s"].alias("s"))).alias("out"),
-                ),
-                lambda a: a["out"],
-            )
-        ).alias("e"),
-    ).select(stream, F.col("e.slot").alias(slot), F.col("e.s").alias("__enter"))
-    replay = F.aggregate(
+    replay = F.reduce(
         "__r",
-        F.struct(F.col("__enter").alias("s"), F.array().cast("array<double>").alias("out")),
+        F.struct(F.col("__entry").alias("s"), F.array().cast("array<double>").alias("out")),
         lambda a, r: F.struct(
             step(a["s"], r["v"]).alias("s"), F.array_append(a["out"], step(a["s"], r["v"])).alias("out")
         ),
         lambda a: a["out"],
     )
-    return (
-        match(grouped, entry, [stream, slot])
-        .select(stream, F.explode(F.arrays_zip(F.col("__r").alias("r"), replay.alias("s"))).alias("z"))
-        .select(stream, F.col("z.r.t").alias(tick), F.col("z.r.v").alias(value), F.col("z.s").alias(name))
-    )
+    done = grouped.join(entry, [*keys, slot]).select(*keys, F.explode(F.arrays_zip(F.col("__r").alias("r"), replay.alias("s"))).alias("z"))
+    return done.select(*restored([stream]), F.col("z.r.t").alias(tick), F.col("z.r.v").alias(value), F.col("z.s").alias(name))

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.keys import shuffle_key
-from ..session import beside, match, values
+from ..session import beside, checkpointed, match, values
 from .build import numbered_globally
 
 SPLITS = ("train", "val", "test")
@@ -103,43 +103,74 @@ def balanced_group_split(
 
     ``counts`` is ``(group, cls, n)`` with every group, ``cls`` null for one without
     boxes; those are dealt round-robin. Every trial orders the groups by an md5 of
-    seed, trial and group, so trials are independent rows: groups times trials of
-    them, spread over tasks by trial and leading md5 digits, and only sums of a
-    trial and class move on. The rows of the best trial alone are kept.
+    seed, trial and group, and cuts the order twice. The cuts are found by radix: of
+    each trial the groups and class sums of every leading md5 digits are added up
+    before they move, which settles all but the two leading digits a cut falls into;
+    only the groups under those are ranked one by one. So what moves is trials times
+    leading digits times classes, not trials times groups.
     """
     target = target or TARGET
     boxes = counts.filter(F.col("cls").isNotNull() & (F.col("n") > 0))
-    filled = boxes.select(group).distinct()
+    filled = boxes.groupBy(group).agg(F.collect_list(F.struct("cls", "n")).alias("__boxes"))
     size = filled.count()
     n_val = max(1, round(size * target["val"]))
     n_test = max(1, round(size * target["test"]))
-
-    def deal(numbers: Column) -> DataFrame:
-        """Groups with their split in each of the trials of an array."""
-        rows = filled.withColumn("trial", F.explode(numbers))
-        ordered = _ranked(rows.withColumn("__key", shuffle_key(seed, F.col("trial"), F.col(group))), ["trial"], ["__key", group], size)
-        side = F.when(F.col("__rank") <= n_val, F.lit("val")).when(F.col("__rank") <= n_val + n_test, F.lit("test")).otherwise(F.lit("train"))
-        return ordered.select("trial", group, side.alias("split"))
-
+    sums = trial_sums(filled, group, trials, seed, n_val, n_test)
     totals = boxes.groupBy("cls").agg(F.sum("n").alias("total"))
-    sums = (
-        deal(F.sequence(F.lit(0), F.lit(trials - 1)))
-        .join(boxes, group)
-        .groupBy("trial", "cls")
-        .agg(*[F.sum(F.when(F.col("split") == s, F.col("n")).otherwise(0)).alias(s) for s in target])
-        .join(totals, "cls")
-    )
+    shares = sums.groupBy("trial", "cls").agg(*[F.sum(F.when(F.col("split") == s, F.col("n")).otherwise(0)).alias(s) for s in target])
     off = sum((F.abs(F.col(s) / F.col("total") - F.lit(share)) for s, share in target.items()), F.lit(0.0))
-    error = sums.groupBy("trial").agg(F.round(F.sum(off), 9).alias("error"))
+    error = shares.join(totals, "cls").groupBy("trial").agg(F.round(F.sum(off), 9).alias("error"))
     best = error.agg(F.min_by("trial", F.struct("error", "trial"))).first()[0]
-    chosen = deal(F.array(F.lit(best or 0))).select(group, "split")
-    empty = numbered_globally(match(counts.select(group).distinct(), filled, [group], "left_anti"), [group], "__no")
+    one = filled.select(group, F.lit(best or 0).alias("trial")).withColumn("__key", shuffle_key(seed, F.col("trial"), F.col(group)))
+    ranked = _ranked(one, ["trial"], ["__key", group], size)
+    chosen = ranked.select(group, _side(F.col("__rank"), n_val, n_test).alias("split"))
+    empty = numbered_globally(match(counts.select(group).distinct(), filled.select(group), [group], "left_anti"), [group], "__no")
     names = F.array(*map(F.lit, SPLITS))
     return chosen.unionByName(
         empty.select(group, F.get(names, ((F.col("__no") - 1) % len(SPLITS)).cast("int")).alias("split"))
     )
 
 
+def _side(rank: Column, n_val: int, n_test: int) -> Column:
+    """The split of a rank from 1: validation first, then test, the rest is for training."""
+    return F.when(rank <= n_val, F.lit("val")).when(rank <= n_val + n_test, F.lit("test")).otherwise(F.lit("train"))
+
+
+def trial_sums(filled: DataFrame, group: str, trials: int, seed: int, n_val: int, n_test: int, per_head: int = 64) -> DataFrame:
+    """``(trial, cls, split, n)``, to be added up: the class sums of both sides of the cuts of every trial.
+
+    ``filled`` is ``(group, __boxes)`` with an array of (cls, n). Leading digits are as many as leave about
+    ``per_head`` groups together.
+    """
+    size = filled.count()
+    digits = min(8, max(0, math.ceil(math.log(max(1, size) / per_head, 16))))
+    key = shuffle_key(seed, F.col("trial"), F.col(group))
+    every = filled.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).withColumn("__head", F.substring(key, 1, digits))
+    # One entry more, of no class, counts the groups.
+    kind = filled.schema["__boxes"].dataType.elementType
+    itself = F.struct(F.lit(None).cast(kind["cls"].dataType).alias("cls"), F.lit(1).cast(kind["n"].dataType).alias("n"))
+    parts = (
+        every.select("trial", "__head", F.explode(F.concat("__boxes", F.array(itself))).alias("b"))
+        .groupBy("trial", "__head", F.col("b.cls").alias("cls"))
+        .agg(F.sum("b.n").alias("n"))
+    )
+    groups = F.when(F.col("cls").isNull(), F.col("n"))
+    upto = F.sum(groups).over(W.partitionBy("trial").orderBy("__head").rangeBetween(W.unboundedPreceding, W.currentRow))
+    here = F.sum(groups).over(W.partitionBy("trial", "__head"))
+    first, last = F.col("__before") + 1, F.col("__upto")
+    side = F.when(_side(first, n_val, n_test) == _side(last, n_val, n_test), _side(last, n_val, n_test))
+    placed = checkpointed(
+        parts.withColumn("__upto", upto).withColumn("__before", F.col("__upto") - here).select("trial", "__head", "cls", "n", "__before", side.alias("split"))
+    )
+    whole = placed.filter("cls IS NOT NULL AND split IS NOT NULL").select("trial", "cls", "split", "n")
+    # At most two rows a trial: the number of trials bounds what is broadcast.
+    cut = F.broadcast(placed.filter("cls IS NULL AND split IS NULL").select("trial", "__head", "__before"))
+    order = W.partitionBy("trial", "__head").orderBy("__key", group)
+    ranked = every.join(cut, ["trial", "__head"]).withColumn("__key", key).withColumn("__rank", F.col("__before") + F.row_number().over(order))
+    single = ranked.select("trial", _side(F.col("__rank"), n_val, n_test).alias("split"), F.explode("__boxes").alias("b"))
+    return whole.unionByName(single.select("trial", F.col("b.cls").alias("cls"), "split", F.col("b.n").alias("n")))
+
+
 def split_error(counts: DataFrame, assigned: DataFrame, group: str, target: dict[str, float] | None = None) -> DataFrame:
     """One row: summed distance of class shares from the target."""
     target = target or TARGET

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.boxes import box, centre
-from ..session import checkpointed, match
+from ..session import checkpointed
 from .components import with_component
+from .ordered import NOWHERE, entries, restored, solid
 from .overlap import overlapping
 from .quantiles import quantiles
 
@@ -214,26 +215,24 @@ def _sampled(
     What a bucket does depends only on the value it is entered with, and through
     it only on which row is kept first. That row is always a new maximum or a new
     minimum of its bucket. So each bucket lists, for those rows alone, the value it
-    is left with; the lists are chained along the key, and each bucket is replayed
-    from the value it is really entered with. ``frame`` is unique inside a key.
+    is left with; two lists compose into that of both stretches, so entered values are
+    found by a parallel prefix, and each bucket is replayed from its own. ``frame`` is
+    unique inside a key.
     """
     slot, number = "__slot", "double"
     rest = [c for c in dets.columns if c not in [*keys, frame]]
     row = F.struct(F.col(frame).alias("f"), F.col(value).cast(number).alias("v"), F.struct(*rest).alias("d"))
-    grouped = (
-        dets.withColumn(slot, bucket.cast("bigint"))
-        .groupBy(*keys, slot)
-        .agg(F.sort_array(F.collect_list(row)).alias("__rows"))
-    )
+    rows, solid_keys = solid(dets.withColumn(slot, F.coalesce(bucket.cast("bigint"), F.lit(NOWHERE))), keys)
+    grouped = rows.groupBy(*solid_keys, slot).agg(F.sort_array(F.collect_list(row)).alias("__rows"))
 
     def run(rows: Column, start: Column) -> Column:
         return F.aggregate(
             rows, start, lambda last, r: F.when(differs(last, r["v"]), r["v"]).otherwise(last)
         )
 
-    def is_record(s: Column, v: Column) -> Column:
-        fresh = s["lo"].isNull() | (v < s["lo"]) | (v > s["hi"])
-        return fresh if horizon is None else fresh & F.coalesce(s["hi"] < s["lo"] + horizon, F.lit(True))
+    def is_record(lo: Column, hi: Column, v: Column) -> Column:
+        fresh = lo.isNull() | (v < lo) | (v > hi)
+        return fresh if horizon is None else fresh & F.coalesce(hi < lo + horizon, F.lit(True))
 
     records = F.aggregate(
         "__rows",
@@ -248,7 +247,7 @@ def _sampled(
             F.greatest(s["hi"], r["v"]).alias("hi"),
             (s["i"] + 1).alias("i"),
             F.when(
-                is_record(s, r["v"]),
+                is_record(s["lo"], s["hi"], r["v"]),
                 F.array_append(s["out"], F.struct(r["v"].alias("v"), s["i"].alias("i"))),
             )
             .otherwise(s["out"])
@@ -263,38 +262,25 @@ def _sampled(
             run(F.slice("__rows", r["i"] + 1, F.size("__rows")), r["v"]).alias("leave"),
         ),
     )
-    chained = (
-        grouped.withColumn("__records", records)
-        .select(*keys, slot, exits.alias("__exits"))
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(F.struct(F.col(slot).alias("slot"), "__exits"))).alias("__chain"))
-    )
-
-    def leave(last: Column, link: Column) -> Column:
-        first = F.get(
-            F.filter(link["__exits"], lambda e: last.isNull() | differs(last, e["v"])), F.lit(0)
-        )
+    def leave(last: Column, links: Column) -> Column:
+        first = F.get(F.filter(links, lambda e: last.isNull() | differs(last, e["v"])), F.lit(0))
         return F.coalesce(first["leave"], last)
 
-    entered = chained.select(
-        *keys,
-        F.explode(
-            F.aggregate(
-                "__chain",
-                F.struct(
-                    F.lit(None).cast(number).alias("last"),
-                    F.array().cast("array<struct<slot:bigint,entry:double>>").alias("out"),
-                ),
-                lambda s, link: F.struct(
-                    leave(s["last"], link).alias("last"),
-                    F.array_append(
-                        s["out"], F.struct(link["slot"].alias("slot"), s["last"].alias("entry"))
-                    ).alias("out"),
-                ),
-                lambda s: s["out"],
-            )
-        ).alias("e"),
-    ).select(*keys, F.col("e.slot").alias(slot), F.col("e.entry").alias("__entry"))
+    def compose(first: Column, second: Column) -> Column:
+        """What two stretches do together: the first one's records go on through the second; what is a record of both follows."""
+        seen = F.transform(first, lambda e: e["v"])
+        through = F.transform(first, lambda e: F.struct(e["v"].alias("v"), leave(e["leave"], second).alias("leave")))
+        return F.concat(through, F.filter(second, lambda e: is_record(F.array_min(seen), F.array_max(seen), e["v"])))
+
+    entered = entries(
+        grouped.withColumn("__records", records).select(*solid_keys, slot, exits.alias("__exits")),
+        solid_keys,
+        slot,
+        "__exits",
+        compose,
+        leave,
+        F.lit(None).cast(number),
+    )
     kept = F.aggregate(
         "__rows",
         F.struct(
@@ -307,11 +293,6 @@ def _sampled(
         ).otherwise(s),
         lambda s: s["out"],
     )
-    done = match(grouped, entered, [*keys, slot]).withColumn("__kept", kept)
-    return (
-        done.select(
-            *keys, F.explode(F.filter("__rows", lambda r: F.array_contains("__kept", r["f"]))).alias("r")
-        )
-        .select(*keys, F.col("r.f").alias(frame), *[F.col(f"r.d.{c}").alias(c) for c in rest])
-        .select(dets.columns)
-    )
+    done = grouped.join(entered, [*solid_keys, slot]).withColumn("__kept", kept)
+    taken = done.select(*solid_keys, F.explode(F.filter("__rows", lambda r: F.array_contains("__kept", r["f"]))).alias("r"))
+    return taken.select(*restored(keys), F.col("r.f").alias(frame), *[F.col(f"r.d.{c}").alias(c) for c in rest]).select(dets.columns)

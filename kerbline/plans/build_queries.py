@@ -99,7 +99,9 @@ best AS (SELECT trial, error FROM off ORDER BY error, trial LIMIT 1)"""
 
 
 @query("balanced_group_split", "det", f"""
-WITH {_BALANCED} SELECT clip, split FROM s JOIN best USING (trial) UNION ALL
+WITH {_BALANCED},
+chosen AS (SELECT clip, row_number() OVER (ORDER BY md5('11|' || trial || '|' || clip), clip) AS rn FROM g, best)
+SELECT clip, CASE WHEN rn <= n_val THEN 'val' WHEN rn <= n_val + n_test THEN 'test' ELSE 'train' END AS split FROM chosen, size UNION ALL
 SELECT p_partkey + 1000000000, ['train', 'val', 'test'][(row_number() OVER (ORDER BY p_partkey) - 1) % 3 + 1] FROM part""")
 def balanced_group_split(spark, folder):
     return S.balanced_group_split(_clip_counts(spark, folder), "clip", seed=11)
