@@ -1,8 +1,9 @@
 """Vector work on the texts of an Arrow batch: words, rolling hashes and windows as numpy arrays.
 
 Everything here looks at UTF-8 bytes. Words are runs without the six ASCII white-space
-characters; a null text is an empty one. Hashes are 64-bit prefix sums of random byte
-values times powers of an odd number, so the hash of any stretch is two lookups.
+characters; a null text is an empty one. Hashes have 64 bits: stretches are sums of their values
+times a random number for each place, grams are built from two shorter ones that overlap or
+meet. Neither is a polynomial, whose powers regular texts can cancel out.
 """
 
 from __future__ import annotations
@@ -72,42 +73,72 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = PI
             at = to
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Random values of the 256 bytes, powers of an odd number and their inverses modulo 2**64."""
+def byte_values() -> np.ndarray:
+    """A random 64-bit value for each of the 256 bytes."""
     store = worker_store()
-    have = store.get("powers")
-    if have is None or len(have[1]) < n:
-        size = max(n, PIECE_BYTES + (1 << 18))
-        base = 0x9E3779B97F4A7C15
-        ahead = np.full(size, base, U64)
-        back = np.full(size, pow(base, -1, 1 << 64), U64)
-        ahead[0] = back[0] = 1
-        values = mix(np.arange(1, 257, dtype=U64) * U64(0xD1342543DE82EF95))
-        have = (values, np.cumprod(ahead, dtype=U64), np.cumprod(back, dtype=U64))
-        store["powers"] = have
+    if "bytes" not in store:
+        store["bytes"] = mix(np.arange(1, 257, dtype=U64) * U64(0xD1342543DE82EF95))
+    return store["bytes"]
+
+
+def multipliers(n: int) -> np.ndarray:
+    """A random odd number for each of the first ``n`` places of a stretch."""
+    store = worker_store()
+    have = store.get("multipliers")
+    if have is None or len(have) < n:
+        have = store["multipliers"] = mix(np.arange(1, max(n, 4096) + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
     return have
 
 
-class Rolling:
-    """Hashes of any stretches of a sequence of 64-bit values."""
+def put_together(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """One hash of two, in their order."""
+    x = left * U64(0xA24BAED4963EE407) + right
+    x ^= x >> U64(32)
+    x *= U64(0x9FB21C651E98DF25)
+    return x
+
+
+class Hashes:
+    """Hashes of stretches of a sequence of 64-bit values that are themselves hashes."""
 
     def __init__(self, values: np.ndarray):
-        _, ahead, self.back = powers(len(values) + 1)
-        self.sums = np.zeros(len(values) + 1, U64)
-        np.cumsum(values * ahead[: len(values)], out=self.sums[1:])
+        self.values = values
 
     @classmethod
-    def of_bytes(cls, data: np.ndarray) -> Rolling:
-        return cls(powers(len(data) + 1)[0][data])
-
-    def between(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        length = (end - start).astype(U64)
-        return mix((self.sums[end] - self.sums[start]) * self.back[start] + length * U64(0xA24BAED4963EE407))
+    def of_bytes(cls, data: np.ndarray) -> Hashes:
+        return cls(byte_values()[data])
+
+    def between(self, start: np.ndarray, end: np.ndarray, step: int = 1) -> np.ndarray:
+        """Hash of each stretch, from every ``step``-th of its values; the work is in proportion to what is read."""
+        size = end - start
+        out = size.astype(U64) * U64(0xA24BAED4963EE407)
+        some = np.flatnonzero(size > 0)
+        if len(some):
+            count = -(-size[some] // step)
+            begin = np.cumsum(count) - count
+            place = np.arange(int(count.sum())) - np.repeat(begin, count)
+            at = place * step + np.repeat(start[some], count) if step > 1 else place + np.repeat(start[some], count)
+            out[some] += np.add.reduceat(self.values[at] * multipliers(int(count.max()))[place], begin)
+        return mix(out)
 
     def grams(self, k: int) -> np.ndarray:
         """Hash of the k values from each place on, as far as there are k."""
-        n = len(self.sums) - k
-        return mix((self.sums[k:] - self.sums[:n]) * self.back[:n]) if n > 0 else np.zeros(0, U64)
+        n = len(self.values) - k + 1
+        if n <= 0:
+            return np.zeros(0, U64)
+        made, size = self.values, 1
+        while 2 * size <= k:
+            made = put_together(made[: len(made) - size], made[size:])
+            size *= 2
+        if size < k:
+            made = put_together(made[:n] + U64(1), made[k - size : k - size + n])
+        return mix(made[:n].copy())
+
+
+def covered(grams: np.ndarray, k: int, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hash of each stretch of ``size`` values, at least k, from the k-grams that cover it."""
+    last = grams[start + size - k]
+    return mix(Hashes(grams).between(start, start + size - k + 1, k) + last * U64(3) + size.astype(U64))
 
 
 SPACE = np.zeros(256, bool)

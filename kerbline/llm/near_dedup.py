@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from ..session import checkpointed
-from .arrays import U64, Rolling, Texts, lowered, mix, pieces, texts_of, words_of
+from .arrays import U64, Hashes, Texts, lowered, mix, pieces, texts_of, words_of
 from .segments import pack, unpacked, with_rid
 
 BITS = 2  #: low bits kept of each minimum
@@ -32,8 +32,8 @@ def shingle_sets(texts: Texts, words: int) -> tuple[np.ndarray, np.ndarray]:
     """The different shingle hashes of each row, ordered, and where each row's begin (one more at the end)."""
     data = lowered(texts.data)
     start, end, first = words_of(texts)
-    rolling = Rolling(Rolling.of_bytes(data).between(start, end))
-    grams = rolling.grams(words)
+    hashes = Hashes(Hashes.of_bytes(data).between(start, end))
+    grams = hashes.grams(words)
     out, size = [], np.zeros(len(first), np.int64)
     for i in range(len(first) - 1):
         n = first[i + 1] - first[i]
@@ -41,7 +41,7 @@ def shingle_sets(texts: Texts, words: int) -> tuple[np.ndarray, np.ndarray]:
             own = np.sort(grams[first[i] : first[i + 1] - words + 1])
             own = own[np.append(True, own[1:] != own[:-1])]
         elif n:
-            own = rolling.between(first[i : i + 1], first[i + 1 : i + 2])
+            own = hashes.between(first[i : i + 1], first[i + 1 : i + 2])
         else:
             continue
         out.append(own)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import checkpointed
-from .arrays import Rolling, Texts, pieces, rows_of, texts_of, words_of
+from .arrays import Hashes, Texts, pieces, rows_of, texts_of, words_of
 from .sampling import fitting_sample
 
 SYMBOLS = np.zeros(256, bool)
@@ -49,8 +49,8 @@ def counts_of(texts: Texts) -> dict[str, np.ndarray]:
     data, starts = texts
     words = words_of(texts)
     size = np.diff(words.first)
-    rolling = Rolling.of_bytes(data)
-    hashes = rolling.between(words.start, words.end)
+    plain = Hashes.of_bytes(data)
+    hashes = plain.between(words.start, words.end)
     row = rows_of(words.first)
     inside = np.zeros(len(data) + 1, np.int8)
     inside[words.start] += 1
@@ -68,10 +68,10 @@ def counts_of(texts: Texts) -> dict[str, np.ndarray]:
     with_word = np.searchsorted(words.start, stop) > np.searchsorted(words.start, begin)
     begin, stop = begin[with_word], stop[with_word]
     line_row = np.searchsorted(starts, begin, "right") - 1
-    again, _ = later_equals(line_row, rolling.between(begin, stop))
+    again, _ = later_equals(line_row, plain.between(begin, stop))
     lines = np.append(np.searchsorted(line_row, np.arange(len(size))), len(line_row))
     # windows of three words
-    threes = Rolling(hashes).grams(3)
+    threes = Hashes(hashes).grams(3)
     valid = np.zeros(len(hashes), bool)
     valid[: len(threes)] = row[: len(threes)] == row[2:] if len(threes) else False
     at = np.flatnonzero(valid)

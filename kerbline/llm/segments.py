@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from .arrays import U64, Rolling, Texts, pieces, powers, rows_of, sliding_min, spread, texts_of, words_of
+from .arrays import U64, Hashes, Texts, byte_values, covered, pieces, rows_of, sliding_min, spread, texts_of, words_of
 
 
 #: Single windows of a batch.
@@ -45,9 +45,9 @@ def with_rid(docs: DataFrame) -> DataFrame:
 def tokens_of(texts: Texts, unit: str) -> tuple[np.ndarray, np.ndarray]:
     """64-bit values of the tokens, and the first token of each row (one more at the end)."""
     if unit == "byte":
-        return powers(1)[0][texts.data], texts.starts
+        return byte_values()[texts.data], texts.starts
     words = words_of(texts)
-    return Rolling.of_bytes(texts.data).between(words.start, words.end), words.first
+    return Hashes.of_bytes(texts.data).between(words.start, words.end), words.first
 
 
 def runs_of(values: np.ndarray, first: np.ndarray, kind: Kind) -> dict[str, np.ndarray]:
@@ -55,8 +55,7 @@ def runs_of(values: np.ndarray, first: np.ndarray, kind: Kind) -> dict[str, np.n
 
     ``twice``: the smallest gram stands in the segment more than once, so its windows may be equal to each other.
     """
-    rolling = Rolling(values)
-    grams = rolling.grams(kind.gram)
+    grams = Hashes(values).grams(kind.gram)
     # The low bits of a hash give way to its place, so that the smallest is also the leftmost of equal ones.
     placed = (grams & ~PLACE) | np.arange(len(grams), dtype=U64)
     least = sliding_min(placed, kind.length - kind.gram + 1) & PLACE
@@ -73,7 +72,7 @@ def runs_of(values: np.ndarray, first: np.ndarray, kind: Kind) -> dict[str, np.n
     begin = np.repeat(begin, parts) + spread(np.zeros(len(parts), np.int64), parts) * kind.run
     n = np.diff(np.append(begin, len(at)))
     start = at[begin]
-    seg = rolling.between(start, start + n + kind.length - 1)
+    seg = covered(grams, kind.gram, start, n + kind.length - 1)
     twice = held[begin] != held[begin + n - 1]
     return {"row": row[begin], "key": key[begin], "seg": seg, "place": start - first[row[begin]], "n": n, "twice": twice}
 
@@ -160,13 +159,13 @@ def stretches(packed: DataFrame, different: DataFrame, kind: Kind, split: bool)
             reps = n if split else np.ones(len(n), np.int64)
             every = np.repeat(np.arange(len(n)), reps)
             offs = spread(np.zeros(len(n), np.int64), reps)
-            rolling = Rolling(values if values.dtype == U64 else powers(1)[0][values]) if split else None
+            windows = Hashes(values if values.dtype == U64 else byte_values()[values]).grams(kind.length) if split else None
             step = WINDOWS if split else max(1, len(every))
             for begin in range(0, len(every), step):
                 part, off = every[begin : begin + step], offs[begin : begin + step]
                 start = first[row[part]] + place[part] + off
                 size = (np.ones(len(part), np.int64) if split else n[part]) + kind.length - 1
-                group = parts.field("key").to_numpy()[part] if rolling is None else rolling.between(start, start + kind.length).view(np.int64)
+                group = parts.field("key").to_numpy()[part] if windows is None else windows[start].view(np.int64)
                 body = values[spread(start, size)].view(np.uint8)
                 ends = np.append(0, np.cumsum(size * values.itemsize)).astype(np.int64)
                 tokens = pa.Array.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(body))])

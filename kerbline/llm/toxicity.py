@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import Rolling, lowered, pieces, texts_of
+from .arrays import Hashes, lowered, pieces, texts_of
 from .sampling import fitting_sample
 
 
@@ -42,9 +42,9 @@ def buckets_of(data: np.ndarray, starts: np.ndarray, settings: Settings) -> list
     inner = np.ones(len(padded), bool)
     inner[first[:-1]] = inner[first[1:] - 1] = False
     padded[inner] = lowered(data)
-    rolling = Rolling.of_bytes(padded)
+    plain = Hashes.of_bytes(padded)
     shift = np.uint64(64 - settings.bits)
-    grams = [(rolling.grams(k) >> shift).astype(np.int32) for k in settings.sizes]
+    grams = [(plain.grams(k) >> shift).astype(np.int32) for k in settings.sizes]
     return [np.concatenate([g[a : max(a, b - k + 1)] for g, k in zip(grams, settings.sizes, strict=True)]) for a, b in zip(first, first[1:], strict=False)]
 
 

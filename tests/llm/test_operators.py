@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -435,3 +436,42 @@ def test_hot_ids_have_the_same_scores_in_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(kneser_ney, "BLOCKS_OF_SALT", 3)
     monkeypatch.setattr(kneser_ney, "COMBINED", 4)
     assert found(6_000) == one and sum(one.values()) == len(rows)
+
+
+def regular_pair(length: int) -> tuple[str, str]:
+    """Two different words of a and b whose polynomial hashes modulo a power of two are equal, whatever the base."""
+    first = [bin(i).count("1") % 2 for i in range(length)]
+    return "".join("ab"[x] for x in first), "".join("ba"[x] for x in first)
+
+
+def test_regular_texts_do_not_collide(spark):
+    one, other = regular_pair(4096)
+    from kerbline.llm import arrays, wordsplit
+
+    assert rules.counts_of(arrays.texts_of(pa.array([f"{one}\n{other}"])))["n_dup_lines"].tolist() == [0]
+    assert len(set(segments.tokens_of(arrays.texts_of(pa.array([f"{one} {other}"])), "word")[0].tolist())) == 2
+    assert wordsplit.split([f"{one} {other}"], keep_white=True).words == [one, " " + other]
+    sets, first = near_dedup.shingle_sets(arrays.texts_of(pa.array([one, other])), 5)
+    assert len(set(sets.tolist())) == 2 and first.tolist() == [0, 1, 2]
+    values = arrays.byte_values()[np.frombuffer((one + other).encode(), np.uint8)]
+    grams = arrays.Hashes(values).grams(4096)
+    assert grams[0] != grams[4096]
+    kind = segments.Kind("byte", 2048, 32, 4096)
+    seg = segments.runs_of(np.concatenate([values, values[:1]]), np.array([0, 4096, 8193]), kind)["seg"]
+    assert len(set(seg.tolist())) == len(seg)
+
+
+def test_grams_and_stretches_depend_on_all_their_values():
+    from kerbline.llm import arrays
+
+    rng = np.random.default_rng(8)
+    values = rng.integers(0, 4, 3000).astype(np.uint64) + np.uint64(7)
+    for k in (1, 2, 3, 5, 32, 50, 200):
+        grams = arrays.Hashes(arrays.mix(values.copy())).grams(k)
+        texts = [values[i : i + k].tobytes() for i in range(len(values) - k + 1)]
+        assert len(grams) == len(texts) and len(set(zip(texts, grams.tolist(), strict=True))) == len(set(texts)) == len(set(grams.tolist()))
+    start = rng.integers(0, 2500, 2000)
+    size = rng.integers(0, 400, 2000)
+    hashes = arrays.Hashes(arrays.mix(values.copy())).between(start, start + size)
+    texts = [values[a : a + n].tobytes() for a, n in zip(start, size, strict=True)]
+    assert len(set(zip(texts, hashes.tolist(), strict=True))) == len(set(texts)) == len(set(hashes.tolist()))
