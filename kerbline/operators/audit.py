@@ -30,7 +30,9 @@ def compare_formats(a: DataFrame, b: DataFrame, key: str, tol: float = 1e-3) ->
 
     def side(df: DataFrame, mark: str) -> DataFrame:
         runs = df.groupBy(key, *fields).agg(F.count("*").alias("__n"))
-        bucket = F.col("cls")
+        # Along the order: the class, then 64 stripes of x, so that one class of a crowded key is many windows.
+        stripe = F.least(F.greatest(F.floor(F.col("xc") * 64), F.lit(0)), F.lit(63))
+        bucket = F.col("cls").cast("bigint") * 64 + F.coalesce(stripe, F.lit(0))
         ranked = scan(
             runs, [key], fields, bucket, {"__end": ("total", F.col("__n"))}
         )

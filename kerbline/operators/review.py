@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.taxonomy import DISPOSITIONS
 from ..session import beside, checkpointed, values
 from .build import numbered_globally
+from .components import components
 from .overlap import overlapping
 
 EXCLUDED = tuple(d for d in DISPOSITIONS if d != "too_small")
@@ -23,13 +25,16 @@ def greedy_match(
     left_key: str,
     right_key: str,
     min_iou: float,
+    crowded: int = 100_000,
 ) -> DataFrame:
     """One-to-one pairs ``(group, left_key, right_key, iou)``.
 
     In the order of ``left_key``, each left box takes the unused right box of the
     highest IoU (ties: the smallest ``right_key``) if that is at least ``min_iou``.
-    Only pairs above the threshold take part. The pairs of a frame pass once, in
-    order, through one task that keeps the right boxes already used and no more.
+    Only pairs above the threshold take part. A left box is decided after those it
+    shares right boxes with, directly or through others; so the pairs of a frame pass
+    once, in order, through one task, and those of a frame with more than ``crowded``
+    pairs through one task for each connected part of them.
     """
     keys = [f"l_{left_key}", f"r_{right_key}"]
     pairs = overlapping(
@@ -39,27 +44,67 @@ def greedy_match(
         min_iou,
         inclusive=True,
     ).select(*group, F.col(keys[0]).alias("l"), F.col(keys[1]).alias("r"), "iou")
-    ordered = pairs.repartition(*group).sortWithinPartitions(*group, "l", F.desc("iou"), "r")
-    marked = ordered.withColumns({"__g": F.xxhash64(*group), "__l": F.xxhash64("l"), "__r": F.xxhash64("r")})
-    matched = marked.mapInArrow(_first_free, marked.schema)
+    pairs = checkpointed(pairs)
+    full = checkpointed(pairs.groupBy(*group).count().filter(F.col("count") > crowded).select(*group))
+    if full.isEmpty():
+        matched = _in_order(pairs.withColumn("__part", F.lit(0).cast("bigint")), group)
+    else:
+        parts = _with_parts(pairs.join(full, group, "left_semi"), group)
+        matched = _in_order(pairs.join(full, group, "left_anti").withColumn("__part", F.lit(0).cast("bigint")).unionByName(parts), group)
     return matched.select(*group, F.col("l").alias(left_key), F.col("r").alias(right_key), "iou")
 
 
+def _with_parts(pairs: DataFrame, group: list[str]) -> DataFrame:
+    """Pairs with ``__part``, one number for all that hang together by their boxes."""
+    node = lambda side: F.struct(*group, F.lit(side).alias("side"), F.col(side).cast("string").alias("box"))
+    edges = pairs.select(node("l").alias("u"), node("r").alias("v"))
+    found = components(edges).select(F.col("node").alias("u"), F.xxhash64("component").alias("__part"))
+    named = pairs.withColumn("u", node("l"))
+    return named.join(found, "u").select(*pairs.columns, "__part")
+
+
+def _in_order(pairs: DataFrame, group: list[str]) -> DataFrame:
+    """Each left box's first pair with a right box that no earlier left box of its frame and part has taken."""
+    whole = [*group, "__part"]
+    ordered = pairs.repartition(*whole).sortWithinPartitions(*whole, "l", F.desc("iou"), "r")
+    marked = ordered.withColumns({"__g": F.xxhash64(*whole), "__l": F.xxhash64("l"), "__r": F.xxhash64("r")})
+    return marked.mapInArrow(_first_free, marked.schema)
+
+
 def _first_free(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of ordered pairs, each left box's first one whose right box no earlier left box of its frame has taken."""
-    frame = settled = None
+    """Of ordered pairs, each left box's first one whose right box no earlier left box of its part has taken.
+
+    Where no two left boxes of a part want the same box first, all have it. Only parts where two do, and those that
+    go on in the next batch, are walked pair by pair.
+    """
+    part = settled = None
     used: set[int] = set()
     for batch in batches:
-        keep = []
-        for g, left, right in zip(*(batch.column(c).to_pylist() for c in ("__g", "__l", "__r")), strict=True):
-            if g != frame:
-                frame, settled, used = g, None, set()
-            free = left != settled and right not in used
-            if free:
-                settled = left
-                used.add(right)
-            keep.append(free)
-        yield batch.filter(pa.array(keep, pa.bool_()))
+        g, left, right = (batch.column(c).to_numpy() for c in ("__g", "__l", "__r"))
+        if not len(g):
+            continue
+        new_part = np.append(True, g[1:] != g[:-1])
+        number = np.cumsum(new_part) - 1
+        first = np.flatnonzero(new_part | np.append(True, left[1:] != left[:-1]))
+        order = np.lexsort((right[first], number[first]))
+        owner, wanted = number[first][order], right[first][order]
+        twice = (owner[1:] == owner[:-1]) & (wanted[1:] == wanted[:-1])
+        walk = np.zeros(number[-1] + 1, bool)
+        walk[owner[1:][twice]] = True
+        walk[-1] = True
+        walk[0] |= bool(g[0] == part)
+        keep = np.zeros(len(g), bool)
+        keep[first[~walk[number[first]]]] = True
+        starts = np.append(np.flatnonzero(new_part), len(g))
+        for k in np.flatnonzero(walk).tolist():
+            begin, stop = int(starts[k]), int(starts[k + 1])
+            if g[begin] != part:
+                part, settled, used = g[begin], None, set()
+            for at, (lone, other) in enumerate(zip(left[begin:stop].tolist(), right[begin:stop].tolist(), strict=True), begin):
+                if lone != settled and other not in used:
+                    settled, keep[at] = lone, True
+                    used.add(other)
+        yield batch.filter(pa.array(keep))
 
 
 def review_outcomes(

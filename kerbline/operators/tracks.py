@@ -31,11 +31,12 @@ def one_per_frame(dets: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _shared(dets: DataFrame) -> DataFrame:
-    """Pairs of tracks that overlap on at least two frames of a clip."""
-    rows = dets.select("clip", "frame", "track", *BOX)
-    pairs = overlapping(rows, rows, ["clip", "frame"], 0.5).filter(F.col("l_track") < F.col("r_track"))
+    """Pairs of tracks, one of them ``touched``, that overlap on at least two frames of a clip."""
+    rows = dets.select("clip", "frame", "track", "touched", *BOX)
+    once = ~F.col("r_touched") | (F.col("l_track") < F.col("r_track"))
+    pairs = overlapping(rows.filter("touched"), rows, ["clip", "frame"], 0.5).filter((F.col("l_track") != F.col("r_track")) & once)
     return (
-        pairs.groupBy("clip", F.col("l_track").alias("a"), F.col("r_track").alias("b"))
+        pairs.groupBy("clip", F.least("l_track", "r_track").alias("a"), F.greatest("l_track", "r_track").alias("b"))
         .agg(F.count("*").alias("n"))
         .filter(F.col("n") >= 2)
         .select("clip", "a", "b")
@@ -43,14 +44,15 @@ def _shared(dets: DataFrame) -> DataFrame:
 
 
 def _handed_over(dets: DataFrame, low: int = -3, high: int = 12) -> DataFrame:
-    """Pairs where one track starts about where and when the other ends."""
+    """Pairs of tracks, one of them ``touched``, where one starts about where and when the other ends."""
     view = F.struct("frame", "size", *BOX)
     ends = dets.groupBy("clip", "track").agg(
-        F.min_by(view, "frame").alias("first"), F.max_by(view, "frame").alias("last")
+        F.min_by(view, "frame").alias("first"), F.max_by(view, "frame").alias("last"), F.first("touched").alias("touched")
     )
     left = ends.select(
         "clip",
         F.col("track").alias("a"),
+        F.col("touched").alias("ta"),
         F.col("last").alias("x"),
         F.explode(
             F.sequence(
@@ -62,6 +64,7 @@ def _handed_over(dets: DataFrame, low: int = -3, high: int = 12) -> DataFrame:
     right = ends.select(
         "clip",
         F.col("track").alias("b"),
+        F.col("touched").alias("tb"),
         F.col("first").alias("y"),
         F.floor(F.col("first.frame") / BUCKET).alias("bucket"),
     )
@@ -70,7 +73,7 @@ def _handed_over(dets: DataFrame, low: int = -3, high: int = 12) -> DataFrame:
     ratio = F.col("y.size") / F.greatest(F.col("x.size"), F.lit(1e-9))
     return (
         left.join(right, ["clip", "bucket"])
-        .filter(F.col("a") != F.col("b"))
+        .filter((F.col("a") != F.col("b")) & (F.col("ta") | F.col("tb")))
         .filter(gap.between(low, high) & (ratio > 0.5) & (ratio < 2.0))
         .filter(
             F.sqrt((px - qx) * (px - qx) + (py - qy) * (py - qy))
@@ -80,37 +83,47 @@ def _handed_over(dets: DataFrame, low: int = -3, high: int = 12) -> DataFrame:
     )
 
 
-def same_sign_pairs(dets: DataFrame) -> DataFrame:
+def same_sign_pairs(dets: DataFrame, touched: DataFrame | None = None) -> DataFrame:
     """``(clip, a, b)`` with ``a < b``: tracks of one clip that show the same sign.
 
-    ``dets`` has at most one detection per track and frame.
+    ``dets`` has at most one detection per track and frame. With ``touched``
+    (clip, track) only pairs with one of these tracks are looked for.
     """
-    return _shared(dets).unionByName(_handed_over(dets)).distinct()
+    if touched is None:
+        marked = dets.withColumn("touched", F.lit(True))
+    else:
+        marked = dets.join(touched.select("clip", "track", F.lit(True).alias("touched")), ["clip", "track"], "left")
+        marked = marked.withColumn("touched", F.coalesce("touched", F.lit(False)))
+    return _shared(marked).unionByName(_handed_over(marked)).distinct()
 
 
 def merge_tracks(dets: DataFrame) -> DataFrame:
     """Relabel detections so that each sign has one track, until nothing changes.
 
     The track with the largest view survives (ties: the smallest id) and keeps the
-    largest detection of each frame. All clips go through a round together.
+    largest detection of each frame. All clips go through a round together. Tracks
+    that a round left as they were have been compared with each other, so the next
+    round looks only for pairs with a track that has just taken others in.
     """
     now = checkpointed(one_per_frame(dets, ["clip", "track"]))
+    touched = None
     while True:  # a round with pairs leaves fewer tracks, so the rounds end
-        pairs = checkpointed(same_sign_pairs(now))
+        pairs = checkpointed(same_sign_pairs(now, touched))
         if pairs.isEmpty():
             return now
         node = lambda column: F.struct("clip", F.col(column).alias("track"))
-        peaks = now.groupBy("clip", "track").agg(F.max("size").alias("peak")).withColumn(
-            "node", node("track")
-        )
         edges = pairs.select(node("a").alias("u"), node("b").alias("v"))
-        named = with_component(peaks, "node", edges)
+        paired = pairs.select("clip", F.explode(F.array("a", "b")).alias("track")).distinct()
+        sizes = now.join(paired, ["clip", "track"]).groupBy("clip", "track").agg(F.max("size").alias("peak"))
+        named = with_component(sizes.withColumn("node", node("track")), "node", edges)
         survivor = named.groupBy("component").agg(
             F.min_by("track", F.struct((-F.col("peak")).alias("p"), "track")).alias("survivor")
         )
-        rename = named.join(survivor, "component").select("clip", "track", "survivor")
+        rename = checkpointed(named.join(survivor, "component").select("clip", "track", "survivor"))
+        touched = rename.select("clip", F.col("survivor").alias("track")).distinct()
         relabelled = now.join(rename, ["clip", "track"]).drop("track").withColumnRenamed("survivor", "track")
-        now = checkpointed(one_per_frame(relabelled.select(now.columns), ["clip", "track"]))
+        merged = one_per_frame(relabelled.select(now.columns), ["clip", "track"]).select(now.columns)
+        now = checkpointed(now.join(rename, ["clip", "track"], "left_anti").select(now.columns).unionByName(merged))
 
 
 def peaks(dets: DataFrame, min_dets: int = 3, min_side: float = 60.0) -> DataFrame:

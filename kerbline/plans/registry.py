@@ -33,6 +33,7 @@ def load_all() -> tuple[dict[str, Query], dict[str, str]]:
         box_queries,
         build_queries,
         event_queries,
+        file_queries,
         review_queries,
         score_queries,
         source_queries,

@@ -51,6 +51,16 @@ def merged_tracks(spark, folder):
     )
 
 
+@query("merged_tracks_settled", "pieces", """
+SELECT clip, count(DISTINCT frame) AS n_frames, max(size) AS peak_size, 0 AS pairs_left FROM pieces GROUP BY clip""")
+def merged_tracks_settled(spark, folder):
+    """Merging keeps every frame and the largest view of each clip, and leaves no pair that one more round would merge."""
+    merged = T.merge_tracks(V.track_pieces(spark, folder))
+    left = T.same_sign_pairs(merged).groupBy("clip").agg(F.count("*").alias("n"))
+    kept = merged.groupBy("clip").agg(F.count_distinct("frame").alias("n_frames"), F.max("size").alias("peak_size"))
+    return kept.join(left, "clip", "left").select("clip", "n_frames", "peak_size", F.coalesce("n", F.lit(0)).cast("int").alias("pairs_left"))
+
+
 @query("track_peaks", "tone", """
 WITH p AS (SELECT *, row_number() OVER (PARTITION BY clip, track ORDER BY size DESC, frame, x1, y1, x2, y2) AS rn,
   count(*) OVER (PARTITION BY clip, track) AS n, min(cls) OVER (PARTITION BY clip, track) <> max(cls) OVER (PARTITION BY clip, track) AS flips FROM tone)

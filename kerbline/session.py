@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,17 @@ def local_session(cores: str = "*", partitions: int = 8, name: str = "kerbline")
     return spark
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors and the driver share, below the one named by ``spark.checkpoint.dir``.
+
+    Only when none is named (a test on one machine) is it a temporary one.
+    """
+    named = spark.conf.get(CHECKPOINT_SETTING, None)
+    if named is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"set {CHECKPOINT_SETTING} to a folder all executors share")
+    return f"{(named or tempfile.mkdtemp(prefix='kerbline-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of an iterative job in reliable storage.
 
@@ -38,10 +50,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = spark.conf.get(CHECKPOINT_SETTING, None)
-        if named is None and not context.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_SETTING} to a folder all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="kerbline-checkpoint-"))
+        context.setCheckpointDir(spark.conf.get(CHECKPOINT_SETTING, None) or shared_folder(spark, "checkpoint"))
     return df.checkpoint(eager=True)
 
 

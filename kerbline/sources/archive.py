@@ -1,49 +1,117 @@
-"""Members of many zip exports, as a Spark job."""
+"""Members of zip exports, read and written by Spark jobs.
+
+An archive's directory of members stands at its end. One task reads that alone, which gives a row a
+member; members are then dealt out by the bytes they take, and each task opens the archive again and
+seeks to its own. So one very large archive is read by many tasks and never held as a value.
+"""
 
 from __future__ import annotations
 
-import io
+import re
 import zipfile
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+from .files import drafted, opened
 from .readers import is_litter
 
+#: Bytes of members that one task reads.
+RANGE = 64 << 20
+#: Tasks of one read; beyond, a task reads several ranges.
+MOST_TASKS = 100_000
 
-def archive_members(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """``(archive, member, base, bytes)`` of every real file in the archives under a path.
 
-    Archives are the unit of work: each is opened in the task that holds it and its
-    members are sent on one at a time. ``pattern`` keeps members by regular
-    expression before their bytes are read.
-    """
-    import re
+def archive_index(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """``(archive, member, base, length, at)`` of every real file in the archives under a path; contents are not read.
 
+    ``pattern`` keeps members by regular expression. ``at`` is where a member begins in its archive.
+    """
     wanted = re.compile(pattern) if pattern else None
 
-    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name, content in zip(batch["path"], batch["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    for entry in archive.infolist():
-                        if entry.is_dir() or (wanted and not wanted.search(entry.filename)):
-                            continue
-                        yield pd.DataFrame(
-                            {"archive": [name], "member": [entry.filename], "bytes": [archive.read(entry)]}
-                        )
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    found = files.filter(F.lower("path").endswith(".zip")).select("path", "content").mapInPandas(
-        members, "archive string, member string, bytes binary"
-    )
-    return found.filter(~is_litter(F.col("member"))).select(
-        "archive", "member", F.element_at(F.split("member", "/"), -1).alias("base"), "bytes"
+            for name in batch["path"]:
+                with opened(name) as file, zipfile.ZipFile(file) as archive:
+                    rows = [
+                        (name, e.filename, e.file_size, e.header_offset)
+                        for e in archive.infolist()
+                        if not e.is_dir() and (not wanted or wanted.search(e.filename))
+                    ]
+                yield pd.DataFrame(rows, columns=["archive", "member", "length", "at"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    listed = files.filter(F.lower("path").endswith(".zip")).mapInPandas(index, "archive string, member string, length bigint, at bigint")
+    return listed.filter(~is_litter(F.col("member"))).select(
+        "archive", "member", F.element_at(F.split("member", "/"), -1).alias("base"), "length", "at"
     )
 
 
+def archive_members(spark: SparkSession, path: str, pattern: str | None = None, span: int = RANGE) -> DataFrame:
+    """``(archive, member, base, bytes)`` of every real file in the archives under a path.
+
+    Members that begin within ``span`` bytes of an archive are read together by one task, each after a seek.
+    The archives lie where tasks can open them (``files.opened``).
+    """
+    index = checkpointed(archive_index(spark, path, pattern).withColumn("part", F.floor(F.col("at") / span)))
+    # The rows are small and what they stand for is not: as many tasks as ranges, whatever the rows' own size.
+    ranges = index.select("archive", "part").distinct().count()
+    ranged = index.repartition(max(1, min(ranges, MOST_TASKS)), "archive", "part").sortWithinPartitions("archive", "at")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name = file = archive = None
+        try:
+            for batch in batches:
+                for row in batch.itertuples(index=False):
+                    if row.archive != name:
+                        if archive is not None:
+                            archive.close()
+                            file.close()
+                        name, file = row.archive, opened(row.archive)
+                        archive = zipfile.ZipFile(file)
+                    # Two members may have one name; the place tells them apart.
+                    entry = next(e for e in archive.infolist() if e.header_offset == row.at) if _repeated(archive, row.member) else archive.getinfo(row.member)
+                    yield pd.DataFrame({"archive": [name], "member": [row.member], "base": [row.base], "bytes": [archive.read(entry)]})
+        finally:
+            if archive is not None:
+                archive.close()
+                file.close()
+
+    return ranged.select("archive", "member", "base", "at").mapInPandas(read, "archive string, member string, base string, bytes binary")
+
+
+def _repeated(archive: zipfile.ZipFile, member: str) -> bool:
+    """Whether the directory lists a name more than once; worked out once an archive."""
+    if not hasattr(archive, "repeated"):
+        names = archive.namelist()
+        seen: set[str] = set()
+        archive.repeated = {n for n in names if n in seen or seen.add(n)}
+    return member in archive.repeated
+
+
+def write_archives(members: DataFrame, path: str) -> DataFrame:
+    """Write ``(archive, member, bytes)`` as zip files ``<path>/<archive>``; returns ``(archive, members)``.
+
+    An archive is written by one task, member by member in their order, and put in place when it is whole.
+    """
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (row for batch in batches for row in batch.itertuples(index=False))
+        for name, members in groupby(rows, lambda row: row.archive):
+            count = 0
+            with drafted(f"{path}/{name}") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+                for count, row in enumerate(members, 1):
+                    archive.writestr(row.member, bytes(row.bytes))
+            yield pd.DataFrame({"archive": [name], "members": [count]})
+
+    ordered = members.select("archive", "member", "bytes").repartition("archive").sortWithinPartitions("archive", "member")
+    return ordered.mapInPandas(write, "archive string, members bigint")
+
+
 def text_lines(members: DataFrame) -> DataFrame:
     """``(archive, member, line_no, value)`` of text members."""
     text = F.decode("bytes", "UTF-8")

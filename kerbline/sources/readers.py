@@ -9,9 +9,14 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import metric_like
+from ..operators.score import learning_rates
 from ..session import values
+from .files import system_of, with_scheme
 
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "ppm")
+#: The metrics of a run's record, and what the names they go by contain.
+METRICS = {"map50": "mAP50(", "map": "mAP50-95(", "precision": "precision(", "recall": "recall("}
 BOX_ARRAY = "array<struct<frame:int,xyxy:array<double>,cls:int,conf:double,size:double>>"
 TRACKS = (
     "clip string, track_id int, coarse string, labelable boolean, crop_id string, n_dets int, "
@@ -30,6 +35,11 @@ def stem_of(path: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
 
 
+def directory_of(path: Column) -> Column:
+    """Name of the folder a file lies in."""
+    return F.element_at(F.split(path, "/"), -2)
+
+
 def is_litter(path: Column) -> Column:
     """Hidden files and what archive tools of one system leave behind."""
     return path.rlike(r"(^|/)(__MACOSX(/|$)|\.DS_Store$|\.[^/]*$)")
@@ -89,7 +99,7 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
 
             for batch in batches:
                 for folder in batch["path"]:
-                    system, inside = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+                    system, inside = system_of(folder)
                     found = system.get_file_info(fs.FileSelector(inside, recursive=recursive))
                     rows = [(i.path, i.type == fs.FileType.Directory, i.size or 0) for i in found]
                     yield pd.DataFrame(rows, columns=["path", "is_dir", "length"])
@@ -97,7 +107,7 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
         return run
 
     schema = "path string, is_dir boolean, length bigint"
-    top = values(spark, [(root,)], "path string").mapInPandas(walk(False), schema)
+    top = values(spark, [(with_scheme(spark, root),)], "path string").mapInPandas(walk(False), schema)
     deep = top.filter("is_dir").select("path").repartition("path").mapInPandas(walk(True), schema)
     return top.unionByName(deep).filter("NOT is_dir").select("path", "length")
 
@@ -287,6 +297,39 @@ def describe_catalogue(videos: DataFrame, notebook: DataFrame, index: DataFrame)
     )
 
 
+def frame_index(df: DataFrame, json: str) -> DataFrame:
+    """A frame index ``{fps, ..., frames: [{id, index, time_s}]}`` or one with a map by name: ``(frame_id, index, time_s)`` a frame.
+
+    The other columns stay, but for the JSON. Unreadable JSON gives no rows; frames of a map are named by their keys.
+    """
+    record = "struct<id:string,index:bigint,time_s:double>"
+    listed = F.from_json(json, f"frames array<{record}>", {"mode": "PERMISSIVE"})["frames"]
+    mapped = F.from_json(json, f"frames map<string,{record}>", {"mode": "PERMISSIVE"})["frames"]
+    named = F.transform(F.map_entries(mapped), lambda e: e["value"].withField("id", F.coalesce(e["value"]["id"], e["key"])))
+    keep = [c for c in df.columns if c != json]
+    rows = df.select(*keep, F.explode(F.coalesce(F.filter(listed, lambda r: r.isNotNull()), named)).alias("__f"))
+    return rows.select(*keep, F.col("__f.id").alias("frame_id"), F.col("__f.index").alias("index"), F.col("__f.time_s").alias("time_s"))
+
+
+def frame_scores(df: DataFrame, json: str) -> DataFrame:
+    """Scores ``{frames: {name: {score, ...}}}``: ``(frame_id, kind, score)``, one row for each number of a frame.
+
+    The other columns stay, but for the JSON. Unreadable JSON, and one without frames, gives no rows; what is not a number goes.
+    """
+    frames = F.from_json(json, "frames map<string,map<string,string>>", {"mode": "PERMISSIVE"})["frames"]
+    keep = [c for c in df.columns if c != json]
+    frame = df.select(*keep, F.explode(frames).alias("frame_id", "__s"))
+    kinds = frame.select(*keep, "frame_id", F.explode("__s").alias("kind", "__v"))
+    return kinds.withColumn("score", F.expr("try_cast(__v AS DOUBLE)")).filter("score IS NOT NULL").drop("__v")
+
+
+def read_json_texts(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """``(folder, json)`` of all files of a name below a folder, each as one text; a missing folder has none."""
+    folder = F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1)
+    files = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True, pathGlobFilter=name)
+    return files.select(folder.alias("folder"), F.col("value").alias("json"))
+
+
 def read_runs(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """``(runs, epochs)`` of a folder of training runs; a folder without a record is skipped.
 
@@ -307,3 +350,26 @@ def read_runs(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
         return runs, spark.createDataFrame([], "run string, epoch int, lr string")
     epochs = lines.select(folder.alias("run"), F.expr("try_cast(epoch AS INT)").alias("epoch"), F.col("`lr/pg0`").alias("lr"))
     return runs, epochs.join(runs.select("run"), "run", "left_semi")
+
+
+def collect_runs(spark: SparkSession, root: str) -> DataFrame:
+    """One flat record a run: what its meta says, the highest and the last learning rate, four metrics, two of its arguments.
+
+    A run is a folder with ``run_meta.json``. ``results.csv`` gives the rates by epoch, ``args.yaml`` the optimizer and
+    the share of mirrored images as ``key: value`` lines; either may be missing. Metrics are found by the start of their names.
+    """
+    runs, epochs = read_runs(spark, root)
+    rates = learning_rates(epochs.withColumn("lr", F.trim("lr")))
+    folder = F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1)
+    lines = spark.read.option("recursiveFileLookup", "true").text(root, pathGlobFilter="args.yaml")
+    pair = lines.select(folder.alias("run"), F.regexp_extract("value", r"^([A-Za-z0-9_]+):", 1).alias("key"), F.trim(F.regexp_extract("value", r"^[A-Za-z0-9_]+:([^#]*)", 1)).alias("v"))
+    given = F.nullif(F.nullif(F.regexp_replace("v", r"""^['"]|['"]$""", ""), F.lit("null")), F.lit(""))
+    args = pair.groupBy("run").agg(
+        F.max(F.when(F.col("key") == "optimizer", given)).alias("optimizer"),
+        F.expr("try_cast(max(CASE WHEN key = 'fliplr' THEN v END) AS DOUBLE)").alias("fliplr"),
+    )
+    metrics = {name: metric_like(F.col("metrics"), text) for name, text in METRICS.items()}
+    return (
+        runs.join(rates, "run", "left").join(args, "run", "left")
+        .select("run", "label_set", "imgsz", "split_at", "official", "lr_peak", "lr_last", "optimizer", "fliplr", *[m.alias(n) for n, m in metrics.items()])
+    )

@@ -5,12 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .files import write_text_files
+
 
 def write_label_texts(texts: DataFrame, path: str) -> None:
-    """Label texts ``(frame, split, text)``, one folder per split, replacing what was there."""
+    """Label texts ``(frame, split, text)`` as a table, one folder per split, replacing what was there."""
     texts.write.mode("overwrite").partitionBy("split").parquet(path)
 
 
+def write_label_files(texts: DataFrame, path: str) -> None:
+    """Label texts ``(frame, split, text)`` as files ``<split>/<frame>.txt``, empty ones for frames without boxes.
+
+    What was there is replaced when all files are written (``files.write_text_files``).
+    """
+    name = F.concat(F.col("frame").cast("string"), F.lit(".txt"))
+    write_text_files(texts.select(F.col("split").alias("folder"), name.alias("name"), "text"), path)
+
+
 def write_sorted_csv(df: DataFrame, path: str, order: list[str]) -> None:
     """CSV with a header, globally sorted: files follow each other in the order."""
     df.orderBy(*order).write.mode("overwrite").csv(path, header=True)

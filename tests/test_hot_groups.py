@@ -101,11 +101,12 @@ def assert_nothing_better(left, right, least, got):
         assert got.get((f, a)) == (best if -score >= least else None)
 
 
-def test_greedy_match(spark, boxes):
+@pytest.mark.parametrize("crowded", [100_000, 0])
+def test_greedy_match(spark, boxes, crowded):
     left, right = boxes[::2], boxes[1::2]
     schema = "f int, {} int, x1 double, y1 double, x2 double, y2 double"
     got = R.greedy_match(
-        spark.createDataFrame(left, schema.format("a")), spark.createDataFrame(right, schema.format("b")), ["f"], "a", "b", 0.3
+        spark.createDataFrame(left, schema.format("a")), spark.createDataFrame(right, schema.format("b")), ["f"], "a", "b", 0.3, crowded
     )
     assert_nothing_better(left, right, 0.3, {(r.f, r.a): r.b for r in got.collect()})
 
@@ -119,6 +120,41 @@ def test_greedy_match_of_a_long_chain(spark):
     assert sorted((r.a, r.b) for r in got) == [(i, i) for i in range(n)]
 
 
+def test_parts_of_a_crowded_frame_are_matched_apart(spark):
+    """One frame of many clusters of boxes: split by parts it gives the same pairs, from several tasks."""
+    rnd = random.Random(3)
+    place = [(0, i, x := 100.0 * (i // 4) + rnd.random() * 6, 0.0, x + 10, 10.0) for i in range(800)]
+    left = spark.createDataFrame(place, "f int, a int, x1 double, y1 double, x2 double, y2 double")
+    right = left.withColumnRenamed("a", "b").withColumns({"x1": F.col("x1") + 1, "x2": F.col("x2") + 1})
+    whole, split = (R.greedy_match(left, right, ["f"], "a", "b", 0.2, crowded) for crowded in (100_000, 10))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, split.collect()))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small partitions would be put together again
+    try:
+        assert split.select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_first_choices_over_batches():
+    """Pairs cut into batches anywhere, parts with and without contested boxes."""
+    import pyarrow as pa
+
+    rnd = random.Random(13)
+    rows = [(g, l, r) for g in range(40) for l in range(rnd.randrange(1, 6)) for r in rnd.sample(range(6), rnd.randrange(1, 4))]
+    want, taken, had = [], set(), set()
+    for g, l, r in rows:
+        free = (g, l) not in had and (g, r) not in taken
+        want.append(free)
+        if free:
+            had.add((g, l))
+            taken.add((g, r))
+    for size in (1, 3, 50, 1000):
+        parts = [rows[i : i + size] for i in range(0, len(rows), size)]
+        batches = [pa.record_batch({c: pa.array([x[k] for x in p], pa.int64()) for k, c in enumerate(("__g", "__l", "__r"))}) for p in parts]
+        got = [tuple(x.values()) for b in R._first_free(iter(batches)) for x in b.to_pylist()]
+        assert got == [x for x, w in zip(rows, want, strict=True) if w]
+
+
 def assert_sampled(rows, step, kept):
     """The first row is kept; any other if and only if it is ``step`` away from the kept row before it."""
     value, ordered = dict(rows), sorted(kept)
@@ -128,9 +164,17 @@ def assert_sampled(rows, step, kept):
         assert (frame in value.keys() & set(ordered)) == (abs(v - before) >= step * max(before, 1e-9))
 
 
+@pytest.fixture(params=[2, 1024])
+def fan(request, monkeypatch):
+    """How many buckets are put together at once: with two, short chains go through all levels."""
+    from kerbline.operators import ordered
+
+    monkeypatch.setattr(ordered, "FAN", request.param)
+
+
 @pytest.mark.parametrize("bucket", [3, 16, 4096])
 @pytest.mark.parametrize("step", [0.0, 0.2, 0.5])
-def test_change_sample(spark, bucket, step):
+def test_change_sample(spark, bucket, step, fan):
     rnd = random.Random(7)
     short = list(enumerate([10.0, 10.5, 11.0, 20.0, 20.0, 40.0, 41.0]))
     long = [(i, rnd.choice([10.0, 11.0, 12.0, 13.0, 20.0, 15.0, 30.0]) + rnd.random()) for i in range(300)]
@@ -140,7 +184,7 @@ def test_change_sample(spark, bucket, step):
     assert_sampled(long, step, [r.f for r in rows if r.g == 2])
 
 
-def test_interval_sample(spark):
+def test_interval_sample(spark, fan):
     rnd = random.Random(9)
     times = sorted(rnd.random() * 200 for _ in range(400))
     df = spark.createDataFrame([(1, i, t) for i, t in enumerate(times)], "g int, f int, t double")
@@ -155,7 +199,7 @@ def test_interval_sample(spark):
 
 
 @pytest.mark.parametrize("size", [7, 1000])
-def test_fold_states(spark, size):
+def test_fold_states(spark, size, fan):
     rnd = random.Random(11)
     rows = [(g, t, rnd.choice("abx")) for g in range(2) for t in range(200)]
 

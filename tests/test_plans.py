@@ -30,3 +30,23 @@ def test_scan_reads_only_what_is_asked(spark):
 
 def test_filter_reaches_the_scan(spark):
     assert "PushedFilters: [IsNotNull(l_linenumber), " in plan_of(registry.QUERIES["orphans"](spark, FOLDER))
+
+
+def test_running_values_deal_their_rows_out_once(spark):
+    """Rows by key and bucket, summaries by both and by key, entered values back: null keys add nothing to that."""
+    from pyspark.sql import functions as F
+
+    from kerbline.operators.ordered import scan, tick_bucket
+
+    rows = spark.createDataFrame([(1, 1, 2.0), (None, 2, 3.0)], "g int, tick int, v double")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        done = scan(rows, ["g"], ["tick"], tick_bucket("tick", 4), {"sum": ("total", F.col("v"))})
+        text = plan_of(done)
+        assert text.count("Exchange hashpartitioning") <= 4 and text.count("<=>") == 0
+        assert sorted((r.g or 0, r["sum"]) for r in done.collect()) == [(0, 3.0), (1, 2.0)]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

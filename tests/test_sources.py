@@ -138,3 +138,77 @@ def test_contract(spark, text, want):
     assert {(r.fault, r.key) for r in contract.violations(df, "json", []).collect()} == want
     malformed = any(f == "malformed" for f, _ in want)
     assert contract.parse_messages(df, "json").count() == (0 if malformed else 1)
+
+
+def test_one_archive_is_read_by_many_tasks(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "big.zip", "w") as z:
+        for i in range(40):
+            z.writestr(f"texts/{i}.txt", str(i) * 2000)
+        with pytest.warns(UserWarning):
+            z.writestr("texts/7.txt", "again")  # a name may stand twice
+    members = archive.archive_members(spark, str(tmp_path), span=20_000)
+    got = members.withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.base, bytes(r.bytes).decode()) for r in got) == sorted([*((f"{i}.txt", str(i) * 2000) for i in range(40)), ("7.txt", "again")])
+    assert len({r.task for r in got}) > 1
+    assert archive.archive_index(spark, str(tmp_path), "/3").count() == 11
+
+
+def test_archives_are_written_whole(spark, tmp_path):
+    rows = [(f"{a}.zip", f"d/{i}", bytes([i])) for a in "ab" for i in range(5)] + [("a.zip", "d/empty", b"")]
+    told = archive.write_archives(spark.createDataFrame(rows, "archive string, member string, bytes binary"), str(tmp_path / "out")).collect()
+    assert {(r.archive, r.members) for r in told} == {("a.zip", 6), ("b.zip", 5)}
+    got = archive.archive_members(spark, str(tmp_path / "out")).collect()
+    assert sorted((r.archive.rsplit("/", 1)[1], r.member, bytes(r.bytes)) for r in got) == sorted(rows)
+    assert not list((tmp_path / "out").glob("*.part"))
+
+
+def test_label_files_replace_what_was_there(spark, tmp_path):
+    out = tmp_path / "labels"
+    schema = "frame string, split string, text string"
+    writers.write_label_files(spark.createDataFrame([("a", "train", "0 1 1 1 1\n"), ("b", "val", ""), ("old", "test", "x")], schema), str(out))
+    assert {str(p.relative_to(out)): p.read_text() for p in out.rglob("*.txt")} == {"train/a.txt": "0 1 1 1 1\n", "val/b.txt": "", "test/old.txt": "x"}
+    writers.write_label_files(spark.createDataFrame([("a", "train", "new\n"), ("c", "val", None)], schema), str(out))
+    assert {str(p.relative_to(out)): p.read_text() for p in out.rglob("*.txt")} == {"train/a.txt": "new\n", "val/c.txt": ""}
+    broken = spark.createDataFrame([("d", "train", "1")], schema).withColumn("text", F.when(F.col("frame") == "d", F.raise_error(F.lit("no text"))).otherwise(F.col("text")))
+    with pytest.raises(Exception, match="no text"):
+        writers.write_label_files(broken, str(out))
+    # A job that fails leaves the old files, and nothing of its own.
+    assert {str(p.relative_to(out)) for p in out.rglob("*") if p.is_file() and not p.name.endswith(".crc")} == {"train/a.txt", "val/c.txt"}
+    files = readers.list_files(spark, str(out))
+    assert {(r.path.rsplit("/", 1)[1], r.length) for r in files.collect()} == {("a.txt", 4), ("c.txt", 0)}
+
+
+def test_run_records(spark, tmp_path):
+    for name, args in (("r1", "task: x\noptimizer: 'AdamW'\nfliplr: 0.5\n"), ("r2", None), ("r3", "optimizer: null\nfliplr: none\n")):
+        d = tmp_path / name
+        d.mkdir()
+        (d / "run_meta.json").write_text(json.dumps({"label_set": "l", "imgsz": 640, "metrics": {"metrics/mAP50(B)": 0.9, "metrics/mAP50-95(B)": 0.5, "metrics/recall(B)": 0.25}}))
+        if args:
+            (d / "args.yaml").write_text(args)
+    (tmp_path / "r1" / "results.csv").write_text("epoch,   lr/pg0\n0,  0.5\n1,  \n2, 0.25\n")
+    other = tmp_path / "no_meta"
+    other.mkdir()
+    (other / "args.yaml").write_text("optimizer: SGD\n")
+    got = {r.run: tuple(r[c] for c in ("lr_peak", "lr_last", "optimizer", "fliplr", "map50", "map", "precision", "recall")) for r in readers.collect_runs(spark, str(tmp_path)).collect()}
+    rest = (0.9, 0.5, None, 0.25)
+    assert got == {"r1": (0.5, 0.25, "AdamW", 0.5, *rest), "r2": (None, None, None, None, *rest), "r3": (None, None, None, None, *rest)}
+
+
+def test_frame_json(spark):
+    rows = [
+        (1, '{"fps": 3, "frames": [{"id": "a", "index": 1, "time_s": 0.5}, {"id": "b"}]}'), (2, '{"frames": {"c": {"index": 2}, "d": {"id": "e", "time_s": 1}}}'),
+        (3, "{oops"), (4, None), (5, "{}"), (6, '{"frames": []}'), (7, "[]"),
+    ]
+    df = spark.createDataFrame(rows, "n int, json string")
+    got = {(r.n, r.frame_id, r["index"], r.time_s) for r in readers.frame_index(df, "json").collect()}
+    assert got == {(1, "a", 1, 0.5), (1, "b", None, None), (2, "c", 2, None), (2, "e", None, 1.0)}
+    rows = [(1, '{"frames": {"a": {"score": 0.5, "note": "x"}, "b": {}}}'), (2, "{oops"), (3, '{"version": 1}'), (4, None)]
+    scores = readers.frame_scores(spark.createDataFrame(rows, "n int, json string"), "json")
+    assert [tuple(r) for r in scores.collect()] == [(1, "a", "score", 0.5)]
+
+
+def test_json_texts(spark, tmp_path):
+    (tmp_path / "v1").mkdir()
+    (tmp_path / "v1" / "frames.json").write_text('{"frames":\n {"f": {"index": 3}}}')
+    texts = readers.read_json_texts(spark, str(tmp_path), "frames.json")
+    assert [tuple(r) for r in readers.frame_index(texts, "json").collect()] == [("v1", "f", 3, None)]
