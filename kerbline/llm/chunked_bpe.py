@@ -25,13 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .arrays import pieces, worker_store
+from .arrays import pieces, spread, worker_store
 from .wordsplit import bounds, gather
 
 #: Words a worker remembers before it starts anew.
 REMEMBERED = 500_000
 #: Longest word, in bytes, that is merged side by side with others of its length.
 SIDE_BY_SIDE = 32
+#: Words of pieces that are encoded together.
+WORDS_AT_ONCE = 200_000
 NONE = np.iinfo(np.int32).max
 
 
@@ -145,7 +147,7 @@ class Merges:
                 tokens.append(token)
             else:
                 by_length.setdefault(len(raw), []).append(word)
-        paths, sizes = [self.paths, np.array(tokens, np.int32)], [np.ones(len(tokens), np.int64)]
+        paths, sizes = [np.array(tokens, np.int32)], [np.ones(len(tokens), np.int64)]
         for n, same in by_length.items():
             order += same
             if n <= SIDE_BY_SIDE:
@@ -157,11 +159,12 @@ class Merges:
             sizes.append(size)
         begin = len(self.numbers)
         self.numbers.update(zip(order, range(begin, begin + len(order)), strict=True))
-        self.paths = np.concatenate(paths)
-        self.first = np.append(self.first, self.first[-1] + np.cumsum(np.concatenate(sizes)))
+        ends = self.first[begin] + np.cumsum(np.concatenate(sizes))
+        self.paths = put(self.paths, int(self.first[begin]), np.concatenate(paths))
+        self.first = put(self.first, begin + 1, ends)
 
     def _forget(self) -> None:
-        """No words: numbers of words, and the ids of all of them one after the other."""
+        """No words: numbers of words, the ids of all of them one after the other, and where each word's begin."""
         self.numbers: dict[str, int] = {}
         self.paths, self.first = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
@@ -175,8 +178,9 @@ class Merges:
                 new = set(flat)
             self._learn(list(new))
         which = np.fromiter(map(self.numbers.__getitem__, flat), np.int64, len(flat))
-        ids, at = gather(self.paths, self.first, which)
-        return ids, at[bounds(texts)]
+        start = self.first[which]
+        size = self.first[which + 1] - start
+        return self.paths[spread(start, size)], np.append(0, np.cumsum(size))[bounds(texts)]
 
     def decode(self, ids: np.ndarray, first: np.ndarray) -> list[bytes]:
         """The bytes of each text's tokens, one after the other."""
@@ -185,6 +189,15 @@ class Merges:
         return [whole[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
+def put(held: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
+    """The array with ``values`` from ``at`` on; it grows by doubling, so that adding little costs little."""
+    need = at + len(values)
+    if need > len(held):
+        held = np.concatenate([held[:at], np.zeros(max(need, 2 * len(held)) - at, held.dtype)])
+    held[at:need] = values
+    return held
+
+
 def merges_of(kind: str, definition: bytes, build) -> Merges:
     """The worker's own compiled tables of a tokenizer file."""
     store, name = worker_store(), (kind, hashlib.sha256(definition).digest())
@@ -259,11 +272,22 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str, chunk: int = 16_
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges, words = tables(), regex.compile(pattern)
+        kinds = {"k1": pa.int64(), "k2": pa.int64(), "part": pa.int32(), "doc_id": pa.int64(), "copies": pa.int64()}
+
+        def out(held: list[tuple[dict, list[str]]]) -> pa.RecordBatch:
+            ids, first = merges.encode([found for _, found in held])
+            return pa.record_batch({**{c: pa.array([r[c] for r, _ in held], t) for c, t in kinds.items()}, "ids": pa.array(packed(ids, first), pa.binary())})
+
+        held, size = [], 0
         for rows in runs(batches, ("k1", "k2", "part")):
-            one = {c: pa.array([rows[0][c]], t) for c, t in (("k1", pa.int64()), ("k2", pa.int64()), ("part", pa.int32()), ("doc_id", pa.int64()), ("copies", pa.int64()))}
             found = words.findall("".join(r["body"] for r in rows)) if rows[0]["size"] is None else within(words, rows[0]["body"], rows[0]["size"])
-            ids, first = merges.encode([found])
-            yield pa.record_batch({**one, "ids": pa.array(packed(ids, first), pa.binary())})
+            held.append(({c: rows[0][c] for c in kinds}, found))
+            size += len(found)
+            if size >= WORDS_AT_ONCE:
+                yield out(held)
+                held, size = [], 0
+        if held:
+            yield out(held)
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges = tables()
