@@ -68,6 +68,7 @@ def with_shared_starts(turns: DataFrame, every: int = 20, most: int = 4) -> tupl
     Conversation c begins with the first h turns of conversation c - c % every (all if it has fewer, none if there is no
     such one) and goes on with its own after its first h; h is the unsigned CRC-32 of c's decimal digits modulo ``most``.
     """
+    turns = checkpointed(turns)  # a few numbers a turn, read by everything that follows
     c = F.col("conv_id")
     h = F.crc32(c.cast("string").cast("binary")) % most
     first = turns.filter((c % every == 0) & (F.col("pos") < most)).withColumnRenamed("conv_id", "g")
