@@ -8,6 +8,8 @@ meet. Neither is a polynomial, whose powers regular texts can cancel out.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 from collections.abc import Iterator
@@ -30,6 +32,23 @@ def worker_store() -> dict:
     return sys.modules[name].values
 
 
+def forget() -> None:
+    """Drop the words and tokenizers that earlier work left in this worker; small tables stay.
+
+    Workers live on from stage to stage, and what they remember would add up.
+    """
+    store = worker_store()
+    large = [name for name in store if not isinstance(name, str)]
+    for name in large:
+        del store[name]
+    if large:
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except OSError:  # another C library keeps what is freed to itself
+            pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit values evenly (the finalizer of splitmix64)."""
     x = x ^ (x >> U64(30))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import checkpointed
-from .arrays import Hashes, Texts, pieces, rows_of, texts_of, words_of
+from .arrays import Hashes, Texts, forget, pieces, rows_of, texts_of, words_of
 from .sampling import fitting_sample
 
 SYMBOLS = np.zeros(256, bool)
@@ -97,6 +97,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     """doc_id, COUNTS and base_failed, one row for each input row. A null or empty text counts nothing and fails."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in pieces(batches):
             counts = counts_of(texts_of(batch.column("text")))
             yield pa.record_batch({"doc_id": batch.column("doc_id"), **{c: counts[c].astype(np.int64) for c in COUNTS}})
@@ -217,14 +218,24 @@ def verdict(rules: list[Rule], at: str = "") -> Column:
     return F.lit(True) if out is None else out.otherwise(True)
 
 
-def fit(rows: DataFrame, labels: DataFrame, sample: int) -> list[Rule]:
-    """Rules from about ``sample`` labelled rows of ``statistics`` at most; rows that fail the base teach nothing."""
+def taught_ids(labels: DataFrame, sample: int) -> DataFrame:
+    """About ``sample`` labelled doc_ids at most, with their quality."""
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).dropna().groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    return fitting_sample(known, sample)
+
+
+def fit(rows: DataFrame, labels: DataFrame, sample: int) -> list[Rule]:
+    """Rules from about ``sample`` labelled rows of ``statistics`` at most; rows that fail the base teach nothing.
+
+    Of a sampled id that stands in several rows, the row with the least counts teaches.
+    """
     taught = (
         rows.filter("NOT base_failed")
-        .join(F.broadcast(fitting_sample(known, sample)), "doc_id")
+        .join(F.broadcast(taught_ids(labels, sample)), "doc_id")
+        .groupBy("doc_id", "quality")
+        .agg(F.min(F.struct(*[share(n).alias(n) for n in SHARES])).alias("s"))
         .orderBy("doc_id")
-        .select(*[share(n).alias(n) for n in SHARES], (F.col("quality") == 0).alias("bad"))
+        .select("s.*", (F.col("quality") == 0).alias("bad"))
         .toPandas()
     )
     return learn({n: taught[n].to_numpy(float) for n in SHARES}, taught["bad"].to_numpy(bool)) if len(taught) else []
@@ -241,12 +252,17 @@ def judge(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> DataFrame
 
 
 def keep(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> DataFrame:
-    """The documents that ``judge`` keeps, with all their columns. The texts are counted where they lie."""
-    rules = fit(statistics(docs), labels, sample)
+    """The documents that ``judge`` keeps, with all their columns; the texts are counted where they lie.
+
+    Null and repeated ids are judged by their own texts; repeated rows all stay or all go.
+    """
+    sampled = docs.select("doc_id", "text").join(F.broadcast(taught_ids(labels, sample).select("doc_id")), "doc_id", "left_semi")
+    rules = fit(statistics(sampled), labels, sample)
     name = "__counts"
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in pieces(batches):
             counts = counts_of(texts_of(batch.column("text")))
             own = pa.StructArray.from_arrays([pa.array(counts[c].astype(np.int64)) for c in COUNTS], list(COUNTS))

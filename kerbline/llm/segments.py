@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from .arrays import U64, Hashes, Texts, byte_values, covered, pieces, rows_of, sliding_min, spread, texts_of, words_of
+from .arrays import U64, Hashes, Texts, byte_values, covered, forget, pieces, rows_of, sliding_min, spread, texts_of, words_of
 
 
 #: Single windows of a batch.
@@ -81,6 +81,7 @@ def segments(docs: DataFrame, kind: Kind) -> DataFrame:
     """All segments of all documents: key, seg, rid, doc_id, place, n, twice. A null doc_id is the smallest number."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in pieces(batches):
             values, first = tokens_of(texts_of(batch.column("text")), kind.unit)
             run = runs_of(values, first, kind)
