@@ -1,44 +1,83 @@
 """Near-duplicate frames by the distance of 64-bit hashes.
 
 Frames with one and the same hash become one row with a count, so a group of exact
-copies never forms pairs. Two hashes at distance ``k`` or less agree in one of four
-16-bit bands up to ``k // 4`` bits. Each side is therefore listed under its band
+copies never forms pairs. A hash is cut into bands, each with a radius, so that two
+hashes at distance ``k`` or less agree within its radius in one of them: the radii
+add up to ``k`` less the number of bands but one. Each side is listed under its band
 values with a few bits turned, and pairs meet on ``(band, value)``. A pair is kept
 only in its first such band and under one agreed value, so no pair comes twice and
-no ``distinct`` is needed. Band values shared by very many hashes are joined on a
-second band as well, which again loses no pair.
+no ``distinct`` is needed. The more hashes, the fewer and wider the bands: how many
+is chosen from the number of hashes, by the rows listed and the pairs that meet by
+chance. Band values shared by very many hashes are joined on a second band as well,
+or once more on narrower bands, which loses no pair either.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import hamming
+from ..session import checkpointed
 from .components import with_component
 
-BANDS = 4
-WIDTH = 16
+BITS = 64
 
 
-def _band(h: Column, index: int) -> Column:
-    return F.shiftrightunsigned(h, WIDTH * index).bitwiseAND(F.lit((1 << WIDTH) - 1).cast("bigint"))
+class Band(NamedTuple):
+    """Bits ``start`` to ``start + width`` of a hash, which may differ in ``radius`` of them."""
 
+    start: int
+    width: int
+    radius: int
 
-def _bands(h: Column) -> Column:
-    return F.array(*(_band(h, i) for i in range(BANDS)))
+    @property
+    def right(self) -> int:
+        """Bits turned on the right side; the others are turned on the left."""
+        return self.radius // 2
 
+    @property
+    def left(self) -> int:
+        return self.radius - self.right
 
-def _masks(radius: int) -> Column:
-    """All 16-bit words with at most ``radius`` bits set."""
-    words = [
-        sum(1 << bit for bit in bits)
-        for size in range(radius + 1)
-        for bits in combinations(range(WIDTH), size)
-    ]
-    return F.expr("array(" + ", ".join(f"{word}L" for word in words) + ")")
+
+def cut(number: int, k: int) -> list[Band]:
+    """``number`` bands whose radii add up to ``k - number + 1``: were all exceeded, the distance would be more than ``k``."""
+    wide, rest = divmod(BITS, number)
+    deep, more = divmod(k - number + 1, number)
+    widths = [wide + (i < rest) for i in range(number)]
+    return [Band(sum(widths[:i]), w, deep + (i < more)) for i, w in enumerate(widths)]
+
+
+def ball(width: int, radius: int) -> int:
+    """Words of ``width`` bits with at most ``radius`` of them set."""
+    return sum(math.comb(width, i) for i in range(radius + 1))
+
+
+def cost(bands: list[Band], n: int) -> float:
+    """Rows listed for a hash, and other hashes of ``n`` that it meets by chance."""
+    listed = sum(ball(b.width, b.left) + ball(b.width, b.right) for b in bands)
+    return listed + sum(ball(b.width, b.radius) * n / 2**b.width for b in bands)
+
+
+def bands_for(n: int, k: int) -> list[Band]:
+    """The bands that make the least work for ``n`` different hashes."""
+    return min((cut(m, k) for m in range(1, min(8, k + 1) + 1)), key=lambda bands: cost(bands, n))
+
+
+def _value(h: Column, band: Band) -> Column:
+    mask = (1 << band.width) - 1 if band.width < BITS else -1
+    return F.shiftrightunsigned(h, band.start).bitwiseAND(F.lit(mask).cast("bigint"))
+
+
+def _masks(width: int, radius: int) -> Column:
+    """All words of ``width`` bits with at most ``radius`` bits set."""
+    words = [sum(1 << bit for bit in bits) for size in range(radius + 1) for bits in combinations(range(width), size)]
+    return F.expr("array(" + ", ".join(f"{word if word < 1 << 63 else word - (1 << 64)}L" for word in words).replace("-9223372036854775808L", "(-9223372036854775807L - 1L)") + ")")
 
 
 def _lowest_bits(word: Column, count: Column, most: int) -> Column:
@@ -51,33 +90,43 @@ def _lowest_bits(word: Column, count: Column, most: int) -> Column:
     return taken
 
 
-def _agreed(a: Column, b: Column, radius: int) -> Column:
+def _agreed(a: Column, b: Column, band: Band) -> Column:
     """The one value under which two band values within the radius meet."""
-    right = min(1, radius)
     difference = a.bitwiseXOR(b)
-    turn = F.greatest(F.bit_count(difference) - right, F.lit(0))
-    return a.bitwiseXOR(_lowest_bits(difference, turn, radius - right))
+    turn = F.greatest(F.bit_count(difference) - band.right, F.lit(0))
+    return a.bitwiseXOR(_lowest_bits(difference, turn, band.left))
 
 
-def _first_band(a: Column, b: Column, radius: int, skip: Column | None = None) -> Column:
-    """Index of the first band, other than ``skip``, that agrees within the radius."""
+def _first_band(a: Column, b: Column, bands: dict[int, Band], skip: Column | None = None) -> Column:
+    """Number of the first band, other than ``skip``, that agrees within its radius."""
     chain = None
-    for i in range(BANDS):
-        near = hamming(_band(a, i), _band(b, i)) <= radius
+    for i, band in bands.items():
+        near = hamming(_value(a, band), _value(b, band)) <= band.radius
         if skip is not None:
             near = near & (skip != i)
         chain = F.when(near, F.lit(i)) if chain is None else chain.when(near, F.lit(i))
     return chain
 
 
-def _listed(df: DataFrame, radius: int, band: str, value: str, skip: str | None = None) -> DataFrame:
-    """A row per band (other than ``skip``) and per value within the radius."""
-    df = df.select("*", F.posexplode(_bands(F.col("h"))).alias(band, "__v"))
-    if skip:
-        df = df.filter(F.col(band) != F.col(skip))
-    return df.select("*", F.explode(_masks(radius)).alias("__m")).withColumn(
-        value, F.col("__v").bitwiseXOR(F.col("__m"))
-    ).drop("__v", "__m")
+def _meeting(a: Column, b: Column, bands: dict[int, Band], band: Column) -> Column:
+    """The value under which a pair meets in a band."""
+    out = None
+    for i, own in bands.items():
+        here = _agreed(_value(a, own), _value(b, own), own)
+        out = F.when(band == i, here) if out is None else out.when(band == i, here)
+    return out
+
+
+def _listed(df: DataFrame, bands: dict[int, Band], side: str, band: str, value: str) -> DataFrame:
+    """A row per band and per value within what the side turns."""
+
+    def turned(i: int, own: Band) -> Column:
+        plain = _value(F.col("h"), own)
+        return F.transform(_masks(own.width, getattr(own, side)), lambda m: F.struct(F.lit(i).alias("band"), plain.bitwiseXOR(m).alias("value")))
+
+    parts = [turned(i, own) for i, own in bands.items()]
+    rows = df.select("*", F.explode(F.flatten(F.array(*parts))).alias("__l"))
+    return rows.select(*df.columns, F.col("__l.band").alias(band), F.col("__l.value").alias(value))
 
 
 def distinct_hashes(df: DataFrame, key: str, h: str) -> DataFrame:
@@ -87,40 +136,29 @@ def distinct_hashes(df: DataFrame, key: str, h: str) -> DataFrame:
     )
 
 
-def hash_pairs(hashes: DataFrame, k: int, crowded: int = 20_000) -> DataFrame:
+def hash_pairs(hashes: DataFrame, k: int, crowded: int = 20_000, bands: list[Band] | None = None) -> DataFrame:
     """Pairs ``(h_a, h_b, distance)`` of different hashes, ``h_a < h_b``, at most ``k`` apart.
 
-    ``hashes`` holds each ``h`` once. Bands listed for more than ``crowded`` hashes
-    are joined on two bands.
+    ``hashes`` holds each ``h`` once. Band values listed for more than ``crowded``
+    hashes are joined on two bands, or, where the bands are only two, all that
+    are under such values once more on four.
     """
-    if not 0 <= k < WIDTH * BANDS:
+    if not 0 <= k < BITS:
         raise ValueError("k must be 0..63")
-    first = k // BANDS
-    second = k // (BANDS - 1)
-    only = hashes.select("h")
-    per_value = crowded // (1 + WIDTH * min(1, first)) or 1
-    full = (
-        only.select(F.posexplode(_bands(F.col("h"))).alias("band", "v"))
-        .groupBy("band", "v")
-        .count()
-        .filter(F.col("count") > per_value)
-        .select("band", F.explode(_masks(min(1, first))).alias("m"), "v")
-        .select("band", F.col("v").bitwiseXOR(F.col("m")).alias("value"))
-        .distinct()
-    )
-    left = _listed(only, first - min(1, first), "band", "value")
-    right = _listed(only, min(1, first), "band", "value")
+    only = checkpointed(hashes.select("h"))
+    every = dict(enumerate(bands or bands_for(only.count(), k)))
     on = ["band", "value"]
     a, b = F.col("h_a"), F.col("h_b")
-
-    def meets(radius: int, band: str, value: str, skip: Column | None = None) -> Column:
-        agreed = None
-        for i in range(BANDS):
-            here = _agreed(_band(a, i), _band(b, i), radius)
-            agreed = F.when(F.col(band) == i, here) if agreed is None else agreed.when(
-                F.col(band) == i, here
-            )
-        return (F.col(band) == _first_band(a, b, radius, skip)) & (F.col(value) == agreed)
+    values = F.array(*(F.struct(F.lit(i).alias("band"), _value(F.col("h"), own).alias("v")) for i, own in every.items()))
+    many = only.select(F.explode(values).alias("x")).groupBy("x.band", "x.v").count()
+    spread = None
+    for i, own in every.items():
+        masks = F.when(F.col("count") > max(1, crowded // ball(own.width, own.right)), _masks(own.width, own.right))
+        spread = F.when(F.col("band") == i, masks) if spread is None else spread.when(F.col("band") == i, masks)
+    full = checkpointed(
+        many.select("band", "v", F.explode(spread).alias("m")).select("band", F.col("v").bitwiseXOR(F.col("m")).alias("value")).distinct()
+    )
+    left, right = (_listed(only, every, side, *on) for side in ("left", "right"))
 
     def closed(joined: DataFrame, test: Column) -> DataFrame:
         return (
@@ -129,26 +167,37 @@ def hash_pairs(hashes: DataFrame, k: int, crowded: int = 20_000) -> DataFrame:
             .select("h_a", "h_b", hamming(a, b).alias("distance"))
         )
 
-    def pick(df: DataFrame, how: str, columns: list[str]) -> DataFrame:
-        return df.join(full, on, how)
-
-    one = meets(first, "band", "value")
-    thin = closed(
-        pick(left, "left_anti", on)
-        .withColumnRenamed("h", "h_a")
-        .join(pick(right, "left_anti", on).withColumnRenamed("h", "h_b"), on),
-        one,
-    )
-    near = min(1, second)
-    dense_left = _listed(pick(left, "left_semi", on), second - near, "band_2", "value_2", "band")
-    dense_right = _listed(pick(right, "left_semi", on), near, "band_2", "value_2", "band")
-    dense = closed(
-        dense_left.withColumnRenamed("h", "h_a").join(
-            dense_right.withColumnRenamed("h", "h_b"), [*on, "band_2", "value_2"]
-        ),
-        one & meets(second, "band_2", "value_2", F.col("band")),
-    )
-    return thin.unionByName(dense)
+    first = _first_band(a, b, every)
+    one = (F.col("band") == first) & (F.col("value") == _meeting(a, b, every, F.col("band")))
+    if full.isEmpty():
+        return closed(left.withColumnRenamed("h", "h_a").join(right.withColumnRenamed("h", "h_b"), on), one)
+    thin_left, thin_right = (x.join(full, on, "left_anti") for x in (left, right))
+    thin = closed(thin_left.withColumnRenamed("h", "h_a").join(thin_right.withColumnRenamed("h", "h_b"), on), one)
+    dense_left, dense_right = (x.join(full, on, "left_semi") for x in (left, right))
+    if len(every) < 3:
+        crowd = dense_left.select("h").union(dense_right.select("h")).distinct()
+        again = hash_pairs(crowd, k, crowded, cut(min(4, k + 1), k)) if k >= 3 else _unbanded(dense_left, dense_right, on, k)
+        met = again.withColumns({"band": first, "value": _meeting(a, b, every, first)})
+        return thin.unionByName(met.join(full, on, "left_semi").select("h_a", "h_b", "distance"))
+    # Agreed in one band, a pair still agrees in one of the others, within radii that add up to as much for one band less.
+    deep, more = divmod(k - len(every) + 2, len(every) - 1)
+    found = thin
+    for i in every:
+        others = {j: own._replace(radius=deep + (place < more)) for place, (j, own) in enumerate((j, own) for j, own in every.items() if j != i)}
+        rows_left = _listed(dense_left.filter(F.col("band") == i), others, "left", "band_2", "value_2")
+        rows_right = _listed(dense_right.filter(F.col("band") == i), others, "right", "band_2", "value_2")
+        met = rows_left.withColumnRenamed("h", "h_a").join(rows_right.withColumnRenamed("h", "h_b"), [*on, "band_2", "value_2"])
+        second = _first_band(a, b, others)
+        twice = one & (F.col("band_2") == second) & (F.col("value_2") == _meeting(a, b, others, F.col("band_2")))
+        found = found.unionByName(closed(met, twice))
+    return found
+
+
+def _unbanded(left: DataFrame, right: DataFrame, on: list[str], k: int) -> DataFrame:
+    """Pairs that share a crowded value, for distances too small to cut a hash into more bands."""
+    a, b = F.col("h_a"), F.col("h_b")
+    met = left.withColumnRenamed("h", "h_a").join(right.withColumnRenamed("h", "h_b"), on)
+    return met.filter((a < b) & (hamming(a, b) <= k)).select("h_a", "h_b", hamming(a, b).alias("distance")).distinct()
 
 
 def near_duplicates(df: DataFrame, key: str, h: str, k: int) -> DataFrame:

@@ -41,15 +41,26 @@ def hashes():
     return sorted({signed(h) for h in base + near + dark})
 
 
-@pytest.mark.parametrize("k", [3, 5, 10])
-@pytest.mark.parametrize("crowded", [20_000, 20])
-def test_near_duplicates_are_complete(spark, hashes, k, crowded):
+@pytest.mark.parametrize(("k", "crowded", "number"), [
+    (1, 20_000, 1), (1, 20, 2), (3, 20_000, None), (3, 20, None), (5, 20, None), (5, 20_000, 3), (5, 20, 3), (10, 20_000, 2), (10, 20, 2), (10, 20, 3), (10, 20, 4), (10, 20_000, 5),
+])
+def test_near_duplicates_are_complete(spark, hashes, k, crowded, number):
     df = spark.createDataFrame([(h,) for h in hashes], "h bigint")
-    got = [tuple(r) for r in D.hash_pairs(df, k, crowded).collect()]
+    got = [tuple(r) for r in D.hash_pairs(df, k, crowded, number and D.cut(number, k)).collect()]
     want = {(a, b, bits(a ^ b)) for i, a in enumerate(hashes) for b in hashes[i + 1 :] if bits(a ^ b) <= k}
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_bands_follow_the_number_of_hashes():
+    for k in range(64):
+        for m in range(1, min(8, k + 1) + 1):
+            bands = D.cut(m, k)
+            assert sum(b.width for b in bands) == 64 and sum(b.radius + 1 for b in bands) == k + 1
+    assert [len(D.bands_for(n, 10)) for n in (1, 60_000, 1_000_000, 77_000_000)] == [8, 4, 3, 2]
+    # What a hash costs at 77 million of them: rows listed and met by chance.
+    assert D.cost(D.bands_for(77_000_000, 10), 77_000_000) < 12_500
+
+
 def test_copies_are_counted_not_listed(spark):
     rows = [(i, 5, i % 3) for i in range(60)] + [(100, 7, 0)]
     df = spark.createDataFrame(rows, "id int, h bigint, clip int")
