@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from .arrays import U64, mix, rows_of
+from .arrays import U64, forget, mix, rows_of
 
 ORDER, BITS = 5, 10
 SYMBOLS = 1 << BITS
@@ -230,8 +230,8 @@ def placed(docs: DataFrame, ids: DataFrame, blocks: int, block_bytes: int) -> tu
     """
     most = max(1, block_bytes // 4)
     sizes = docs.groupBy("doc_id").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES).alias("bytes"))
-    # At most four of these a block.
-    heavy = F.broadcast(sizes.filter(F.col("doc_id").isNotNull() & (F.col("bytes") > most)).select("doc_id", F.ceil(F.col("bytes") / most).alias("fan")))
+    # At most four of these a block: they grow with the data, so how they are joined is left to the planner.
+    heavy = sizes.filter(F.col("doc_id").isNotNull() & (F.col("bytes") > most)).select("doc_id", F.ceil(F.col("bytes") / most).alias("fan"))
     block = lambda part: F.pmod(F.xxhash64("doc_id", part), F.lit(blocks)).alias("block")
     place = F.xxhash64(F.monotonically_increasing_id())
     fan = F.when(F.col("doc_id").isNull(), F.lit(blocks).cast("long")).otherwise(F.coalesce("fan", F.lit(1).cast("long")))
@@ -244,7 +244,8 @@ def scores(docs: DataFrame, labels: DataFrame, block_bytes: int = 32 << 20) -> D
     """rid, doc_id, lang, n_chars, perplexity (of a character; null for a text without any) and trusted (0, 1 or 2)."""
     size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES)).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))
-    shards, salts = max(16, 2 * blocks), math.ceil(blocks / BLOCKS_OF_SALT)
+    # Their product, and with it the copies of what all shards get, grows with the blocks.
+    shards, salts = max(16, 2 * min(blocks, BLOCKS_OF_SALT)), math.ceil(blocks / BLOCKS_OF_SALT)
 
     def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -262,6 +263,7 @@ def scores(docs: DataFrame, labels: DataFrame, block_bytes: int = 32 << 20) -> D
     rows = packed.unionByName(told.withColumns({**nothing, "label": F.lit(True)}))
 
     def ask(table: pa.Table) -> pa.Table:
+        forget()
         block = table.column("block")[0].as_py()
         _, texts, trusted = block_texts(table)
         found, counted = [np.zeros(0, np.int64)], [np.zeros(0)]
@@ -343,13 +345,14 @@ def scores(docs: DataFrame, labels: DataFrame, block_bytes: int = 32 << 20) -> D
     )
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.98, short: int = 100) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.98, short: int = 100, enough_texts: int = 50) -> DataFrame:
     """rid, doc_id, lang, n_chars, perplexity, threshold and kept, one row for each input row.
 
     Nine in ten trusted documents (quality 1) train the model; by the others of ``short`` characters or more (all, if
-    none is as long) the thresholds are set: the median perplexity of a language times the ``quantile`` of how far all
-    of them, of any language, lie from the median of their own. One odd text moves neither, however few a language has.
-    A language without such documents has the median of all. A document is kept up to its threshold. Null and empty
+    none is as long) the thresholds are set: the median perplexity of a language times the ``quantile`` of how far its
+    texts lie from that. With fewer than ``enough_texts`` of them, this quantile is drawn towards the one of all languages
+    together, the more the fewer there are, so that one odd text does not move it. A language without such documents has
+    the median and the quantile of all. A document is kept up to its threshold. Null and empty
     texts have no perplexity and are not kept; without any trusted document every other text is kept. Null languages
     are one language.
     """
@@ -358,18 +361,26 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.98, short:
     enough = held.filter(F.col("n_chars") >= short)
     held = held if enough.isEmpty() else enough
     middle = F.percentile_approx("perplexity", 0.5, 10_000).alias("middle")
-    by_language = held.groupBy("language").agg(middle)
+    by_language = held.groupBy("language").agg(middle, F.count("*").alias("held"))
     overall = held.agg(middle).first()["middle"]
-    spread = held.join(by_language, "language").agg(F.percentile_approx(F.col("perplexity") / F.col("middle"), quantile, 10_000)).first()[0]
-    threshold = F.lit(float("inf")) if overall is None else F.coalesce("middle", F.lit(overall)) * spread
+    far = F.percentile_approx(F.col("perplexity") / F.col("middle"), quantile, 10_000).alias("far")
+    ratios = checkpointed(held.join(by_language, "language").select("language", "perplexity", "middle", "held"))
+    spread = ratios.agg(far).first()[0]
+    own = F.least(F.col("held") / enough_texts, F.lit(1.0))
+    limits = ratios.groupBy("language").agg(far, F.first("middle").alias("middle"), F.first("held").alias("held"))
+    limits = limits.select("language", (F.col("middle") * (own * F.col("far") + (1 - own) * F.lit(spread or 0.0))).alias("limit"))
+    threshold = F.lit(float("inf")) if overall is None else F.coalesce("limit", F.lit(overall * spread))
     return (
-        scored.join(by_language, "language", "left")
+        scored.join(limits, "language", "left")
         .withColumn("threshold", threshold)
         .select("rid", "doc_id", "lang", "n_chars", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("kept"))
     )
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that ``classify`` keeps, with all their columns."""
+    """The documents that ``classify`` keeps, with all their columns.
+
+    Null and repeated ids are judged by their own texts and languages; repeated rows all stay or all go.
+    """
     kept = classify(docs, labels).filter("kept").select(F.col("rid").alias("__rid")).distinct()
     return docs.withColumn("__rid", rid()).join(kept, "__rid", "left_semi").drop("__rid")

@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from kerbline.llm import bin_slack, bpe_automaton, histogram_sort, kneser_ney, near_dedup, rules, segments, suffix_dedup, syncmers, toxicity, tree_dedup
@@ -475,3 +476,49 @@ def test_grams_and_stretches_depend_on_all_their_values():
     hashes = arrays.Hashes(arrays.mix(values.copy())).between(start, start + size)
     texts = [values[a : a + n].tobytes() for a, n in zip(start, size, strict=True)]
     assert len(set(zip(texts, hashes.tolist(), strict=True))) == len(set(texts)) == len(set(hashes.tolist()))
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_no_similar_pair_fails_to_meet(spark, percent):
+    """Sets of all sizes around a few centres: every similar pair of different parts meets, and few others do."""
+    rng = random.Random(percent)
+    sets = []
+    for centre in range(6):
+        base = [rng.randrange(10**9) for _ in range(rng.choice([1, 4, 20, 60, 120]))]
+        for _ in range(25):
+            own = set(base)
+            for _ in range(rng.randrange(8)):
+                own.discard(rng.choice(base))
+                if rng.random() < 0.7:
+                    own.add(rng.choice(base) + rng.randrange(1, 4))
+            sets.append(own or {centre})
+    rows = [(i, i if i % 9 else 0, sorted(s)) for i, s in enumerate(sets)]
+    met = near_dedup.meeting(spark.createDataFrame(rows, "cls long, part long, items array<long>"), percent).distinct().collect()
+    got = {(r.u, r.v) for r in met}
+    apart = [(u, v) for u in range(len(sets)) for v in range(u) if rows[u][1] != rows[v][1]]
+    want = {(v, u) for u, v in apart if 100 * len(sets[u] & sets[v]) >= percent * len(sets[u] | sets[v])}
+    assert want and want <= got and len(got) < len(apart) / 4
+    assert all(u < v and rows[u][1] != rows[v][1] for u, v in got)
+
+
+def test_a_repeated_id_teaches_once(docs, labels, spark):
+    one = labels.filter("quality = 0 AND toxic = 1").first() or labels.first()
+    many = docs.unionByName(docs.filter(F.col("doc_id") == one.doc_id).crossJoin(spark.range(40)).drop("id"))
+    rows = rules.statistics(many)
+    fitted = rules.fit(rows, labels, 12_000)
+    assert fitted == rules.fit(rules.statistics(docs), labels, 12_000)
+    scores = [{(r.doc_id, round(r.score, 9)) for r in toxicity.toxicity(d, labels).collect()} for d in (docs, many)]
+    assert scores[0] == scores[1]
+
+
+def test_every_stage_form_on_an_empty_table(nothing, labels):
+    for kept in (rules.keep(nothing, labels), kneser_ney.keep(nothing, labels), near_dedup.keep_one(nothing), tree_dedup.without_passages(nothing)):
+        assert kept.collect() == [] and set(nothing.columns) <= set(kept.columns)
+
+
+def test_a_language_with_few_texts_leans_on_all(docs, labels):
+    own = kneser_ney.classify(docs, labels, enough_texts=1).groupBy("lang").agg(F.max("threshold").alias("t")).collect()
+    pooled = kneser_ney.classify(docs, labels, enough_texts=10**9).groupBy("lang").agg(F.max("threshold").alias("t")).collect()
+    between = {r.lang: r.t for r in kneser_ney.classify(docs, labels).groupBy("lang").agg(F.max("threshold").alias("t")).collect()}
+    for a, b in zip(sorted(own, key=lambda r: r.lang or ""), sorted(pooled, key=lambda r: r.lang or ""), strict=True):
+        assert a.lang == b.lang and min(a.t, b.t) - 1e-9 <= between[a.lang] <= max(a.t, b.t) + 1e-9
