@@ -5,9 +5,10 @@ band agree. Of every minimum only its low bits are kept for the signature; a sig
 longs, and the similarity of two is their number of equal lanes, corrected for lanes that agree by
 chance. What passes is confirmed on the whole sets. A class whose own shingles, those of no other
 candidate, are too many to leave room for a similar one takes no part. In a band with many members each class is first
-compared with two of them, which joins what belongs together in a linear number of pairs; only
-classes that are still in different components are then compared with each other, so no link is
-lost and no group is spelled out pair by pair.
+compared with two of them, which joins what belongs together in a linear number of pairs. Classes of a
+band that are still in different components are then compared only where they can be linked: two similar
+sets, ordered by how few of these classes hold a shingle, share one among their rarest, and so early that
+what follows leaves room for the rest. So no link is lost and no group is spelled out pair by pair.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from ..session import checkpointed
-from .arrays import U64, Hashes, Texts, lowered, mix, pieces, texts_of, words_of
+from .arrays import U64, Hashes, Texts, forget, lowered, mix, pieces, texts_of, words_of
 from .segments import pack, unpacked, with_rid
 
 BITS = 2  #: low bits kept of each minimum
@@ -66,6 +67,7 @@ def sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     longs = -(-bands * rows // per_long)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in pieces(batches):
             sets, first = shingle_sets(texts_of(batch.column("text")), words)
             n = np.diff(first)
@@ -126,6 +128,45 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def meeting(sets: DataFrame, percent: int, step: float = 1.03) -> DataFrame:
+    """Pairs ``(u, v)`` of different parts among ``(cls, part, items)`` that may be similar enough; all that are, are there.
+
+    Each set is ordered by how few of the sets hold a shingle. Sets of n and m shingles that are similar enough share at
+    least ``need(n, m)``; at their first common shingle, so many must still be left in both. A set is listed
+    under a shingle once for every range of sizes (``step`` from one to the next) its partners may have, as far as it can
+    be the first common one; a partner is listed under its own range. So a shingle that very many hold is split by size,
+    and is met only by those that have few rarer ones before it.
+    """
+    words = sets.select("cls", F.explode("items").alias("item"))
+    held = words.groupBy("item").agg(F.count("*").alias("holders"))
+    ordered = (
+        words.join(held, "item")
+        .groupBy("cls")
+        .agg(F.sort_array(F.collect_list(F.struct("holders", "item"))).alias("words"))
+        .join(sets.select("cls", "part"), "cls")
+        .select("cls", "part", F.size("words").cast("long").alias("n"), F.posexplode("words").alias("at", "w"))
+        .select("cls", "part", "n", (F.col("n") - F.col("at")).alias("left"), F.col("w.item").alias("item"))
+    )
+
+    def need(n: Column, m: Column) -> Column:
+        """Shared shingles that make sets of n and m similar enough."""
+        return F.ceil(percent * (n + m) / F.lit(100 + percent))
+
+    def range_of(n: Column) -> Column:
+        return F.floor(F.log(n.cast("double")) / F.log(F.lit(step))).cast("int")
+
+    least, most = F.ceil(F.col("n") * percent / 100), F.floor(F.col("n") * 100 / percent)
+    # ``left`` counts the shingle itself; one set a range lower makes up for rounding.
+    ranges = F.sequence(range_of(F.greatest(least, F.lit(1))) - 1, range_of(most) + 1)
+    low = F.greatest(least, F.floor(F.pow(F.lit(step), F.col("range")) * (1 - 1e-9)))
+    early = ordered.filter(F.col("left") >= need(F.col("n"), least))
+    one = early.withColumn("range", F.explode(ranges)).filter(F.col("left") >= need(F.col("n"), low))
+    u = one.select("item", "range", F.col("cls").alias("u"), F.col("part").alias("part_u"), F.col("n").alias("n_u"), F.col("left").alias("left_u"))
+    v = early.select("item", range_of(F.col("n")).alias("range"), F.col("cls").alias("v"), F.col("part").alias("part_v"), F.col("n").alias("n_v"), F.col("left").alias("left_v"))
+    room = F.least("left_u", "left_v") >= need(F.col("n_u"), F.col("n_v"))
+    return u.join(v, ["item", "range"]).filter((F.col("u") < F.col("v")) & (F.col("part_u") != F.col("part_v")) & room).select("u", "v")
+
+
 def linked(docs: DataFrame, words: int, percent: int, bands: int = 24, rows: int = 4, slack: float = 0.25) -> tuple[DataFrame, DataFrame]:
     """The sketches of all documents, and for each class the first row (doc_id and rid) of its group.
 
@@ -176,10 +217,12 @@ def linked(docs: DataFrame, words: int, percent: int, bands: int = 24, rows: int
         .groupBy("cls")
         .agg(F.count("*").alias("alone"))
     )
-    live = facts.join(sets.select("cls"), "cls").join(alone, "cls", "left").filter(100 * (F.col("n") - F.coalesce("alone", F.lit(0))) >= percent * F.col("n"))
-    members = checkpointed(every.join(live.select("cls"), "cls"))
+    told = facts.join(sets.select("cls"), "cls").join(alone, "cls", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+    live = told.filter(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n")).select("cls", (F.col("alone") / F.col("n")).alias("alone"))
+    members = checkpointed(every.join(live, "cls"))
+    # The class with the fewest shingles of its own is the likeliest to be linked with many.
     crowds = members.groupBy("band").agg(
-        F.count("*").alias("size"), F.min("cls").alias("one"), F.max_by("cls", F.xxhash64("cls")).alias("other")
+        F.count("*").alias("size"), F.min_by("cls", F.struct("alone", "cls")).alias("one"), F.max_by("cls", F.xxhash64("cls")).alias("other")
     ).filter("size > 1")
     met = checkpointed(members.join(crowds.select("band", "one", "other"), "band"))
     stars = met.select(F.explode(F.array("one", "other")).alias("w"), "cls").filter("w != cls")
@@ -188,10 +231,8 @@ def linked(docs: DataFrame, words: int, percent: int, bands: int = 24, rows: int
     parts = components(edges).withColumnsRenamed({"node": "cls", "component": "part"})
     placed = checkpointed(met.select("band", "cls").join(parts, "cls", "left").withColumn("part", F.coalesce("part", "cls")))
     apart = placed.groupBy("band").agg((F.min("part") != F.max("part")).alias("apart")).filter("apart").select("band")
-    open_ = placed.join(apart, "band")
-    left = open_.select("band", F.col("cls").alias("u"), F.col("part").alias("part_u"))
-    right = open_.select("band", F.col("cls").alias("v"), F.col("part").alias("part_v"))
-    across = left.join(right, "band").filter("u < v AND part_u != part_v").select("u", "v")
+    open_ = checkpointed(placed.join(apart, "band").select("cls", "part").distinct())
+    across = meeting(open_.join(sets, "cls"), percent)
     more = similar_pairs(plausible(across), sets, percent)
     whole = components(checkpointed(edges.unionByName(more))).withColumnsRenamed({"node": "cls", "component": "part"})
     named = classes.join(whole, "cls", "left").select("cls", "least", F.coalesce("part", "cls").alias("part"))
