@@ -33,7 +33,7 @@ def shingle_sets(texts: Texts, words: int) -> tuple[np.ndarray, np.ndarray]:
     """The different shingle hashes of each row, ordered, and where each row's begin (one more at the end)."""
     data = lowered(texts.data)
     start, end, first = words_of(texts)
-    hashes = Hashes(Hashes.of_bytes(data).between(start, end))
+    hashes = Hashes(Hashes.of_bytes(data).apart(start, end))
     grams = hashes.grams(words)
     out, size = [], np.zeros(len(first), np.int64)
     for i in range(len(first) - 1):

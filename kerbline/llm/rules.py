@@ -50,7 +50,7 @@ def counts_of(texts: Texts) -> dict[str, np.ndarray]:
     words = words_of(texts)
     size = np.diff(words.first)
     plain = Hashes.of_bytes(data)
-    hashes = plain.between(words.start, words.end)
+    hashes = plain.apart(words.start, words.end)
     row = rows_of(words.first)
     inside = np.zeros(len(data) + 1, np.int8)
     inside[words.start] += 1
@@ -68,7 +68,7 @@ def counts_of(texts: Texts) -> dict[str, np.ndarray]:
     with_word = np.searchsorted(words.start, stop) > np.searchsorted(words.start, begin)
     begin, stop = begin[with_word], stop[with_word]
     line_row = np.searchsorted(starts, begin, "right") - 1
-    again, _ = later_equals(line_row, plain.between(begin, stop))
+    again, _ = later_equals(line_row, plain.apart(begin, stop))
     lines = np.append(np.searchsorted(line_row, np.arange(len(size))), len(line_row))
     # windows of three words
     threes = Hashes(hashes).grams(3)

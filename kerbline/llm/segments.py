@@ -47,7 +47,7 @@ def tokens_of(texts: Texts, unit: str) -> tuple[np.ndarray, np.ndarray]:
     if unit == "byte":
         return byte_values()[texts.data], texts.starts
     words = words_of(texts)
-    return Hashes.of_bytes(texts.data).between(words.start, words.end), words.first
+    return Hashes.of_bytes(texts.data).apart(words.start, words.end), words.first
 
 
 def runs_of(values: np.ndarray, first: np.ndarray, kind: Kind) -> dict[str, np.ndarray]:

@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 import regex
 
-from .arrays import U64, Hashes, mix, spread, worker_store
+from .arrays import U64, Hashes, spread, worker_store
 
 LETTER, NUMBER, WHITE, OTHER = 1, 2, 3, 0
 # The white space of Unicode, as first and last code points.
@@ -82,7 +82,7 @@ def split(texts: list[str], keep_white: bool) -> Split:
     if not keep_white:
         some = kind[start] != WHITE
         start, end = start[some], end[some]
-    hashes = Hashes(mix((codes.astype(U64) + U64(1)) * U64(0xD6E8FEB86659FD93))).between(start, end)
+    hashes = Hashes(codes.astype(U64) + U64(1)).apart(start, end)
     which, different = pd.factorize(hashes)
     at = np.empty(len(different), np.int64)
     at[which[::-1]] = np.arange(len(which))[::-1]

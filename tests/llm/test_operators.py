@@ -476,6 +476,10 @@ def test_grams_and_stretches_depend_on_all_their_values():
     hashes = arrays.Hashes(arrays.mix(values.copy())).between(start, start + size)
     texts = [values[a : a + n].tobytes() for a, n in zip(start, size, strict=True)]
     assert len(set(zip(texts, hashes.tolist(), strict=True))) == len(set(texts)) == len(set(hashes.tolist()))
+    edges = np.sort(rng.integers(0, 3001, 900))
+    start, end = edges[:-1], edges[1:] - (rng.integers(0, 2, 899) & (np.diff(edges) > 0))
+    sequence = arrays.Hashes(arrays.mix(values.copy()))
+    assert (sequence.apart(start, end) == sequence.between(start, end)).all()
 
 
 @pytest.mark.parametrize("percent", [80, 85])
