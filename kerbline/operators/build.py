@@ -159,7 +159,7 @@ def frame_reasons(boxes: DataFrame, frame: str, classes: DataFrame, label: str =
     The first unnamed sign by ``order`` gives the reason; ``not_a_sign`` boxes do not count.
     """
     known = classes.select(F.col("fine").alias(label)).withColumn("__known", F.lit(True))
-    marked = boxes.filter(F.col(label) != "not_a_sign").join(F.broadcast(known), label, "left")
+    marked = boxes.filter(F.col(label) != "not_a_sign").join(known, label, "left")
     special = F.col(label).isin(*BLOCKING)
     return (
         marked.groupBy(frame)
@@ -247,7 +247,7 @@ def propagate(
     from .splits import split_conflicts, stratified_split
     from .tracks import change_sample
 
-    named = labels.join(F.broadcast(dimension.select(F.col("fine").alias("label"))), "label", "left_semi")
+    named = labels.join(dimension.select(F.col("fine").alias("label")), "label", "left_semi")
     folded = fold_thin(named, dimension, min_signs).select("crop_id", "folded")
     sides = stratified_split(folded, "crop_id", "folded", val_fraction, seed)
     drawn = members.join(sides, "crop_id")

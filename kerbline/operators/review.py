@@ -238,11 +238,11 @@ def patch_labels(boxes: DataFrame, patches: DataFrame, tol: float = 2e-3) -> Dat
 
 def label_or_fallback(proposed: DataFrame, predictions: DataFrame, dimension: DataFrame, key: str = "crop_id") -> DataFrame:
     """Add ``label``: the prediction if it is a known class, else the catch-all of the coarse class."""
-    known = predictions.join(F.broadcast(dimension.select(F.col("fine").alias("pred"))), "pred")
+    known = predictions.join(dimension.select(F.col("fine").alias("pred")), "pred")
     rest = dimension.filter("is_catch_all").select(F.col("parent").alias("coarse"), "catch_all")
     return (
         proposed.join(known.select(key, "pred"), key, "left")
-        .join(F.broadcast(rest), "coarse", "left")
+        .join(rest, "coarse", "left")
         .withColumn("label", F.coalesce("pred", "catch_all"))
         .drop("pred", "catch_all")
     )
@@ -250,7 +250,7 @@ def label_or_fallback(proposed: DataFrame, predictions: DataFrame, dimension: Da
 
 def coarse_of(crops: DataFrame, labels: DataFrame, dimension: DataFrame, key: str = "crop_id") -> DataFrame:
     """Add ``parent``: that of the human label, else the detector's class; neither is an error."""
-    human = labels.join(F.broadcast(dimension), F.col("label") == F.col("fine")).select(
+    human = labels.join(dimension, F.col("label") == F.col("fine")).select(
         key, F.col("parent").alias("human")
     )
     return (
@@ -355,7 +355,7 @@ def take_batch(predictions: DataFrame, batch: DataFrame, known: DataFrame, key:
     """
     mine = batch.select(key).distinct().withColumn("mine", F.lit(1))
     marked = predictions.join(mine, key, "left").join(
-        F.broadcast(known.select(F.col("fine").alias("pred")).distinct().withColumn("valid", F.lit(1))), "pred", "left"
+        known.select(F.col("fine").alias("pred")).distinct().withColumn("valid", F.lit(1)), "pred", "left"
     )
     counts = marked.agg(
         F.count(F.col("mine")).alias("n_taken"),

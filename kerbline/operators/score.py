@@ -12,7 +12,7 @@ from ..session import beside
 def _graded(key: DataFrame, pred: DataFrame, dimension: DataFrame, item: str) -> DataFrame:
     """``(item, label, pred, parent)`` over key items of a real class; no prediction is null."""
     real = key.select(item, "label").join(
-        F.broadcast(dimension.select(F.col("fine").alias("label"), "parent")), "label"
+        dimension.select(F.col("fine").alias("label"), "parent"), "label"
     )
     return real.join(pred.select(item, "pred"), item, "left")
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..operators import events as E
 from ..operators import state as S
 from ..operators.ordered import time_bucket
+from ..session import shared_folder
 from ..sources.contract import parse_messages
+from ..streaming.processors import sign_stage_stream
 from . import views as V
 from .registry import query
 
@@ -96,6 +98,32 @@ def sign_stage(spark, folder):
     return E.sign_stage(_sign_detections(spark, folder), V.ticks(spark, folder).select("stream_id", "tick"))
 
 
+def _first_read_twice(votes: dict[int, int]) -> int | None:
+    return next((value for value, n in votes.items() if n == 2), None)
+
+
+@query("replaced_vote", "ticks", """
+WITH rd AS (SELECT stream_id, tick, CAST(floor(value / 30) * 10 AS INT) AS v FROM ticks
+  WHERE name IN ('click', 'purchase') AND value % 40 + 20 >= 32 AND (event_id % 10) / 10.0::DOUBLE + 0.05::DOUBLE >= 0.6::DOUBLE),
+vs AS (SELECT *, sum(CASE WHEN g IS NULL OR g > 13 THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id ORDER BY tick) AS s FROM (SELECT *, tick - lag(tick) OVER (PARTITION BY stream_id ORDER BY tick) AS g FROM rd)),
+vn AS (SELECT *, row_number() OVER (PARTITION BY stream_id, s, v ORDER BY tick) AS k FROM vs)
+SELECT stream_id, min(tick) AS tick, arg_min(v, tick) AS speed_limit FROM vn WHERE k = 2 GROUP BY stream_id, s""")
+def replaced_vote(spark, folder):
+    """The sign stage as a stream with another vote plugged in: two readings settle a number."""
+    out = shared_folder(spark, "signs")
+    seen = _sign_detections(spark, folder).join(V.ticks(spark, folder).select("stream_id", "tick", "ts"), ["stream_id", "tick"])
+    rows = seen.select(F.col("stream_id").cast("string").alias("stream_id"), "ts", "tick", "name", F.col("x2").alias("px"), "reading", "conf")
+    # A far later row of no stream moves the watermark past all others.
+    last = rows.limit(1).select(F.lit("end").alias("stream_id"), (F.lit("2100-01-01").cast("timestamp")).alias("ts"), "tick", "name", "px", "reading", "conf")
+    rows.unionByName(last).write.parquet(f"{out}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{out}/in")
+    said = sign_stage_stream(stream, delay="1 second", settle=_first_read_twice)
+    run = said.writeStream.format("parquet").option("path", f"{out}/out").option("checkpointLocation", f"{out}/progress").outputMode("append")
+    run.trigger(availableNow=True).start().awaitTermination()
+    numbers = spark.read.parquet(f"{out}/out").filter("speed_limit IS NOT NULL AND stream_id <> 'end'")
+    return numbers.select(F.col("stream_id").cast("bigint").alias("stream_id"), "tick", "speed_limit")
+
+
 @query("heartbeat", "ticks", f"""WITH {VOTE} SELECT t.stream_id, t.tick, vt.value AS v, CASE WHEN t.tick % 5 = 0 THEN 'off' ELSE 'on' END AS signs FROM ticks t LEFT JOIN vt USING (stream_id, tick)""")
 def heartbeat(spark, folder):
     votes = E.vote(_readings(spark, folder), "stream_id", "tick", "v", 3, 1)

@@ -46,6 +46,19 @@ def test_sign_stage(spark, folder):
     assert got == {(str(r.stream_id), r.tick, r.sign_seen, r.speed_limit) for r in Q.sign_stage(spark, FOLDER).collect()}
 
 
+def test_another_vote_settles_the_sign_stage(spark, folder):
+    """The vote is an argument: with one that settles on the first reading, each session says it at once."""
+    ticks = V.ticks(spark, FOLDER)
+    seen = Q._sign_detections(spark, FOLDER).join(ticks.select("stream_id", "tick", "ts"), ["stream_id", "tick"])
+    rows = seen.select("stream_id", "ts", "tick", "name", F.col("x2").alias("px"), "reading", "conf")
+    out = run(spark, folder, "settled", rows, P.sign_stage_stream, settle=lambda votes: next(iter(votes)))
+    from kerbline.operators import events as E
+
+    batch = E.sign_stage(Q._sign_detections(spark, FOLDER), ticks.select("stream_id", "tick"), min_votes=1)
+    got = {(r.stream_id, r.tick, r.speed_limit) for r in out.filter("speed_limit is not null").collect()}
+    assert got and got == {(str(r.stream_id), r.tick, r.speed_limit) for r in batch.filter("speed_limit is not null").collect()}
+
+
 def test_lane_departure(spark, folder):
     rows = V.ticks(spark, FOLDER).select("stream_id", "ts", "tick", "off")
     out = run(spark, folder, "lane", rows, P.hysteresis_stream, threshold=0.5, up=2, down=2)
