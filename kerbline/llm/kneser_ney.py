@@ -32,6 +32,8 @@ BLOCKS_OF_SALT = 256
 COMBINED = 64
 #: Bytes that a row counts beside its text when blocks are measured.
 ROW_BYTES = 64
+#: Ids with more than a quarter of a block that may go to every task; more are joined by a shuffle of the rows.
+HEAVY_TO_ALL = 100_000
 MASKS = [(1 << (BITS * k)) - 1 for k in range(ORDER + 1)]
 
 
@@ -230,8 +232,9 @@ def placed(docs: DataFrame, ids: DataFrame, blocks: int, block_bytes: int) -> tu
     """
     most = max(1, block_bytes // 4)
     sizes = docs.groupBy("doc_id").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES).alias("bytes"))
-    # At most four of these a block: they grow with the data, so how they are joined is left to the planner.
-    heavy = sizes.filter(F.col("doc_id").isNotNull() & (F.col("bytes") > most)).select("doc_id", F.ceil(F.col("bytes") / most).alias("fan"))
+    # At most four of these a block: they grow with the data, so they are counted before they go to every task.
+    heavy = checkpointed(sizes.filter(F.col("doc_id").isNotNull() & (F.col("bytes") > most)).select("doc_id", F.ceil(F.col("bytes") / most).alias("fan")))
+    heavy = F.broadcast(heavy) if heavy.count() <= HEAVY_TO_ALL else heavy
     block = lambda part: F.pmod(F.xxhash64("doc_id", part), F.lit(blocks)).alias("block")
     place = F.xxhash64(F.monotonically_increasing_id())
     fan = F.when(F.col("doc_id").isNull(), F.lit(blocks).cast("long")).otherwise(F.coalesce("fan", F.lit(1).cast("long")))
