@@ -12,6 +12,8 @@ from ..functions.keys import shuffle_key
 from ..session import beside, checkpointed, match, values
 from .build import numbered_globally
 
+#: Groups times trials that one task orders.
+ROWS_OF_TASK = 1_000_000
 SPLITS = ("train", "val", "test")
 TARGET = {"train": 0.7, "val": 0.2, "test": 0.1}
 
@@ -136,16 +138,23 @@ def _side(rank: Column, n_val: int, n_test: int) -> Column:
     return F.when(rank <= n_val, F.lit("val")).when(rank <= n_val + n_test, F.lit("test")).otherwise(F.lit("train"))
 
 
-def trial_sums(filled: DataFrame, group: str, trials: int, seed: int, n_val: int, n_test: int, per_head: int = 64) -> DataFrame:
+def digits_for(size: int, classes: int) -> int:
+    """Leading md5 digits that move the fewest rows a trial: the sums of all heads, and the groups of two."""
+    return min(range(9), key=lambda d: 16**d * (classes + 1) + 2 * size / 16**d)
+
+
+def trial_sums(filled: DataFrame, group: str, trials: int, seed: int, n_val: int, n_test: int, digits: int | None = None) -> DataFrame:
     """``(trial, cls, split, n)``, to be added up: the class sums of both sides of the cuts of every trial.
 
-    ``filled`` is ``(group, __boxes)`` with an array of (cls, n). Leading digits are as many as leave about
-    ``per_head`` groups together.
+    ``filled`` is ``(group, __boxes)`` with an array of (cls, n). ``digits`` leading digits of a group's md5 are its head.
     """
     size = filled.count()
-    digits = min(8, max(0, math.ceil(math.log(max(1, size) / per_head, 16))))
+    if digits is None:
+        digits = digits_for(size, filled.select(F.explode("__boxes.cls")).distinct().count())
     key = shuffle_key(seed, F.col("trial"), F.col(group))
-    every = filled.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).withColumn("__head", F.substring(key, 1, digits))
+    # The groups are few rows that stand for many: as many tasks as their trials need, whatever their own size.
+    spread = filled.repartition(max(1, min(size, math.ceil(size * trials / ROWS_OF_TASK))))
+    every = spread.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).withColumn("__head", F.substring(key, 1, digits))
     # One entry more, of no class, counts the groups.
     kind = filled.schema["__boxes"].dataType.elementType
     itself = F.struct(F.lit(None).cast(kind["cls"].dataType).alias("cls"), F.lit(1).cast(kind["n"].dataType).alias("n"))
