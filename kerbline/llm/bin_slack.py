@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from .arrays import pieces, worker_store
-from .wordsplit import bounds, gather, split
+from .arrays import pieces, put, spread, worker_store
+from .wordsplit import bounds, split
 
 REMEMBERED = 300_000  #: words a worker remembers before it starts anew
 CELLS = 256  #: parts in which the pieces of one length are numbered
@@ -42,19 +42,25 @@ class Encoder:
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.words: dict[str, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """No words: numbers of words, the ids of all of them one after the other, and where each word's begin."""
+        self.words: dict[str, int] = {}
+        self.paths, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _learn(self, words: list[str]) -> None:
         """Words follow each other in one text; each ends with a token that ends a word."""
-        if len(self.words) + len(words) > REMEMBERED:
-            self.words.clear()
         ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
         cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) == len(words):
-            self.words.update(zip(words, np.split(ids, cuts[:-1]), strict=True))
-        else:
-            for word in words:
-                self.words[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32)
+        if len(cuts) != len(words):
+            single = [self.tokenizer.encode(word, add_special_tokens=False).ids for word in words]
+            ids, cuts = np.array([i for own in single for i in own], np.uint32), bounds(single)[1:]
+        begin = len(self.words)
+        self.words.update(zip(words, range(begin, begin + len(words)), strict=True))
+        end = self.first[begin] + cuts
+        self.paths = put(self.paths, int(self.first[begin]), ids)
+        self.first = put(self.first, begin + 1, end)
 
     def _odd(self, text: str) -> bool:
         """Texts whose normal form is not a matter of single letters go to the tokenizer as they are."""
@@ -65,12 +71,15 @@ class Encoder:
         odd = {i: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) for i, t in enumerate(texts) if self._odd(t)}
         first, which, words = split(["" if i in odd else t.lower() for i, t in enumerate(texts)], keep_white=False)
         if new := [w for w in words if w not in self.words]:
+            if len(self.words) + len(new) > REMEMBERED:
+                self._forget()
+                new = words
             self._learn(new)
-            if any(w not in self.words for w in words):  # the memory was full and was emptied
-                self._learn([w for w in words if w not in self.words])
-        own = [self.words[w] for w in words]
-        ids, at = gather(np.concatenate(own or [np.zeros(0, np.uint32)]), bounds(own), which)
-        first = at[first]
+        number = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))[which]
+        start = self.first[number]
+        size = self.first[number + 1] - start
+        ids = self.paths[spread(start, size)]
+        first = np.append(0, np.cumsum(size))[first]
         if odd:
             parts = [odd.get(i, ids[a:b]) for i, (a, b) in enumerate(zip(first, first[1:], strict=False))]
             ids, first = np.concatenate(parts), bounds(parts)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .arrays import pieces, spread, worker_store
+from .arrays import pieces, put, spread, worker_store
 from .wordsplit import bounds, gather
 
 #: Words a worker remembers before it starts anew.
@@ -189,15 +189,6 @@ class Merges:
         return [whole[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
-def put(held: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
-    """The array with ``values`` from ``at`` on; it grows by doubling, so that adding little costs little."""
-    need = at + len(values)
-    if need > len(held):
-        held = np.concatenate([held[:at], np.zeros(max(need, 2 * len(held)) - at, held.dtype)])
-    held[at:need] = values
-    return held
-
-
 def merges_of(kind: str, definition: bytes, build) -> Merges:
     """The worker's own compiled tables of a tokenizer file."""
     store, name = worker_store(), (kind, hashlib.sha256(definition).digest())
