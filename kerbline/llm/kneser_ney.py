@@ -243,7 +243,7 @@ def placed(docs: DataFrame, ids: DataFrame, blocks: int, block_bytes: int) -> tu
     return rows.select(*docs.columns, block(F.col("part"))), told.select(*ids.columns, block(F.col("part")))
 
 
-def scores(docs: DataFrame, labels: DataFrame, block_bytes: int = 32 << 20) -> DataFrame:
+def scores(docs: DataFrame, labels: DataFrame, block_bytes: int = 16 << 20) -> DataFrame:
     """rid, doc_id, lang, n_chars, perplexity (of a character; null for a text without any) and trusted (0, 1 or 2)."""
     size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES)).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))
