@@ -209,3 +209,12 @@ def test_class_sums_of_trials(spark, digits):
                 side = "val" if rank <= 12 else "test" if rank <= 18 else "train"
                 want[trial, c, side] = want.get((trial, c, side), 0) + n
     assert {(r.trial, r.cls, r.split): r.n for r in got} == want
+
+
+def test_trials_are_dealt_in_blocks(spark):
+    """Nearly all groups of a trial meet in one task, whatever the number of tasks."""
+    filled = spark.range(3000).select(F.col("id").alias("g"), F.array(F.struct(F.lit(0).alias("cls"), F.lit(1).alias("n"))).alias("__boxes"))
+    dealt = L._spread(filled, "g", 3000, 2000, 256)
+    held = dealt.groupBy("trial", F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"))
+    told = held.agg(F.sum("n").alias("n"), F.count("*").alias("blocks"), F.count_distinct("task").alias("tasks"), F.count_distinct("trial").alias("trials")).first()
+    assert told.n == 6_000_000 and told.trials == 2000 and told.tasks > 4 and told.blocks <= 2 * 2000
