@@ -45,23 +45,27 @@ def is_litter(path: Column) -> Column:
     return path.rlike(r"(^|/)(__MACOSX(/|$)|\.DS_Store$|\.[^/]*$)")
 
 
+def _once(value: Column) -> Column:
+    """A value that is worked out once a row: filters over what comes out of an explode are not moved below it, where they repeat it."""
+    return F.explode(F.array(value))
+
+
 def split_gt_lines(lines: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
     """Lines ``name;left;top;right;bottom;class`` to ``(boxes, bad lines)``; blank lines go.
 
     A box is keyed by the stem, so that copies saved under another suffix match.
     """
-    text = F.trim(F.col(value))
-    parts = lines.filter(text != "").withColumn("__p", F.split(text, ";"))
+    parts = lines.withColumn("__text", _once(F.trim(F.col(value)))).filter("__text != ''").withColumn("__p", _once(F.split("__text", ";")))
     numbers = {
         name: F.expr(f"try_cast(trim(get(__p, {i})) AS INT)")
         for i, name in enumerate(("left", "top", "right", "bottom", "class_id"), start=1)
     }
-    wide = parts.withColumns(numbers)
+    wide = parts.withColumn("__n", _once(F.struct(*[c.alias(name) for name, c in numbers.items()])))
     good = F.size("__p") == 6
     for name in numbers:
-        good = good & F.col(name).isNotNull()
+        good = good & F.col(f"__n.{name}").isNotNull()
     keep = [c for c in lines.columns if c != value]
-    boxes = wide.filter(good).select(*keep, stem_of(F.get("__p", F.lit(0))).alias("stem"), *numbers)
+    boxes = wide.filter(good).select(*keep, stem_of(F.get("__p", F.lit(0))).alias("stem"), *[F.col(f"__n.{name}").alias(name) for name in numbers])
     bad = wide.filter(~good).select(
         *keep, value, F.when(F.size("__p") != 6, F.lit("field-count")).otherwise(F.lit("parse")).alias("reason")
     )
@@ -141,20 +145,18 @@ def rank_annotation_dirs(annotation_dirs: DataFrame, images: DataFrame) -> DataF
 
 def split_label_lines(lines: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
     """Label lines ``cls xc yc w h`` to ``(boxes, malformed with a reason)``; blank lines go."""
-    text = F.trim(F.col(value))
-    parts = lines.filter(text != "").withColumn("__p", F.split(text, r"\s+"))
+    parts = lines.withColumn("__text", _once(F.trim(F.col(value)))).filter("__text != ''").withColumn("__p", _once(F.split("__text", r"\s+")))
     fields = {"cls": "INT", "xc": "DOUBLE", "yc": "DOUBLE", "w": "DOUBLE", "h": "DOUBLE"}
-    wide = parts.withColumns(
-        {name: F.expr(f"try_cast(get(__p, {i}) AS {kind})") for i, (name, kind) in enumerate(fields.items())}
-    )
+    numbers = [F.expr(f"try_cast(get(__p, {i}) AS {kind})").alias(name) for i, (name, kind) in enumerate(fields.items())]
+    wide = parts.withColumn("__n", _once(F.struct(*numbers)))
     parsed = F.lit(True)
     for name in fields:
-        parsed = parsed & F.col(name).isNotNull()
+        parsed = parsed & F.col(f"__n.{name}").isNotNull()
     reason = F.when(F.size("__p") != 5, F.lit("field-count")).when(~parsed, F.lit("parse"))
     marked = wide.withColumn("reason", reason)
     keep = [c for c in lines.columns if c != value]
     return (
-        marked.filter(F.col("reason").isNull()).select(*keep, *fields),
+        marked.filter(F.col("reason").isNull()).select(*keep, *[F.col(f"__n.{name}").alias(name) for name in fields]),
         marked.filter(F.col("reason").isNotNull()).select(*keep, value, "reason"),
     )
 

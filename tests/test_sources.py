@@ -25,6 +25,17 @@ def test_gt_reader(spark, tmp_path):
     assert boxes.count() == 1 and [r.reason for r in bad.collect()] == ["parse"]
 
 
+def test_lines_are_made_once(spark):
+    """What a line is made of is not worked out again for every field and filter."""
+    lines = spark.range(4).select(F.concat_ws(";", F.md5(F.col("id").cast("string")), *map(F.lit, "11111")).alias("value"))
+    spaced = lines.select(F.concat(F.lit("0 0 0 0 "), F.col("value")).alias("value"))
+    for table in (*readers.split_gt_lines(lines), *readers.split_label_lines(spaced)):
+        assert table._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
+    assert [t.count() for t in (*readers.split_gt_lines(lines), *readers.split_label_lines(spaced))] == [4, 0, 0, 4]
+    blank = spark.createDataFrame([("",), ("  ",), ("\t",), (None,), ("0 1 2 3 4",)], "value string")
+    assert [t.count() for t in (*readers.split_gt_lines(blank), *readers.split_label_lines(blank))] == [0, 2, 1, 1]
+
+
 def test_empty_label_files_survive(spark, tmp_path):
     images, labels = tmp_path / "images", tmp_path / "labels"
     images.mkdir(), labels.mkdir()
