@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .archive import write_archives
 from .files import write_text_files
 
+#: Files that one archive of labels holds.
+FILES_OF_ARCHIVE = 50_000
+
 
 def write_label_texts(texts: DataFrame, path: str) -> None:
     """Label texts ``(frame, split, text)`` as a table, one folder per split, replacing what was there."""
@@ -22,6 +28,18 @@ def write_label_files(texts: DataFrame, path: str) -> None:
     write_text_files(texts.select(F.col("split").alias("folder"), name.alias("name"), "text"), path)
 
 
+def write_label_archives(texts: DataFrame, path: str, n_files: int) -> DataFrame:
+    """The same files as members of zip archives ``labels-<number>.zip``; returns ``(archive, members)``.
+
+    A file of its own takes a block of some 4 KB for a text of a few lines, and a place in the file system's listing. For
+    millions of frames the named files are kept in archives, about ``FILES_OF_ARCHIVE`` of ``n_files`` in each.
+    """
+    number = F.pmod(F.xxhash64("frame"), F.lit(max(1, math.ceil(n_files / FILES_OF_ARCHIVE))))
+    member = F.concat(F.col("split"), F.lit("/"), F.col("frame").cast("string"), F.lit(".txt"))
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    return write_archives(texts.select(F.format_string("labels-%06d.zip", number).alias("archive"), member.alias("member"), text.alias("bytes")), path)
+
+
 def write_sorted_csv(df: DataFrame, path: str, order: list[str]) -> None:
     """CSV with a header, globally sorted: files follow each other in the order."""
     df.orderBy(*order).write.mode("overwrite").csv(path, header=True)

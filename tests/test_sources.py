@@ -208,6 +208,18 @@ def test_label_files_replace_what_was_there(spark, tmp_path):
     assert {(r.path.rsplit("/", 1)[1], r.length) for r in files.collect()} == {("a.txt", 4), ("c.txt", 0)}
 
 
+def test_label_files_in_archives(spark, tmp_path, monkeypatch):
+    """All files of many frames, empty ones too, in a few archives."""
+    monkeypatch.setattr(writers, "FILES_OF_ARCHIVE", 100)
+    texts = spark.range(250).select(
+        F.col("id").alias("frame"), F.when(F.col("id") % 5 == 0, "val").otherwise("train").alias("split"), F.when(F.col("id") % 3 != 0, F.lit("0 1 1 1 1\n")).alias("text")
+    )
+    told = writers.write_label_archives(texts, str(tmp_path), 250).collect()
+    assert sum(r.members for r in told) == 250 and len(list(tmp_path.iterdir())) == len(told) == 3
+    got = {r.member: bytes(r.bytes).decode() for r in archive.archive_members(spark, str(tmp_path)).collect()}
+    assert got == {f"{'train' if i % 5 else 'val'}/{i}.txt": "0 1 1 1 1\n" if i % 3 else "" for i in range(250)}
+
+
 def test_run_records(spark, tmp_path):
     for name, args in (("r1", "task: x\noptimizer: 'AdamW'\nfliplr: 0.5\n"), ("r2", None), ("r3", "optimizer: null\nfliplr: none\n")):
         d = tmp_path / name
