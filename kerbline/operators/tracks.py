@@ -5,6 +5,8 @@ Detections are ``(clip, track, frame, x1, y1, x2, y2, size, ...)``.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from .quantiles import quantiles
 
 BOX = ["x1", "y1", "x2", "y2"]
 BUCKET = 16
+#: Detections of a clip that one task merges; the clips with more go through rounds over all of them.
+IN_TASK = 2000
 
 
 def one_per_frame(dets: DataFrame, keys: list[str]) -> DataFrame:
@@ -101,11 +105,97 @@ def merge_tracks(dets: DataFrame) -> DataFrame:
     """Relabel detections so that each sign has one track, until nothing changes.
 
     The track with the largest view survives (ties: the smallest id) and keeps the
-    largest detection of each frame. All clips go through a round together. Tracks
+    largest detection of each frame. A clip of ordinary size is merged by one task, so
+    its rounds are no jobs of the driver; all others go through a round together. Tracks
     that a round left as they were have been compared with each other, so the next
     round looks only for pairs with a track that has just taken others in.
     """
     now = checkpointed(one_per_frame(dets, ["clip", "track"]))
+    kinds = dict(now.dtypes)
+    numbers = [*BOX, "size"]
+    if any(kinds[c] != "double" for c in numbers) or any(kinds[c] not in ("int", "bigint") for c in ("track", "frame")):
+        return _merged_in_rounds(now)
+    odd = F.lit(False)
+    for c in ("track", "frame", *numbers):
+        odd = odd | F.col(c).isNull() | (F.isnan(c) if c in numbers else F.lit(False))
+    crowded = now.groupBy("clip").agg(F.count("*").alias("n"), F.max(odd).alias("odd")).filter((F.col("n") > IN_TASK) | F.col("odd")).select("clip")
+    named = now.filter("clip IS NOT NULL")
+    done = checkpointed(named.join(crowded, "clip", "left_anti").select(now.columns).groupBy("clip").applyInArrow(_merged_in_clip, now.schema))
+    rest = checkpointed(named.join(crowded, "clip", "left_semi").select(now.columns).unionByName(now.filter("clip IS NULL")))
+    return done if rest.isEmpty() else done.unionByName(_merged_in_rounds(rest))
+
+
+def _merged_in_clip(clip: pa.Table) -> pa.Table:
+    """The rounds of ``merge_tracks`` over one clip."""
+    track, frame, size, *box = (clip.column(c).to_numpy() for c in ("track", "frame", "size", *BOX))
+    x1, y1, x2, y2 = box
+    at = np.arange(len(track))  # the rows that are left, and the tracks they are of
+    touched = np.unique(track)
+    while True:
+        own = track[at]
+        fresh = np.isin(own, touched)
+        pairs = np.concatenate([_shared_in_clip(own, fresh, frame[at], *(c[at] for c in box)), _handed_in_clip(own, fresh, frame[at], size[at], *(c[at] for c in box))])
+        if not len(pairs):
+            left = clip.take(pa.array(at))
+            return left.set_column(left.schema.get_field_index("track"), left.schema.field("track"), pa.array(own, left.schema.field("track").type))
+        root: dict[int, int] = {}
+        for a, b in pairs.tolist():
+            a, b = (_root(root, x) for x in (a, b))
+            root[max(a, b)] = min(a, b)
+        peak = {t: size[at][own == t].max() for t in root.keys() | set(root.values())}
+        best: dict[int, tuple] = {}
+        for t in peak:
+            top = _root(root, t)
+            best[top] = min(best.get(top, (-peak[t], t)), (-peak[t], t))
+        track = track.copy()
+        for t in peak:
+            track[at[own == t]] = best[_root(root, t)][1]
+        touched = np.array([t for _, t in best.values()])
+        order = at[np.lexsort((y2[at], x2[at], y1[at], x1[at], -size[at], frame[at], track[at]))]
+        first = np.append(True, (track[order][1:] != track[order][:-1]) | (frame[order][1:] != frame[order][:-1]))
+        at = order[first]
+
+
+def _root(root: dict[int, int], t: int) -> int:
+    while root.setdefault(t, t) != t:
+        t = root[t]
+    return t
+
+
+def _shared_in_clip(track, fresh, frame, x1, y1, x2, y2) -> np.ndarray:
+    """``_shared`` over one clip."""
+    order = np.argsort(frame, kind="stable")
+    order = order[(x2[order] > x1[order]) & (y2[order] > y1[order])]
+    place, f = np.arange(len(order)), frame[order]
+    count = np.searchsorted(f, f, "right") - place - 1
+    left = np.repeat(place, count)
+    right = np.arange(len(left)) - np.repeat(np.cumsum(count) - count, count) + left + 1
+    a, b = order[left], order[right]
+    met = (track[a] != track[b]) & (fresh[a] | fresh[b])
+    a, b = a[met], b[met]
+    inter = np.maximum(0.0, np.minimum(x2[a], x2[b]) - np.maximum(x1[a], x1[b])) * np.maximum(0.0, np.minimum(y2[a], y2[b]) - np.maximum(y1[a], y1[b]))
+    area = (x2 - x1) * (y2 - y1)
+    near = inter / (area[a] + area[b] - inter) > 0.5
+    ends = np.sort(np.stack([track[a][near], track[b][near]], axis=1), axis=1)
+    pairs, n = np.unique(ends, axis=0, return_counts=True)
+    return pairs[n >= 2]
+
+
+def _handed_in_clip(track, fresh, frame, size, x1, y1, x2, y2, low: int = -3, high: int = 12) -> np.ndarray:
+    """``_handed_over`` over one clip."""
+    order = np.lexsort((frame, track))
+    new = np.append(True, track[order][1:] != track[order][:-1])
+    first, last = order[new], order[np.append(new[1:], True)]
+    x, y = last[:, None], first[None, :]
+    gap, ratio = frame[y] - frame[x], size[y] / np.maximum(size[x], 1e-9)
+    dx, dy = (x1[x] + x2[x]) / 2 - (x1[y] + x2[y]) / 2, (y1[x] + y2[x]) / 2 - (y1[y] + y2[y]) / 2
+    met = (track[x] != track[y]) & (fresh[x] | fresh[y]) & (gap >= low) & (gap <= high) & (ratio > 0.5) & (ratio < 2.0)
+    i, j = np.nonzero(met & (np.sqrt(dx * dx + dy * dy) < np.maximum(size[x], size[y])))
+    return np.sort(np.stack([track[last[i]], track[first[j]]], axis=1), axis=1)
+
+
+def _merged_in_rounds(now: DataFrame) -> DataFrame:
+    """``merge_tracks`` of clips of any size, over detections that are one a track and frame."""
     touched = None
     while True:  # a round with pairs leaves fewer tracks, so the rounds end
         pairs = checkpointed(same_sign_pairs(now, touched))

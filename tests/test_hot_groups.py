@@ -341,3 +341,21 @@ def test_merge_tracks_to_a_fixed_point(spark):
     df = spark.createDataFrame(rows, "clip int, track int, frame int, x1 double, y1 double, x2 double, y2 double, size double, cls int, conf double")
     got = {(r.track, r.n) for r in T.merge_tracks(df).groupBy("track").agg(F.count("*").alias("n")).collect()}
     assert got == {(3, 14), (9, 5)}
+
+
+def test_clips_merged_by_a_task_and_in_rounds(spark, monkeypatch):
+    """Clips of ordinary size need no rounds of the driver, and come out as they do from rounds over all clips."""
+    rnd = random.Random(31)
+    rows = []
+    for clip in (0, 1, None):
+        for track in range(9):
+            x, start = rnd.choice([0.0, 10.0, 60.0]), rnd.randint(0, 20)
+            rows += [(clip, track, start + k, x + k, 0.0, x + k + 20 + rnd.randint(0, 6), 20.0 + rnd.randint(0, 3), 20.0 + rnd.randint(0, 9), None if k else 2**60 + track) for k in range(rnd.randint(1, 6))]
+    df = spark.createDataFrame(rows, "clip int, track int, frame int, x1 double, y1 double, x2 double, y2 double, size double, note bigint")
+    named = df.filter("clip IS NOT NULL")
+    rounds = sorted(map(tuple, T._merged_in_rounds(T.one_per_frame(named, ["clip", "track"])).collect()), key=repr)
+    assert 2 < len({r[:2] for r in rounds}) < 18
+    assert sorted(map(tuple, T.merge_tracks(df).filter("clip IS NOT NULL").collect()), key=repr) == rounds
+    assert T.merge_tracks(df).filter("clip IS NULL").count() == len([r for r in rows if r[0] is None])
+    monkeypatch.setattr(T, "_merged_in_rounds", None)
+    assert sorted(map(tuple, T.merge_tracks(named).collect()), key=repr) == rounds
