@@ -139,6 +139,16 @@ def test_merged_document(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "coco/annotations")).count() == 2
 
 
+def test_images_and_notes_need_no_annotations(spark, monkeypatch):
+    """Notes number nothing, images only themselves: the boxes of a dataset are not sorted for them."""
+    from kerbline.plans import build_queries as Q
+
+    numbered, plain = [], U.numbered_globally
+    monkeypatch.setattr(U, "numbered_globally", lambda df, order, name: numbered.append(name) or plain(df, order, name))
+    assert Q.merge_notes(spark, "/root/testdata/sf0.001").count() == 3 and numbered == []
+    assert Q.merged_images(spark, "/root/testdata/sf0.001").count() > 0 and numbered == ["new_image_id"]
+
+
 @pytest.mark.parametrize("text, want", [
     ('{"speed": 10}', set()), ('{"sped": 10}', {("unknown_key", "sped")}), ("{oops", {("malformed", "")}), ("[1]", {("malformed", "")}), ("7", {("malformed", "")}),
     ('{"lane_direction": "up"}', {("bad_value", "lane_direction")}), ('{"speed": "fast"}', {("wrong_type", "speed")}), ('{"lane_confidence": 2}', {("out_of_range", "lane_confidence")}),
