@@ -1,7 +1,9 @@
 """Where long windows may repeat: runs of windows that share their smallest gram.
 
 A window is ``length`` consecutive tokens of one document (bytes, or words). Its key is the
-smallest hash among the grams inside it, so equal windows have equal keys, wherever they stand.
+smallest hash among the grams inside it, or the hash of that gram with ``reach`` tokens beside it, on the side
+where the window has them; so equal windows have equal keys, wherever they stand, and a gram
+that different passages share does not make candidates of them unless its neighbourhood is shared too.
 Neighbouring windows mostly have the same key; such a run of windows is one segment, kept as
 ``(key, seg, rid, doc_id, place, n)``: hash of the segment's tokens, the document, the first
 window's place and the number of windows. Only segments whose key occurs elsewhere are looked
@@ -36,6 +38,7 @@ class Kind(NamedTuple):
     length: int  #: tokens of a window
     gram: int  #: tokens of the grams whose smallest hash is the key
     run: int  #: most windows of a segment
+    reach: int = 0  #: tokens beside the gram that the key also depends on; at most half of what a window has beside it
 
 
 def with_rid(docs: DataFrame) -> DataFrame:
@@ -63,7 +66,12 @@ def runs_of(values: np.ndarray, first: np.ndarray, kind: Kind) -> dict[str, np.n
     at = spread(first[:-1], size)
     row = np.repeat(np.arange(len(size)), size)
     held = least[at].astype(np.int64)
-    key = grams[held]
+    if kind.reach:
+        # A window holds ``reach`` tokens more after its smallest gram or, if that stands late in it, before.
+        late = held - at > kind.length - kind.gram - kind.reach
+        key = Hashes(values).grams(kind.gram + kind.reach)[held - late * kind.reach] ^ late.astype(U64)
+    else:
+        key = grams[held]
     new = np.ones(len(at), bool)
     new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
     begin = np.flatnonzero(new)

@@ -142,7 +142,8 @@ def remove_passages(docs: DataFrame, length: int = 50, gram: int = 10, memory: i
     and text), doc_id, n_words, n_removed and kept (the kept words joined by one space), one row for each input row. Null and
     empty texts have no words. A null doc_id is smaller than any; rows of one doc_id do not remove each other's words.
     """
-    kind = Kind("word", length, min(gram, length), 128)
+    gram = min(gram, length)
+    kind = Kind("word", length, gram, 128, (length - gram) // 2)
     docs = docs.select("doc_id", "text")
     found = candidates(docs, kind, across=True)
     packed = pack(docs)

@@ -408,6 +408,22 @@ def test_a_passage_between_many_neighbours_gathers_nowhere(spark, operator, unit
     assert sorted(remove(table).drop("rid").collect()) == want and sum(r.n_removed > 0 for r in want) >= 59
 
 
+def test_a_common_line_makes_no_candidates(spark):
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 8)))
+    line, passage = (" ".join(word() for _ in range(n)) for n in (20, 60))
+    texts = [" ".join([*(word() for _ in range(60)), part, *(word() for _ in range(60))]) for part in [line] * 30 + [passage] * 2]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    taken = []
+    whole, tree_dedup.candidates = tree_dedup.candidates, lambda *a, **b: taken.append(whole(*a, **b)) or taken[-1]
+    try:
+        got = {r.doc_id: r.n_removed for r in tree_dedup.remove_passages(table).collect()}
+    finally:
+        tree_dedup.candidates = whole
+    assert got == {**dict.fromkeys(range(31), 0), 31: 60}
+    assert 0 < taken[0].filter("doc_id >= 30").count() and not taken[0].filter("doc_id < 30").count()
+
+
 def test_repeats_of_crowded_keys_by_windows(docs, monkeypatch):
     want = collections.Counter(suffix_dedup.remove_repeats(docs).collect())
     monkeypatch.setattr(suffix_dedup, "contents", lambda *a: segments.contents(*a, crowded=0))
