@@ -5,18 +5,22 @@ larger neighbours and then over its smaller ones (Kiveris et al. 2014). Rounds
 grow with the logarithm of the graph. Smallest neighbours are found by a grouped
 minimum, which combines before the shuffle; the minimum then goes back to the
 edges of its node in as many copies as the node's edges have parts, so a node
-with very many edges never gathers them in one task.
+with very many edges never gathers them in one task. A graph that has fewer
+edges than one such part needs no copies, and as few tasks as its edges call for.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
 
 #: Edges of a node that go to one part; a node has at most PARTS parts.
 PART_EDGES, PARTS = 100_000, 1024
+#: Edges of a task in a graph of fewer than PART_EDGES.
+TASK_EDGES = 5_000
 
 
 def _with_smallest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -53,6 +57,20 @@ def _small_star(edges: DataFrame) -> DataFrame:
     )
 
 
+def _small_round(edges: DataFrame, tasks: int) -> DataFrame:
+    """Both stars of a graph where no node can have PART_EDGES edges; every shuffle is written by ``tasks`` tasks."""
+    least = F.least(F.min("v").over(W.partitionBy("u")), F.col("u"))
+    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    large = both.coalesce(tasks).withColumn("m", least).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    seen = large.coalesce(tasks).withColumn("m", least)
+    pairs = seen.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+    return pairs.select("e.u", "e.v").filter(F.col("u") != F.col("v")).coalesce(tasks).distinct().coalesce(tasks)
+
+
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` of edges ``(u, v)``; the component is its smallest node.
 
@@ -64,12 +82,13 @@ def components(edges: DataFrame) -> DataFrame:
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         .distinct()
     )
-    before = None
+    state = before = _state(now)
     while True:  # every round that changes the edges brings some node nearer its root
-        now = checkpointed(_small_star(_large_star(now)))
-        state = tuple(
-            now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        )
+        if state[0] < PART_EDGES:  # edges never grow in number
+            now = checkpointed(_small_round(now, state[0] // TASK_EDGES + 1))
+        else:
+            now = checkpointed(_small_star(_large_star(now)))
+        state = _state(now)
         if state == before:
             break
         before = state
