@@ -13,7 +13,7 @@ from kerbline.operators import ordered as O
 from kerbline.operators import overlap as V
 from kerbline.operators import review as R
 from kerbline.operators import tracks as T
-from kerbline.operators.build import numbered_globally
+from kerbline.operators.build import box_numbers, numbered_globally
 from kerbline.operators.quantiles import quantiles
 from kerbline.session import checkpointed
 
@@ -389,3 +389,16 @@ def test_clips_merged_by_a_task_and_in_rounds(spark, monkeypatch):
     assert T.merge_tracks(df).filter("clip IS NULL").count() == len([r for r in rows if r[0] is None])
     monkeypatch.setattr(T, "_merged_in_rounds", None)
     assert sorted(map(tuple, T.merge_tracks(named).collect()), key=repr) == rounds
+
+
+def test_boxes_of_a_frame_are_numbered_in_one_window(spark):
+    rng = random.Random(8)
+    sizes = {"a": 3, None: 4, "full": 60}
+    rows = [(f, float(rng.randrange(90)), float(i)) for f, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "f string, x double, y double")
+    want = {r: sum(o < r[1:] for g, *xy in rows if g == r[0] for o in [tuple(xy)]) for r in rows}
+    plain, cut = box_numbers(df, "f", ["x", "y"]), box_numbers(df, "f", ["x", "y"], crowded=10)
+    for got in (plain, cut):
+        assert {(r.f, r.x, r.y): r.box_no for r in got.collect()} == want
+    plan = plain._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") == 1 and "Join" not in plan
