@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import beside
+from ..session import beside, checkpointed, match
 from .ordered import scan, tick_bucket
 from .quantiles import quantiles
 
@@ -18,13 +19,48 @@ def orphans(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     )
 
 
-def compare_formats(a: DataFrame, b: DataFrame, key: str, tol: float = 1e-3) -> DataFrame:
+def compare_formats(a: DataFrame, b: DataFrame, key: str, tol: float = 1e-3, crowded: int = 10_000) -> DataFrame:
     """Two box tables of the same dataset: ``(key, what, error)`` where they differ.
 
     Boxes of a key are paired by their place in the order of class, x, y, w and h.
+    ``what`` is ``count``, ``class`` or ``geom``; a key with unequal counts is not
+    compared further. Keys of at most ``crowded`` boxes go through one shuffle of
+    both tables; fuller ones, and boxes without a key, through ``_compare_runs``.
+    """
+    fields = ["cls", "xc", "yc", "w", "h"]
+    both = a.select(key, F.lit(0).alias("__side"), *fields).unionByName(b.select(key, F.lit(1).alias("__side"), *fields))
+    full = checkpointed(both.groupBy(key).count().filter((F.col("count") > crowded) | F.col(key).isNull()).select(key))
+    if full.isEmpty():
+        return _compare_places(both, key, fields, tol)
+    apart = _compare_runs(match(a, full, [key], "left_semi"), match(b, full, [key], "left_semi"), key, tol)
+    return _compare_places(match(both, full, [key], "left_anti"), key, fields, tol).unionByName(apart)
+
+
+def _compare_places(both: DataFrame, key: str, fields: list[str], tol: float) -> DataFrame:
+    """``compare_formats`` of both tables, told apart by ``__side``, with a key's boxes in one window."""
+    side = W.partitionBy(key, "__side")
+    placed = both.repartition(key).withColumns({"__at": F.row_number().over(side.orderBy(*fields)), "__n": F.count("*").over(side)})
+    of = lambda c, mark: F.max(F.when(F.col("__side") == mark, F.col(c)))
+    paired = placed.groupBy(key, "__at").agg(
+        *[F.coalesce(of("__n", k), F.lit(0)).alias(f"n{m}") for k, m in enumerate("ab")],
+        *[of(c, k).alias(f"{m}_{c}") for k, m in enumerate("ab") for c in fields],
+    )
+    unequal, first = F.col("na") != F.col("nb"), F.col("__at") == 1
+    worst = F.greatest(*(F.abs(F.col(f"a_{f}") - F.col(f"b_{f}")) for f in fields[1:]))
+    what = (
+        F.when(unequal, F.when(first, F.lit("count")))
+        .when(F.col("a_cls") != F.col("b_cls"), F.lit("class"))
+        .when(worst > tol, F.lit("geom"))
+    )
+    error = F.when(unequal, F.abs(F.col("na") - F.col("nb")).cast("double")).otherwise(worst)
+    return paired.select(key, what.alias("what"), error.alias("error")).filter(F.col("what").isNotNull())
+
+
+def _compare_runs(a: DataFrame, b: DataFrame, key: str, tol: float) -> DataFrame:
+    """``compare_formats`` for keys with very many boxes.
+
     Equal boxes are paired as runs with a count, so that a key holding very many
-    copies of a box stays one row a side. ``what`` is ``count``, ``class`` or
-    ``geom``; a key with unequal counts is not compared further.
+    copies of a box stays one row a side.
     """
     fields = ["cls", "xc", "yc", "w", "h"]
 

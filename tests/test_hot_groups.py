@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from kerbline.operators import audit as A
 from kerbline.operators import components as C
 from kerbline.operators import dedup as D
 from kerbline.operators import events as E
@@ -402,3 +403,15 @@ def test_boxes_of_a_frame_are_numbered_in_one_window(spark):
         assert {(r.f, r.x, r.y): r.box_no for r in got.collect()} == want
     plan = plain._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window") == 1 and "Join" not in plan
+
+
+def test_formats_of_small_keys_are_compared_in_one_shuffle(spark):
+    rng = random.Random(9)
+    box = lambda f: (f, rng.randrange(2), *(rng.randrange(4) / 4 for _ in range(4)))
+    left = [box(f) for f in range(12) for _ in range(f)] + [box(None), (12, None, 0.0, 0.0, 0.0, 0.0)]
+    right = [(f, c + (rng.random() < 0.1) if c is not None else c, x + (rng.random() < 0.1) * 0.01, *rest) for f, c, x, *rest in left if f != 3 or rng.random() < 0.5]
+    a, b = (spark.createDataFrame(rows, "f int, cls int, xc double, yc double, w double, h double") for rows in (left, right))
+    got = [sorted(A.compare_formats(a, b, "f", crowded=n).collect(), key=str) for n in (10_000, 5, 0)]
+    assert got[0] == got[1] == got[2] and {r.what for r in got[0]} == {"count", "class", "geom"}
+    plan = A.compare_formats(a.filter("f IS NOT NULL"), b.filter("f IS NOT NULL"), "f")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
