@@ -87,8 +87,8 @@ def overlapping(
     """Pairs ``(group, l_*, r_*, iou)`` above the threshold (> 0), each once.
 
     Columns other than the group are prefixed ``l_`` and ``r_``. Frames of at most
-    ``crowded`` boxes are joined on the frame; fuller ones go through the grid. The
-    two ways give the same pairs.
+    ``crowded`` boxes are joined on the frame; fuller ones, if there are any, go
+    through the grid. The two ways give the same pairs.
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must be above 0 and at most 1")
@@ -102,15 +102,18 @@ def overlapping(
         .filter((F.col("a") > crowded) | (F.col("b") > crowded))
         .select(*group)
     )
-    plain = _named(left.join(full, group, "left_anti"), group, [], "l_").join(
-        _named(right, group, [], "r_"), group
-    )
-    dense = _through_grid(
-        left.join(full, group, "left_semi"), right.join(full, group, "left_semi"), group, threshold
-    )
+    full = checkpointed(full)
+    some = not full.isEmpty()
+    plain = left.join(full, group, "left_anti") if some else left
+    pairs = _named(plain, group, [], "l_").join(_named(right, group, [], "r_"), group)
+    if some:
+        dense = _through_grid(
+            left.join(full, group, "left_semi"), right.join(full, group, "left_semi"), group, threshold
+        )
+        pairs = pairs.unionByName(dense)
     value = F.col("iou")
     return (
-        plain.unionByName(dense)
+        pairs
         .withColumn("iou", _iou_of_pair())
         .filter(value >= threshold if inclusive else value > threshold)
     )

@@ -415,3 +415,10 @@ def test_formats_of_small_keys_are_compared_in_one_shuffle(spark):
     assert got[0] == got[1] == got[2] and {r.what for r in got[0]} == {"count", "class", "geom"}
     plan = A.compare_formats(a.filter("f IS NOT NULL"), b.filter("f IS NOT NULL"), "f")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_no_grid_where_no_frame_is_crowded(spark):
+    rows = [(f, i, float(i), float(i), i + 3.0, i + 3.0) for f in range(3) for i in range(8)]
+    df = spark.createDataFrame(rows, "f int, i int, x1 double, y1 double, x2 double, y2 double")
+    joins = {n: V.overlapping(df, df, ["f"], 0.3, crowded=n)._jdf.queryExecution().optimizedPlan().toString().count("Join") for n in (64, 4)}
+    assert joins[64] == 1 < joins[4]
