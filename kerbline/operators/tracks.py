@@ -319,8 +319,8 @@ def _sampled(
     it only on which row is kept first. That row is always a new maximum or a new
     minimum of its bucket. So each bucket lists, for those rows alone, the value it
     is left with; two lists compose into that of both stretches, so entered values are
-    found by a parallel prefix, and each bucket is replayed from its own. ``frame`` is
-    unique inside a key.
+    found by a parallel prefix, and each bucket is replayed from its own. A key that has
+    one bucket only is run at once. ``frame`` is unique inside a key.
     """
     slot, number = "__slot", "double"
     rest = [c for c in dets.columns if c not in [*keys, frame]]
@@ -375,15 +375,25 @@ def _sampled(
         through = F.transform(first, lambda e: F.struct(e["v"].alias("v"), leave(e["leave"], second).alias("leave")))
         return F.concat(through, F.filter(second, lambda e: is_record(F.array_min(seen), F.array_max(seen), e["v"])))
 
-    entered = entries(
-        grouped.withColumn("__records", records).select(*solid_keys, slot, exits.alias("__exits")),
-        solid_keys,
-        slot,
-        "__exits",
-        compose,
-        leave,
-        F.lit(None).cast(number),
-    )
+    def through(grouped: DataFrame) -> DataFrame:
+        """Buckets with the value they are entered with."""
+        entered = entries(
+            grouped.withColumn("__records", records).select(*solid_keys, slot, exits.alias("__exits")),
+            solid_keys,
+            slot,
+            "__exits",
+            compose,
+            leave,
+            F.lit(None).cast(number),
+        )
+        return grouped.join(entered, [*solid_keys, slot])
+
+    # A key with one bucket enters it with nothing; no summary has to be made of it.
+    long = checkpointed(rows.groupBy(*solid_keys).agg((F.min(slot) != F.max(slot)).alias("__long")).filter("__long").select(*solid_keys))
+    some = not long.isEmpty()
+    begun = (grouped.join(long, solid_keys, "left_anti") if some else grouped).withColumn("__entry", F.lit(None).cast(number))
+    if some:
+        begun = begun.unionByName(through(grouped.join(long, solid_keys, "left_semi")))
     kept = F.aggregate(
         "__rows",
         F.struct(
@@ -396,6 +406,6 @@ def _sampled(
         ).otherwise(s),
         lambda s: s["out"],
     )
-    done = grouped.join(entered, [*solid_keys, slot]).withColumn("__kept", kept)
+    done = begun.withColumn("__kept", kept)
     taken = done.select(*solid_keys, F.explode(F.filter("__rows", lambda r: F.array_contains("__kept", r["f"]))).alias("r"))
     return taken.select(*restored(keys), F.col("r.f").alias(frame), *[F.col(f"r.d.{c}").alias(c) for c in rest]).select(dets.columns)

@@ -226,6 +226,16 @@ def test_change_sample(spark, bucket, step, fan):
     assert_sampled(long, step, [r.f for r in rows if r.g == 2])
 
 
+def test_keys_of_one_bucket_are_sampled_at_once(spark):
+    rows = [(g, f, 10.0 + 3 * (f % 5) + g) for g in range(4) for f in range(20)]
+    df = spark.createDataFrame(rows, "g int, f int, v double")
+    taken = T.change_sample(df, ["g"], "f", "v", 0.2)
+    for g in range(4):
+        assert_sampled([r[1:] for r in rows if r[0] == g], 0.2, [r.f for r in taken.collect() if r.g == g])
+    plan = lambda x: x._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan(taken) and "Join" in plan(T.change_sample(df, ["g"], "f", "v", 0.2, 8))
+
+
 def test_interval_sample(spark, fan):
     rnd = random.Random(9)
     times = sorted(rnd.random() * 200 for _ in range(400))
