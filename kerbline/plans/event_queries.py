@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import events as E
 from ..operators import state as S
 from ..operators.ordered import time_bucket
-from ..session import shared_folder
+from ..session import shared_folder, values
 from ..sources.contract import parse_messages
 from ..streaming.processors import sign_stage_stream
 from . import views as V
@@ -67,17 +67,21 @@ def one_per_tick(spark, folder):
     return E.one_per_tick(_confirmed(spark, folder), t, "stream_id", "tick", "name")
 
 
-def _sign_detections(spark, folder):
+def _timed_detections(spark, folder):
     """Each event shows one sign; every other click also shows a number plate."""
     t = V.ticks(spark, folder)
     named = F.expr("CASE name WHEN 'view' THEN 'stop' WHEN 'click' THEN 'speed_limit' WHEN 'signup' THEN 'keep_left' WHEN 'purchase' THEN 'speed_limit' ELSE 'information' END")
     size = F.col("value") % 40 + 20
     return t.select(
-        "stream_id", "tick", named.alias("name"), F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"), size.alias("x2"), size.alias("y2"),
+        "stream_id", "ts", "tick", named.alias("name"), F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"), size.alias("x2"), size.alias("y2"),
         (F.floor(F.col("value") / 30) * 10).cast("int").alias("reading"), ((F.col("event_id") % 10) / 10 + 0.05).alias("conf"),
     )
 
 
+def _sign_detections(spark, folder):
+    return _timed_detections(spark, folder).drop("ts")
+
+
 @query("sign_stage", "ticks", """
 WITH d AS (SELECT stream_id, tick, CASE name WHEN 'view' THEN 'stop' WHEN 'click' THEN 'speed_limit' WHEN 'signup' THEN 'keep_left' WHEN 'purchase' THEN 'speed_limit' ELSE 'information' END AS name,
   value % 40 + 20 AS px, CAST(floor(value / 30) * 10 AS INT) AS reading, (event_id % 10) / 10.0::DOUBLE + 0.05::DOUBLE AS conf FROM ticks),
@@ -111,16 +115,15 @@ SELECT stream_id, min(tick) AS tick, arg_min(v, tick) AS speed_limit FROM vn WHE
 def replaced_vote(spark, folder):
     """The sign stage as a stream with another vote plugged in: two readings settle a number."""
     out = shared_folder(spark, "signs")
-    seen = _sign_detections(spark, folder).join(V.ticks(spark, folder).select("stream_id", "tick", "ts"), ["stream_id", "tick"])
-    rows = seen.select(F.col("stream_id").cast("string").alias("stream_id"), "ts", "tick", "name", F.col("x2").alias("px"), "reading", "conf")
+    rows = _timed_detections(spark, folder).select(F.col("stream_id").cast("string").alias("stream_id"), "ts", "tick", "name", F.col("x2").alias("px"), "reading", "conf")
     # A far later row of no stream moves the watermark past all others.
-    last = rows.limit(1).select(F.lit("end").alias("stream_id"), (F.lit("2100-01-01").cast("timestamp")).alias("ts"), "tick", "name", "px", "reading", "conf")
-    rows.unionByName(last).write.parquet(f"{out}/in")
+    last = values(spark, [("end", "2100-01-01", 1)], "stream_id string, ts timestamp, tick bigint")
+    rows.unionByName(last, allowMissingColumns=True).write.parquet(f"{out}/in")
     stream = spark.readStream.schema(rows.schema).parquet(f"{out}/in")
     said = sign_stage_stream(stream, delay="1 second", settle=_first_read_twice)
     run = said.writeStream.format("parquet").option("path", f"{out}/out").option("checkpointLocation", f"{out}/progress").outputMode("append")
     run.trigger(availableNow=True).start().awaitTermination()
-    numbers = spark.read.parquet(f"{out}/out").filter("speed_limit IS NOT NULL AND stream_id <> 'end'")
+    numbers = spark.read.parquet(f"{out}/out").filter("speed_limit IS NOT NULL AND NOT stream_id <=> 'end'")
     return numbers.select(F.col("stream_id").cast("bigint").alias("stream_id"), "tick", "speed_limit")
 
 

@@ -10,6 +10,7 @@ row counts what came in time but behind rows already given out.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -24,24 +25,8 @@ from ..operators.state import ADAS_STALE, HIDEABLE, KEPT_FIELDS, MARGIN, SIGN_SH
 from ..sources.contract import parse_messages
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def _none(value: Any) -> Any:
-    """Pandas marks of absence as None, numpy scalars as plain values."""
-    if value is None or value is pd.NaT or (isinstance(value, float) and value != value):
-        return None
-    return value.item() if hasattr(value, "item") else value
-
-
-def _all(state) -> list[tuple]:
-    return list(state.get()) if state.exists() else []
-
-
-def _keep(state, rows: list[tuple]) -> None:
-    if rows:
-        state.put(rows)
-    elif state.exists():
-        state.clear()
+#: Waiting rows that one value of the state holds.
+PACKED = 4096
 
 
 class LateRows(StreamingQueryListener):
@@ -65,63 +50,72 @@ class LateRows(StreamingQueryListener):
 
 
 class _InOrder(StatefulProcessor):
-    """Holds rows until the watermark passes them; subclasses apply them in order."""
+    """Holds rows until the watermark passes them; subclasses apply them in order.
+
+    A stream's state is one list of JSON texts, since each value and each call of a state costs far more than its bytes.
+    The first holds the time of the last row given out, the late rows and what the subclass has in ``known``; every
+    further one up to ``PACKED`` waiting rows.
+    """
 
     fields = ""
     output = ""
     order: tuple[str, ...] = ("ts_ms",)
+    known: Any = None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.fields)
+        self.state = handle.getListState("state", "part string")
         self.names, kinds = zip(*(f.strip().split(" ") for f in self.fields.split(",")), strict=True)
         # A column with gaps comes as floats: give every value its declared kind back.
         self.kinds = [{"int": int, "bigint": int, "double": float, "boolean": bool}.get(k, str) for k in kinds]
-        self.mark = handle.getValueState("mark", "ts_ms bigint, late bigint")
-        self.open_states(handle)
-
-    def open_states(self, handle: StatefulProcessorHandle) -> None:
-        raise NotImplementedError
+        self.columns = [f.strip().split(" ")[0] for f in self.output.split(",")]
 
     def apply(self, rows: list[dict], late: int) -> list[tuple]:
         raise NotImplementedError
 
-    def _release(self, held: list[dict], watermark: int) -> Iterator[pd.DataFrame]:
-        mark = self.mark.get() if self.mark.exists() else None
-        done, late = (mark[0], mark[1]) if mark else (-1, 0)
-        fresh = [r for r in held if r["ts_ms"] > done]
-        late += len(held) - len(fresh)
-        ready = sorted((r for r in fresh if r["ts_ms"] <= watermark), key=lambda r: tuple(r[c] for c in self.order))
-        rest = [r for r in fresh if r["ts_ms"] > watermark]
-        _keep(self.waiting, [tuple(r[n] for n in self.names) for r in rest])
+    def _visit(self, key, came: list[dict], watermark: int) -> Iterator[pd.DataFrame]:
+        self.key = None if key[0] is None else str(key[0])
+        before = [r[0] for r in self.state.get()]
+        self.done, self.late, self.known = json.loads(before[0]) if before else (-1, 0, None)
+        held = [self._named(row) for part in before[1:] for row in json.loads(part)]
+        out, rest = self._release(held + came, watermark)
         if rest:
             self.handle.registerTimer(min(r["ts_ms"] for r in rest))
-        out = self.apply(ready, late) if ready else []
-        if ready or late:
-            self.mark.update((max([done, *[r["ts_ms"] for r in ready]]), late))
+        waiting = [[r[n] for n in self.names] for r in rest]
+        parts = [[self.done, self.late, self.known], *(waiting[i : i + PACKED] for i in range(0, len(waiting), PACKED))]
+        after = [json.dumps(part) for part in parts]
+        if after != before:
+            self.state.put([(part,) for part in after])
         if out:
-            columns = [f.strip().split(" ")[0] for f in self.output.split(",")]
-            yield pd.DataFrame(out, columns=columns, dtype=object)
-
-    def _held(self) -> list[dict]:
-        return [self._typed(r) for r in _all(self.waiting)]
+            values = {n: list(v) for n, v in zip(self.columns, zip(*out, strict=True), strict=True)}
+            yield pd.DataFrame({n: pd.Series(v, dtype=object) if None in v else v for n, v in values.items()})
 
-    def _typed(self, row) -> dict:
-        plain = map(_none, row)
-        return {
-            n: None if v is None else kind(v) for n, kind, v in zip(self.names, self.kinds, plain, strict=True)
-        }
+    def _release(self, held: list[dict], watermark: int) -> tuple[list[tuple], list[dict]]:
+        """What is given out, and the rows that wait on."""
+        fresh = [r for r in held if r["ts_ms"] > self.done]
+        self.late += len(held) - len(fresh)
+        ready = sorted((r for r in fresh if r["ts_ms"] <= watermark), key=lambda r: tuple(r[c] for c in self.order))
+        out = self.apply(ready, self.late) if ready else []
+        self.done = max([self.done, *[r["ts_ms"] for r in ready]])
+        return out, [r for r in fresh if r["ts_ms"] > watermark]
+
+    def _named(self, row) -> dict:
+        return dict(zip(self.names, row, strict=True))
+
+    def _typed(self, batch: pd.DataFrame) -> Iterator[dict]:
+        """Rows with plain values, and None for pandas' marks of absence."""
+        columns = (
+            [None if v is None or v != v else kind(v) for v in batch[n].tolist()]
+            for n, kind in zip(self.names, self.kinds, strict=True)
+        )
+        return map(self._named, zip(*columns, strict=True))
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        self.key = key[0]
-        held = self._held()
-        for batch in rows:
-            held += [self._typed(r) for r in batch[list(self.names)].itertuples(index=False, name=None)]
-        yield from self._release(held, timerValues.getCurrentWatermarkInMs())
+        came = [r for batch in rows for r in self._typed(batch)]
+        yield from self._visit(key, came, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
-        self.key = key[0]
-        yield from self._release(self._held(), timerValues.getCurrentWatermarkInMs())
+        yield from self._visit(key, [], timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
@@ -146,17 +140,10 @@ class SignStage(_InOrder):
         self.confirm, self.min_votes, self.gap = confirm, min_votes, gap
         self.number_class, self.min_width, self.min_confidence = number_class, min_width, min_confidence
 
-    def open_states(self, handle):
-        self.sightings = handle.getListState("sightings", "name string, tick bigint, hits int")
-        self.votes = handle.getListState("votes", "value int, n int")
-        self.session = handle.getValueState("session", "tick bigint, settled boolean")
-        self.queue = handle.getListState("queue", "name string")
-
     def apply(self, rows, late):
-        sightings = {r[0]: (r[1], r[2]) for r in _all(self.sightings)}
-        votes = {r[0]: r[1] for r in _all(self.votes)}
-        last_read, settled = self.session.get() if self.session.exists() else (None, False)
-        queue = [r[0] for r in _all(self.queue)]
+        sighted, voted, last_read, settled, queue = self.known or ([], [], None, False, [])
+        sightings = {name: (tick, hits) for name, tick, hits in sighted}
+        votes = dict(voted)
         out = []
         by_tick: dict[int, list[dict]] = {}
         for row in rows:
@@ -179,14 +166,10 @@ class SignStage(_InOrder):
                 number = None if settled else self.settle(votes)
                 settled = settled or number is not None
             said = self.number_class if number is not None else queue.pop(0) if queue else None
-            out.append((str(self.key), tick, said, number, late))
+            out.append((self.key, tick, said, number, late))
             # Sightings too old to be continued need no state.
             sightings = {n: s for n, s in sightings.items() if tick - s[0] <= self.gap}
-        _keep(self.sightings, [(n, *s) for n, s in sightings.items()])
-        _keep(self.votes, list(votes.items()))
-        _keep(self.queue, [(n,) for n in queue])
-        if last_read is not None:
-            self.session.update((last_read, settled))
+        self.known = [[(n, *s) for n, s in sightings.items()], list(votes.items()), last_read, settled, queue]
         return out
 
     def _reading(self, plates):
@@ -208,11 +191,8 @@ class LaneDeparture(_InOrder):
     def __init__(self, threshold: float = 0.75, up: int = 3, down: int = 5) -> None:
         self.threshold, self.up, self.down = threshold, up, down
 
-    def open_states(self, handle):
-        self.run = handle.getValueState("run", "drifting boolean, length int, direction string")
-
     def apply(self, rows, late):
-        drifting, length, direction = self.run.get() if self.run.exists() else (False, 0, "none")
+        drifting, length, direction = self.known or (False, 0, "none")
         out = []
         for row in rows:
             now = row["off"] is not None and abs(row["off"]) >= self.threshold
@@ -222,8 +202,8 @@ class LaneDeparture(_InOrder):
                 direction = ("left" if row["off"] < 0 else "right") if now else "none"
             active = direction != "none"
             confidence = round(1.0 if row["conf"] is None else row["conf"], 2) if active else 0.0
-            out.append((str(self.key), row["tick"], active, direction, confidence, late))
-        self.run.update((drifting, length, direction))
+            out.append((self.key, row["tick"], active, direction, confidence, late))
+        self.known = [drifting, length, direction]
         return out
 
 
@@ -231,6 +211,11 @@ STATE_FIELDS = (
     "speed double, lane_warning boolean, lane_direction string, fcw_warning boolean, fcw_ttc double, "
     "lead_vehicle boolean, module_lane string, module_fcw string, module_signs string, system_fault string"
 )
+#: What is known of a vehicle: the fields as last sent, when, and which features are on.
+KNOWN = (
+    *(f.strip().split(" ")[0] for f in STATE_FIELDS.split(",")),
+    "limit", "sign", "speed_at", "adas_at", "sign_at", "hidden", "on_lane", "on_fcw", "on_signs",
+)
 LIVE = ("lane_warning", "lane_direction", "lane_confidence", "fcw_warning", "fcw_ttc", "lead_vehicle", "speed_limit",
         "sign_seen", "module_status_sent", "system_fault")
 
@@ -258,17 +243,8 @@ class VehicleState(_InOrder):
         self.spans = {"speed_at": int(speed_stale * 1000), "adas_at": int(adas_stale * 1000), "sign_at": int(show * 1000)}
         self.margin = margin
 
-    def open_states(self, handle):
-        names = (
-            STATE_FIELDS + ", limit int, sign string, speed_at bigint, adas_at bigint, sign_at bigint, hidden string, "
-            "on_lane boolean, on_fcw boolean, on_signs boolean"
-        )
-        self.known = handle.getValueState("known", names)
-        self.known_names = [f.strip().split(" ")[0] for f in names.split(",")]
-
     def apply(self, rows, late):
-        raw = self.known.get() if self.known.exists() else [None] * len(self.known_names)
-        s = dict(zip(self.known_names, map(_none, raw), strict=True))
+        s = self.known = self.known or dict.fromkeys(KNOWN)
         out, previous = [], None
         for row in rows:
             if previous is not None:
@@ -276,27 +252,20 @@ class VehicleState(_InOrder):
             self._fold(s, row)
             out.append(self._alert(s, row["ts_ms"], row["msg_id"], row["input"] == "press", late))
             previous = row["ts_ms"]
-        self.known.update(tuple(s[n] for n in self.known_names))
         return out
 
     def _release(self, held, watermark):
         """Expiries between the last applied row and the watermark come before the next rows."""
-        mark = self.mark.get() if self.mark.exists() else None
-        until = min([watermark, *[r["ts_ms"] for r in held if r["ts_ms"] > (mark[0] if mark else -1)]])
-        if mark and self.known.exists():
-            s = dict(zip(self.known_names, map(_none, self.known.get()), strict=True))
-            rows = self._expiries(s, mark[0], until, mark[1])
-            if rows:
-                self.known.update(tuple(s[n] for n in self.known_names))
-                self.mark.update((max(mark[0], rows[-1][1]), mark[1]))
-                columns = [f.strip().split(" ")[0] for f in self.output.split(",")]
-                yield pd.DataFrame(rows, columns=columns, dtype=object)
-        yield from super()._release(held, watermark)
-        if self.known.exists():
-            s = dict(zip(self.known_names, map(_none, self.known.get()), strict=True))
+        until = min([watermark, *[r["ts_ms"] for r in held if r["ts_ms"] > self.done]])
+        stale = self._expiries(self.known, self.done, until, self.late) if self.known else []
+        if stale:
+            self.done = max(self.done, stale[-1][1])
+        out, rest = super()._release(held, watermark)
+        if self.known:
             for name, span in self.spans.items():
-                if s[name] is not None and s[name] + span > watermark:
-                    self.handle.registerTimer(s[name] + span)
+                if self.known[name] is not None and self.known[name] + span > watermark:
+                    self.handle.registerTimer(self.known[name] + span)
+        return stale + out, rest
 
     def _expiries(self, s, after, until, late):
         """Rows at the moments in ``(after, until)`` when something goes stale; at ``until`` the message speaks."""
@@ -341,7 +310,7 @@ class VehicleState(_InOrder):
             hidden = shown[0]
             shown = next((a for a in active if a[0] != hidden), ("none", "none"))
         s["hidden"] = hidden
-        return (str(self.key), now, msg_id, online, fresh["speed_at"], limit, bool(over), shown[0], shown[1], hidden, late)
+        return (self.key, now, msg_id, online, fresh["speed_at"], limit, bool(over), shown[0], shown[1], hidden, late)
 
 
 def _run(df: DataFrame, processor: _InOrder, ts: str, delay: str) -> DataFrame:

@@ -93,3 +93,46 @@ def test_rows_behind_the_watermark_are_counted(spark, folder):
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
     spark.streams.removeListener(late)
     assert late.counts[str(query.id)] == 1
+
+
+def test_a_streams_state_is_few_values():
+    """Each value and each call of a state costs far more than its bytes: 1,000 waiting rows are one value, the rest another."""
+    import pandas as pd
+
+    class Handle:
+        """A list state and timers, with what is put into them."""
+
+        values, calls, timers = [], 0, []
+
+        def getListState(self, name, schema):  # noqa: N802
+            return self
+
+        def get(self):
+            self.calls += 1
+            return iter(self.values)
+
+        def put(self, values):
+            self.calls += 1
+            self.values = values
+
+        def registerTimer(self, at):  # noqa: N802
+            self.timers = [*self.timers, at]
+
+    class At:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return self.ms
+
+    handle, stage = Handle(), P.SignStage()
+    stage.init(handle)
+    rows = pd.DataFrame({"ts_ms": range(1000, 2000), "tick": range(1000), "name": "stop", "px": 40.0, "reading": None, "conf": 0.9})
+    assert list(stage.handleInputRows(("s",), iter([rows[::-1]]), At(0))) == []
+    assert len(handle.values) == 2 and handle.calls == 2 and handle.timers == [1000]
+    first, second = (pd.concat(stage.handleExpiredTimer(("s",), At(ms), None)) for ms in (1499, 5000))
+    assert [*first.tick, *second.tick] == list(range(1000)) and handle.timers == [1000, 1500]
+    assert first[first.sign_seen.notna()].tick.tolist() == [2] and second.sign_seen.isna().all()
+    assert len(handle.values) == 1 and handle.calls == 6
+    assert list(stage.handleInputRows(("s",), iter([rows[:3]]), At(5000))) == []  # behind rows already given out
+    assert stage.late == 3
