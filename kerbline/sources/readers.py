@@ -15,6 +15,8 @@ from ..session import values
 from .files import system_of, with_scheme
 
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "ppm")
+#: What a run leaves: its record, the rates by epoch and its arguments.
+RUN_FILES = ("run_meta.json", "results.csv", "args.yaml")
 #: The metrics of a run's record, and what the names they go by contain.
 METRICS = {"map50": "mAP50(", "map": "mAP50-95(", "precision": "precision(", "recall": "recall("}
 BOX_ARRAY = "array<struct<frame:int,xyxy:array<double>,cls:int,conf:double,size:double>>"
@@ -332,26 +334,51 @@ def read_json_texts(spark: SparkSession, root: str, name: str) -> DataFrame:
     return files.select(folder.alias("folder"), F.col("value").alias("json"))
 
 
+def run_texts(spark: SparkSession, root: str) -> DataFrame:
+    """``(folder, name, text)`` of the files that runs leave below a folder, listed and read once."""
+    path = F.col("_metadata.file_path")
+    files = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True, pathGlobFilter="{" + ",".join(RUN_FILES) + "}")
+    return files.select(F.regexp_extract(path, r"^(.*)/[^/]+$", 1).alias("folder"), F.regexp_extract(path, r"([^/]+)$", 1).alias("name"), F.col("value").alias("text"))
+
+
+def _runs(texts: DataFrame) -> DataFrame:
+    """One row a run with the texts of its files; what its meta says is parsed."""
+    kinds = "label_set string, imgsz int, metrics map<string,double>, dataset struct<split_at:int,official_split:boolean>"
+    beside = [F.max(F.when(F.col("name") == file, F.col("text"))).alias(f"__{i}") for i, file in enumerate(RUN_FILES)]
+    run = texts.groupBy("folder").agg(*beside).filter("__0 IS NOT NULL").withColumn("__m", F.from_json("__0", kinds))
+    return run.select(
+        "folder", F.regexp_extract("folder", r"([^/]+)$", 1).alias("run"), "__m.label_set", "__m.imgsz", "__m.metrics",
+        F.col("__m.dataset.split_at").alias("split_at"), F.col("__m.dataset.official_split").alias("official"),
+        F.col("__1").alias("results"), F.col("__2").alias("args"),
+    )
+
+
+def _epochs(runs: DataFrame) -> DataFrame:
+    """``(folder, run, epoch, lr)`` of the lines of the runs' results; each file is read by its own header."""
+    lines = runs.select("folder", "run", _once(F.split("results", r"\r?\n")).alias("__lines"))
+    named = lines.withColumn("__head", _once(F.transform(_csv_fields(F.get("__lines", F.lit(0))), lambda name: F.trim(name))))
+    rows = named.filter(F.array_contains("__head", "epoch") & F.array_contains("__head", "lr/pg0")).select(
+        "folder", "run", "__head", F.explode(F.slice("__lines", 2, F.greatest(F.size("__lines") - 1, F.lit(0)))).alias("__line")
+    )
+    fields = rows.filter(F.trim("__line") != "").withColumn("__f", _once(_csv_fields(F.col("__line"))))
+    value = {n: F.nullif(F.get("__f", F.array_position("__head", n) - 1), F.lit("")) for n in ("epoch", "lr/pg0")}
+    return fields.select("folder", "run", value["epoch"].try_cast("int").alias("epoch"), value["lr/pg0"].alias("lr"))
+
+
+def _csv_fields(line: Column) -> Column:
+    """The fields of a line of CSV, without the white space before them and the quotes around them."""
+    found = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',[ \t]*("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
+    bare = lambda f: F.replace(F.substring(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))
+    return F.transform(found, lambda f: F.when(f.startswith('"') & f.endswith('"') & (F.length(f) > 1), bare(f)).otherwise(f))
+
+
 def read_runs(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """``(runs, epochs)`` of a folder of training runs; a folder without a record is skipped.
 
     A run is a folder with ``run_meta.json``; ``results.csv`` beside it gives the epochs.
     """
-    folder = F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1)
-    meta = spark.read.schema(
-        "label_set string, imgsz int, metrics map<string,double>, dataset struct<split_at:int,official_split:boolean>"
-    ).option("recursiveFileLookup", "true").json(root, multiLine=True, pathGlobFilter="run_meta.json")
-    runs = meta.select(folder.alias("run"), "label_set", "imgsz", "metrics",
-                       F.col("dataset.split_at").alias("split_at"), F.col("dataset.official_split").alias("official"))
-    lines = spark.read.option("recursiveFileLookup", "true").csv(
-        root, header=True, pathGlobFilter="results.csv", inferSchema=False, ignoreLeadingWhiteSpace=True
-    )
-    lines = lines.toDF(*[c.strip() for c in lines.columns]) if lines.columns else lines
-    named = {"epoch", "lr/pg0"} <= set(lines.columns)
-    if not named:
-        return runs, spark.createDataFrame([], "run string, epoch int, lr string")
-    epochs = lines.select(folder.alias("run"), F.expr("try_cast(epoch AS INT)").alias("epoch"), F.col("`lr/pg0`").alias("lr"))
-    return runs, epochs.join(runs.select("run"), "run", "left_semi")
+    runs = _runs(run_texts(spark, root))
+    return runs.select("run", "label_set", "imgsz", "metrics", "split_at", "official"), _epochs(runs).select("run", "epoch", "lr")
 
 
 def collect_runs(spark: SparkSession, root: str) -> DataFrame:
@@ -360,18 +387,23 @@ def collect_runs(spark: SparkSession, root: str) -> DataFrame:
     A run is a folder with ``run_meta.json``. ``results.csv`` gives the rates by epoch, ``args.yaml`` the optimizer and
     the share of mirrored images as ``key: value`` lines; either may be missing. Metrics are found by the start of their names.
     """
-    runs, epochs = read_runs(spark, root)
-    rates = learning_rates(epochs.withColumn("lr", F.trim("lr")))
-    folder = F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1)
-    lines = spark.read.option("recursiveFileLookup", "true").text(root, pathGlobFilter="args.yaml")
-    pair = lines.select(folder.alias("run"), F.regexp_extract("value", r"^([A-Za-z0-9_]+):", 1).alias("key"), F.trim(F.regexp_extract("value", r"^[A-Za-z0-9_]+:([^#]*)", 1)).alias("v"))
+    return collect_run_texts(run_texts(spark, root))
+
+
+def collect_run_texts(texts: DataFrame) -> DataFrame:
+    """The records of ``collect_runs`` from ``(folder, name, text)``, wherever the files are kept."""
+    runs = _runs(texts)
+    epochs = _epochs(runs).select(F.col("folder").alias("run"), "epoch", F.trim("lr").alias("lr"))
+    rates = learning_rates(epochs).withColumnRenamed("run", "folder")
+    lines = runs.select("folder", F.explode(F.split("args", r"\r?\n")).alias("value"))
+    pair = lines.select("folder", F.regexp_extract("value", r"^([A-Za-z0-9_]+):", 1).alias("key"), F.trim(F.regexp_extract("value", r"^[A-Za-z0-9_]+:([^#]*)", 1)).alias("v"))
     given = F.nullif(F.nullif(F.regexp_replace("v", r"""^['"]|['"]$""", ""), F.lit("null")), F.lit(""))
-    args = pair.groupBy("run").agg(
+    args = pair.groupBy("folder").agg(
         F.max(F.when(F.col("key") == "optimizer", given)).alias("optimizer"),
         F.expr("try_cast(max(CASE WHEN key = 'fliplr' THEN v END) AS DOUBLE)").alias("fliplr"),
     )
     metrics = {name: metric_like(F.col("metrics"), text) for name, text in METRICS.items()}
     return (
-        runs.join(rates, "run", "left").join(args, "run", "left")
+        runs.join(rates, "folder", "left").join(args, "folder", "left")
         .select("run", "label_set", "imgsz", "split_at", "official", "lr_peak", "lr_last", "optimizer", "fliplr", *[m.alias(n) for n, m in metrics.items()])
     )

@@ -40,6 +40,16 @@ def write_label_archives(texts: DataFrame, path: str, n_files: int) -> DataFrame
     return write_archives(texts.select(F.format_string("labels-%06d.zip", number).alias("archive"), member.alias("member"), text.alias("bytes")), path)
 
 
+def write_text_archives(files: DataFrame, path: str, n_files: int) -> DataFrame:
+    """Files ``(folder, name, text)`` as members of zip archives ``files-<number>.zip``, a folder in one; returns ``(archive, members)``.
+
+    About ``FILES_OF_ARCHIVE`` of ``n_files`` are in each, for the same reason.
+    """
+    number = F.pmod(F.xxhash64("folder"), F.lit(max(1, math.ceil(n_files / FILES_OF_ARCHIVE))))
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    return write_archives(files.select(F.format_string("files-%06d.zip", number).alias("archive"), F.concat_ws("/", "folder", "name").alias("member"), text.alias("bytes")), path)
+
+
 def write_sorted_csv(df: DataFrame, path: str, order: list[str]) -> None:
     """CSV with a header, globally sorted: files follow each other in the order."""
     df.orderBy(*order).write.mode("overwrite").csv(path, header=True)

@@ -246,6 +246,21 @@ def test_run_records(spark, tmp_path):
     assert got == {"r1": (0.5, 0.25, "AdamW", 0.5, *rest), "r2": (None, None, None, None, *rest), "r3": (None, None, None, None, *rest)}
 
 
+def test_run_records_in_archives(spark, tmp_path, monkeypatch):
+    """The files of many runs lie in a few archives, and each file of results is read by its own header."""
+    monkeypatch.setattr(writers, "FILES_OF_ARCHIVE", 100)
+    meta = json.dumps({"label_set": "l", "imgsz": 640, "metrics": {"metrics/mAP50(B)": 0.5}})
+    results = ["epoch,lr/pg0\n0,0.5\n1,0.25\n", 'lr/pg0, "epoch"\r\n"0.75", 1\r\n\r\n,2\r\n0.5,0', "epoch,loss\n0,9\n", ""]
+    files = [(f"{'ab'[i % 2]}/run{i // 2}", name, text) for i in range(100) for name, text in (("run_meta.json", meta), ("results.csv", results[i % 4]), ("args.yaml", f"fliplr: 0.{i % 10}\n"))]
+    told = writers.write_text_archives(spark.createDataFrame(files, "folder string, name string, text string"), str(tmp_path), 300).collect()
+    assert sum(r.members for r in told) == 300 and len(list(tmp_path.iterdir())) == len(told) == 3
+    kept = archive.archive_members(spark, str(tmp_path))
+    texts = kept.select(F.regexp_extract("member", "^(.*)/", 1).alias("folder"), F.col("base").alias("name"), F.decode("bytes", "UTF-8").alias("text"))
+    rates = [(0.5, 0.25), (0.75, 0.75), (None, None), (None, None)]
+    got = sorted(((r.run, r.lr_peak, r.lr_last, r.fliplr, r.map50) for r in readers.collect_run_texts(texts).collect()), key=str)
+    assert got == sorted(((f"run{i // 2}", *rates[i % 4], i % 10 / 10, 0.5) for i in range(100)), key=str)
+
+
 def test_frame_json(spark):
     rows = [
         (1, '{"fps": 3, "frames": [{"id": "a", "index": 1, "time_s": 0.5}, {"id": "b"}]}'), (2, '{"frames": {"c": {"index": 2}, "d": {"id": "e", "time_s": 1}}}'),
