@@ -26,6 +26,10 @@ from ..session import checkpointed
 from .components import with_component
 
 BITS = 64
+#: Work of a row that is listed, which is shuffled and sorted, against that of two hashes that meet by chance.
+LISTED = 10
+#: Rows that one task lists.
+ROWS_A_TASK = 500_000
 
 
 class Band(NamedTuple):
@@ -58,15 +62,19 @@ def ball(width: int, radius: int) -> int:
     return sum(math.comb(width, i) for i in range(radius + 1))
 
 
-def cost(bands: list[Band], n: int) -> float:
-    """Rows listed for a hash, and other hashes of ``n`` that it meets by chance."""
-    listed = sum(ball(b.width, b.left) + ball(b.width, b.right) for b in bands)
-    return listed + sum(ball(b.width, b.radius) * n / 2**b.width for b in bands)
+def rows_of(bands: list[Band]) -> int:
+    """Rows listed for a hash, on both sides."""
+    return sum(ball(b.width, b.left) + ball(b.width, b.right) for b in bands)
+
+
+def cost(bands: list[Band], n: int, listed: int = 1) -> float:
+    """Rows listed for a hash, each counted ``listed`` times, and other hashes of ``n`` that it meets by chance."""
+    return listed * rows_of(bands) + sum(ball(b.width, b.radius) * n / 2**b.width for b in bands)
 
 
 def bands_for(n: int, k: int) -> list[Band]:
     """The bands that make the least work for ``n`` different hashes."""
-    return min((cut(m, k) for m in range(1, min(8, k + 1) + 1)), key=lambda bands: cost(bands, n))
+    return min((cut(m, k) for m in range(1, min(8, k + 1) + 1)), key=lambda bands: cost(bands, n, LISTED))
 
 
 def _value(h: Column, band: Band) -> Column:
@@ -129,6 +137,11 @@ def _listed(df: DataFrame, bands: dict[int, Band], side: str, band: str, value:
     return rows.select(*df.columns, F.col("__l.band").alias(band), F.col("__l.value").alias(value))
 
 
+def _met(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Listed rows of both sides that share a value. Their size is not known from the hashes', so none is to be broadcast."""
+    return left.withColumnRenamed("h", "h_a").join(right.withColumnRenamed("h", "h_b").hint("merge"), on)
+
+
 def distinct_hashes(df: DataFrame, key: str, h: str) -> DataFrame:
     """``(h, n, first_key)``: one row per hash with its number of frames and smallest key."""
     return df.groupBy(F.col(h).alias("h")).agg(
@@ -146,7 +159,10 @@ def hash_pairs(hashes: DataFrame, k: int, crowded: int = 20_000, bands: list[Ban
     if not 0 <= k < BITS:
         raise ValueError("k must be 0..63")
     only = checkpointed(hashes.select("h"))
-    every = dict(enumerate(bands or bands_for(only.count(), k)))
+    n = only.count()
+    every = dict(enumerate(bands or bands_for(n, k)))
+    # The hashes are few bytes and what they are listed under is not: as many tasks as the listed rows want.
+    dealt = only.repartition(max(1, math.ceil(n * rows_of(list(every.values())) / ROWS_A_TASK)), "h")
     on = ["band", "value"]
     a, b = F.col("h_a"), F.col("h_b")
     values = F.array(*(F.struct(F.lit(i).alias("band"), _value(F.col("h"), own).alias("v")) for i, own in every.items()))
@@ -158,7 +174,7 @@ def hash_pairs(hashes: DataFrame, k: int, crowded: int = 20_000, bands: list[Ban
     full = checkpointed(
         many.select("band", "v", F.explode(spread).alias("m")).select("band", F.col("v").bitwiseXOR(F.col("m")).alias("value")).distinct()
     )
-    left, right = (_listed(only, every, side, *on) for side in ("left", "right"))
+    left, right = (_listed(dealt, every, side, *on) for side in ("left", "right"))
 
     def closed(joined: DataFrame, test: Column) -> DataFrame:
         return (
@@ -170,9 +186,9 @@ def hash_pairs(hashes: DataFrame, k: int, crowded: int = 20_000, bands: list[Ban
     first = _first_band(a, b, every)
     one = (F.col("band") == first) & (F.col("value") == _meeting(a, b, every, F.col("band")))
     if full.isEmpty():
-        return closed(left.withColumnRenamed("h", "h_a").join(right.withColumnRenamed("h", "h_b"), on), one)
+        return closed(_met(left, right, on), one)
     thin_left, thin_right = (x.join(full, on, "left_anti") for x in (left, right))
-    thin = closed(thin_left.withColumnRenamed("h", "h_a").join(thin_right.withColumnRenamed("h", "h_b"), on), one)
+    thin = closed(_met(thin_left, thin_right, on), one)
     dense_left, dense_right = (x.join(full, on, "left_semi") for x in (left, right))
     if len(every) < 3:
         crowd = dense_left.select("h").union(dense_right.select("h")).distinct()
@@ -186,7 +202,7 @@ def hash_pairs(hashes: DataFrame, k: int, crowded: int = 20_000, bands: list[Ban
         others = {j: own._replace(radius=deep + (place < more)) for place, (j, own) in enumerate((j, own) for j, own in every.items() if j != i)}
         rows_left = _listed(dense_left.filter(F.col("band") == i), others, "left", "band_2", "value_2")
         rows_right = _listed(dense_right.filter(F.col("band") == i), others, "right", "band_2", "value_2")
-        met = rows_left.withColumnRenamed("h", "h_a").join(rows_right.withColumnRenamed("h", "h_b"), [*on, "band_2", "value_2"])
+        met = _met(rows_left, rows_right, [*on, "band_2", "value_2"])
         second = _first_band(a, b, others)
         twice = one & (F.col("band_2") == second) & (F.col("value_2") == _meeting(a, b, others, F.col("band_2")))
         found = found.unionByName(closed(met, twice))
@@ -196,7 +212,7 @@ def hash_pairs(hashes: DataFrame, k: int, crowded: int = 20_000, bands: list[Ban
 def _unbanded(left: DataFrame, right: DataFrame, on: list[str], k: int) -> DataFrame:
     """Pairs that share a crowded value, for distances too small to cut a hash into more bands."""
     a, b = F.col("h_a"), F.col("h_b")
-    met = left.withColumnRenamed("h", "h_a").join(right.withColumnRenamed("h", "h_b"), on)
+    met = _met(left, right, on)
     return met.filter((a < b) & (hamming(a, b) <= k)).select("h_a", "h_b", hamming(a, b).alias("distance")).distinct()
 
 

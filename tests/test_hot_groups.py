@@ -53,6 +53,17 @@ def test_near_duplicates_are_complete(spark, hashes, k, crowded, number):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_listed_rows_are_weighed_and_dealt_out(spark, monkeypatch):
+    """Listed rows cost more than chance meetings; many tasks list them, and neither side is broadcast for the hashes' few bytes."""
+    assert [len(D.bands_for(n, 10)) for n in (133_000, 600_000)] == [4, 4]
+    monkeypatch.setattr(D, "ROWS_A_TASK", 1_000)
+    df = spark.range(500).select((F.xxhash64("id")).alias("h"))
+    tasks = -(-500 * D.rows_of(D.bands_for(500, 10)) // 1_000)
+    plan = D.hash_pairs(df, 10)._jdf.queryExecution().executedPlan().toString()
+    assert tasks > 10 and f", {tasks}), REPARTITION_BY_NUM" in plan
+    assert "SortMergeJoin [band" in plan and "BroadcastHashJoin [band" not in plan
+
+
 def test_bands_follow_the_number_of_hashes():
     for k in range(64):
         for m in range(1, min(8, k + 1) + 1):
