@@ -211,6 +211,61 @@ def test_class_sums_of_trials(spark, digits):
     assert {(r.trial, r.cls, r.split): r.n for r in got} == want
 
 
+def test_leading_digits_of_md5():
+    """Heads and texts of any length, few and many, against hashlib."""
+    import hashlib
+    import random
+
+    import numpy as np
+
+    from kerbline.functions import digests as D
+
+    made = random.Random(4)
+    for size, length, m, n in [(2, 0, 1, 1), (5, 1, 3, 1), (6, 7, 1, 5), (7, 52, 2, 3), (63, 64, 2, 2), (130, 3, 3, 2), (9, 6, 2, D.LANES + 3), (8, 6, 40, 1000)]:
+        heads, texts = [made.randbytes(size) for _ in range(m)], [made.randbytes(length) for _ in range(n)]
+        words = D.text_words(np.frombuffer(b"".join(texts), np.uint8).reshape(n, length), size % 4)
+        got = D.leading(np.frombuffer(b"".join(heads), np.uint8).reshape(m, size), words, length)
+        some = texts[: 3 if n > 1000 else n] + texts[-3:]
+        assert got[:, [*range(len(some) - len(texts[-3:])), *range(n - len(texts[-3:]), n)]].tolist() == [
+            [int(hashlib.md5(h + t).hexdigest()[:8], 16) for t in some] for h in heads
+        ]
+
+
+@pytest.mark.parametrize(("kind", "alike"), [("int", 0), ("string", 0), ("int", 28), ("string", 31)])
+def test_trials_run_whole(spark, monkeypatch, kind, alike):
+    """Whole trials in one task, without a row for each group and trial: as dealt by bins, with a null group, and where keys begin alike."""
+    import pyarrow as pa
+
+    rows = [(g, f"c{c}", (g * 7 + c * 5) % 11 + 1) for g in range(130) for c in range(3) if (g + c) % 4] + [(None, "c1", 9)]
+    counts = spark.createDataFrame(rows, "g int, cls string, n int").withColumn("g", F.col("g").cast(kind))
+    filled = counts.groupBy("g").agg(F.collect_list(F.struct("cls", "n")).alias("__boxes"))
+
+    def added(df):
+        return {(r.trial, r.cls, r.split): r.n for r in df.groupBy("trial", "cls", "split").agg(F.sum("n").alias("n")).collect()}
+
+    want = added(L.trial_sums(filled, "g", 13, 5, 26, 13, in_task=0))
+    whole = L.trial_sums(filled, "g", 13, 5, 26, 13)
+    assert "md5(" not in whole._jdf.queryExecution().analyzed().toString()
+    assert added(whole) == want
+    if alike:
+        leading = L.leading
+        monkeypatch.setattr(L, "leading", lambda *a: leading(*a) >> alike)
+        tail = F.concat_ws("|", F.lit(""), F.col("g").cast("string")).alias("tail")
+        groups = filled.select(tail, F.col("__boxes").alias("boxes")).toArrow()
+        got = pa.Table.from_batches(L._sums_of_trials(groups, 5, range(13), 26, 13)).to_pylist()
+        assert {(r["trial"], r["cls"], r["split"]): r["n"] for r in got} == want
+
+
+def test_groups_of_one_name_are_dealt_by_bins(spark):
+    """Where two groups give the same text, or a task cannot hold them, trials are added up by bins."""
+    rows = [(bytes([c]), c % 2, 1) for c in (200, 201, 202, 203, 65, 66)]
+    filled = spark.createDataFrame(rows, "g binary, cls int, n int").groupBy("g").agg(F.collect_list(F.struct("cls", "n")).alias("__boxes"))
+    one = spark.createDataFrame([("a", 0, 1.5)], "g string, cls int, n double").groupBy("g").agg(F.collect_list(F.struct("cls", "n")).alias("__boxes"))
+    assert L._whole_trials(one, "g", 3, 5, 1, 1, 100) is None
+    assert L._whole_trials(filled.select(F.lit("x").alias("g"), "__boxes"), "g", 3, 5, 1, 1, 100) is None
+    assert L._whole_trials(filled, "g", 3, 5, 1, 1, 5) is None
+
+
 def test_trials_are_dealt_in_blocks(spark):
     """Nearly all groups of a trial meet in one task, whatever the number of tasks."""
     filled = spark.range(3000).select(F.col("id").alias("g"), F.array(F.struct(F.lit(0).alias("cls"), F.lit(1).alias("n"))).alias("__boxes"))
