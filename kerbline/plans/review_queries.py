@@ -14,11 +14,14 @@ from .registry import query
 BOX = ["x1", "y1", "x2", "y2"]
 
 
-def _proposed(spark, folder):
+def _numbered(spark, folder):
     det = V.detections(spark, folder).select("frame_key", *BOX, "cls", "conf")
-    numbered = box_numbers(det, "frame_key", [*BOX, "cls", "conf"])
+    return box_numbers(det, "frame_key", [*BOX, "cls", "conf"]).withColumn("label", F.col("cls").cast("string"))
+
+
+def _proposed(spark, folder):
     # Proposals and reviews are stored tables in this loop, so they are kept once.
-    return checkpointed(numbered.withColumn("label", F.col("cls").cast("string")))
+    return checkpointed(_numbered(spark, folder))
 
 
 def _reviewed(proposed):
@@ -95,14 +98,17 @@ UNION ALL SELECT '(added)', count(*) FROM bx WHERE NOT EXISTS (SELECT 1 FROM m W
 def reviewed_track_labels(spark, folder):
     from ..operators import tracks as T
 
-    one = checkpointed(T.one_per_frame(V.track_detections(spark, folder), ["clip", "track"]))
-    tops = T.peaks(one)
+    # In ranges of frames, rows move once as they are, and nearly all of a track's are together when its peak is looked for.
+    dealt = V.track_detections(spark, folder).repartitionByRange("clip", "frame")
+    one = checkpointed(T.one_per_frame(dealt, ["clip", "track"]))
+    tops = checkpointed(T.peaks(one))
     frame = (F.col("clip") * 25 + F.col("frame")).alias("frame_key")
     peaks = tops.select(
         "clip", F.col("track").alias("order"), F.col("peak.frame").alias("frame"), *[F.col(f"peak.{c}").alias(c) for c in BOX]
     ).select(frame, "order", *BOX, F.concat_ws("_t", F.col("clip").cast("string"), F.col("order").cast("string")).alias("crop_id"))
     context = R.context_boxes(one, tops).select(frame, F.col("track").alias("order"), *BOX)
-    boxes = _reviewed(_proposed(spark, folder)).join(peaks.select("frame_key").distinct(), "frame_key", "left_semi")
+    # Of the reviews only those on peak frames are kept, not the proposals they are made from.
+    boxes = checkpointed(_reviewed(_numbered(spark, folder)).join(peaks.select("frame_key").distinct(), "frame_key", "left_semi"))
     named, added = R.import_tracks(peaks, context, boxes, "frame_key")
     return named.groupBy("label").agg(F.count("*").alias("n")).unionByName(
         added.agg(F.lit("(added)").alias("label"), F.count("*").alias("n"))
