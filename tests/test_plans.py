@@ -84,3 +84,12 @@ def test_tracks_are_reviewed_from_what_is_kept(spark, tmp_path):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "max_by" not in plan and "parquet" not in plan and "row_number" not in plan
     assert rows_of(got.columns, got.collect()) == _of_sql(tmp_path, "reviewed_track_labels")
+
+
+def test_counts_of_a_balanced_split_are_read_once(spark, tmp_path):
+    from compare import rows_of
+
+    _written(spark, tmp_path, 500)
+    got = registry.QUERIES["balanced_split_error"](spark, str(tmp_path))
+    assert "parquet" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert rows_of(got.columns, got.collect()) == _of_sql(tmp_path, "balanced_split_error")
